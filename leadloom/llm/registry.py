@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from leadloom.llm import common, decontamination, exact_dedup, near_dedup
+import public_tokenizers
+
+from leadloom.llm import common, decontamination, exact_dedup, merge_dropout, near_dedup, token_store, toxicity
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,5 +49,18 @@ def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_decontamination, op8_near_dedup)}
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op9_sentencepiece(spark, sf_dir):
+    return merge_dropout.encode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_token_store(spark, sf_dir):
+    path = token_store.write_store(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.summarise_store(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_exact_dedup, op6_decontamination, op8_near_dedup, op9_sentencepiece, op10_token_store)}
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
