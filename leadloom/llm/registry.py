@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leadloom.llm import common, decontamination, exact_dedup, merge_dropout, near_dedup, token_store, toxicity
+from leadloom.llm import chat_quotes, common, decontamination, exact_dedup, merge_dropout, near_dedup, sharding, token_store, toxicity
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -49,6 +49,14 @@ def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op1_sharding(spark, sf_dir):
+    return sharding.digest(common.table(spark, sf_dir, "documents"))
+
+
+def op7_chat_quotes(spark, sf_dir):
+    return chat_quotes.link_quotes(common.table(spark, sf_dir, "conversations"))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -62,5 +70,5 @@ def op10_token_store(spark, sf_dir):
     return token_store.summarise_store(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_exact_dedup, op6_decontamination, op8_near_dedup, op9_sentencepiece, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op5_exact_dedup, op6_decontamination, op7_chat_quotes, op8_near_dedup, op9_sentencepiece, op10_token_store)}
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
