@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leadloom.llm import chat_quotes, common, decontamination, exact_dedup, merge_dropout, near_dedup, sharding, token_store, toxicity
+from leadloom.llm import chat_quotes, common, decontamination, exact_dedup, html_extraction, license_scan, merge_dropout, near_dedup, sharding, token_store, toxicity
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -57,6 +57,14 @@ def op7_chat_quotes(spark, sf_dir):
     return chat_quotes.link_quotes(common.table(spark, sf_dir, "conversations"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_extraction.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op4_license_scan(spark, sf_dir):
+    return license_scan.scan(license_scan.document_files(common.table(spark, sf_dir, "documents")))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -70,5 +78,9 @@ def op10_token_store(spark, sf_dir):
     return token_store.summarise_store(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_toxicity, op5_exact_dedup, op6_decontamination, op7_chat_quotes, op8_near_dedup, op9_sentencepiece, op10_token_store)}
+_ALL = (
+    op1_sharding, op2_html_extraction, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_decontamination,
+    op7_chat_quotes, op8_near_dedup, op9_sentencepiece, op10_token_store,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
