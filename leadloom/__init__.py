@@ -1,0 +1 @@
+"""leadloom: lead-processing analytics on PySpark."""
