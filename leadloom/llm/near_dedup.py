@@ -7,9 +7,11 @@ of 128 values. They are banded four by four: at a similarity of 0.75, a pair mis
 
 1. Documents with equal sets become one class (combined on the map side, so a group of copies is one row a task).
 2. In each band bucket, every class is compared with two pivots only, the least and the greatest class id.
-3. Confirmed links give components. Only pairs of one bucket that are still in different components are compared
-   further, and only those that sizes and the distances to the pivots allow (1 - Jaccard is a metric), so that no link
-   between components is lost and groups of near copies never become all pairs.
+3. Confirmed links give components. In buckets that hold several components still, members that share less than three
+   quarters of their set with any other drop out, and the others are compared with the most typical member.
+4. Of the pairs of a bucket that are in different components then, those are compared that sizes and the intersections
+   with that member allow, so that no link between components is lost and groups of near copies, or documents with a
+   common passage, never become all pairs.
 
 Defined cases: null, empty or wordless text has an empty set and is linked with nothing; fewer than five words form one
 shingle; repeated rows share a decision; component_id is null only if all ids of the component are; an empty table gives
@@ -198,35 +200,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialise(exploded.join(buckets, "band"), "members")
 
     # each member against the two pivots of its bucket
-    sizes = classes.select("cid", "n")
+    sets = _sets_of(docs, classes, members)
     pivots = members.select("cid", "n", F.explode(F.array("low", "high")).alias("p")).where("cid <> p")
     pairs = pivots.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
-    pairs = materialise(_with_sizes(pairs, sizes).where(_fits("na", "nb")), "pairs")
-    sets = _sets_of(docs, classes, pairs)
+    pairs = materialise(_with_sizes(pairs, classes.select("cid", "n")).where(_fits("na", "nb")), "pairs")
     checked = materialise(common_counts(pairs, sets).join(pairs, ["a", "b"]), "checked")
-    links = checked.where(_linked())
+    links = checked.where(_linked()).select("a", "b")
     comp = components(links)
 
-    # pairs of a bucket that are in different components still
-    open_members = _open(members, comp)
-    dist = (F.lit(1.0) - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d")
-    known = checked.select("a", "b", dist).union(checked.select("b", "a", dist)).toDF("cid", "low", "d")
-    open_members = open_members.join(known, ["cid", "low"], "left")
-    open_members = materialise(open_members.withColumn("d", F.when(F.col("cid") == F.col("low"), 0.0).otherwise(F.col("d"))), "open")
-    left, right = (open_members.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "comp", "d")]) for s in "ab")
-    rest = (
-        left.join(right, "band")
-        .where("cid_a < cid_b and comp_a <> comp_b")
-        .where(_fits("n_a", "n_b"))
-        .where("abs(d_a - d_b) <= 0.2500001 or d_a is null or d_b is null")
-        .select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
-        .distinct()
-        .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    rest = materialise(rest, "rest")
-    if not rest.isEmpty():
-        more = materialise(common_counts(rest, _sets_of(docs, classes, rest)).join(rest, ["a", "b"]), "more")
-        comp = components(links.select("a", "b").union(more.where(_linked()).select("a", "b")))
+    # members of buckets that hold several components still
+    known = checked.select("a", "b")
+    left = _open(members.select("cid", "n", "band"), comp)
+    if not left.isEmpty():
+        left, more, seen = _against_central(left, sets)
+        known, links = known.union(seen), links.union(more)
+        comp = components(links)
+        rest = materialise(_remaining(left, comp).join(known, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            found = common_counts(rest, sets).join(rest, ["a", "b"]).where(_linked()).select("a", "b")
+            comp = components(links.union(materialise(found, "found")))
 
     # the least doc_id of each component, for classes that hold more than one document or are linked
     of_class = classes.join(comp.toDF("cid", "comp"), "cid", "left").where("copies > 1 or comp is not null")
@@ -252,12 +244,85 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     labelled = members.join(comp.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    return labelled.join(mixed, "band", "left_semi")
+    return materialise(labelled.join(mixed, "band", "left_semi"), "open")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """cid, k, weight, shared: of each set, the shingles that another set has, too, how many, and in how many sets they are in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, value in zip(*batch.columns, strict=True):
+                s = np.frombuffer(value.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cid.as_py())), pa.array(s)], names=["cid", "s"])
+
+    one = sets.mapInArrow(run, "cid long, s long")
+    often = one.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    return one.join(often, "s").groupBy("cid").agg(F.count("*").alias("k"), F.sum("f").alias("weight"), F.collect_list("s").alias("shared"))
+
+
+def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare the open members with the most typical member of their bucket.
+
+    A link needs three quarters of either set, so a member of which fewer shingles are in any other open set has none and
+    goes. Returns the members that stay, each with common (with the pivot) and extra (shingles that it shares with some
+    set, but not with the pivot); the links (a, b); the pairs (a, b) that were compared.
+    """
+    open_sets = sets.join(left.select("cid").distinct(), "cid")
+    shared = materialise(_shared(open_sets), "shared")
+    left = left.join(shared.select("cid", "k", "weight"), "cid").where(100 * F.col("k") >= PERCENT * F.col("n"))
+    best = left.groupBy("band").agg(F.max(F.struct((F.col("weight") / F.col("n")).alias("w"), "cid")).alias("best"))
+    left = left.join(best.select("band", F.col("best.cid").alias("pivot")), "band")
+    left = materialise(left.select("cid", "n", "band", "k", "pivot"), "viable")
+    sizes = left.select(F.col("cid").alias("pivot"), F.col("n").alias("np")).distinct()
+    pairs = left.where("cid <> pivot").select("cid", "n", "pivot").distinct().join(sizes, "pivot").where(_fits("n", "np"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, extra = [], []
+            for own, central, list_ in zip(batch.column("own"), batch.column("central"), batch.column("shared"), strict=True):
+                c = np.frombuffer(central.as_buffer(), U)
+                others = list_.values.to_numpy().view(U)
+                common.append(len(np.intersect1d(np.frombuffer(own.as_buffer(), U), c, assume_unique=True)))
+                extra.append(len(others) - len(np.intersect1d(others, c, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("cid", "n", "pivot", "np")), pa.array(common, pa.int64()), pa.array(extra, pa.int64())], names=["cid", "n", "pivot", "np", "common", "extra"])
+
+    full = (
+        pairs.join(open_sets.toDF("pivot", "central"), "pivot").join(open_sets.toDF("cid", "own"), "cid")
+        .join(shared.select("cid", "shared"), "cid").select("cid", "n", "pivot", "np", "own", "central", "shared")
+    )
+    checked = materialise(full.mapInArrow(run, "cid long, n long, pivot long, np long, common long, extra long"), "central")
+    ends = [F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")]
+    links = checked.select(*ends, F.col("n").alias("na"), F.col("np").alias("nb"), "common").where(_linked()).select("a", "b")
+    left = left.join(checked.select("cid", "pivot", "common", "extra"), ["cid", "pivot"], "left")
+    own = F.col("cid") == F.col("pivot")
+    left = left.withColumns({"common": F.when(own, F.col("n")).otherwise(F.col("common")), "extra": F.when(own, F.lit(0)).otherwise(F.col("extra"))})
+    return left, links, checked.select(*ends)
+
+
+def _remaining(left: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) with na, nb, of one bucket and two components, whose greatest possible intersection allows a link.
+
+    Of x and y, the intersection inside the pivot is at most the lesser intersection with it; outside it is at most the
+    lesser number of shingles that are shared with any set but not with the pivot.
+    """
+    left = _open(left, comp)
+    x, y = (left.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "comp", "k", "common", "extra")]) for s in "xy")
+    most = F.least("k_x", "k_y", F.least("common_x", "common_y") + F.least("extra_x", "extra_y"))
+    most = F.when(F.isnull("common_x") | F.isnull("common_y"), F.least("k_x", "k_y")).otherwise(most)
+    return (
+        x.join(y, "band")
+        .where("cid_x < cid_y and comp_x <> comp_y")
+        .where(_fits("n_x", "n_y"))
+        .where((100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y")))
+        .select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"))
+        .distinct()
+    )
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cid, shingles of the classes that occur in pairs, from the text of one document of each."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def _sets_of(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """cid, shingles of the classes that share a bucket, from the text of one document of each."""
+    need = members.select("cid").distinct()
     one = classes.select("cid", F.col("one.doc_id").alias("id"), "one.text_key").join(need, "cid")
     texts = docs.select(F.col("doc_id").cast("long"), "text", _text_key())
     texts = texts.join(one, (texts.text_key == one.text_key) & texts.doc_id.eqNullSafe(one.id)).select("cid", "text")
