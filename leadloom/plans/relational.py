@@ -132,30 +132,24 @@ def deny_list_exact(spark, d):
 
 
 _STEPS = [
-    ("step1_total", "true", F.lit(True)),
-    ("step2_form_url", "form_url is not null", F.col("form_url").isNotNull()),
-    ("step3_instruction", "instruction_json is not null", F.col("instruction_json").isNotNull()),
-    ("step4_valid", "(instruction_valid is null or instruction_valid)", F.col("instruction_valid").isNull() | F.col("instruction_valid")),
-    ("step5_bot", "bot_protection_detected is null", F.col("bot_protection_detected").isNull()),
-    ("step6_start", "id >= 50", F.col("id") >= 50),
-    ("step7_employees", "employee_count < 200", F.col("employee_count") < 200),
-    ("step8_black", "black is null", F.col("black").isNull()),
-]
+    ("step1_total", "true"), ("step2_form_url", "form_url is not null"), ("step3_instruction", "instruction_json is not null"),
+    ("step4_valid", "(instruction_valid is null or instruction_valid)"), ("step5_bot", "bot_protection_detected is null"),
+    ("step6_start", "id >= 50"), ("step7_employees", "employee_count < 200"), ("step8_black", "black is null"),
+]
 
 
 @query(
     with_sql("companies")
-    + " union all ".join(f"select '{n}' as step, count(*) as n from companies where {' and '.join(s for _, s, _ in _STEPS[: k + 1])}" for k, (n, _, _) in enumerate(_STEPS))
+    + " union all ".join(f"select '{n}' as step, count(*) as n from companies where {' and '.join(s for _, s in _STEPS[: k + 1])}" for k, (n, _) in enumerate(_STEPS))
 )
 def waterfall_counts(spark, d):
-    return targeting.waterfall(companies(spark, d), [(n, c) for n, _, c in _STEPS])
+    return targeting.waterfall(companies(spark, d), [(n, F.expr(s)) for n, s in _STEPS])
 
 
 _CHECKS = [
-    ("total_companies", "true", F.lit(True)), ("with_form_url", "form_url is not null", F.col("form_url").isNotNull()),
-    ("instruction_valid_null", "instruction_valid is null", F.col("instruction_valid").isNull()), ("instruction_valid_true", "instruction_valid", F.col("instruction_valid")),
-    ("instruction_valid_false", "not instruction_valid", ~F.col("instruction_valid")), ("bot_protection_true", "bot_protection_detected", F.col("bot_protection_detected")),
-    ("employee_count_under_100", "employee_count < 100", F.col("employee_count") < 100), ("employee_count_null", "employee_count is null", F.col("employee_count").isNull()),
+    ("total_companies", "true"), ("with_form_url", "form_url is not null"), ("instruction_valid_null", "instruction_valid is null"),
+    ("instruction_valid_true", "instruction_valid"), ("instruction_valid_false", "not instruction_valid"), ("bot_protection_true", "bot_protection_detected"),
+    ("employee_count_under_100", "employee_count < 100"), ("employee_count_null", "employee_count is null"),
 ]
 
 
@@ -163,11 +157,11 @@ _CHECKS = [
     with_sql("companies")
     + " union all ".join(
         f"select '{n}' as check_name, count(*) as n, (select string_agg(cast(id as varchar), ',' order by id) from (select id from companies where {s} order by id limit 5)) as sample_ids from companies where {s}"
-        for n, s, _ in _CHECKS
+        for n, s in _CHECKS
     )
 )
 def column_profile(spark, d):
-    return targeting.profile(companies(spark, d), [(n, c) for n, _, c in _CHECKS])
+    return targeting.profile(companies(spark, d), [(n, F.expr(s)) for n, s in _CHECKS])
 
 
 # ---- queue state ------------------------------------------------------------------------------------------------------
