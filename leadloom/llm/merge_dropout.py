@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.pieces import Slots
+
 RATE, SEED, VARIANTS = 0.1, 20240601, 4
 SPACE = "▁"
 CUT = re.compile(r" *[^ \n]+| +|\n")
@@ -219,8 +221,7 @@ class Segmenter:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.names: list[str] = []
+        self.slot, self.names = Slots(), []
         self.starts, self.counts = np.full(1024, -1, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
@@ -234,14 +235,9 @@ class Segmenter:
             cut += found
             n_chunks.append(len(found))
         n_chunks = np.array(n_chunks, np.int64)
-        get, slot, names, at = self.slot.get, self.slot, self.names, []
-        for c in cut:
-            k = get(c)
-            if k is None:
-                k = slot[c] = len(names)
-                names.append(c)
-            at.append(k)
-        at = np.array(at, np.int64) * self.variants
+        at = self.slot.of(cut) * self.variants
+        self.names += self.slot.fetch_new()
+        names = self.names
         if self.variants > 1:
             place = np.arange(len(cut)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
             key = np.repeat(np.array(doc_keys, U), n_chunks) + place.astype(U) * U(0x9E3779B97F4A7C15) + U(self.seed)

@@ -7,6 +7,26 @@ from collections.abc import Callable, Hashable
 import numpy as np
 
 
+class Slots(dict):
+    """Numbers keys in the order in which they are first asked for; new: those that nobody has fetched yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key: Hashable) -> int:
+        at = self[key] = len(self)
+        self.new.append(key)
+        return at
+
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def fetch_new(self) -> list:
+        new, self.new = self.new, []
+        return new
+
+
 class PieceTable:
     """encode: new chunks -> a list of id lists. key: a 64-bit number kept by chunk. The table is emptied when it holds more than ``limit`` chunks, which bounds its memory."""
 
@@ -15,14 +35,14 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[Hashable, int] = {}
+        self.slot = Slots()
         self.keys = np.zeros(1024, np.uint64)
         self.starts, self.counts, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
     def add(self, new: list) -> None:
         lists = self.encode(new)
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        have, total = len(self.slot), int(counts.sum())
+        have, total = len(self.slot) - len(new), int(counts.sum())
         while have + len(new) > len(self.starts):
             self.starts, self.counts, self.keys = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.keys))
         while self.used + total > len(self.flat):
@@ -33,17 +53,14 @@ class PieceTable:
             self.keys[have : have + len(new)] = np.array([self.key(c) for c in new], np.uint64)
         self.flat[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.int32, total)
         self.used += total
-        self.slot.update(zip(new, range(have, have + len(new)), strict=True))
 
     def slots(self, chunks: list) -> np.ndarray:
         """Where each chunk is; holds until the next call."""
         if len(self.slot) > self.limit:
             self.clear()
-        get = self.slot.get
-        at = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        if (miss := np.flatnonzero(at < 0)).size:
-            self.add(list(dict.fromkeys(chunks[k] for k in miss)))
-            at[miss] = [self.slot[chunks[k]] for k in miss]
+        at = self.slot.of(chunks)
+        if new := self.slot.fetch_new():
+            self.add(new)
         return at
 
     def ids(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:

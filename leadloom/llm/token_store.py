@@ -14,6 +14,7 @@ order of a hash of the text; an empty table gives an empty store; other columns
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -90,13 +91,66 @@ def decode(payload: bytes) -> np.ndarray:
     return out
 
 
-def tokeniser(path: str) -> PieceTable:
-    """Encodes with the tokenizers library. Its vocabulary drops white space, so texts are cut there first and each chunk is encoded once."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+ENDS = ".,!?;:"
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class ChunkEncoder:
+    """Encodes chunks with the tokenizers library.
+
+    A chunk of Latin letters is a single word of the vocabulary's pattern, and what ends it, of ENDS, is another, so these
+    go to the library's BPE model directly, each word once; all other chunks take the whole library pipeline.
+    """
+
+    def __init__(self, path: str, limit: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    return PieceTable(lambda new: [e.ids for e in tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)])
+        self.tok = Tokenizer.from_file(path)
+        self.model, self.limit, self.words, self.ends, self.letters = self.tok.model, limit, {}, {"": []}, byte_letters()
+
+    def word(self, lower: str) -> list[int]:
+        found = self.words.get(lower)
+        if found is None:
+            if len(self.words) > self.limit:
+                self.words.clear()
+            spelt = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.letters)
+            found = self.words[lower] = [t.id for t in self.model.tokenize(spelt)]
+        return found
+
+    def end(self, text: str) -> list[int]:
+        if len(text) > 8:
+            return self.tok.encode(text, add_special_tokens=False).ids
+        if text not in self.ends:
+            self.ends[text] = self.tok.encode(text, add_special_tokens=False).ids
+        return self.ends[text]
+
+    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
+        out, others = [], []
+        for k, c in enumerate(chunks):
+            s = c.decode()
+            stem = s.rstrip(ENDS)
+            lower = stem.lower()
+            if stem.isalpha() and lower.isalpha() and max(stem) < "\u0250":
+                out.append(self.word(lower) + self.end(s[len(stem) :]))
+            else:
+                out.append(None)
+                others.append((k, s))
+        for (k, _), e in zip(others, self.tok.encode_batch_fast([s for _, s in others], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def tokeniser(path: str) -> PieceTable:
+    """The vocabulary drops white space, so texts are cut there first and each chunk is encoded once. Lives as long as the worker."""
+    return PieceTable(ChunkEncoder(path))
 
 
 def token_ids(texts: list[bytes], table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
