@@ -1,6 +1,6 @@
 """All queries and oracles outside the training-data subpackage."""
 
-from leadloom.plans import relational
+from leadloom.plans import relational, textual
 
-QUERIES = {**relational.QUERIES}
-ORACLES = {**relational.ORACLES}
+QUERIES = {**relational.QUERIES, **textual.QUERIES}
+ORACLES = {**relational.ORACLES, **textual.ORACLES}
