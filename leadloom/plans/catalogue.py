@@ -1,6 +1,6 @@
 """All queries and oracles outside the training-data subpackage."""
 
-from leadloom.plans import relational, textual
+from leadloom.plans import pages, relational, streams, textual
 
-QUERIES = {**relational.QUERIES, **textual.QUERIES}
-ORACLES = {**relational.ORACLES, **textual.ORACLES}
+QUERIES = {**relational.QUERIES, **textual.QUERIES, **pages.QUERIES, **streams.QUERIES}
+ORACLES = {**relational.ORACLES, **textual.ORACLES, **pages.ORACLES, **streams.ORACLES}
