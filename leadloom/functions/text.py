@@ -32,7 +32,7 @@ def contains_token(text: Column, token: str) -> Column:
 
 def sentences(c: Column, least: int = 10) -> Column:
     """Trimmed sentences of at least some characters."""
-    return F.filter(F.transform(F.split(c, r"[。！？\n\r]+"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(c, r"[。！？\n\r]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def meaningful(c: Column) -> Column:

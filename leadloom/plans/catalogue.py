@@ -1,6 +1,7 @@
 """All queries and oracles outside the training-data subpackage."""
 
-from leadloom.plans import pages, relational, streams, textual
+from leadloom.plans import elements, pages, relational, streams, textual
 
-QUERIES = {**relational.QUERIES, **textual.QUERIES, **pages.QUERIES, **streams.QUERIES}
-ORACLES = {**relational.ORACLES, **textual.ORACLES, **pages.ORACLES, **streams.ORACLES}
+_PARTS = (relational, textual, elements, pages, streams)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
