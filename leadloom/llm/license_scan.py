@@ -55,6 +55,8 @@ TEMPLATES = [
 ]
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD, FILE_SHARE = 0.6, 0.5
+#: Anchors of at most so many letters are searched as words.
+SHORT = 5
 
 
 def terms(text: str) -> list[str]:
@@ -114,13 +116,17 @@ def scan_headers(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     templates = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))  # a fixed table
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # a fixed table
     text = F.lower(F.coalesce("text", F.lit("")))
-    has = None
-    for a in anchors(vectors, threshold):
-        has = F.contains(F.col("low"), F.lit(a)) if has is None else has | F.contains(F.col("low"), F.lit(a))
+    rare = anchors(vectors, threshold)
+    short = [re.escape(a) for a in rare if len(a) <= SHORT]  # parts of many words, so borders are asked for at once
+    has = F.col("low").rlike(rf"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])") if short else F.lit(False)
+    for a in rare:
+        if len(a) > SHORT:
+            has = has | F.contains(F.col("low"), F.lit(a))
     rows_ = files.select("doc_id", "path", text.alias("low")).where(has)
     rows_ = rows_.withColumn("file", F.xxhash64("doc_id", "path", "low"))
-    lines = rows_.select("doc_id", "path", "file", F.posexplode(F.split("low", "\n")).alias("line", "low")).where(has)
-    lines = lines.withColumn("terms", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1))).drop("low").where(F.size("terms") > 0)
+    lines = rows_.select("doc_id", "path", "file", F.posexplode(F.split("low", "\n")).alias("line", "low"))
+    lines = lines.withColumn("terms", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1))).drop("low")
+    lines = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in rare])))
     lines = materialise(lines.dropDuplicates(["file", "line"]), "lines")
     tf = lines.select("file", "line", F.explode("terms").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
     tf = tf.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))

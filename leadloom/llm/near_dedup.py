@@ -80,8 +80,9 @@ def band_keys(sets: list[np.ndarray], permutations: int = PERMUTATIONS, rows: in
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     flat = np.concatenate(sets)
     signature = np.empty((2 * permutations, len(sets)), U)
-    for k, a in enumerate(_coefficients(permutations)):
+    for k, (a, b) in enumerate(_coefficients(2 * permutations).reshape(-1, 2)):
         x = flat * a
+        x += b
         x ^= x >> U(32)
         signature[2 * k] = np.minimum.reduceat(x, starts)
         signature[2 * k + 1] = np.maximum.reduceat(x, starts)
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     signed = materialise(signatures(docs), "signed")
     classes = materialise(classes_of(signed).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    exploded = classes.select("cid", "n", F.explode("bands").alias("band"))
+    exploded = classes.select("cid", "n", F.posexplode("bands").alias("pos", "band"))
     buckets = exploded.groupBy("band").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
     members = materialise(exploded.join(buckets, "band"), "members")
 
@@ -210,12 +211,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # members of buckets that hold several components still
     known = checked.select("a", "b")
-    left = _open(members.select("cid", "n", "band"), comp)
+    left = _open(members.select("cid", "n", "pos", "band"), comp)
     if not left.isEmpty():
         left, more, seen = _against_central(left, sets)
         known, links = known.union(seen), links.union(more)
         comp = components(links)
-        rest = materialise(_remaining(left, comp).join(known, ["a", "b"], "left_anti"), "rest")
+        rest = materialise(_remaining(left.join(classes.select("cid", "bands"), "cid"), comp).join(known, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             found = common_counts(rest, sets).join(rest, ["a", "b"]).where(_linked()).select("a", "b")
             comp = components(links.union(materialise(found, "found")))
@@ -273,7 +274,7 @@ def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     left = left.join(shared.select("cid", "k", "weight"), "cid").where(100 * F.col("k") >= PERCENT * F.col("n"))
     best = left.groupBy("band").agg(F.max(F.struct((F.col("weight") / F.col("n")).alias("w"), "cid")).alias("best"))
     left = left.join(best.select("band", F.col("best.cid").alias("pivot")), "band")
-    left = materialise(left.select("cid", "n", "band", "k", "pivot"), "viable")
+    left = materialise(left.select("cid", "n", "pos", "band", "k", "pivot"), "viable")
     sizes = left.select(F.col("cid").alias("pivot"), F.col("n").alias("np")).distinct()
     pairs = left.where("cid <> pivot").select("cid", "n", "pivot").distinct().join(sizes, "pivot").where(_fits("n", "np"))
 
@@ -304,19 +305,21 @@ def _remaining(left: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs (a, b) with na, nb, of one bucket and two components, whose greatest possible intersection allows a link.
 
     Of x and y, the intersection inside the pivot is at most the lesser intersection with it; outside it is at most the
-    lesser number of shingles that are shared with any set but not with the pivot.
+    lesser number of shingles that are shared with any set but not with the pivot. A pair comes from the first band that
+    it shares.
     """
     left = _open(left, comp)
-    x, y = (left.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "comp", "k", "common", "extra")]) for s in "xy")
+    x, y = (left.select("pos", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "comp", "k", "common", "extra", "bands")]) for s in "xy")
     most = F.least("k_x", "k_y", F.least("common_x", "common_y") + F.least("extra_x", "extra_y"))
     most = F.when(F.isnull("common_x") | F.isnull("common_y"), F.least("k_x", "k_y")).otherwise(most)
+    before = F.zip_with(F.slice("bands_x", F.lit(1), F.col("pos")), F.slice("bands_y", F.lit(1), F.col("pos")), lambda p, q: p == q)
     return (
-        x.join(y, "band")
+        x.join(y, ["pos", "band"])
         .where("cid_x < cid_y and comp_x <> comp_y")
         .where(_fits("n_x", "n_y"))
         .where((100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y")))
+        .where(~F.exists(before, lambda same: same))
         .select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"))
-        .distinct()
     )
 
 

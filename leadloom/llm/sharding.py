@@ -67,8 +67,12 @@ def fisher_yates(n: int, key: tuple) -> np.ndarray:
 
 
 def read_shards(spark, path: str, schema) -> DataFrame:
-    """Records with __shard and __slot."""
-    rows = spark.read.schema(schema).parquet(path)
+    """Records with __shard, __bucket and __place."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def with_slots(rows: DataFrame) -> DataFrame:
+    """__bucket and __place as __slot. Rows may be a projection of the records: what is not needed should not travel to the join."""
     counts = rows.groupBy("__shard", "__bucket").agg(F.count("*").alias("n"))
     # one row a bucket, which is one for each bucket_bytes of records
     run = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,8 +83,10 @@ def read_shards(spark, path: str, schema) -> DataFrame:
 def digest(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: from the shard files."""
     schema = docs.withColumns({"__shard": F.lit(0), "__bucket": F.lit(0), "__place": F.lit(0).cast("long")}).schema
-    rows = read_shards(docs.sparkSession, write_shards(docs, shards, seed), schema)
+    records = read_shards(docs.sparkSession, write_shards(docs, shards, seed), schema)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = with_slots(records.select("doc_id", record_size().alias("size"), crc.alias("text_crc32"), "__shard", "__bucket", "__place"))
     return rows.select(
-        "doc_id", record_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), shard_of(shards + 1, seed).alias("grown_shard"),
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"),
+        shard_of(shards + 1, seed).alias("grown_shard"),
     )

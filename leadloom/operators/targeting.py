@@ -111,10 +111,13 @@ def retry_candidates(companies, submissions, targeting_id, day, fragment=None, d
 def ranked(candidates: DataFrame, targeting_id: int, day: str, limit: int, base: int | Column = 0, shards: int = SHARDS) -> DataFrame:
     """Queue rows of the first ``limit`` candidates by id. The limit bounds the window's single partition."""
     first = candidates.orderBy("id").limit(limit)
-    return first.select(
+    return _queue_rows(first, targeting_id, day, F.lit(base) + F.row_number().over(Window.orderBy("id")), shards)
+
+
+def _queue_rows(rows: DataFrame, targeting_id: int, day: str, priority: Column, shards: int) -> DataFrame:
+    return rows.select(
         F.lit(day).cast("date").alias("target_date_jst"), F.lit(targeting_id).cast("long").alias("targeting_id"), F.col("id").cast("long").alias("company_id"),
-        (F.lit(base) + F.row_number().over(Window.orderBy("id"))).cast("int").alias("priority"),
-        F.pmod("id", F.lit(shards)).cast("int").alias("shard_id"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"),
+        priority.cast("int").alias("priority"), F.pmod("id", F.lit(shards)).cast("int").alias("shard_id"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"),
     )
 
 
@@ -126,14 +129,17 @@ def insert_new(rows: DataFrame, queue: DataFrame | None) -> DataFrame:
 
 def build_queue(companies, submissions, targeting_id, day, limit=LIMIT, queue=None, fragment=None, denied=None, failure_days=30, shards=SHARDS) -> DataFrame:
     """Rows to add: fresh companies first, then retries as far as the limit goes. At most ``limit`` rows of the queue are counted."""
-    own = queue.where((F.col("targeting_id") == targeting_id) & (F.col("target_date_jst") == F.lit(day).cast("date"))) if queue is not None else None
-    first = insert_new(ranked(fresh_candidates(companies, submissions, targeting_id, day, fragment, denied, failure_days), targeting_id, day, limit, 0, shards), own)
-    now = first if own is None else first.select("priority").unionByName(own.select("priority"))
-    count, base = now.agg(F.count("*"), F.coalesce(F.max("priority"), F.lit(0))).first()
+    fresh = fresh_candidates(companies, submissions, targeting_id, day, fragment, denied, failure_days)
+    retry = retry_candidates(companies, submissions, targeting_id, day, fragment, denied, failure_days)
+    if queue is None:  # one plan: both lists, cut at the limit
+        both = fresh.orderBy("id").limit(limit).withColumn("stage", F.lit(1)).unionByName(retry.orderBy("id").limit(limit).withColumn("stage", F.lit(2)))
+        return _queue_rows(both.orderBy("stage", "id").limit(limit), targeting_id, day, F.row_number().over(Window.orderBy("stage", "id")), shards)
+    own = queue.where((F.col("targeting_id") == targeting_id) & (F.col("target_date_jst") == F.lit(day).cast("date")))
+    first = insert_new(ranked(fresh, targeting_id, day, limit, 0, shards), own)
+    count, base = first.select("priority").unionByName(own.select("priority")).agg(F.count("*"), F.coalesce(F.max("priority"), F.lit(0))).first()
     if count >= limit:
         return first
-    second = ranked(retry_candidates(companies, submissions, targeting_id, day, fragment, denied, failure_days), targeting_id, day, limit - count, base, shards)
-    return first.unionByName(insert_new(second, own))
+    return first.unionByName(insert_new(ranked(retry, targeting_id, day, limit - count, base, shards), own))
 
 
 def build_window(companies, submissions, targeting_id, day, after_id, window, limit, base=0, failure_days=30) -> DataFrame:

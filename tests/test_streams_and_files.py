@@ -76,3 +76,17 @@ def test_lock_key_is_a_signed_number(spark):
 
     day = spark.sql("select 7L id, date'2024-01-02' d").select(queue_state.lock_key(F.col("id"), F.col("d"))).first()[0]
     assert day == int.from_bytes(hashlib.md5(b"7:20240102").digest()[:8], "big", signed=True)
+
+
+def test_a_queue_that_holds_rows_fills_up_to_the_limit(spark):
+    from leadloom.operators import targeting
+    from leadloom.sources.views import companies, submissions
+
+    c, s, day = companies(spark, DATA), submissions(spark, DATA), "2024-03-15"
+    whole = targeting.build_queue(c, s, 1, day, limit=40)
+    rows = [(r.company_id, r.priority) for r in whole.orderBy("priority").collect()]
+    assert [p for _, p in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 40
+    held = whole.where("priority <= 5")
+    more = targeting.build_queue(c, s, 1, day, limit=40, queue=held)
+    ids = {r.company_id for r in more.collect()}
+    assert not ids & {i for i, p in rows if p <= 5} and len(ids) + 5 <= 40
