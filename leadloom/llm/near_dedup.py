@@ -9,9 +9,10 @@ of 128 values. They are banded four by four: at a similarity of 0.75, a pair mis
 2. In each band bucket, every class is compared with two pivots only, the least and the greatest class id.
 3. Confirmed links give components. In buckets that hold several components still, members that share less than three
    quarters of their set with any other drop out, and the others are compared with the most typical member.
-4. Of the pairs of a bucket that are in different components then, those are compared that sizes and the intersections
-   with that member allow, so that no link between components is lost and groups of near copies, or documents with a
-   common passage, never become all pairs.
+4. Pairs in different components then either share shingles inside that member only, and the lesser intersection with it
+   bounds theirs, or share one outside it, and an inverted index over the rarest of those finds them. Only pairs that sizes
+   and these bounds allow are compared, so that no link between components is lost and groups of near copies, or documents
+   with a common passage, never become all pairs.
 
 Defined cases: null, empty or wordless text has an empty set and is linked with nothing; fewer than five words form one
 shingle; repeated rows share a decision; component_id is null only if all ids of the component are; an empty table gives
@@ -213,10 +214,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = checked.select("a", "b")
     left = _open(members.select("cid", "n", "pos", "band"), comp)
     if not left.isEmpty():
-        left, more, seen = _against_central(left, sets)
+        left, more, seen, outside = _against_central(left, sets)
         known, links = known.union(seen), links.union(more)
         comp = components(links)
-        rest = materialise(_remaining(left.join(classes.select("cid", "bands"), "cid"), comp).join(known, ["a", "b"], "left_anti"), "rest")
+        rest = materialise(_remaining(left.join(classes.select("cid", "bands"), "cid"), comp, outside).join(known, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             found = common_counts(rest, sets).join(rest, ["a", "b"]).where(_linked()).select("a", "b")
             comp = components(links.union(materialise(found, "found")))
@@ -249,7 +250,7 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """cid, k, weight, shared: of each set, the shingles that another set has, too, how many, and in how many sets they are in all."""
+    """cid, k, weight, shared: of each set, the shingles that another set has, too (the rarest first), how many, and in how many sets they are in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,15 +260,18 @@ def _shared(sets: DataFrame) -> DataFrame:
 
     one = sets.mapInArrow(run, "cid long, s long")
     often = one.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
-    return one.join(often, "s").groupBy("cid").agg(F.count("*").alias("k"), F.sum("f").alias("weight"), F.collect_list("s").alias("shared"))
+    rarest = F.sort_array(F.collect_list(F.struct("f", "s")))["s"]
+    return one.join(often, "s").groupBy("cid").agg(F.count("*").alias("k"), F.sum("f").alias("weight"), rarest.alias("shared"))
 
 
-def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Compare the open members with the most typical member of their bucket.
 
     A link needs three quarters of either set, so a member of which fewer shingles are in any other open set has none and
     goes. Returns the members that stay, each with common (with the pivot) and extra (shingles that it shares with some
-    set, but not with the pivot); the links (a, b); the pairs (a, b) that were compared.
+    set, but not with the pivot); the links (a, b); the pairs (a, b) that were compared; the extra shingles (cid, pivot, s).
+    A link of a member needs at least three quarters of its set, of which ``common`` can be in the pivot. Of the others that
+    many less one may be left out at the end of the list, if both ends list them in one order: the rest meets still.
     """
     open_sets = sets.join(left.select("cid").distinct(), "cid")
     shared = materialise(_shared(open_sets), "shared")
@@ -280,47 +284,70 @@ def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, extra = [], []
-            for own, central, list_ in zip(batch.column("own"), batch.column("central"), batch.column("shared"), strict=True):
+            common, extra, first = [], [], []
+            for n, own, central, list_ in zip(*(batch.column(x) for x in ("n", "own", "central", "shared")), strict=True):
                 c = np.frombuffer(central.as_buffer(), U)
                 others = list_.values.to_numpy().view(U)
+                others = others[~np.isin(others, c, assume_unique=True)]
                 common.append(len(np.intersect1d(np.frombuffer(own.as_buffer(), U), c, assume_unique=True)))
-                extra.append(len(others) - len(np.intersect1d(others, c, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("cid", "n", "pivot", "np")), pa.array(common, pa.int64()), pa.array(extra, pa.int64())], names=["cid", "n", "pivot", "np", "common", "extra"])
+                extra.append(len(others))
+                needed = max(1, -(-PERCENT * n.as_py() // 100) - common[-1])
+                first.append(others[: max(0, len(others) - needed + 1)].view(np.int64))
+            new = [pa.array(common, pa.int64()), pa.array(extra, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("cid", "n", "pivot", "np")), *new], names=["cid", "n", "pivot", "np", "common", "extra", "first"])
 
     full = (
         pairs.join(open_sets.toDF("pivot", "central"), "pivot").join(open_sets.toDF("cid", "own"), "cid")
         .join(shared.select("cid", "shared"), "cid").select("cid", "n", "pivot", "np", "own", "central", "shared")
     )
-    checked = materialise(full.mapInArrow(run, "cid long, n long, pivot long, np long, common long, extra long"), "central")
+    checked = materialise(full.mapInArrow(run, "cid long, n long, pivot long, np long, common long, extra long, first array<long>"), "central")
     ends = [F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")]
     links = checked.select(*ends, F.col("n").alias("na"), F.col("np").alias("nb"), "common").where(_linked()).select("a", "b")
     left = left.join(checked.select("cid", "pivot", "common", "extra"), ["cid", "pivot"], "left")
     own = F.col("cid") == F.col("pivot")
     left = left.withColumns({"common": F.when(own, F.col("n")).otherwise(F.col("common")), "extra": F.when(own, F.lit(0)).otherwise(F.col("extra"))})
-    return left, links, checked.select(*ends)
+    return left, links, checked.select(*ends), checked.select("cid", "pivot", F.explode("first").alias("s"))
 
 
-def _remaining(left: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) with na, nb, of one bucket and two components, whose greatest possible intersection allows a link.
+def _remaining(left: DataFrame, comp: DataFrame, outside: DataFrame) -> DataFrame:
+    """Pairs (a, b) with na, nb, of two components and one pivot, whose greatest possible intersection allows a link.
 
     Of x and y, the intersection inside the pivot is at most the lesser intersection with it; outside it is at most the
-    lesser number of shingles that are shared with any set but not with the pivot. A pair comes from the first band that
-    it shares.
+    lesser number of shingles that are shared with any set but not with the pivot, and none unless ``outside`` has one of
+    both. Pairs without one come from the first band that they share; the members of a bucket's largest component are only
+    held against the others.
     """
     left = _open(left, comp)
-    x, y = (left.select("pos", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "comp", "k", "common", "extra", "bands")]) for s in "xy")
-    most = F.least("k_x", "k_y", F.least("common_x", "common_y") + F.least("extra_x", "extra_y"))
-    most = F.when(F.isnull("common_x") | F.isnull("common_y"), F.least("k_x", "k_y")).otherwise(most)
+    held = ("cid", "n", "comp", "k", "common", "extra")
+
+    def side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+        return rows.select(*more, *[F.col(c).alias(f"{c}_{s}") for c in held])
+
+    def allowed(most):
+        return _fits("n_x", "n_y") & ((100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y")))
+
+    inside = left.where(F.isnull("common") | (100 * F.col("common") >= PERCENT * F.col("n")))
+    largest = inside.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("largest"))
+    inside = inside.join(largest, "band")
+    x = side(inside.where("comp <> largest"), "x", "pos", "band", F.col("bands").alias("bands_x"))
+    y = side(inside, "y", "pos", "band", "largest", F.col("bands").alias("bands_y"))
+    unknown = F.isnull("common_x") | F.isnull("common_y")
     before = F.zip_with(F.slice("bands_x", F.lit(1), F.col("pos")), F.slice("bands_y", F.lit(1), F.col("pos")), lambda p, q: p == q)
-    return (
+    in_pivot = (
         x.join(y, ["pos", "band"])
-        .where("cid_x < cid_y and comp_x <> comp_y")
-        .where(_fits("n_x", "n_y"))
-        .where((100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y")))
+        .where("comp_x <> comp_y and (comp_y = largest or cid_x < cid_y)")
+        .where(allowed(F.when(unknown, F.least("k_x", "k_y")).otherwise(F.least("common_x", "common_y"))))
         .where(~F.exists(before, lambda same: same))
-        .select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"))
     )
+    ends = left.select(*held, "pivot").distinct().join(outside, ["cid", "pivot"])
+    most = F.least("k_x", "k_y", F.least("common_x", "common_y") + F.least("extra_x", "extra_y"))
+    beside = side(ends, "x", "pivot", "s").join(side(ends, "y", "pivot", "s"), ["pivot", "s"]).where("cid_x < cid_y and comp_x <> comp_y").where(allowed(most))
+    pairs = [
+        z.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b"), F.when(F.col("cid_x") < F.col("cid_y"), F.col("n_x")).otherwise(F.col("n_y")).alias("na"),
+                 F.when(F.col("cid_x") < F.col("cid_y"), F.col("n_y")).otherwise(F.col("n_x")).alias("nb"))
+        for z in (in_pivot, beside)
+    ]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
