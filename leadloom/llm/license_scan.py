@@ -123,8 +123,10 @@ def scan_headers(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if len(a) > SHORT:
             has = has | F.contains(F.col("low"), F.lit(a))
     rows_ = files.select("doc_id", "path", text.alias("low")).where(has)
-    rows_ = rows_.withColumn("file", F.xxhash64("doc_id", "path", "low"))
-    lines = rows_.select("doc_id", "path", "file", F.posexplode(F.split("low", "\n")).alias("line", "low"))
+    # counted here, so that the files are searched for anchors once
+    n_words = F.size(F.regexp_extract_all("low", F.lit(f"({TERM}|[^\\x00-\\x7f]+)"), F.lit(1)))
+    rows_ = rows_.withColumns({"file": F.xxhash64("doc_id", "path", "low"), "n_words": n_words})
+    lines = rows_.select("doc_id", "path", "file", "n_words", F.posexplode(F.split("low", "\n")).alias("line", "low"))
     lines = lines.withColumn("terms", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1))).drop("low")
     lines = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in rare])))
     lines = materialise(lines.dropDuplicates(["file", "line"]), "lines")
@@ -137,7 +139,7 @@ def scan_headers(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     per_file = best.groupBy("file").agg(
         F.max(F.struct("b.score", "b.t", (-F.col("line")).alias("l"), "b.license")).alias("f"), F.sum("b.words").alias("licensed_words")
     )
-    total = rows_.select("file", F.size(F.regexp_extract_all("low", F.lit(f"({TERM}|[^\\x00-\\x7f]+)"), F.lit(1))).alias("n_words")).dropDuplicates(["file"])
+    total = lines.select("file", "n_words").dropDuplicates(["file"])
     whole = per_file.join(total, "file").select(
         "file", F.col("f.license").alias("license"), F.col("f.score").alias("score"), (-F.col("f.l")).alias("line"),
         (F.col("licensed_words") / F.col("n_words")).alias("share"),
