@@ -1,11 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 The pieces and scores are those of a SentencePiece BPE model. An agenda holds the candidate merges; the best score comes
-first, then the leftmost. When a candidate's turn comes, a hash keyed by seed, chunk, variant and the candidate's three
-boundaries decides whether it is skipped, so that the same candidate is always skipped or never. Merges never cross the
-border between a non-space and a space, or a line break, so texts are cut there; each occurrence of a chunk draws one of
-``variants`` segmentations by a hash of seed, document and position, and each segmentation is computed once a task. All
-chunks of one length are merged in step with numpy; long chunks take the heap.
+first, then the leftmost. When a candidate's turn comes, a hash keyed by seed, document, place of the chunk in it and the
+candidate's three boundaries decides whether it is skipped, so that the same candidate of an occurrence is always skipped or
+never. Merges never cross the border between a non-space and a space, or a line break, so texts are cut there. Many chunks
+are merged in step with numpy; long chunks take the heap.
+
+Only what no draw decides is remembered: for a chunk and the candidates skipped so far, the merges that follow if nothing
+else is skipped, and the symbols at their end. Every occurrence tests its own hashes along these merges; at the first that
+it skips it goes on to the merges that follow that skip.
 
 With a rate of 0 the result is the library's own. Characters outside the vocabulary, and a literal U+2581, become their
 UTF-8 bytes, so decoding gives back every text exactly.
@@ -30,11 +33,13 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.pieces import Slots
 
-RATE, SEED, VARIANTS = 0.1, 20240601, 4
+RATE, SEED = 0.1, 20240601
 SPACE = "▁"
 CUT = re.compile(r" *[^ \n]+| +|\n")
-#: Chunks longer than this take the heap. Bytes of text that are encoded at once.
-LONG, STRIDE = 48, 1 << 20
+#: Chunks longer than LONG take the heap; merges of those up to SHORT are remembered. Bytes of text that are encoded at once.
+LONG, SHORT, STRIDE = 48, 24, 1 << 20
+#: A symbol that nothing merges with, after the end of a chunk.
+PAD = 1 << 40
 NONE = np.int32(2**31 - 1)
 U = np.uint64
 
@@ -45,11 +50,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def candidate(start, mid, end):
+    """The number of the candidate that joins [start, mid) and [mid, end) of a chunk."""
+    start, mid, end = (np.atleast_1d(np.asarray(x, U)) for x in (start, mid, end))
+    return start * U(0x9E3779B97F4A7C15) ^ mid * U(0xC2B2AE3D27D4EB4F) ^ end * U(0x165667B19E3779F9)
+
+
 def drop_hash(key, start, mid, end):
-    """The hash that decides on the candidate that joins [start, mid) and [mid, end) of a chunk."""
-    start, mid, end, key = (np.atleast_1d(np.asarray(x, U)) for x in (start, mid, end, key))
-    at = start * U(0x9E3779B97F4A7C15) ^ mid * U(0xC2B2AE3D27D4EB4F) ^ end * U(0x165667B19E3779F9)
-    return _mix(_mix(key) + at)
+    """The hash that decides on a candidate."""
+    return _mix(_mix(np.atleast_1d(np.asarray(key, U))) + candidate(start, mid, end))
 
 
 class Model:
@@ -127,28 +136,36 @@ class Model:
                 offer(prv[i])
         return [s for s in sym if s >= 0]
 
-    def in_step(self, symbols: np.ndarray, keys: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Chunks of one length, a row each: yields (rows, symbols) as they end."""
+    def in_step(self, symbols: np.ndarray, keys: np.ndarray, limit: int, skips: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunks of one length, a row each: yields (rows, symbols, merged candidates) as they end. skips: the candidates of each row that are skipped, in place of a hash; only with it are the merged ones noted."""
         n, width = symbols.shape
+        done, path = 0, np.zeros((n, max(width - 1, 0) if skips is not None else 0), U)
         rows, sym, at = np.arange(n), symbols, np.tile(np.arange(width + 1), (n, 1))
 
-        def rank(left, right, k, a, b, c):
+        def rank(left, right, k, skip, a, b, c):
             m = self.merged(left, right)
             r = np.where(m >= 0, self.rank[m], NONE)
-            if limit:
+            if skip is not None:
+                if skip.shape[-1]:
+                    r[(candidate(a, b, c)[..., None] == skip).any(-1)] = NONE
+            elif limit:
                 r = np.where((m >= 0) & (drop_hash(k, a, b, c) < U(limit)), NONE, r)
             return r
 
-        ranks = rank(sym[:, :-1], sym[:, 1:], keys[:, None], at[:, :-2], at[:, 1:-1], at[:, 2:])
+        ranks = rank(sym[:, :-1], sym[:, 1:], keys[:, None], None if skips is None else skips[:, None], at[:, :-2], at[:, 1:-1], at[:, 2:])
         while True:
             best = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
             live = ranks[np.arange(len(rows)), best] != NONE if width > 1 else np.zeros(len(rows), bool)
             if not live.all():
-                yield rows[~live], sym[~live]
-                rows, sym, at, ranks, keys, best = (x[live] for x in (rows, sym, at, ranks, keys, best))
+                yield rows[~live], sym[~live], path[~live, :done]
+                rows, sym, at, ranks, keys, best, path = (x[live] for x in (rows, sym, at, ranks, keys, best, path))
+                skips = skips if skips is None else skips[live]
                 if not len(rows):
                     return
             k = np.arange(len(rows))
+            if skips is not None:
+                path[:, done] = candidate(at[k, best], at[k, best + 1], at[k, best + 2])
+                done += 1
             sym[k, best] = self.merged(sym[k, best], sym[k, best + 1])
             keep = np.ones(sym.shape, bool)
             keep[k, best + 1] = False
@@ -163,7 +180,7 @@ class Model:
             for side in (best - 1, best):  # the pairs left and right of the new symbol
                 ok = np.flatnonzero((side >= 0) & (side < width - 1))
                 s = side[ok]
-                ranks[ok, s] = rank(sym[ok, s], sym[ok, s + 1], keys[ok], at[ok, s], at[ok, s + 1], at[ok, s + 2])
+                ranks[ok, s] = rank(sym[ok, s], sym[ok, s + 1], keys[ok], None if skips is None else skips[ok], at[ok, s], at[ok, s + 1], at[ok, s + 2])
 
     def encode(self, chunks: list[str], keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after the other, and how many each has."""
@@ -180,13 +197,44 @@ class Model:
                     counts[k] = got.shape[1]
                     done.append((np.array([k]), got))
                 continue
-            for rows, got in self.in_step(symbols[starts[which][:, None] + np.arange(width)], keys[which], limit):
+            for rows, got, _ in self.in_step(symbols[starts[which][:, None] + np.arange(width)], keys[which], limit):
                 counts[which[rows]] = got.shape[1]
                 done.append((which[rows], got))
         first = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int64)
         for rows, got in done:
             flat[first[rows][:, None] + np.arange(got.shape[1])] = got
+        return self.spelt(flat, counts)
+
+    def walks(self, chunks: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For chunks of at most SHORT characters and the candidates that each skips (0: none): ids and how many each has, merged candidates and how many each has."""
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        starts = np.cumsum(lengths) - lengths
+        symbols = np.concatenate([self.symbol[points], [PAD]])
+        counts, steps, done = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
+        none = np.zeros(len(chunks), U)
+        for low, width in zip((0, 4, 8, 12, 16), (4, 8, 12, 16, SHORT), strict=True):
+            which = np.flatnonzero((lengths > low) & (lengths <= width))
+            if not which.size:
+                continue
+            place = np.arange(width)
+            padded = symbols[np.where(place < lengths[which][:, None], starts[which][:, None] + place, len(points))]
+            for rows, got, path in self.in_step(padded, none[which], 0, skips[which]):
+                of = which[rows]
+                counts[of], steps[of] = (got != PAD).sum(1), path.shape[1]
+                done.append((of, got, path))
+        flat, paths = np.empty(int(counts.sum()), np.int64), np.empty(int(steps.sum()), U)
+        first, begin = np.cumsum(counts) - counts, np.cumsum(steps) - steps
+        for of, got, path in done:
+            row, col = np.nonzero(got != PAD)
+            flat[first[of][row] + col] = got[row, col]
+            paths[begin[of][:, None] + np.arange(path.shape[1])] = path
+        return *self.spelt(flat, counts), paths, steps
+
+    def spelt(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols, and how many each chunk has, with those outside the vocabulary as bytes."""
+        first = np.cumsum(counts) - counts
         odd = np.flatnonzero(flat >= self.size)
         if odd.size:  # bytes
             spelt = [self.byte_id[list(chr(c - self.size).encode("utf-8", "surrogatepass"))] for c in flat[odd].tolist()]
@@ -213,21 +261,85 @@ def load(path: str) -> Model:
 
 
 class Segmenter:
-    """Encodes texts; remembers (chunk, variant). Emptied when it holds more than ``limit`` chunks."""
+    """Encodes texts; remembers what follows a chunk and its skips, as nodes. Emptied when it holds more than ``limit`` nodes."""
 
-    def __init__(self, model: Model, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, limit: int = 150_000):
-        self.model, self.seed, self.variants, self.limit = model, seed, variants if rate else 1, limit
+    def __init__(self, model: Model, rate: float = RATE, seed: int = SEED, limit: int = 500_000):
+        self.model, self.seed, self.limit = model, seed, limit
         self.below = min(int(rate * 2**64), 2**64 - 1)
         self.clear()
 
     def clear(self) -> None:
-        self.slot, self.names = Slots(), []
-        self.starts, self.counts = np.full(1024, -1, np.int64), np.zeros(1024, np.int64)
+        self.slot, self.names, self.nodes = Slots(), [], 0
+        #: By chunk: its first node. By node: chunk, node before, candidate skipped there, skips so far, ids, merged candidates.
+        self.root = np.full(1024, -1, np.int64)
+        self.chunk, self.before, self.depth, self.starts, self.counts, self.first, self.steps = (np.zeros(1024, np.int64) for _ in range(7))
+        self.skip = np.zeros(1024, U)
         self.flat, self.used = np.zeros(4096, np.int32), 0
+        #: Merged candidates of all nodes, and the node that follows if one is skipped.
+        self.paths, self.child, self.walked = np.zeros(4096, U), np.full(4096, -1, np.int64), 0
+
+    def room(self, fields: tuple, size: int) -> None:
+        for f in fields:
+            old = getattr(self, f)
+            if len(old) < size:
+                new = np.full(max(size, 2 * len(old)), -1 if f in ("root", "child") else 0, old.dtype)
+                new[: len(old)] = old
+                setattr(self, f, new)
+
+    def add(self, chunk: np.ndarray, before: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """New nodes: a chunk after one more skip than the node before (-1: none)."""
+        n = len(chunk)
+        new = np.arange(self.nodes, self.nodes + n)
+        self.nodes += n
+        self.room(("chunk", "before", "skip", "depth", "starts", "counts", "first", "steps"), self.nodes)
+        self.chunk[new], self.before[new], self.skip[new] = chunk, before, skip
+        self.depth[new] = depth = np.where(before >= 0, self.depth[before] + 1, 0)
+        skips, at = np.zeros((n, int(depth.max(initial=0))), U), new
+        for k in range(skips.shape[1]):
+            skips[:, k] = np.where(self.depth[at] > 0, self.skip[at], U(0))
+            at = np.where(self.depth[at] > 0, self.before[at], at)
+        flat, counts, paths, steps = self.model.walks([self.names[k] for k in chunk.tolist()], skips)
+        self.room(("flat",), self.used + len(flat))
+        self.room(("paths", "child"), self.walked + len(paths))
+        self.starts[new], self.counts[new] = self.used + np.cumsum(counts) - counts, counts
+        self.first[new], self.steps[new] = self.walked + np.cumsum(steps) - steps, steps
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.paths[self.walked : self.walked + len(paths)] = paths
+        self.child[self.walked : self.walked + len(paths)] = -1
+        self.used, self.walked = self.used + len(flat), self.walked + len(paths)
+        return new
+
+    def leaves(self, slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The node at which each occurrence ends."""
+        self.room(("root",), len(self.names))
+        if (miss := np.unique(slots[self.root[slots] < 0])).size:
+            self.root[miss] = self.add(miss, np.full(len(miss), -1), np.zeros(len(miss), U))
+        node = self.root[slots]
+        if not self.below:
+            return node
+        keys, rows, done = _mix(keys), np.arange(len(node)), np.zeros(len(node), np.int64)
+        while len(rows):
+            # the merges before the last skip are the same and have passed
+            begin = self.first[node[rows]] + done[rows]
+            n = self.steps[node[rows]] - done[rows]
+            ends = np.cumsum(n)
+            at = np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))
+            hit = np.flatnonzero(_mix(np.repeat(keys[rows], n) + self.paths[at]) < U(self.below))
+            of = np.searchsorted(ends, hit, "right")
+            one = np.flatnonzero(np.diff(of, prepend=-1))
+            hit, rows = at[hit[one]], rows[of[one]]
+            done[rows] = hit - self.first[node[rows]]
+            if (miss := np.flatnonzero(self.child[hit] < 0)).size:
+                place, which = np.unique(hit[miss], return_index=True)
+                before = node[rows[miss[which]]]
+                new = self.add(self.chunk[before], before, self.paths[place])
+                self.child[place] = new
+            node[rows] = self.child[hit]
+        return node
 
     def ids(self, texts: list[str], doc_keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        if len(self.names) > self.limit:
+        if self.nodes > self.limit:
             self.clear()
         cut, n_chunks = [], []
         for t in texts:
@@ -235,28 +347,22 @@ class Segmenter:
             cut += found
             n_chunks.append(len(found))
         n_chunks = np.array(n_chunks, np.int64)
-        at = self.slot.of(cut) * self.variants
+        place = np.arange(len(cut)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
+        keys = np.repeat(np.array(doc_keys, U), n_chunks) + place.astype(U) * U(0x9E3779B97F4A7C15) + U(self.seed)
+        lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+        short, long = np.flatnonzero(lengths <= SHORT), np.flatnonzero(lengths > SHORT)
+        slots = self.slot.of(cut if not long.size else [cut[k] for k in short.tolist()])
         self.names += self.slot.fetch_new()
-        names = self.names
-        if self.variants > 1:
-            place = np.arange(len(cut)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
-            key = np.repeat(np.array(doc_keys, U), n_chunks) + place.astype(U) * U(0x9E3779B97F4A7C15) + U(self.seed)
-            at += (_mix(key) % U(self.variants)).astype(np.int64)
-        while len(names) * self.variants > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.full_like(self.starts, -1)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        if (miss := np.unique(at[self.starts[at] < 0])).size:
-            chunks = [names[k] for k in (miss // self.variants).tolist()]
-            keys = np.array([xxhash.xxh3_64_intdigest(c, self.seed) for c in chunks], U) + (miss % self.variants).astype(U)
-            flat, counts = self.model.encode(chunks, keys, self.below)
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.starts[miss], self.counts[miss] = self.used + np.cumsum(counts) - counts, counts
+        starts, n = np.empty(len(cut), np.int64), np.empty(len(cut), np.int64)
+        node = self.leaves(slots, keys[short])
+        starts[short], n[short] = self.starts[node], self.counts[node]
+        if long.size:  # every occurrence by itself; its ids are not kept
+            flat, n[long] = self.model.encode([cut[k] for k in long.tolist()], keys[long], self.below)
+            self.room(("flat",), self.used + len(flat))
             self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-        n = self.counts[at]
+            starts[long] = self.used + np.cumsum(n[long]) - n[long]
         ends = np.cumsum(n)
-        out = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        out = self.flat[np.repeat(starts - (ends - n), n) + np.arange(int(n.sum()))]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_chunks)])]
         return out, np.diff(upto)
 

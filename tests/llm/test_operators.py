@@ -315,6 +315,33 @@ def test_dropout_is_seeded_varied_and_lossless(spark, docs, empty):
     assert merge_dropout.encode(empty, MODEL).count() == 0
 
 
+def test_every_occurrence_draws_by_itself():
+    """Each chunk equals the plain agenda under the key of its document and place, and a lone merge is skipped at the rate."""
+    model = merge_dropout.load(MODEL)
+    texts = ["internationalisation " * 400, " ".join("a" * 20_000), "日本🎉é the quick " * 20 + "x" * 30 + " " + "y" * 60]
+    keys = [11, 12, 13]
+    segmenter = merge_dropout.Segmenter(model)
+    ids, n = segmenter.ids(texts, keys)
+    parts = np.split(ids, np.cumsum(n)[:-1])
+    for t, k, part in zip(texts, keys, parts, strict=True):
+        plain = []
+        for place, chunk in enumerate(merge_dropout.CUT.findall(" " + t)):
+            key = (k + place * 0x9E3779B97F4A7C15 + merge_dropout.SEED) % 2**64
+            for i in model.heap(model.symbol[[ord(x) for x in chunk]].tolist(), key, segmenter.below):
+                plain += [i] if i < model.size else model.byte_id[list(chr(i - model.size).encode())].tolist()
+        assert part.tolist() == plain
+    words = model.decode(parts[0].tolist()).split()
+    assert len(words) == 400
+    segmentations, now = set(), []
+    for i in parts[0].tolist():
+        if model.bytes_of[i].startswith(b" "):
+            segmentations.add(tuple(now))
+            now = []
+        now.append(i)
+    assert len(segmentations) > 20
+    assert 0.08 < (len(parts[1]) - 20_000) / 20_000 < 0.12
+
+
 def test_heap_and_step_agree():
     model = merge_dropout.load(MODEL)
     chunks = [f" {a}{b}" for a in ("internation", "wörter", "the", "xq🎉") for b in ("al", "s.", "", "tion,")]
