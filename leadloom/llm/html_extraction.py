@@ -3,9 +3,11 @@
 A page is cut into blocks of text, each with its root-to-leaf path of block elements (tag, class and id). Over the page,
 each path has a text ratio, its characters a block, and a punctuation ratio, its marks a block. Both series are smoothed
 along the blocks in page order, fused by their product, and paths whose blocks reach a share of the page's mean are
-content paths. The deepest element that holds nearly all of the fused weight of content paths is the article: what lies
-in it is content too, so short headings and paragraphs stay. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are told by tag, role, class and id, and never count.
+content paths. All their blocks are returned. The deepest element that holds nearly all of the fused weight of content paths
+is the article: what lies in it is content too, so short blocks stay; if no article or main element marks it, so are the
+headings, paragraphs, list items, quotations and preformatted texts of the rest of the page. Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are told by tag, role, class and id, and never count:
+a class, id or role counts as a whole, on elements that group others, and not by one word of a longer name.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined by a line break. Nothing
 else is dropped or capped.
@@ -17,6 +19,7 @@ result; columns other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import defaultdict
@@ -34,9 +37,10 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-RAW = frozenset("script style textarea title noscript template iframe object svg math noembed xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe object svg annotation annotation-xml noembed xmp".split())
 BOILERPLATE = frozenset("head nav footer aside form button select option fieldset menu dialog map audio video canvas".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 LISTED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -47,6 +51,11 @@ NAMES = frozenset(
     "dialog footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply "
     "replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+# fixed values: words that say nothing beside a name, and the elements that are told by names
+NEUTRAL = frozenset("area articles bar block bottom box buttons container form global icons inner items left links list outer panel posts right section site top wrap wrapper".split())
+CONTAINERS = frozenset("center dd details div dl figure header li ol section summary table tbody td tfoot thead tr ul".split())
+# fixed values: elements of running text
+TEXTUAL = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？]")
 WORD = re.compile(r"[a-z]+")
 #: A path is content if its fused ratio reaches this share of the mean; an element is the article if it holds this share of the weight.
@@ -70,12 +79,18 @@ def _named(tag: str, attributes: str, parent: Element) -> tuple[str, bool]:
     if not attributes.strip():
         return tag, off
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    words = {w for k in ("class", "id", "role") for w in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(k, "")).lower())}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    off = off or hidden or (tag not in ("html", "body", "article", "main", "p") and bool(words & NAMES))
+    off = off or hidden or (tag in CONTAINERS and any(_other(w, parent.in_article) for k in ("class", "id", "role") for w in found.get(k, "").split()))
     return ".".join([tag, *sorted(found.get("class", "").split()), *([f"#{found['id']}"] if "id" in found else [])]), off
 
 
+@functools.lru_cache(maxsize=10_000)
+def _other(token: str, in_article: bool) -> bool:
+    """Whether all words of a class, id or role name other than the article; an article may have a header."""
+    words = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+    return bool(words & NAMES) and words <= NAMES | NEUTRAL and not (in_article and "header" in words)
+
+
 def blocks_of(page: str) -> list[tuple[Element, str, int]]:
     """(element, text, characters inside links) of each block in page order."""
     at, out, text, links, in_link = 0, [], [], 0, 0
@@ -179,17 +194,20 @@ def main_text(page: str | None) -> str:
     named = article
     while named.parent and named.tag not in ("article", "main"):
         named = named.parent
-    if named.parent:
+    marked = named.parent is not None
+    if marked:
         article = named
 
     def inside(e: Element | None) -> bool:
+        if not marked and e.tag in TEXTUAL:
+            return True
         while e:
             if e is article:
                 return True
             e = e.parent
         return False
 
-    return "\n".join(b[1] for b, on in zip(blocks, content, strict=True) if inside(b[0]) and (on or not _mostly_links(b)))
+    return "\n".join(b[1] for b, on in zip(blocks, content, strict=True) if on or (not _mostly_links(b) and inside(b[0])))
 
 
 def _mostly_links(block: tuple[Element, str, int]) -> bool:

@@ -77,6 +77,23 @@ def test_main_text(page, text):
     assert html_extraction.main_text(page) == text
 
 
+LONG = "A long paragraph, with many words; and signs. " * 30
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=intro><h1>Head</h1><p>Lead</p></div><div class=body><p>{LONG}</p><p>{LONG}</p></div>", ["Head", "Lead", LONG, LONG]),
+        (f"<div class=s1><h2>One</h2><p>Short.</p></div><div class=s2><p>{LONG * 9}</p></div>", ["One", "Short.", LONG * 9]),
+        (f"<article><div class=post-header><h1>Head</h1></div><h2 id=search-methods>Methods</h2><section id=social-impact><p>{LONG}</p></section><blockquote class=reply>Quoted</blockquote></article>", ["Head", "Methods", LONG, "Quoted"]),
+        (f"<main><p>{LONG}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></main>", [LONG, "Let x=1 be."]),
+        (f"<div id=site-header>Site</div><div class='share-buttons'><p>Share</p></div><div><p>{LONG}</p></div><div class=related-posts><p>More</p></div>", [LONG]),
+    ],
+)
+def test_main_text_is_whole(page, text):
+    assert html_extraction.main_text(page) == "\n".join(t.strip() for t in text)
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_extraction.extract(pages).collect()
