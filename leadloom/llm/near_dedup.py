@@ -271,7 +271,8 @@ def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     goes. Returns the members that stay, each with common (with the pivot) and extra (shingles that it shares with some
     set, but not with the pivot); the links (a, b); the pairs (a, b) that were compared; the extra shingles (cid, pivot, s).
     A link of a member needs at least three quarters of its set, of which ``common`` can be in the pivot. Of the others that
-    many less one may be left out at the end of the list, if both ends list them in one order: the rest meets still.
+    many less one may be left out at the end of the list, if both ends list them in one order: the rest meets still. Members
+    too large or small to be linked to the pivot are counted like the others, as their links to each other are found by it.
     """
     open_sets = sets.join(left.select("cid").distinct(), "cid")
     shared = materialise(_shared(open_sets), "shared")
@@ -280,7 +281,7 @@ def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     left = left.join(best.select("band", F.col("best.cid").alias("pivot")), "band")
     left = materialise(left.select("cid", "n", "pos", "band", "k", "pivot"), "viable")
     sizes = left.select(F.col("cid").alias("pivot"), F.col("n").alias("np")).distinct()
-    pairs = left.where("cid <> pivot").select("cid", "n", "pivot").distinct().join(sizes, "pivot").where(_fits("n", "np"))
+    pairs = left.where("cid <> pivot").select("cid", "n", "pivot").distinct().join(sizes, "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,17 +327,16 @@ def _remaining(left: DataFrame, comp: DataFrame, outside: DataFrame) -> DataFram
     def allowed(most):
         return _fits("n_x", "n_y") & ((100 + PERCENT) * most >= PERCENT * (F.col("n_x") + F.col("n_y")))
 
-    inside = left.where(F.isnull("common") | (100 * F.col("common") >= PERCENT * F.col("n")))
+    inside = left.where(100 * F.col("common") >= PERCENT * F.col("n"))
     largest = inside.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("largest"))
     inside = inside.join(largest, "band")
     x = side(inside.where("comp <> largest"), "x", "pos", "band", F.col("bands").alias("bands_x"))
     y = side(inside, "y", "pos", "band", "largest", F.col("bands").alias("bands_y"))
-    unknown = F.isnull("common_x") | F.isnull("common_y")
     before = F.zip_with(F.slice("bands_x", F.lit(1), F.col("pos")), F.slice("bands_y", F.lit(1), F.col("pos")), lambda p, q: p == q)
     in_pivot = (
         x.join(y, ["pos", "band"])
         .where("comp_x <> comp_y and (comp_y = largest or cid_x < cid_y)")
-        .where(allowed(F.when(unknown, F.least("k_x", "k_y")).otherwise(F.least("common_x", "common_y"))))
+        .where(allowed(F.least("common_x", "common_y")))
         .where(~F.exists(before, lambda same: same))
     )
     ends = left.select(*held, "pivot").distinct().join(outside, ["cid", "pivot"])

@@ -297,6 +297,20 @@ def test_near_duplicates_of_a_drifting_group(spark):
     assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == Counter(plain_components(rows))
 
 
+def test_pairs_too_large_for_the_pivot_are_found(spark):
+    """A bucket of one passage: x is too large for the pivot, y is not inside it, and both are alike outside it."""
+    rng = np.random.default_rng(5)
+    passage, both, own = np.split(rng.integers(1, 2**62, 4000), [80, 93])
+    sets = {i: [*passage, *own[2 * i : 2 * i + 2]] for i in range(10)}
+    sets[20], sets[21] = [*passage, *both, *own[100:117]], [*passage, *both, *own[200:214]]
+    made = spark.createDataFrame([(i, bytearray(np.sort(np.array(s, np.int64)).tobytes())) for i, s in sets.items()], "cid long, shingles binary")
+    left = spark.createDataFrame([(i, len(s), 0, 7) for i, s in sets.items()], "cid long, n long, pos int, band long")
+    comp = spark.createDataFrame([(i, 0) for i in range(10)], "cid long, comp long")
+    left, _, seen, outside = near_dedup._against_central(left, made)
+    rest = near_dedup._remaining(left.withColumn("bands", F.array(F.lit(7))), comp, outside)
+    assert (20, 21) in {(r.a, r.b) for r in rest.collect()}
+
+
 def test_min_max_signatures_estimate_similarity():
     a, b = (np.sort(near_dedup.mix(np.arange(lo, lo + 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) for lo in (0, 250))
     x, y = near_dedup.band_keys([a, b], permutations=512, rows=1)
