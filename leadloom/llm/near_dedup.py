@@ -6,9 +6,11 @@ of 128 values. They are banded four by four: at a similarity of 0.75, a pair mis
 5e-6. Then:
 
 1. Documents with equal sets become one class (combined on the map side, so a group of copies is one row a task).
-2. In each band bucket, every class is compared with two pivots only, the least and the greatest class id.
-3. Confirmed links give components. In buckets that hold several components still, members that share less than three
-   quarters of their set with any other drop out, and the others are compared with the most typical member.
+2. In each band bucket, every class is compared with two pivots only, the least and the greatest class id. Class ids follow
+   a hash of the set, in one order for all bands, so the buckets of a group mostly have the same pivots.
+3. Confirmed links are contracted to a forest, about one edge a member, before they give components. In buckets that hold
+   several components still, members that share less than three quarters of their set with any other drop out, and the
+   others are compared with the most typical member of their bucket.
 4. Pairs in different components then either share shingles inside that member only, and the lesser intersection with it
    bounds theirs, or share one outside it, and an inverted index over the rarest of those finds them. Only pairs that sizes
    and these bounds allow are compared, so that no link between components is lost and groups of near copies, or documents
@@ -153,7 +155,7 @@ def _fits(a: str, b: str):
 
 
 def common_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common: the size of the intersection, from the full sets."""
+    """a, b, na, nb, common: the sizes of the sets and of their intersection, from the full sets."""
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
 
@@ -164,25 +166,69 @@ def common_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 len(np.intersect1d(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), assume_unique=True))
                 for x, y in zip(left, right, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64())], names=["a", "b", "common"])
+            kept = [batch.column(c) for c in ("a", "b", "na", "nb")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(run, "a long, b long, common long")
+    joined = pairs.select("a", "b", "na", "nb").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(run, "a long, b long, na long, nb long, common long")
+
+
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (v, w) that connect what the edges (a, b) do: each end but the least of its component, with that least."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            rest = label != np.arange(len(nodes))
+            return nodes[rest], nodes[label[rest]]
+        label = new
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """v, w (w < v): edges that connect the same, contracted batch by batch where the edges of a member lie together.
+
+    A member is left with one edge, and the pivots it was linked to with edges among themselves, of which there are few.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v, w = star_forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w)], names=["v", "w"])
+
+    ends = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w"))
+    return ends.repartition("v").sortWithinPartitions("v").mapInArrow(run, "v long, w long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v, comp (the least v of its component) for all ends of the edges (a, b). Labels fall along edges and jump to labels of labels."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("v", "w"), "edges")
+    """v, comp (the least v of its component) for all ends of the edges (a, b).
+
+    Ends of one edge only are leaves of the forest and take the label of the other end; among the rest, labels fall along
+    edges and jump to labels of labels.
+    """
+    tree = materialise(forest(edges), "forest")
+    inner = materialise(tree.select(F.explode(F.array("v", "w")).alias("v")).groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "inner")
+    leaves = materialise(tree.join(inner, "v", "left_anti"), "leaves")
+    core = tree.join(inner, "v", "left_semi")
+    both = materialise(core.union(core.select("w", "v")).toDF("v", "w"), "edges")
     labels = materialise(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels.toDF("w", "x"), "w").groupBy("v").agg(F.min("x").alias("x"))
+    moved = not labels.isEmpty()
+    while moved:
+        near = materialise(both.join(labels.toDF("w", "x"), "w").groupBy("v").agg(F.min("x").alias("x")), "near")
         low = labels.join(near, "v").select("v", "comp", F.least("comp", "x").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("comp").alias("further"))
         new = materialise(low.join(jump, "low").select("v", "comp", F.least("low", "further").alias("new")), "labels")
         moved = not new.where("new < comp").isEmpty()
         labels = new.select("v", F.col("new").alias("comp"))
-        if not moved:
-            return labels
+    tops = leaves.select(F.col("w").alias("v")).distinct().join(labels, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
+    hung = leaves.join(materialise(tops, "tops").toDF("w", "comp"), "w").select("v", "comp")
+    return materialise(labels.union(hung).union(tops.join(labels, "v", "left_anti")), "components")
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
@@ -198,7 +244,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialise(signatures(docs), "signed")
     classes = materialise(classes_of(signed).withColumn("cid", F.monotonically_increasing_id()), "classes")
     exploded = classes.select("cid", "n", F.posexplode("bands").alias("pos", "band"))
-    buckets = exploded.groupBy("band").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    # written before the join, so that the join can split a bucket that holds a large part of all rows
+    buckets = materialise(exploded.groupBy("band").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high"), "buckets")
     members = materialise(exploded.join(buckets, "band"), "members")
 
     # each member against the two pivots of its bucket
@@ -206,21 +253,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = members.select("cid", "n", F.explode(F.array("low", "high")).alias("p")).where("cid <> p")
     pairs = pivots.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
     pairs = materialise(_with_sizes(pairs, classes.select("cid", "n")).where(_fits("na", "nb")), "pairs")
-    checked = materialise(common_counts(pairs, sets).join(pairs, ["a", "b"]), "checked")
-    links = checked.where(_linked()).select("a", "b")
-    comp = components(links)
+    checked = materialise(common_counts(pairs, sets), "checked")
+    comp = components(checked.where(_linked()).select("a", "b"))
 
     # members of buckets that hold several components still
     known = checked.select("a", "b")
     left = _open(members.select("cid", "n", "pos", "band"), comp)
     if not left.isEmpty():
         left, more, seen, outside = _against_central(left, sets)
-        known, links = known.union(seen), links.union(more)
-        comp = components(links)
+        known, comp = known.union(seen), components(comp.toDF("a", "b").union(more))
         rest = materialise(_remaining(left.join(classes.select("cid", "bands"), "cid"), comp, outside).join(known, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            found = common_counts(rest, sets).join(rest, ["a", "b"]).where(_linked()).select("a", "b")
-            comp = components(links.union(materialise(found, "found")))
+            found = common_counts(rest, sets).where(_linked()).select("a", "b")
+            comp = components(comp.toDF("a", "b").union(found))
 
     # the least doc_id of each component, for classes that hold more than one document or are linked
     of_class = classes.join(comp.toDF("cid", "comp"), "cid", "left").where("copies > 1 or comp is not null")
@@ -245,7 +290,7 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component."""
     labelled = members.join(comp.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     labelled = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    mixed = materialise(labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), "mixed")
     return materialise(labelled.join(mixed, "band", "left_semi"), "open")
 
 
@@ -277,7 +322,8 @@ def _against_central(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     open_sets = sets.join(left.select("cid").distinct(), "cid")
     shared = materialise(_shared(open_sets), "shared")
     left = left.join(shared.select("cid", "k", "weight"), "cid").where(100 * F.col("k") >= PERCENT * F.col("n"))
-    best = left.groupBy("band").agg(F.max(F.struct((F.col("weight") / F.col("n")).alias("w"), "cid")).alias("best"))
+    left = materialise(left, "shared-enough")
+    best = materialise(left.groupBy("band").agg(F.max(F.struct((F.col("weight") / F.col("n")).alias("w"), "cid")).alias("best")), "best")
     left = left.join(best.select("band", F.col("best.cid").alias("pivot")), "band")
     left = materialise(left.select("cid", "n", "pos", "band", "k", "pivot"), "viable")
     sizes = left.select(F.col("cid").alias("pivot"), F.col("n").alias("np")).distinct()
@@ -329,7 +375,7 @@ def _remaining(left: DataFrame, comp: DataFrame, outside: DataFrame) -> DataFram
 
     inside = left.where(100 * F.col("common") >= PERCENT * F.col("n"))
     largest = inside.groupBy("band", "comp").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("largest"))
-    inside = inside.join(largest, "band")
+    inside = materialise(inside.join(materialise(largest, "largest"), "band"), "inside")
     x = side(inside.where("comp <> largest"), "x", "pos", "band", F.col("bands").alias("bands_x"))
     y = side(inside, "y", "pos", "band", "largest", F.col("bands").alias("bands_y"))
     before = F.zip_with(F.slice("bands_x", F.lit(1), F.col("pos")), F.slice("bands_y", F.lit(1), F.col("pos")), lambda p, q: p == q)

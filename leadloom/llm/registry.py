@@ -49,6 +49,24 @@ def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as shingle
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)
+),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+e as (select x, y from l union all select y, x from l),
+reach as (select x, y from e union select reach.x, e.y from reach join e on reach.y = e.x),
+c as (select x as doc_id, min(y) as least_id from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(c.least_id, d.doc_id)) as component_id,
+  d.doc_id <= coalesce(c.least_id, d.doc_id) as kept
+from d left join n on n.doc_id = d.doc_id left join c on c.doc_id = d.doc_id
+"""
+
+
 def op1_sharding(spark, sf_dir):
     return sharding.digest(common.table(spark, sf_dir, "documents"))
 
@@ -83,4 +101,4 @@ _ALL = (
     op7_chat_quotes, op8_near_dedup, op9_sentencepiece, op10_token_store,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_near_dedup": OP8_SQL}

@@ -297,6 +297,41 @@ def test_near_duplicates_of_a_drifting_group(spark):
     assert Counter(map(tuple, near_dedup.near_duplicates(df).collect())) == Counter(plain_components(rows))
 
 
+def test_edges_stay_in_proportion_to_a_group(spark):
+    """Near copies of one text, groups of 200 and 800: two edges a member at most, however large the group."""
+    rng = np.random.default_rng(11)
+    for size in (200, 800):
+        base = [f"b{i}" for i in range(150)]
+        rows = []
+        for i in range(size):
+            edited = list(base)
+            for k in rng.choice(150, 4, replace=False):
+                edited[k] = f"r{i}_{k}"
+            rows.append((i, " ".join(edited)))
+        df = spark.createDataFrame([(i, t, "k", 1, "en") for i, t in rows], SCHEMA)
+        made = []
+
+        def forest(edges, plain=near_dedup.forest, made=made):
+            made.append(plain(edges))
+            return made[-1]
+
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_dedup, "forest", forest)
+            near_dedup.near_duplicates(df).count()
+        assert all(x.count() <= 2 * size for x in made) and made
+
+
+def test_star_forest_connects_what_the_edges_do():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 60, 50), rng.integers(0, 60, 50)
+    v, w = near_dedup.star_forest(a, b)
+    group = {int(x): int(x) for x in np.concatenate([a, b])}
+    for _ in range(60):
+        for x, y in zip(a, b, strict=True):
+            group[x] = group[y] = min(group[x], group[y])
+    assert {x: group[x] for x in group if group[x] != x} == dict(zip(v.tolist(), w.tolist(), strict=True))
+
+
 def test_pairs_too_large_for_the_pivot_are_found(spark):
     """A bucket of one passage: x is too large for the pivot, y is not inside it, and both are alike outside it."""
     rng = np.random.default_rng(5)
