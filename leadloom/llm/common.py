@@ -41,6 +41,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like these that df does not have: underscores are put before the ones that clash."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. Texts without other letters take the cheap built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

@@ -1,15 +1,19 @@
 """Exact dedup by an extendible-hash index on shared files. DataFrame operations only.
 
-Keys are 64-bit hashes of the text with A-Z lower-cased (null counts as empty). A directory maps hash prefixes to
-buckets: it starts at a depth that fits the number of keys and doubles, one bit at a time, for the buckets that hold
-more than ``capacity`` keys, until none does. Each bucket is a hash range and owner tasks hold runs of ranges: they
-write one index file each, with the entries of a key chained. Texts that share a key are told apart by their bytes: the
-reducers group by key and text, after map-side combination, so that a group of copies of any size sends one row a task.
+Keys are 64-bit hashes of the text with A-Z lower-cased (null counts as empty).
+
+1. Keys are counted, without texts. A directory maps hash prefixes to buckets: it starts at a depth that fits the number of
+   keys and doubles, one bit at a time, for the buckets that hold more than ``capacity`` keys, until none does.
+2. Rows are scattered to owner tasks by key range. The owner chains the rows of a key: those whose texts are the same bytes
+   are one entry, and entries that only share the key stand behind each other in its chain. Keys that hold more than one
+   part in ``HOT`` of all rows (so at most HOT keys, which bounds what is broadcast) are combined before they travel, so that
+   no owner gets a large group, whatever its size.
+3. Owners write the entries to index files in bucket order. Rows are then looked up in the index by key and digest.
 
 Defined cases: null text equals empty text; a null doc_id never stays while the group has another; all rows of an
 all-null group stay; repeated rows (same doc_id and text) share one decision in ``exact_dedup`` and ``drop_copies``
 keeps one of them; an empty table gives an empty result; columns besides doc_id and text are ignored, and ``drop_copies``
-passes them through.
+passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,32 +21,31 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import ascii_lower, materialise, new_path
+from leadloom.llm.common import ascii_lower, fresh, materialise, new_path
 
-KEY_BITS = 64
+KEY_BITS, HOT, CAPACITY = 64, 4096, 4096
 
 
-def _prefix(depth: int):
+def _prefix(depth: int) -> Column:
     """The first ``depth`` bits of the key. A shift by 64 would be one by 0."""
     return F.shiftrightunsigned("key", KEY_BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def normalised(docs: DataFrame) -> DataFrame:
-    """doc_id, text as compared, key."""
-    norm = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
-    return norm.withColumn("key", F.xxhash64("norm"))
+def text_key(norm: Column, key_bits: int = KEY_BITS) -> Column:
+    """The first ``key_bits`` bits of the hash of the text; fewer than 64 make texts collide, for tests."""
+    return F.xxhash64(norm).bitwiseAND(F.lit(-1 << (KEY_BITS - key_bits)))
 
 
-def chain_entries(docs: DataFrame) -> DataFrame:
-    """One entry for each different text: key, sha256, keep_id, group_size. Equal means equal bytes."""
-    groups = normalised(docs).groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return groups.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+def normalised(docs: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
+    """doc_id, text as compared, key."""
+    norm = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
+    return norm.withColumn("key", text_key(F.col("norm"), key_bits))
 
 
-def directory(keys: DataFrame, capacity: int) -> DataFrame:
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Leaves (depth, prefix, n_keys) of the directory over distinct keys; one round for each doubling."""
     total = keys.count()
     depth, open_keys, leaves = max(0, math.ceil(math.log2(max(1, total) / capacity))), keys, []
@@ -57,54 +60,79 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
         depth += 1
 
 
-def build_index(docs: DataFrame, capacity: int = 4096) -> DataFrame:
-    """The index, written to shared files in key order and read back: bucket_depth, bucket, key, chain, text_sha256, keep_id, group_size."""
-    entries = materialise(chain_entries(docs), "entries")
-    leaves = directory(entries.select("key").distinct(), capacity)
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most 65 values
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths])) if depths else None
-    if at is None:
-        at = F.explode(F.array(F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))))
+def chain_entries(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """One entry for each different text, made by the owner of its key: key, chain (0, 1, ...), text_sha256, keep_id, group_size."""
+    total = keys.agg(F.sum("n_rows")).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col("n_rows") * HOT > total).select("key"))  # at most HOT keys
+    frequent = rows.join(hot, "key", "left_semi").groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    others = rows.join(hot, "key", "left_anti").select("key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    owned = frequent.unionByName(others).repartitionByRange("key")
+    # both steps keep to the ranges: no row leaves its owner
+    texts = owned.groupBy("key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    sha = F.sha2("norm", 256)
+    texts = texts.select("key", sha.alias("text_sha256"), "keep_id", "group_size")
+    order = Window.partitionBy("key").orderBy("text_sha256")
+    return texts.select("key", (F.row_number().over(order) - 1).alias("chain"), "text_sha256", "keep_id", "group_size")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
+    """The index, written to shared files in bucket order and read back: bucket_depth, bucket, key, chain, text_sha256, keep_id, group_size."""
+    rows = normalised(docs, key_bits)
+    keys = materialise(rows.groupBy("key").agg(F.count("*").alias("n_rows")), "keys")
+    leaves = directory(keys.select("key"), capacity)
+    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect()) or [0]  # at most 65 values
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths]))
     placed = (
-        entries.select("*", at.alias("at"))
+        materialise(chain_entries(rows, keys), "entries")
+        .select("*", at.alias("at"))
         .select("*", "at.depth", "at.prefix")
         .join(leaves.select("depth", "prefix"), ["depth", "prefix"])
         .select(
             F.col("depth").alias("bucket_depth"),
             F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(prefix, 64 - depth)")).alias("bucket"),
-            "key", "text_sha256", "keep_id", "group_size",
+            "key", "chain", "text_sha256", "keep_id", "group_size",
         )
     )
-    owned = placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "text_sha256")
+    owned = placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "chain")
     path = new_path(docs.sparkSession, "index")
     owned.write.parquet(path)
     return docs.sparkSession.read.schema(owned.schema).parquet(path)
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+def _looked_up(docs: DataFrame, capacity: int, key_bits: int) -> DataFrame:
+    """doc_id, key, text_sha256 of each row, with g_id and group_size if the index has several rows for its text."""
+    groups = build_index(docs, capacity, key_bits).where("group_size > 1").select("key", "text_sha256", F.col("keep_id").alias("g_id"), "group_size")
+    rows = normalised(docs, key_bits).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
+    return rows.join(groups, ["key", "text_sha256"], "left")
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs."""
-    groups = build_index(docs, capacity).where("group_size > 1").select("key", "text_sha256", F.col("keep_id").alias("g_id"), "group_size")
-    rows = normalised(docs).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
-    found = rows.join(groups, ["key", "text_sha256"], "left")
-    single = F.col("group_size").isNull()
-    keep = F.when(single, F.col("doc_id")).otherwise(F.col("g_id"))
+    found = _looked_up(docs, capacity, key_bits)
+    keep = F.when(F.isnull("group_size"), F.col("doc_id")).otherwise(F.col("g_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
     )
 
 
-def drop_copies(docs: DataFrame, capacity: int = 4096) -> DataFrame:
-    """docs without the rows that are dropped; columns and their order stay. Of repeated rows one stays."""
-    groups = build_index(docs, capacity).where("group_size > 1").select(
-        F.col("key").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__multi")
-    )
-    norm = ascii_lower(F.coalesce("text", F.lit("")))
-    cols = docs.columns
-    kept = (
-        docs.withColumns({"__key": F.xxhash64(norm), "__sha": F.sha2(norm, 256)})
-        .join(groups, ["__key", "__sha"], "left")
-        .where(F.col("__multi").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
+def drop_copies(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
+    """docs without the rows that are dropped; columns and their order stay. Of repeated rows one stays.
+
+    What is joined to the documents is narrow: id and digest of the rows that go, and of kept rows that are repeated.
+    """
+    gone_id, gone_sha, again_flag = fresh(docs, "gone_id", "gone_sha", "again")
+    copies = _looked_up(docs, capacity, key_bits).where("group_size is not null").groupBy("doc_id", "text_sha256").agg(
+        F.count("*").alias("n"), F.first("g_id").alias("g_id")
     )
-    once = kept.where("__multi").dropDuplicates(["__key", "__sha"])
-    return kept.where(F.col("__multi").isNull()).select(*cols).unionByName(once.select(*cols))
+    stays = F.col("doc_id").eqNullSafe(F.col("g_id"))
+    marks = copies.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha), stays.alias(again_flag))
+    marks = materialise(marks, "marks")
+    digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    same = (digest == F.col(gone_sha)) & docs["doc_id"].eqNullSafe(F.col(gone_id))
+    kept = docs.join(marks.where(~F.col(again_flag)), same, "left_anti")
+    again = marks.where(again_flag)
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same, "left_semi").withColumn(gone_sha, digest).dropDuplicates(["doc_id", gone_sha])
+    return kept.join(again, same, "left_anti").unionByName(once.select(*docs.columns))
