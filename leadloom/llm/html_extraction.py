@@ -1,20 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its root-to-leaf path of block elements (tag, class and id). Over the page,
-each path has a text ratio, its characters a block, and a punctuation ratio, its marks a block. Both series are smoothed
-along the blocks in page order, fused by their product, and paths whose blocks reach a share of the page's mean are
-content paths. All their blocks are returned. The deepest element that holds nearly all of the fused weight of content paths
-is the article: what lies in it is content too, so short blocks stay; if no article or main element marks it, so are the
-headings, paragraphs, list items, quotations and preformatted texts of the rest of the page. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are told by tag, role, class and id, and never count:
-a class, id or role counts as a whole, on elements that group others, and not by one word of a longer name.
+A page is cut into blocks of text, each with its root-to-leaf path of block elements (tag and classes). Over the page, each
+path has a text ratio, its characters a block, and a punctuation ratio, its marks a block. Both series are smoothed along
+the blocks in page order and fused by their product. The fused ratio is weighted by what else a page says about a
+block: the share of its text outside links, and a small factor if an element around it is of a kind (aside, form, an outer
+header) or has a class, id or role that names other than the article, such as an advert or a menu, or if an article or main
+element stands elsewhere. A name counts as a whole, on elements that group others, not by one word of a longer
+name, and says nothing if the element holds nearly all of the page. Paths whose weighted ratio reaches a share of the page's mean
+are content; the weights decide only between ratios, so a page all of whose text is so named is extracted like any other.
+
+The deepest element that holds nearly all of the weight of content paths is the article. All blocks of content paths in it or in
+what holds it are returned, and those beside it whose path reaches the mean. What lies in it without being weighted down is content too, so short blocks stay; if no article or main element marks it, so are the headings,
+paragraphs, list items, quotations and preformatted texts of the rest of the page. Hidden elements, nav, footer and menu elements,
+scripts, styles and controls have no text.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined by a line break. Nothing
-else is dropped or capped.
+else is dropped or capped. Paths are numbered and sums go once up the tree, so time and memory follow the length of the page,
+however deep it is nested.
 
 Defined cases: null and empty html give the empty text; a page that is cut off inside a tag, a comment or a script ends
-there; unclosed and misnested tags close as their parents do; repeated rows each give a row; an empty table gives an empty
-result; columns other than page_id, url and html are ignored.
+there; stray quotes in a tag belong to it, up to its end; unclosed and misnested tags close as their parents do; repeated rows each
+give a row; an empty table gives an empty result; columns other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +28,19 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Comments, tags (an attribute's value ends at its own quote, or unquoted at a space), and declarations. What the page cuts off ends with it.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z].*\Z""",
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|[^\s/>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+ATTRIBUTE = re.compile(r"""([^\s/>="']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -41,7 +48,8 @@ INLINE = frozenset(
     "math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 RAW = frozenset("script style textarea title noscript template iframe object svg annotation annotation-xml noembed xmp".split())
-BOILERPLATE = frozenset("head nav footer aside form button select option fieldset menu dialog map audio video canvas".split())
+NO_TEXT = frozenset("head nav footer menu button select option dialog map audio video canvas".split())
+APART = frozenset("aside form fieldset".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 LISTED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table body html article section div".split())
@@ -58,30 +66,40 @@ CONTAINERS = frozenset("center dd details div dl figure header li ol section sum
 TEXTUAL = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？]")
 WORD = re.compile(r"[a-z]+")
-#: A path is content if its fused ratio reaches this share of the mean; an element is the article if it holds this share of the weight.
+#: A path is content if its weighted ratio reaches this share of the mean; an element is the article, and its name void, if it holds this share of the weight.
 THRESHOLD, HOLDS = 0.3, 0.9
+#: Factors of the ratio for a block in an element that is named apart, and outside the article or main element of the page.
+NAMED, OUTSIDE = 0.0001, 0.01
+
+
+#: Width of the smoothing in blocks: a neighbour weighs an eighth.
+SIGMA = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "off", "depth", "in_article")
+    """number: place in the page. path: number of its path. apart: its kind or name says that it is not the article. off: has no text."""
 
-    def __init__(self, tag: str, name: str, parent: Element | None, off: bool):
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{name}" if parent else name
+    __slots__ = ("tag", "path", "parent", "off", "depth", "in_article", "apart", "number")
+
+    def __init__(self, tag: str, name: str, parent: Element | None, apart: bool, off: bool, paths: dict, number: int):
+        self.tag, self.parent, self.apart, self.number = tag, parent, apart, number
+        self.path = paths.setdefault((parent.path if parent else -1, name), len(paths))
         self.off = off or bool(parent and parent.off)
         self.depth = parent.depth + 1 if parent else 0
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
 
 
-def _named(tag: str, attributes: str, parent: Element) -> tuple[str, bool]:
-    """The element's name in paths, and whether tag, role, class or id say that it is not the article."""
-    off = tag in BOILERPLATE or (tag == "header" and not parent.in_article)
-    if not attributes.strip():
-        return tag, off
-    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    off = off or hidden or (tag in CONTAINERS and any(_other(w, parent.in_article) for k in ("class", "id", "role") for w in found.get(k, "").split()))
-    return ".".join([tag, *sorted(found.get("class", "").split()), *([f"#{found['id']}"] if "id" in found else [])]), off
+def _named(tag: str, attributes: str, parent: Element) -> tuple[str, bool, bool]:
+    """The element's name in paths, whether its kind, role, class or id say that it is not the article, and whether it has no text."""
+    apart, off = tag in APART or (tag == "header" and not parent.in_article), tag in NO_TEXT
+    if not attributes.strip(" /\n\t\r"):
+        return tag, apart, off
+    found: dict[str, str] = {}
+    for k, *values in ATTRIBUTE.findall(attributes):
+        found.setdefault(k.lower(), "".join(values))
+    off = off or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    apart = apart or (tag in CONTAINERS and any(_other(w, parent.in_article) for k in ("class", "id", "role") for w in html.unescape(found.get(k, "")).split()))
+    return ".".join([tag, *sorted(found.get("class", "").split())]), apart, off
 
 
 @functools.lru_cache(maxsize=10_000)
@@ -91,10 +109,12 @@ def _other(token: str, in_article: bool) -> bool:
     return bool(words & NAMES) and words <= NAMES | NEUTRAL and not (in_article and "header" in words)
 
 
-def blocks_of(page: str) -> list[tuple[Element, str, int]]:
-    """(element, text, characters inside links) of each block in page order."""
+def blocks_of(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
+    """All elements, parents first, and (element, text, characters inside links) of each block in page order."""
     at, out, text, links, in_link = 0, [], [], 0, 0
-    top = Element("", "", None, False)
+    paths: dict = {}
+    top = Element("", "", None, False, False, paths, 0)
+    elements, is_open = [top], Counter()
 
     def flush():
         nonlocal text, links
@@ -103,6 +123,15 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             out.append((top, joined, links))
         text, links = [], 0
 
+    def close(e: Element):
+        """Leave e and all that is open in it."""
+        nonlocal top
+        while top is not e:
+            is_open[top.tag] -= 1
+            top = top.parent
+        is_open[e.tag] -= 1
+        top = e.parent
+
     for m in TOKEN.finditer(page):
         if m.start() < at:  # inside a raw element
             continue
@@ -120,11 +149,11 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             if tag in INLINE:
                 continue
             flush()
-            e = top
-            while e.parent and e.tag != tag:
-                e = e.parent
-            if e.parent:
-                top = e.parent
+            if is_open[tag]:  # else there is nothing to look for
+                e = top
+                while e.tag != tag:
+                    e = e.parent
+                close(e)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -142,30 +171,31 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
         in_link = 0
         closes = {"p"} if tag in ENDS_P else LISTED.get(tag, ())
         e = top
-        while closes and e.parent and e.tag not in SCOPES:
+        while any(is_open[c] for c in closes) and e.parent and e.tag not in SCOPES:
+            above = e.parent
             if e.tag in closes:
-                top = e.parent
-                if tag not in ("tr",):
+                close(e)
+                if tag != "tr":
                     break
-            e = e.parent
-        name, off = _named(tag, m[3], top)
-        top = Element(tag, name, top, off)
+            e = above
+        name, apart, off = _named(tag, m[3], top)
+        top = Element(tag, name, top, apart, off, paths, len(elements))
+        elements.append(top)
+        is_open[tag] += 1
     if at < len(page):
         text.append(page[at:])
     flush()
-    return out
+    return elements, out
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
-    """Each value with its two neighbours on either side, by Gaussian weights; ends weigh what there is."""
-    kernel = np.exp(-np.arange(-2, 3) ** 2 / 2)
+    """Each value with its two neighbours on either side, by narrow Gaussian weights; ends weigh what there is."""
+    kernel = np.exp(-np.arange(-2, 3) ** 2 / (2 * SIGMA**2))
     return np.convolve(x, kernel)[2:-2] / np.convolve(np.ones(len(x)), kernel)[2:-2]
 
 
-def main_text(page: str | None) -> str:
-    blocks = [b for b in blocks_of(page or "") if not b[0].off]
-    if not blocks:
-        return ""
+def path_ratios(blocks: list[tuple[Element, str, int]]) -> np.ndarray:
+    """The fused ratio at each block: the product of the smoothed text and punctuation ratios of the paths."""
     chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for e, text, _ in blocks:
         chars[e.path] += len(text)
@@ -174,21 +204,42 @@ def main_text(page: str | None) -> str:
     paths = [e.path for e, _, _ in blocks]
     text_ratio = smooth(np.array([chars[p] / count[p] for p in paths]))
     mark_ratio = smooth(np.array([(marks[p] + 0.5) / count[p] for p in paths]))
-    fused = text_ratio * mark_ratio
-    best: dict[str, float] = {}
-    for p, f in zip(paths, fused, strict=True):
-        best[p] = max(best.get(p, 0.0), f)
-    content = [best[p] >= THRESHOLD * fused.mean() and not _mostly_links(b) for p, b in zip(paths, blocks, strict=True)]
+    return text_ratio * mark_ratio
+
+
+def _held(elements: list[Element], blocks: list[tuple[Element, str, int]], weight: np.ndarray) -> np.ndarray:
+    """The weight that each element holds."""
+    held = np.zeros(len(elements))
+    for (e, _, _), w in zip(blocks, weight, strict=True):
+        held[e.number] += w
+    for e in reversed(elements):
+        if e.parent:
+            held[e.parent.number] += held[e.number]
+    return held
+
+
+def main_text(page: str | None) -> str:
+    elements, blocks = blocks_of(page or "")
+    blocks = [b for b in blocks if not b[0].off]
+    if not blocks:
+        return ""
+    ratio, length = path_ratios(blocks), np.array([len(b[1]) for b in blocks])
+    ratio *= np.array([1 - min(1.0, links / len(text)) * (not _running(e)) for e, text, links in blocks])
+    # the factor of each element's names, void where nearly all of the page is in it
+    held, total = _held(elements, blocks, ratio * length), float((ratio * length).sum())
+    factor = np.ones(len(elements))
+    for e in elements[1:]:
+        factor[e.number] = factor[e.parent.number] * (NAMED if e.apart and held[e.number] < HOLDS * total else 1)
+    article_text = any(e.in_article and factor[e.number] == 1 for e, _, _ in blocks)
+    weighted = ratio * np.array([factor[e.number] * (1 if e.in_article or not article_text else OUTSIDE) for e, _, _ in blocks])
+    best: dict[int, float] = {}
+    for (e, _, _), w in zip(blocks, weighted, strict=True):
+        best[e.path] = max(best.get(e.path, 0.0), w)
+    content = [best[b[0].path] >= THRESHOLD * weighted.mean() and not _mostly_links(b) for b in blocks]
     if not any(content):
         content = [True] * len(blocks)
-    weights, total = defaultdict(float), 0.0
-    for (e, text, _), f, on in zip(blocks, fused, content, strict=True):
-        if on:
-            total += f * len(text)
-            while e:
-                weights[e] += f * len(text)
-                e = e.parent
-    article = max((e for e, w in weights.items() if w >= HOLDS * total), key=lambda e: (e.depth, weights[e]))
+    held = _held(elements, blocks, weighted * length * content)
+    article = max((e for e in elements if held[e.number] >= HOLDS * held[0]), key=lambda e: (e.depth, held[e.number]))
     if article.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "b") and article.parent:
         article = article.parent  # one paragraph is not an article yet
     named = article
@@ -197,22 +248,30 @@ def main_text(page: str | None) -> str:
     marked = named.parent is not None
     if marked:
         article = named
+    inside = np.zeros(len(elements), bool)
+    for e in elements:
+        inside[e.number] = e is article or bool(e.parent and inside[e.parent.number])
+    around, e = inside.copy(), article  # the article and what holds it
+    while e:
+        around[e.number], e = True, e.parent
+    level = factor[article.number]
+
+    def stays(b: tuple[Element, str, int]) -> bool:
+        e = b[0]
+        return factor[e.number] >= level and not _mostly_links(b) and (inside[e.number] or (not marked and e.tag in TEXTUAL))
+
+    far = [best[b[0].path] >= weighted.mean() for b in blocks]  # beside the article a block needs more
+    return "\n".join(b[1] for b, on, high in zip(blocks, content, far, strict=True) if (on and (high or around[b[0].number])) or stays(b))
 
-    def inside(e: Element | None) -> bool:
-        if not marked and e.tag in TEXTUAL:
-            return True
-        while e:
-            if e is article:
-                return True
-            e = e.parent
-        return False
 
-    return "\n".join(b[1] for b, on in zip(blocks, content, strict=True) if on or (not _mostly_links(b) and inside(b[0])))
+def _running(e: Element) -> bool:
+    """Running text may consist of a link."""
+    return e.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def _mostly_links(block: tuple[Element, str, int]) -> bool:
     e, text, links = block
-    return links > 0.6 * len(text) and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
+    return links > 0.6 * len(text) and not _running(e)
 
 
 def extract(pages: DataFrame) -> DataFrame:
