@@ -1,19 +1,23 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. DataFrame operations only.
 
-Every line of every file is a candidate header. Terms are lower-cased runs of letters, digits and inner dots. Document
-frequencies of the templates' terms are counted over all files; a term that no template has weighs as much as the mean
-template term, so that words around a notice count against it. A line takes its most similar template at a cosine of
-``threshold`` or more, and a file the most similar of its lines. A file most of whose words are in licensed lines is a licence
-file of its directory. Files without a licence of their own take that of the nearest ancestor directory that has one: the
-distinct directories are resolved by joins on their ancestors, then joined to the files by path.
-
-Only lines with an anchor term can reach the threshold, so only those are exploded: what is left of a template without
-its anchors has a norm below the threshold.
-
-Defined cases: null path means the root; null and empty texts have no licence of their own and inherit; ties go to the
-higher score, then the lower template id, then the earlier line; of several licence files in a directory, the highest
-score wins, then a hash of path and id; repeated rows each give a row; an empty table gives an empty result; other columns
-are ignored.
+Terms are lower-cased runs of letters, digits and inner dots. Document frequencies of the templates' terms are counted over
+all files; a term that no template has weighs as much as the mean template term, so that words around a notice count against it.
+
+- Headers: every run of one to ``LINES`` lines (lines without terms apart) is compared with the notices, so that a notice may be
+  wrapped. A run takes its most similar notice at a cosine of ``THRESHOLD`` or more, and a file the most similar of its runs.
+- Licence files: the vector of a whole file is compared with the licence texts, at a cosine of ``TEXT_THRESHOLD`` or more.
+- A file licenses its directory if it as a whole is a licence text, if half of its words are in its best run, or if it has a licence and is named like a licence file. Files without a licence of their own take that of the nearest ancestor directory
+  that has one: the distinct directories are resolved by joins on their ancestors, then joined to the files by path.
+
+Terms are found once and written with the text. Only files and runs with an anchor term can reach a threshold, so only those are
+exploded: what is left of a template without its anchors has a norm below its threshold. A licence depends on the text alone, so
+files are told apart by the SHA-256 of their text, and any row finds its licence by it.
+
+Defined cases: null path means the root; null and empty texts have no licence of their own and inherit; null doc_ids are like others;
+ties go to the higher score, the licence text before the notice, the lower template, the earlier line, the shorter run; of several
+licence files in a directory, texts and files so named come first, then the highest score wins, then the greatest path, then the greatest name of a licence; rows with one id and
+path but different texts each have their own licence; repeated rows each give a row; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import materialise
 
 # fixed values: names of licences and the notices that declare them
-TEMPLATES = [
+NOTICES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3"),
     ("AGPL-3.0", "GNU Affero General Public License"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
@@ -43,8 +48,12 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License"),
+    ("GPL-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", "Released under the ISC License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
@@ -53,10 +62,51 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+# fixed values: the texts of licences
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEXTS = [
+    ("BSD-2-Clause", f"BSD 2-Clause License {_BSD_HEAD}{_BSD_TAIL}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License {_BSD_HEAD}3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+     f"or promote products derived from this software without specific prior written permission. {_BSD_TAIL}"),
+    ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+     "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+     "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+     "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+     "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+     "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
+     "notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+     "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+     "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+     "USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+     "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author "
+     "or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to "
+     "the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+     "copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+     "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+]
+#: (licence, text) of all templates, licence texts first.
+TEMPLATES = [*TEXTS, *NOTICES]
+FILE_NAMES = r"(?i)/(licen[cs]e|copying|unlicense)([-_.][^/]*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
-THRESHOLD, FILE_SHARE = 0.6, 0.5
-#: Anchors of at most so many letters are searched as words.
-SHORT = 5
+#: Least cosine of a run of lines to a notice, and of a file to a licence text; share of a file's words in a run that makes it a licence file; lines of a run.
+THRESHOLD, TEXT_THRESHOLD, FILE_SHARE, LINES = 0.6, 0.8, 0.5, 4
 
 
 def terms(text: str) -> list[str]:
@@ -67,15 +117,25 @@ def vocabulary() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in terms(text)})
 
 
-def term_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """The number of files, and in how many of them each template term is. One row a term reaches the driver."""
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9.]+")
+def searched(files: DataFrame) -> DataFrame:
+    """sha, held (the template terms in the text), low (the text in lower case): a row for each row of files, written once."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    words = F.split(low, r"[^a-z0-9.]+")
     known = F.array(*[F.lit(t) for t in vocabulary()])
     ends = F.array(*[F.lit(f"{t}.") for t in vocabulary()])
     held = F.array_distinct(F.transform(F.array_intersect(words, F.concat(known, ends)), lambda w: F.rtrim(w, F.lit("."))))
-    counted = files.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
-    found = {r[0]: r[1] for r in counted}
-    return found.pop("", 0), found
+    return materialise(files.select(text_id().alias("sha"), held.alias("held"), low.alias("low")), "searched")
+
+
+def text_id() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def term_frequencies(found: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of files, and in how many of them each template term is. One row a term reaches the driver."""
+    counted = found.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
+    counts = {r[0]: r[1] for r in counted}
+    return counts.pop("", 0), counts
 
 
 def weights(n: int, df: dict[str, int]) -> dict[str, float]:
@@ -105,46 +165,59 @@ def anchors(vectors: list[tuple[int, str, dict[str, float]]], threshold: float)
     return sorted(found)
 
 
-def scan_headers(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, license, score, line, share (of the file's words in licensed lines): files that have a licence of their own, a row each."""
-    spark = files.sparkSession
-    n, df = term_frequencies(files)
+def _runs(lines: Column, rare: Column) -> Column:
+    """(line, k, terms) of the runs of one to LINES lines with terms that have an anchor."""
+
+    def starting(p: Column) -> Column:
+        made = F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(LINES), F.size(lines) - p)),
+            lambda k: F.struct(F.element_at(lines, p + 1)["line"].alias("line"), k.alias("k"), F.flatten(F.slice(lines, p + 1, k)["terms"]).alias("terms")),
+        )
+        return F.filter(made, lambda w: F.arrays_overlap(w["terms"], rare))
+
+    return F.when(F.size(lines) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), starting)))
+
+
+def _cosines(units: DataFrame, keys: list[str], templates: DataFrame, known: DataFrame, other: float) -> DataFrame:
+    """keys, template, license, score, words: of each unit (keys, terms) with the templates that share a term with it."""
+    tf = units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    tf = tf.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("words"))
+    dots = tf.join(templates, "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    return dots.join(norms, keys).select(*keys, "template", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"), "words")
+
+
+def scan_headers(found: DataFrame, threshold: float = THRESHOLD, text_threshold: float = TEXT_THRESHOLD) -> DataFrame:
+    """sha, license, score, line (null for a licence text), whole (it is like a licence text), share (of the words in the best run): the texts that have a licence, a row each."""
+    spark = found.sparkSession
+    n, df = term_frequencies(found)
     idf = weights(n, df)
     other = sum(idf.values()) / len(idf)
     vectors = template_vectors(idf)
-    rows = [(k, name, t, x) for k, name, v in vectors for t, x in v.items()]
-    templates = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))  # a fixed table
+    parts = {"text": vectors[: len(TEXTS)], "notice": vectors[len(TEXTS) :]}
+    tables = {
+        kind: F.broadcast(spark.createDataFrame([(k, name, t, x) for k, name, v in part for t, x in v.items()], "template int, license string, term string, w double"))
+        for kind, part in parts.items()
+    }  # fixed tables
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # a fixed table
-    text = F.lower(F.coalesce("text", F.lit("")))
-    rare = anchors(vectors, threshold)
-    short = [re.escape(a) for a in rare if len(a) <= SHORT]  # parts of many words, so borders are asked for at once
-    has = F.col("low").rlike(rf"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])") if short else F.lit(False)
-    for a in rare:
-        if len(a) > SHORT:
-            has = has | F.contains(F.col("low"), F.lit(a))
-    rows_ = files.select("doc_id", "path", text.alias("low")).where(has)
-    # counted here, so that the files are searched for anchors once
-    n_words = F.size(F.regexp_extract_all("low", F.lit(f"({TERM}|[^\\x00-\\x7f]+)"), F.lit(1)))
-    rows_ = rows_.withColumns({"file": F.xxhash64("doc_id", "path", "low"), "n_words": n_words})
-    lines = rows_.select("doc_id", "path", "file", "n_words", F.posexplode(F.split("low", "\n")).alias("line", "low"))
-    lines = lines.withColumn("terms", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1))).drop("low")
-    lines = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in rare])))
-    lines = materialise(lines.dropDuplicates(["file", "line"]), "lines")
-    tf = lines.select("file", "line", F.explode("terms").alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
-    tf = tf.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = tf.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("words"))
-    dots = tf.join(templates, "term").groupBy("file", "line", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, ["file", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
-    best = scored.groupBy("file", "line").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license", "words")).alias("b"))
-    per_file = best.groupBy("file").agg(
-        F.max(F.struct("b.score", "b.t", (-F.col("line")).alias("l"), "b.license")).alias("f"), F.sum("b.words").alias("licensed_words")
+    rare, rare_text = (F.array(*[F.lit(a) for a in anchors(parts[kind], t)]) for kind, t in (("notice", threshold), ("text", text_threshold)))
+
+    held = found.where(F.arrays_overlap("held", F.concat(rare, rare_text)))
+    one = materialise(held.dropDuplicates(["sha"]), "candidates")
+    split = F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("line"), F.regexp_extract_all(x, F.lit(f"({TERM})"), F.lit(1)).alias("terms")))
+    lines = F.filter(split, lambda x: F.size(x["terms"]) > 0)
+    runs = one.where(F.arrays_overlap("held", rare)).select("sha", lines.alias("lines")).select("sha", F.explode(_runs(F.col("lines"), rare)).alias("r"))
+    scored = _cosines(runs.select("sha", "r.line", "r.k", "r.terms"), ["sha", "line", "k"], tables["notice"], known, other).where(F.col("score") >= threshold)
+    whole = one.where(F.arrays_overlap("held", rare_text)).select("sha", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1)).alias("terms"))
+    texts = _cosines(whole, ["sha"], tables["text"], known, other).where(F.col("score") >= text_threshold)
+    both = texts.select("sha", "template", "license", "score", "words", F.lit(None).cast("int").alias("line"), F.lit(0).alias("k")).unionByName(
+        scored.select("sha", "template", "license", "score", "words", "line", "k")
     )
-    total = lines.select("file", "n_words").dropDuplicates(["file"])
-    whole = per_file.join(total, "file").select(
-        "file", F.col("f.license").alias("license"), F.col("f.score").alias("score"), (-F.col("f.l")).alias("line"),
-        (F.col("licensed_words") / F.col("n_words")).alias("share"),
-    )
-    return materialise(lines.select("doc_id", "path", "file").distinct().join(whole, "file").drop("file"), "licensed")
+    order = F.struct("score", -F.col("template"), -F.coalesce("line", F.lit(0)), -F.col("k"))
+    best = both.groupBy("sha").agg(F.max_by(F.struct("license", "score", "line", "words"), order).alias("b"), F.max(F.isnull("line")).alias("whole"))
+    total = one.select("sha", F.size(F.regexp_extract_all("low", F.lit(f"({TERM}|[^\\x00-\\x7f]+)"), F.lit(1))).alias("n_words"))
+    share = F.when(F.col("whole"), F.lit(1.0)).otherwise(F.col("b.words") / F.col("n_words"))
+    return materialise(best.join(total, "sha").select("sha", "b.license", "b.score", "b.line", "whole", share.alias("share")), "licensed")
 
 
 def parent(path: Column) -> Column:
@@ -161,22 +234,22 @@ def with_ancestors(dirs: DataFrame) -> DataFrame:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, score, origin (own, inherited or none), license_dir: one row per row of files (doc_id, path, text)."""
     files = files.select("doc_id", F.coalesce("path", F.lit("/")).alias("path"), "text")
-    own = scan_headers(files, threshold)
-    held = own.where(F.col("share") >= FILE_SHARE).groupBy(parent(F.col("path")).alias("ancestor"))
-    held = held.agg(F.max_by("license", F.struct("score", F.xxhash64("path", "doc_id"))).alias("dir_license"))
-    places = files.select("doc_id", "path", parent(F.col("path")).alias("dir"))
+    own = scan_headers(searched(files), threshold)
+    places = files.select("doc_id", "path", parent(F.col("path")).alias("dir"), text_id().alias("sha"))
+    found = places.join(own, "sha", "left")
+    named = F.col("whole") | F.col("path").rlike(FILE_NAMES)
+    gives = (F.col("share") >= FILE_SHARE) | (F.col("license").isNotNull() & named)
+    held = found.where(gives).groupBy(F.col("dir").alias("ancestor"))
+    held = materialise(held.agg(F.max_by("license", F.struct(named, "score", "path", "license")).alias("dir_license")), "held")
     dirs = places.select("dir").distinct()
     nearest = with_ancestors(dirs).join(held, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "dir_license")).alias("n"))
     nearest = nearest.select("dir", F.col("n.ancestor").alias("license_dir"), "n.dir_license")
-    mine = own.select("doc_id", "path", F.col("license").alias("own_license"), "score").groupBy("doc_id", "path").agg(
-        F.max(F.struct("score", "own_license")).alias("m")
-    )
-    found = places.join(mine, ["doc_id", "path"], "left").join(nearest, "dir", "left")
-    has, inherits = F.col("m").isNotNull(), F.col("dir_license").isNotNull()
+    found = found.join(materialise(nearest, "nearest"), "dir", "left")
+    has, inherits = F.col("license").isNotNull(), F.col("dir_license").isNotNull()
     return found.select(
-        "doc_id", "path", F.when(has, F.col("m.own_license")).otherwise(F.col("dir_license")).alias("license"), F.col("m.score").alias("score"),
+        "doc_id", "path", F.when(has, F.col("license")).otherwise(F.col("dir_license")).alias("license"), "score",
         F.when(has, "own").when(inherits, "inherited").otherwise("none").alias("origin"),
-        F.when(has, parent(F.col("path"))).otherwise(F.col("license_dir")).alias("license_dir"),
+        F.when(has, F.col("dir")).otherwise(F.col("license_dir")).alias("license_dir"),
     )
 
 
