@@ -3,17 +3,20 @@
 A pattern is a window of ``window`` consecutive words of a benchmark item, or all words of a shorter item. Patterns of
 one length share a search: a shift table over blocks of two words tells how far the search may jump, since a block that
 no pattern holds skips a whole window; where the shift is 0, the suffix block leads to a bucket of patterns, and words are
-compared one by one. The benchmark is a stated query set: it is cut into blocks of at most ``block_bytes`` of text, each
-block is broadcast, and documents pass block after block in narrow stages, without a shuffle.
+compared one by one. The benchmark is a stated query set: it is cut into blocks of at most ``BLOCK_BYTES`` of text (or one item), which pass
+through the driver one at a time. Each block is broadcast and searched in a narrow stage, without a shuffle; between two blocks
+the documents and what they hit so far are written to the shared folder, so that a worker holds the tables of one block only
+(about 50 to 100 bytes for each byte of its text), builds them once, and keeps them for its later tasks.
 
 Defined cases: a null or empty text has no words and is clean; a null or wordless item has no window; an item whose id is
 null marks words as hit but is not listed; repeated items count once; repeated document rows each get a row; an empty
-benchmark leaves all documents clean; other columns are ignored, and ``drop_contaminated`` passes them through.
+benchmark leaves all documents clean; other columns are ignored, and ``drop_contaminated`` passes them through, whatever their
+names: the operator's own columns give way with underscores (``mark_columns``).
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import WORDS
+from leadloom.llm.common import WORDS, fresh, materialise
 
-WINDOW = 10
+WINDOW, BLOCK_BYTES = 10, 2 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -96,55 +99,67 @@ def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs with __words long, __hit array<int> of hit word positions, __items array<string> of item ids, ascending."""
-    spark = docs.sparkSession
-    out = docs.withColumns(
-        {"__words": F.lit(0).cast("long"), "__hit": F.array().cast("array<int>"), "__items": F.array().cast("array<string>")}
-    )
-    schema = out.schema
-    for block in [*_blocks(bench, block_bytes)] or [[]]:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids = [None if i is None else str(i) for i, _ in sent.value]
-            finders = searchers((t for _, t in sent.value), window)
-            for batch in batches:
-                texts = batch.column("text").cast(pa.binary())
-                before_hit, before_items = batch.column("__hit"), batch.column("__items")
-                n_words, hits, items = [], [], []
-                for k, text in enumerate(texts):
-                    words = words_of(text.as_py())
-                    n_words.append(len(words))
-                    hit, found = scan(words, finders)
-                    old = before_hit[k].as_py()
-                    hits.append(np.union1d(hit, old).astype(np.int32) if old else hit.astype(np.int32))
-                    items.append(sorted({*before_items[k].as_py(), *(ids[x] for x in found if ids[x] is not None)}))
-                new = {
-                    "__words": pa.array(n_words, pa.int64()),
-                    "__hit": pa.array(hits, pa.list_(pa.int32())),
-                    "__items": pa.array(items, pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) if c in new else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
+_tables: dict[str, tuple[list[str | None], list[WuManber]]] = {}
+
+
+def tables_of(name: str, block: list[tuple], window: int) -> tuple[list[str | None], list[WuManber]]:
+    """Item ids and searchers of a block, which a worker keeps until it gets another."""
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = [None if i is None else str(i) for i, _ in block], searchers((t for _, t in block), window)
+    return _tables[name]
+
+
+def mark_columns(docs: DataFrame) -> tuple[str, str, str]:
+    """The names of the columns for the number of words, the positions that are hit and the items."""
+    return fresh(docs, "n_words", "hit", "items")
+
+
+def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with (see ``mark_columns``) the number of words, array<int> of hit word positions, array<string> of item ids, ascending."""
+    n_words, hit, items = mark_columns(docs)
+    out = docs.withColumns({n_words: F.lit(None).cast("long"), hit: F.array().cast("array<int>"), items: F.array().cast("array<string>")})
+    blocks = _blocks(bench, block_bytes)
+    block, more = next(blocks, []), True
+    while more:
+        out = _search(out, block, window, (n_words, hit, items))
+        block = next(blocks, None)
+        more = block is not None
+        if more:
+            out = materialise(out, "marked")
     return out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+def _search(docs: DataFrame, block: list[tuple], window: int, columns: tuple[str, str, str]) -> DataFrame:
+    name, sent, (n_words, hit, items) = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block), columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, finders = tables_of(name, sent.value, window)
+        for batch in batches:
+            texts, before_hit, before_items = batch.column("text").cast(pa.binary()), batch.column(hit), batch.column(items)
+            made = {n_words: [], hit: [], items: []}
+            for k, text in enumerate(texts):
+                words = words_of(text.as_py())
+                at, found = scan(words, finders)
+                old = before_hit[k].as_py()
+                made[n_words].append(len(words))
+                made[hit].append(np.union1d(at, old).astype(np.int32) if old else at.astype(np.int32))
+                made[items].append(sorted({*before_items[k].as_py(), *(ids[x] for x in found if ids[x] is not None)}))
+            new = {n_words: pa.array(made[n_words], pa.int64()), hit: pa.array(made[hit], pa.list_(pa.int32())), items: pa.array(made[items], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked = mark(docs.select("doc_id", "text"), bench, window)
+    marked = mark(docs.select("doc_id", "text"), bench, window, block_bytes)
     return marked.select(
-        "doc_id", F.col("__words").alias("n_words"), F.size("__hit").cast("long").alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        (F.size("__hit") > 0).alias("contaminated"),
+        "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without contaminated rows."""
-    return mark(docs, bench, window).where(F.size("__hit") == 0).select(*docs.columns)
-
-
-def digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return mark(docs, bench, window).where(F.size(mark_columns(docs)[1]) == 0).select(*docs.columns)
