@@ -5,8 +5,12 @@ on; level 1 holds the next chunk of those, and so forth. A rank directory gives
 of 512, so that any id is found without decoding others: at each level, read a chunk, test a bit, rank it.
 
 The store is a Parquet table in the shared folder, one row a segment: part and segment give the order, doc_ids and
-lengths what it holds, first the ids of its part before it, payload the codes. Documents lie in ascending doc_id order
-over range partitions; totals of the parts, one row a partition, give global positions.
+lengths what it holds, n its ids, first the ids of its part before it, payload the codes. Documents lie in ascending doc_id order
+over range partitions; totals of the parts, one row a partition, give global positions, and ``token_at`` reads the one
+segment that holds a position.
+
+Texts are cut at white space and each chunk is encoded once, if the tokenizer's file has the normaliser and the
+pre-tokenizer for which this is the same (``CUTS_AT_SPACE``). With any other file, whole texts go through the library.
 
 Defined cases: null and empty texts hold the end id only; a null doc_id comes first; repeated rows are stored each, in the
 order of a hash of the text; an empty table gives an empty store; other columns are ignored.
@@ -14,7 +18,9 @@ order of a hash of the text; an empty table gives an empty store; other columns
 
 from __future__ import annotations
 
+import bisect
 import functools
+import json
 import os
 import struct
 import zlib
@@ -92,6 +98,15 @@ def decode(payload: bytes) -> np.ndarray:
 
 
 ENDS = ".,!?;:"
+# fixed values: the settings of a tokenizer that lower-cases and drops white space, so that chunks between spaces stand alone
+CUTS_AT_SPACE = {
+    "truncation": None, "padding": None, "post_processor": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 
 
 def byte_letters() -> dict[int, str]:
@@ -147,14 +162,40 @@ class ChunkEncoder:
         return out
 
 
+def cuts_at_space(path: str) -> bool:
+    """Whether the file's settings are those for which chunks between spaces stand alone, and no special token holds a space."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    plain = all(found.get(k) == v for k, v in CUTS_AT_SPACE.items()) and found["model"].get("type") == "BPE" and not found["model"].get("dropout")
+    return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in found["added_tokens"])
+
+
+class WholeEncoder:
+    """Encodes whole texts with the tokenizers library, whatever its file prescribes."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+
+    def __call__(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+
 @functools.lru_cache(maxsize=2)
-def tokeniser(path: str) -> PieceTable:
-    """The vocabulary drops white space, so texts are cut there first and each chunk is encoded once. Lives as long as the worker."""
-    return PieceTable(ChunkEncoder(path))
+def tokeniser(path: str) -> PieceTable | WholeEncoder:
+    """Where the vocabulary drops white space, texts are cut there and each chunk is encoded once. Lives as long as the worker."""
+    return PieceTable(ChunkEncoder(path)) if cuts_at_space(path) else WholeEncoder(path)
 
 
-def token_ids(texts: list[bytes], table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: list[bytes], table: PieceTable | WholeEncoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by the end id, and how many each has."""
+    if isinstance(table, WholeEncoder):
+        lists = table(texts)
+        return np.array([i for x in lists for i in (*x, END_ID)], np.int32), np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
     chunks, n_chunks = [], []
     for t in texts:
         words = t.split()
@@ -167,7 +208,7 @@ def token_ids(texts: list[bytes], table: PieceTable) -> tuple[np.ndarray, np.nda
     return out, np.diff(upto) + 1
 
 
-STORE = "part int, segment int, first long, doc_ids array<long>, lengths array<long>, payload binary"
+STORE = "part int, segment int, first long, n long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
 def write_store(docs: DataFrame, tokenizer_path: str) -> str:
@@ -180,10 +221,10 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> str:
         def close():
             nonlocal segment, first, held
             ids = np.concatenate([x for _, x, _ in held])
-            row = [part, segment, first, sum((d for d, _, _ in held), []), np.concatenate([n for _, _, n in held]), encode(ids)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            row = [part, segment, first, len(ids), sum((d for d, _, _ in held), []), np.concatenate([n for _, _, n in held]), encode(ids)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             segment, first, held = segment + 1, first + len(ids), []
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "segment", "first", "doc_ids", "lengths", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "segment", "first", "n", "doc_ids", "lengths", "payload"])
 
         def strides():
             names, texts, used = [], [], 0
@@ -223,12 +264,31 @@ def summarise_store(spark, path: str) -> DataFrame:
     return _read(spark, path, "ids_crc32 long", lambda crcs: pa.array(crcs, pa.int64()), lambda x: zlib.crc32(x.astype("<u4").tobytes()))
 
 
+def _offsets(store: DataFrame) -> tuple[dict[int, int], int]:
+    """The ids before each part, one entry a partition, and all ids."""
+    before, total = {}, 0
+    for part, n in store.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
+        before[part], total = total, total + n
+    return before, total
+
+
+def token_at(spark, path: str, position: int) -> int:
+    """The id at a position of the whole store, from the one segment that holds it."""
+    store = spark.read.schema(STORE).parquet(path)
+    before, total = _offsets(store)
+    if not 0 <= position < total:
+        raise IndexError(position)
+    parts = list(before)
+    part = parts[bisect.bisect_right(list(before.values()), position) - 1]
+    local = position - before[part]
+    own = store.where(F.col("part") == part)
+    first = own.where(F.col("first") <= local).agg(F.max("first")).first()[0]  # reads no payload
+    return get(own.where(F.col("first") == first).select("payload").first()[0], local - first)
+
+
 def _read(spark, path: str, column: str, array, value) -> DataFrame:
     store = spark.read.schema(STORE).parquet(path)
-    totals = store.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
-    before, total = {}, 0  # one entry a partition
-    for part, n in totals:
-        before[part], total = total, total + n
+    before, _ = _offsets(store)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,4 +303,4 @@ def _read(spark, path: str, column: str, array, value) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", column.split()[0]],
                 )
 
-    return store.drop("segment").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return store.drop("segment", "n").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
