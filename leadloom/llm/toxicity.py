@@ -1,14 +1,16 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of words, word pairs and pairs with one or two words between, hashed to 2**bits indices. A
-word also counts as its stems, its first 4 to 8 bytes, since insults that are inflected never repeat as whole words. The
+word also counts as its stems, its first 4 to 8 characters, since insults that are inflected never repeat as whole words. The
 model is fitted on a bounded sample of labelled documents, at most ``per_class`` of each label, whose features meet in one
-task; per-coordinate rates and L1 leave a few hundred non-zero weights, which are broadcast. Every whole text is scored,
+task: a document has at most 2**bits distinct ones, however long it is; per-coordinate rates and L1 leave a few hundred non-zero
+weights, which are broadcast. Every whole text is scored,
 in narrow stages. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts get the score of the bias alone; a document with several labels counts as toxic if one
-says so; of repeated training ids the least text is used; without labels of both kinds all scores are 0; an empty table
-gives an empty result; other columns are ignored, and ``drop_toxic`` passes them through.
+says so; of repeated training ids the least text is used; without labels all scores are 0, and with labels of one kind only all
+scores are that label; an empty table gives an empty result; other columns are ignored, and ``drop_toxic`` passes them through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import WORDS
+from leadloom.llm.common import WORDS, fresh
 from leadloom.llm.pieces import PieceTable
 
 BITS, PER_CLASS, THRESHOLD = 20, 3000, 0.7
 U = np.uint64
 #: Words whose features are made at once.
 CHUNK = 1 << 17
-#: Lengths of stems in bytes.
+#: Lengths of stems in characters.
 STEMS = (4, 5, 6, 7, 8)
 
 
@@ -40,9 +42,10 @@ def word_key(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w)
 
 
-def word_indices(w: bytes, bits: int = BITS) -> list[int]:
-    """Of the word and of its stems: its first bytes, where it has as many."""
-    stems = [xxhash.xxh3_64_intdigest(w[:k], k) >> 64 - bits for k in STEMS if len(w) >= k]
+def word_indices(w: bytes, bits: int = BITS, stems: tuple[int, ...] = STEMS) -> list[int]:
+    """Of the word and of its stems: its first characters, where it has as many."""
+    s = w if w.isascii() else w.decode("utf-8", "replace")
+    stems = [xxhash.xxh3_64_intdigest(s[:k], k) >> 64 - bits for k in stems if len(s) >= k]
     return [word_key(w) >> 64 - bits, *stems]
 
 
@@ -113,7 +116,7 @@ def train(rows: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, fl
         flat, at = idx.flatten().to_numpy(), idx.offsets.to_numpy()
         at = at - at[0]
         if len({*y.tolist()}) < 2:
-            w, bias = np.zeros(1 << bits), -35.0
+            w, bias = np.zeros(1 << bits), 35.0 if y.any() else -35.0
         else:
             w, bias = ftrl([flat[at[k] : at[k + 1]] for k in order], y[order], bits)
         where = np.flatnonzero(w)
@@ -127,8 +130,8 @@ def train(rows: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, fl
     return np.array(model[0], np.int64), np.array(model[1]), model[2]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
-    """docs with __score double, 0 to 1."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score", bits: int = BITS) -> DataFrame:
+    """docs with a score, double, 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +161,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
             if held:
                 out.append(sums(held))
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(out) + bias, -35, 35))) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("__score")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
 def held_out_id():
@@ -171,10 +174,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted. Learns from rows that are not held out."""
     model = train(training_rows(docs, labels, held_out=held_out_id()))
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out_id().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out_id().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the model does not reject."""
     model = train(training_rows(docs, labels, held_out=held_out_id()))
-    return score(docs, model).where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    (name,) = fresh(docs, "score")
+    return score(docs, model, name).where(F.col(name) < THRESHOLD).select(*docs.columns)
