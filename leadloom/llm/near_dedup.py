@@ -213,21 +213,24 @@ def components(edges: DataFrame) -> DataFrame:
     edges and jump to labels of labels.
     """
     tree = materialise(forest(edges), "forest")
-    inner = materialise(tree.select(F.explode(F.array("v", "w")).alias("v")).groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "inner")
-    leaves = materialise(tree.join(inner, "v", "left_anti"), "leaves")
-    core = tree.join(inner, "v", "left_semi")
+    inner = tree.select(F.explode(F.array("v", "w")).alias("v")).groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v", F.lit(True).alias("inner"))
+    tagged = materialise(tree.join(inner, "v", "left"), "tagged")
+    leaves, core = tagged.where("inner is null").select("v", "w"), tagged.where("inner").select("v", "w")
+    if core.isEmpty():  # stars only
+        return leaves.toDF("v", "comp").union(leaves.select("w", "w").distinct())
     both = materialise(core.union(core.select("w", "v")).toDF("v", "w"), "edges")
     labels = materialise(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("comp")), "labels")
-    moved = not labels.isEmpty()
+    moved = True
     while moved:
-        near = materialise(both.join(labels.toDF("w", "x"), "w").groupBy("v").agg(F.min("x").alias("x")), "near")
+        near = both.join(labels.toDF("w", "x"), "w").groupBy("v").agg(F.min("x").alias("x"))
         low = labels.join(near, "v").select("v", "comp", F.least("comp", "x").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("comp").alias("further"))
         new = materialise(low.join(jump, "low").select("v", "comp", F.least("low", "further").alias("new")), "labels")
         moved = not new.where("new < comp").isEmpty()
         labels = new.select("v", F.col("new").alias("comp"))
     tops = leaves.select(F.col("w").alias("v")).distinct().join(labels, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))
-    hung = leaves.join(materialise(tops, "tops").toDF("w", "comp"), "w").select("v", "comp")
+    tops = materialise(tops, "tops")
+    hung = leaves.join(tops.toDF("w", "comp"), "w").select("v", "comp")
     return materialise(labels.union(hung).union(tops.join(labels, "v", "left_anti")), "components")
 
 
