@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from leadloom.llm import chat_quotes, common, decontamination, exact_dedup, html_extraction, license_scan, merge_dropout, near_dedup, sharding, token_store, toxicity
@@ -48,14 +50,41 @@ def test_sharding(spark, docs, empty):
     assert sharding.digest(empty).count() == 0
 
 
+def plain_shard(doc_id, shards, seed=sharding.SEED):
+    """The shard by a plain loop over the hashes of seed, shard and id."""
+
+    def weight(k):
+        h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42))
+        h = h if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
+        return (h - (1 << 64) if h >> 63 else h), k
+
+    return max(range(shards), key=weight)
+
+
+def test_shards_equal_a_plain_version(spark, docs):
+    for r in sharding.digest(docs, shards=5).collect():
+        assert (r.shard, r.grown_shard, r.law) == (plain_shard(r.doc_id, 5), plain_shard(r.doc_id, 6), "key")
+
+
 def test_buckets_do_not_change_shards_and_the_seed_decides(spark, docs):
-    schema = docs.withColumns({"__shard": F.lit(0), "__bucket": F.lit(0), "__place": F.lit(0).cast("long")}).schema
-    runs = []
-    for _ in range(2):
-        got = sharding.with_slots(sharding.read_shards(spark, sharding.write_shards(docs, 3, 5, bucket_bytes=20_000), schema))
-        assert set(docs.columns) < set(got.columns)
-        runs.append(sorted((r["__shard"], r["__slot"], str(r.doc_id), r.text or "") for r in got.collect()))
-    assert runs[0] == runs[1]
+    clash = docs.withColumns({"__shard": F.lit("mine"), "__bucket": F.lit(3.5)})
+    runs = {}
+    for seed, size in ((5, 20_000), (5, 20_000), (5, 1 << 20), (6, 20_000)):
+        path = sharding.write_shards(clash, 3, seed, bucket_bytes=size)
+        shard, bucket, place = sharding.shard_columns(clash)
+        got = sharding.with_slots(sharding.read_shards(spark, path, sharding.shard_schema(clash)), shard, bucket, place)
+        assert set(clash.columns) < set(got.columns) and {r["__shard"] for r in got.collect()} == {"mine"}
+        found = sorted((r[shard], r["__slot"], str(r.doc_id), r.text or "") for r in got.collect())
+        assert runs.setdefault((seed, size), found) == found
+    where = {k: sorted((s, d, t) for s, _, d, t in v) for k, v in runs.items()}
+    assert where[5, 20_000] == where[5, 1 << 20] != where[6, 20_000] and runs[5, 20_000] != runs[5, 1 << 20]
+
+
+def test_buckets_stay_small_for_repeats_of_one_record(spark):
+    repeats = spark.range(0, 6000, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x" * 99).alias("text"))
+    path = sharding.write_shards(repeats, 4, bucket_bytes=20_000)
+    sizes = [r["count"] for r in sharding.read_shards(spark, path, sharding.shard_schema(repeats)).groupBy("__shard", "__bucket").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 30 and max(sizes) < 300
 
 
 def test_fisher_yates_is_a_permutation():
@@ -94,6 +123,66 @@ def test_main_text_is_whole(page, text):
     assert html_extraction.main_text(page) == "\n".join(t.strip() for t in text)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>One.</p><p title=it's>Two.</p><p class=\"x\"\">Three.</p><p a='>'>Four.</p></article>", "One.\nTwo.\nThree.\nFour."),
+        (f"<div class=with-sidebar><div class=nav-open><div class=post-header><h1>Head</h1></div><p>{LONG}</p></div></div>", f"Head\n{LONG.strip()}"),
+        (f"<div class=content><div class=sidebar><p>{LONG}</p></div></div>", LONG.strip()),
+        ("<p>a<!--> b</p><p>c<!-- x --!>d</p></3>e", "a b\ncd\ne"),
+    ],
+)
+def test_main_text_reads_tags_as_browsers_do(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    deep = "<div>".join(f"word {k}. " for k in range(100_000))
+    assert html_extraction.main_text(f"<x-a>{deep}</li></nothing>").count("\n") == 99_999
+    assert len(html_extraction.main_text("<article><p>" + "long text, " * 500_000)) > 5_000_000
+    assert time.perf_counter() - began < 60
+
+
+def plain_ratios(blocks):
+    """Text and punctuation ratios by full path strings, plain loops."""
+
+    def path(e):
+        return path(e.parent) + (e.path,) if e else ()
+
+    def smoothed(x):
+        out = []
+        for i in range(len(x)):
+            near = [(j, np.exp(-((j - i) ** 2) / (2 * html_extraction.SIGMA**2))) for j in range(max(0, i - 2), min(len(x), i + 3))]
+            out.append(sum(x[j] * w for j, w in near) / sum(w for _, w in near))
+        return out
+
+    of = defaultdict(list)
+    for e, t, _ in blocks:
+        of[path(e)].append(t)
+    chars = [sum(map(len, of[path(e)])) / len(of[path(e)]) for e, _, _ in blocks]
+    marks = [(sum(len(re.findall("[.,;:!?]", t)) for t in of[path(e)]) + 0.5) / len(of[path(e)]) for e, _, _ in blocks]
+    return [a * b for a, b in zip(smoothed(chars), smoothed(marks), strict=True)]
+
+
+def test_ratios_decide_without_names(spark):
+    """The ratios equal a plain version; pages keep their text without class names, and mostly without any kind of element."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    nameless = [re.sub(r' class="?[^">]*"?', "", x) for x in pages]
+    bare = [re.sub(r"<(/?)(nav|article|footer|header)>", r"<\1div>", x) for x in nameless]
+    texts = [html_extraction.main_text(x) for x in pages]
+    assert [html_extraction.main_text(x) for x in nameless] == texts
+    assert sum(html_extraction.main_text(x) == t for x, t in zip(bare, texts, strict=True)) >= 0.7 * len(texts)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(html_extraction, "path_ratios", lambda blocks: np.ones(len(blocks)))
+        assert sum(html_extraction.main_text(x) == t for x, t in zip(bare, texts, strict=True)) < 0.1 * len(texts)
+    for x in [*pages[:10], PAGE]:
+        blocks = html_extraction.blocks_of(x)[1]
+        assert html_extraction.path_ratios(blocks) == pytest.approx(plain_ratios(blocks))
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_extraction.extract(pages).collect()
@@ -145,20 +234,89 @@ def test_license_scan(spark):
     assert license_scan.scan(df).count() == len(files) and license_scan.scan(df.where("false")).count() == 0
 
 
-def test_license_scores_equal_a_plain_version(spark):
-    lines = ["Licensed under CC BY-NC 4.0.", "GNU General Public License", "this is under the version 2 of it", "Licensed under the MIT License by us", "nothing"]
-    df = spark.createDataFrame([(i, f"/d/{i}", t) for i, t in enumerate(lines)], "doc_id long, path string, text string")
-    n, freq = len(lines), Counter(t for x in lines for t in set(license_scan.terms(x)))
-    idf = license_scan.weights(n, freq)
+WRAPPED = "\n".join(f" * {x}" for x in (
+    "This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version.",
+))
+
+
+def wrap(text, width=78):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_licence_files_are_wrapped_and_hand_down(spark):
+    texts = dict(license_scan.TEXTS)
+    files = [
+        (1, "/mit/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrap(texts["MIT"][12:])), (2, "/mit/src/a.py", "code"), (3, "/bsd/COPYING.txt", wrap(texts["BSD-3-Clause"])), (4, "/bsd/a.py", "x"),
+        (5, "/gpl/a.c", f"/*\n{WRAPPED}\n */\nint main() {{ return 0; }}\n" + "y = f(x);\n" * 200), (6, "/gpl/b.c", "int x;"), (7, "/mit/two.c", "x"), (7, "/mit/two.c", "Released under the ISC License"),
+        (None, "/n/a.c", f"{WRAPPED}\nint x;\n" + "y = f(x);\n" * 50), (8, "/any/text.bin", wrap(texts["MIT"], 30)), (9, "/any/b", ""), (10, "/long/a", "word " * 300_000),
+    ]
+    df = spark.createDataFrame([(*f, "clash", 1.5) for f in files], "doc_id long, path string, text string, license string, score double")
+    got = {(r.doc_id, r.path, r.license, r.origin, r.license_dir) for r in license_scan.scan(df).collect()}
+    assert got == {
+        (1, "/mit/LICENSE", "MIT", "own", "/mit"), (2, "/mit/src/a.py", "MIT", "inherited", "/mit"), (3, "/bsd/COPYING.txt", "BSD-3-Clause", "own", "/bsd"), (4, "/bsd/a.py", "BSD-3-Clause", "inherited", "/bsd"),
+        (5, "/gpl/a.c", "GPL-3.0", "own", "/gpl"), (6, "/gpl/b.c", None, "none", None), (7, "/mit/two.c", "MIT", "inherited", "/mit"), (7, "/mit/two.c", "ISC", "own", "/mit"),
+        (None, "/n/a.c", "GPL-3.0", "own", "/n"), (8, "/any/text.bin", "MIT", "own", "/any"), (9, "/any/b", "MIT", "inherited", "/any"), (10, "/long/a", None, "none", None),
+    }
+
+
+def plain_licences(files):
+    """(doc_id, path, license, score, origin, license_dir) by plain loops over runs, templates and ancestors."""
+    freq = Counter(t for _, _, x in files for t in set(license_scan.terms(x or "")))
+    idf = license_scan.weights(len(files), freq)
     mean = sum(idf.values()) / len(idf)
-    exp = {}
-    for i, x in enumerate(lines):
-        v = {t: c * idf.get(t, mean) for t, c in Counter(license_scan.terms(x)).items()}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        best = max((round(sum(v.get(t, 0) * w for t, w in u.items()) / norm, 9), -k, name) for k, name, u in license_scan.template_vectors(idf))
-        if best[0] >= license_scan.THRESHOLD:
-            exp[i] = (best[2], best[0])
-    assert {r.doc_id: (r.license, pytest.approx(r.score)) for r in license_scan.scan(df).collect() if r.origin == "own"} == exp
+    vectors = license_scan.template_vectors(idf)
+
+    def cosine(words, u):
+        v = {t: c * idf.get(t, mean) for t, c in Counter(words).items()}
+        return round(sum(v.get(t, 0) * w for t, w in u.items()) / sum(w * w for w in v.values()) ** 0.5, 9)
+
+    own, gives = [], defaultdict(list)
+    for _, path, text in files:
+        text, found = text or "", []
+        lines = [(i, license_scan.terms(x)) for i, x in enumerate(text.split("\n")) if license_scan.terms(x)]
+        if lines:
+            found += [(cosine(license_scan.terms(text), u), -k, 0, 0, name, 1.0) for k, name, u in vectors[: len(license_scan.TEXTS)]]
+            found = [f for f in found if f[0] >= license_scan.TEXT_THRESHOLD]
+        total = len(re.findall(license_scan.TERM + r"|[^\x00-\x7f]+", text.lower()))
+        for p in range(len(lines)):
+            for k in range(1, min(license_scan.LINES, len(lines) - p) + 1):
+                words = [w for _, ws in lines[p : p + k] for w in ws]
+                new = [(cosine(words, u), -t, -lines[p][0], -k, name, None) for t, name, u in vectors[len(license_scan.TEXTS) :]]
+                new = [f for f in new if f[0] >= license_scan.THRESHOLD]
+                found += [(*f[:5], len(words)) for f in new]
+        best = max(found, default=None)
+        own.append(best)
+        named = bool(any(f[3] == 0 for f in found) or re.search(license_scan.FILE_NAMES, path or "/"))
+        if best and (named or best[5] >= license_scan.FILE_SHARE * total):
+            gives[(path or "/").rpartition("/")[0]].append((named, best[0], path or "/", best[4]))
+    out = []
+    for (i, path, _), best in zip(files, own, strict=True):
+        path = path or "/"
+        d = path.rpartition("/")[0]
+        up = d
+        while up and up not in gives:
+            up = up.rpartition("/")[0]
+        up = up if up in gives else None
+        name = best[4] if best else max(gives[up])[3] if up is not None else None
+        out.append((i, path, name, best and best[0], "own" if best else "inherited" if up is not None else "none", d if best else up))
+    return out
+
+
+def test_license_scan_equals_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    lines = [x for _, x in license_scan.NOTICES] + ["", "some code here", "the version of it", "* * *", "public license of words", "released 2.0 under 4.0"]
+    files = []
+    for i in range(60):
+        text = "\n".join(lines[k] for k in rng.integers(0, len(lines), rng.integers(0, 6)))
+        words = text.split(" ")
+        if len(words) > 4 and i % 3 == 0:
+            words[len(words) // 2] += "\n"
+        depth = int(rng.integers(0, 4))
+        files.append((i % 50, "/".join(["", *(str(x) for x in rng.integers(0, 2, depth)), ["LICENSE", "a.py"][int(rng.integers(0, 2))]]), " ".join(words) if i % 7 else None))
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    key = lambda r: tuple(str(x) for x in r)
+    got = sorted((tuple(r) for r in license_scan.scan(df).collect()), key=key)
+    assert got == sorted(plain_licences(files), key=key)
 
 
 # ---- 5
@@ -177,6 +335,20 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_texts_that_share_a_key_are_chained_and_told_apart(spark, docs):
+    """One bit of key for all texts: chains hold many texts, and the bytes decide."""
+    rows = docs.unionByName(docs.where("doc_id in (3, 6)")).withColumns({"gone_id": F.lit(1), "again": F.lit("x")})
+    index = exact_dedup.build_index(rows, capacity=2, key_bits=1).collect()
+    by_key = defaultdict(list)
+    for r in index:
+        by_key[r.key].append(r.chain)
+    assert len(by_key) <= 2 and all(sorted(c) == list(range(len(c))) for c in by_key.values()) and max(map(len, by_key.values())) > 2
+    assert {r.text_sha256 for r in index} == {hashlib.sha256(lower(t).encode()).hexdigest() for _, t in TEXTS}
+    assert Counter(exact_dedup.exact_dedup(rows, key_bits=1).collect()) == Counter(exact_dedup.exact_dedup(rows).collect())
+    kept = exact_dedup.drop_copies(rows, key_bits=1)
+    assert kept.columns == rows.columns and Counter(lower(r.text) for r in kept.collect()) == Counter({lower(t) for _, t in TEXTS})
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(500).select(F.xxhash64("id").alias("key"))
     leaves = exact_dedup.directory(keys, 16).collect()
@@ -208,14 +380,15 @@ def test_decontamination(spark, docs, empty, block):
     bench = spark.createDataFrame(items, "item_id string, text string")
     texts = [(i, t) for i, t in TEXTS if i != 14] + [(14, "long " * 300)]
     small = docs.where("doc_id <> 14 or doc_id is null").unionByName(spark.createDataFrame([(14, "long " * 300, "k", 1, "en")], SCHEMA))
+    small = small.withColumns({"hit": F.lit("mine"), "n_words": F.array(F.lit(1))})
     marked = decontamination.mark(small, bench, block_bytes=block)
     got = Counter(
-        (r.doc_id, r["__words"], len(r["__hit"]), len(r["__items"]), decontamination.digest(r["__items"]), bool(r["__hit"])) for r in marked.collect()
+        (r.doc_id, r["_n_words"], len(r["_hit"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r["_hit"])) for r in marked.collect()
     )
-    assert got == Counter(plain_decontamination(texts, items))
-    assert Counter(map(tuple, decontamination.decontaminate(small, bench).collect())) == got
+    assert got == Counter(plain_decontamination(texts, items)) and {r["hit"] for r in marked.collect()} == {"mine"}
+    assert Counter(map(tuple, decontamination.decontaminate(small, bench, block_bytes=block).collect())) == got
     kept = decontamination.drop_contaminated(small, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(n for k, n in got.items() if not k[-1])
+    assert kept.columns == small.columns and kept.count() == sum(n for k, n in got.items() if not k[-1])
     assert decontamination.decontaminate(empty, bench).count() == 0
     assert decontamination.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
@@ -244,6 +417,81 @@ def test_reply_order_goes_back_to_branches(spark):
     assert [r.turn for r in chat_quotes.conversations(chat_quotes.link_quotes(df)).collect()] == [0, 1, 3, 2]
 
 
+def quoting_conversations(seed, n=40):
+    """(rows, expected parent): replies that quote whole paragraphs, wrapped lines, re-wrapped text, sentences, and quotes of quotes."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 8))))
+    sentence = lambda lo=8, hi=14: " ".join(word() for _ in range(int(rng.integers(lo, hi)))).capitalize() + "."
+    rows, parents = [], {}
+    for c in range(n):
+        own = []
+        for t in range(12):
+            text, parent = "\n\n".join(textwrap.fill(" ".join(sentence() for _ in range(int(rng.integers(2, 5)))), 50) for _ in range(2)), t - 1 if t else None
+            body = text
+            if t and rng.random() < 0.8:
+                parent = int(rng.integers(0, t))
+                paragraph = own[parent].split("\n\n")[int(rng.integers(2))]
+                kind = int(rng.integers(5))
+                if kind == 0:
+                    quote = paragraph
+                elif kind == 1:
+                    lines = paragraph.split("\n")
+                    quote = "\n".join(lines[: max(2, len(lines) // 2)])
+                elif kind == 2:
+                    quote = textwrap.fill(paragraph.replace("\n", " "), 70).upper()
+                elif kind == 3:
+                    quote = re.split(r"(?<=[.])\s", paragraph)[-1]
+                else:
+                    quote = paragraph + "\n> nested from far away and long ago it was"
+                body = "They wrote:\n" + "\n".join(f"> {x}" for x in quote.split("\n")) + "\n\n" + text
+            own.append(text)
+            rows.append((c, t, "u", body))
+            parents[c, t] = parent
+    return rows, parents
+
+
+def plain_quotes(rows):
+    """Parent by plain search: the latest earlier message whose own text contains the words of a level-1 passage."""
+    own, out = {}, {}
+    for c, t, _, body in rows:
+        clean, _, _ = chat_quotes.parse(body)
+        quoted, passage = [], []
+        for line in [*body.split("\n"), ""]:
+            m = re.fullmatch(r">(?! ?>) ?(.+)", line)
+            if m:
+                passage.append(m[1])
+            elif passage:
+                quoted.append(" ".join(chat_quotes.words_of("\n".join(passage))))
+                passage = []
+        found = [e for q in quoted for e in range(t) if f" {q} " in own[c, e]]
+        out[c, t] = max(found, default=t - 1 if t else None)
+        own[c, t] = f" {' '.join(chat_quotes.words_of(clean))} "
+    return out
+
+
+def test_parts_of_messages_are_linked(spark):
+    rows, parents = quoting_conversations(1)
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "conv_id long, turn long, role string, text string, own int, units string")
+    got = {(r.conv_id, r.turn): r.parent_turn for r in chat_quotes.link_quotes(df.repartition(3)).collect()}
+    plain = plain_quotes(rows)
+    assert sum(got[k] == plain[k] for k in got) >= 0.99 * len(got)
+    assert sum(got[k] == v for k, v in parents.items()) >= 0.95 * len(parents)
+
+
+def test_long_and_repeated_messages(spark):
+    import time
+
+    text = "\n".join(f"> quoted line {i} with some words" if i % 3 else f"own line {i} with some words" for i in range(100_000))
+    began = time.perf_counter()
+    chat_quotes.parse(text)
+    assert time.perf_counter() - began < 30
+    p, q = "the first of two texts that one turn has here", "the second of two texts that one turn has here"
+    rows = [(1, 0, "u", p), (1, 0, "u", q), (1, 1, "u", "between"), (1, 2, "u", f"> {p}\nyes"), (1, 2, "u", f"> {q}\n\n> {q}\nno"), (1, 3, "u", f"Ann said:\n\n> {p}\n>> {p}")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(r.turn, r.text, r.n_quotes, r.n_linked, r.parent_turn) for r in chat_quotes.link_quotes(df).collect()]
+    assert Counter(got) == Counter([(0, p, 0, 0, None), (0, q, 0, 0, None), (1, "between", 0, 0, 0), (2, "yes", 2, 2, 0), (2, "no", 2, 2, 0), (3, "", 2, 2, 0)])
+
+
 # ---- 8
 def plain_components(texts):
     sets = []
@@ -450,6 +698,27 @@ def test_token_store(spark, docs, empty):
     assert token_store.read_store(spark, token_store.write_store(empty, VOCABULARY)).count() == 0
 
 
+def test_tokens_are_found_by_global_position(spark, docs):
+    path = token_store.write_store(docs.repartition(3), VOCABULARY)
+    rows = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r.start)
+    ids = [i for r in rows for i in r.ids]
+    for at in (0, 1, len(ids) // 2, rows[-1].start, len(ids) - 1):
+        assert token_store.token_at(spark, path, at) == ids[at]
+    with pytest.raises(IndexError):
+        token_store.token_at(spark, path, len(ids))
+
+
+def test_other_tokenizers_go_through_the_library(spark, docs):
+    """A file that keeps white space: ids are the library's, not those of chunks."""
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_store.cuts_at_space(VOCABULARY) and not token_store.cuts_at_space(other)
+    tok = Tokenizer.from_file(other)
+    got = {(r.doc_id, tuple(r.ids)) for r in token_store.read_store(spark, token_store.write_store(docs, other)).collect()}
+    assert got == {(i, (*tok.encode(t or "", add_special_tokens=False).ids, 2)) for i, t in TEXTS}
+
+
 def test_chunks_equal_the_library():
     import random
 
