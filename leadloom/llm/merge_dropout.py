@@ -8,7 +8,8 @@ are merged in step with numpy; long chunks take the heap.
 
 Only what no draw decides is remembered: for a chunk and the candidates skipped so far, the merges that follow if nothing
 else is skipped, and the symbols at their end. Every occurrence tests its own hashes along these merges; at the first that
-it skips it goes on to the merges that follow that skip.
+it skips it goes on to the merges that follow that skip. A chunk that is seen for the first time is merged with its draws at
+once; it is remembered from the second time on. Both ways give the same result.
 
 With a rate of 0 the result is the library's own. Characters outside the vocabulary, and a literal U+2581, become their
 UTF-8 bytes, so decoding gives back every text exactly.
@@ -24,6 +25,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.pieces import Slots
-
 RATE, SEED = 0.1, 20240601
 SPACE = "▁"
 CUT = re.compile(r" *[^ \n]+| +|\n")
 #: Chunks longer than LONG take the heap; merges of those up to SHORT are remembered. Bytes of text that are encoded at once.
 LONG, SHORT, STRIDE = 48, 24, 1 << 20
+#: Lengths of chunks that are padded to one width: over the first, up to the second number.
+BANDS = ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, SHORT))
+NEW, LARGE = -1, -2
 #: A symbol that nothing merges with, after the end of a chunk.
 PAD = 1 << 40
 NONE = np.int32(2**31 - 1)
@@ -98,15 +101,36 @@ class Model:
                 left, right = ids.get(p[:k]), ids.get(p[k:])
                 if left is not None and right is not None:
                     pairs[left * size + right] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.pairs = pairs
+        #: Pairs by hash, each in the first free place from its own on; at most an eighth of the places are taken.
+        self.bits = max(4, (8 * len(pairs)).bit_length())
+        self.pair_keys, self.pair_ids = np.full((1 << self.bits) + 64, -2, np.int64), np.full((1 << self.bits) + 64, -1, np.int64)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        for k, at in zip(keys.tolist(), self.place(keys).tolist(), strict=True):
+            while self.pair_keys[at] != -2:
+                at += 1
+            self.pair_keys[at], self.pair_ids[at] = k, pairs[k]
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).view(np.int64)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, or -1."""
         key = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
+        at = self.place(key)
+        there = self.pair_keys[at]
+        out = np.where(there == key, self.pair_ids[at], -1)
+        more = np.nonzero((there != key) & (there != -2) & (key >= 0))
+        step = 0
+        while more[0].size:  # taken by another pair
+            step += 1
+            there = self.pair_keys[at[more] + step]
+            same = there == key[more]
+            found = tuple(m[same] for m in more)
+            out[found] = self.pair_ids[at[found] + step]
+            go_on = ~same & (there != -2)
+            more = tuple(m[go_on] for m in more)
+        return out
 
     def heap(self, symbols: list[int], key: int, limit: int) -> list[int]:
         """One chunk, by a heap. limit: candidates whose hash is below are skipped."""
@@ -206,6 +230,27 @@ class Model:
             flat[first[rows][:, None] + np.arange(got.shape[1])] = got
         return self.spelt(flat, counts)
 
+    def drawn(self, chunks: list[str], keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for chunks of at most SHORT characters, which are padded to a few widths."""
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        starts = np.cumsum(lengths) - lengths
+        symbols = np.concatenate([self.symbol[points], [PAD]])
+        counts, done = np.zeros(len(chunks), np.int64), []
+        for low, width in BANDS:
+            which = np.flatnonzero((lengths > low) & (lengths <= width))
+            if which.size:
+                place = np.arange(width)
+                padded = symbols[np.where(place < lengths[which][:, None], starts[which][:, None] + place, len(points))]
+                for rows, got, _ in self.in_step(padded, keys[which], limit):
+                    counts[which[rows]] = (got != PAD).sum(1)
+                    done.append((which[rows], got))
+        flat, first = np.empty(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+        for of, got in done:
+            row, col = np.nonzero(got != PAD)
+            flat[first[of][row] + col] = got[row, col]
+        return self.spelt(flat, counts)
+
     def walks(self, chunks: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For chunks of at most SHORT characters and the candidates that each skips (0: none): ids and how many each has, merged candidates and how many each has."""
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -214,7 +259,7 @@ class Model:
         symbols = np.concatenate([self.symbol[points], [PAD]])
         counts, steps, done = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
         none = np.zeros(len(chunks), U)
-        for low, width in zip((0, 4, 8, 12, 16), (4, 8, 12, 16, SHORT), strict=True):
+        for low, width in BANDS:
             which = np.flatnonzero((lengths > low) & (lengths <= width))
             if not which.size:
                 continue
@@ -255,13 +300,22 @@ class Model:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
 
 
+@functools.lru_cache(maxsize=1)
+def segmenter_of(path: str, rate: float, seed: int) -> Segmenter:
+    """Lives as long as the worker, so that its tasks share what is remembered."""
+    return Segmenter(load(path), rate, seed)
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Model:
     return Model(path)
 
 
 class Segmenter:
-    """Encodes texts; remembers what follows a chunk and its skips, as nodes. Emptied when it holds more than ``limit`` nodes."""
+    """Encodes texts; remembers what follows a chunk and its skips, as nodes. Emptied when it holds more than ``limit`` nodes.
+
+    once: chunks that were seen once, which are not remembered yet.
+    """
 
     def __init__(self, model: Model, rate: float = RATE, seed: int = SEED, limit: int = 500_000):
         self.model, self.seed, self.limit = model, seed, limit
@@ -269,7 +323,7 @@ class Segmenter:
         self.clear()
 
     def clear(self) -> None:
-        self.slot, self.names, self.nodes = Slots(), [], 0
+        self.slot, self.names, self.nodes, self.once = {}, [], 0, set()
         #: By chunk: its first node. By node: chunk, node before, candidate skipped there, skips so far, ids, merged candidates.
         self.root = np.full(1024, -1, np.int64)
         self.chunk, self.before, self.depth, self.starts, self.counts, self.first, self.steps = (np.zeros(1024, np.int64) for _ in range(7))
@@ -337,6 +391,24 @@ class Segmenter:
             node[rows] = self.child[hit]
         return node
 
+    def slots(self, chunks: list[str], lengths: np.ndarray) -> np.ndarray:
+        """The number of each chunk, NEW for those that are seen for the first time, and LARGE for those over SHORT characters."""
+        get, once, out = self.slot.get, self.once, np.fromiter(map(self.slot.get, chunks, repeat(NEW)), np.int64, len(chunks))
+        out[lengths > SHORT] = LARGE
+        if len(once) > self.limit:
+            once.clear()
+        for k in np.flatnonzero(out == NEW).tolist():
+            c = chunks[k]
+            if c in once:  # the second time
+                once.remove(c)
+                out[k] = self.slot[c] = len(self.names)
+                self.names.append(c)
+            else:
+                out[k] = at = get(c, NEW)
+                if at == NEW:
+                    once.add(c)
+        return out
+
     def ids(self, texts: list[str], doc_keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         if self.nodes > self.limit:
@@ -350,17 +422,19 @@ class Segmenter:
         place = np.arange(len(cut)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
         keys = np.repeat(np.array(doc_keys, U), n_chunks) + place.astype(U) * U(0x9E3779B97F4A7C15) + U(self.seed)
         lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-        short, long = np.flatnonzero(lengths <= SHORT), np.flatnonzero(lengths > SHORT)
-        slots = self.slot.of(cut if not long.size else [cut[k] for k in short.tolist()])
-        self.names += self.slot.fetch_new()
+        slots = self.slots(cut, lengths)
+        known, new, long = np.flatnonzero(slots >= 0), np.flatnonzero(slots == NEW), np.flatnonzero(slots == LARGE)
         starts, n = np.empty(len(cut), np.int64), np.empty(len(cut), np.int64)
-        node = self.leaves(slots, keys[short])
-        starts[short], n[short] = self.starts[node], self.counts[node]
-        if long.size:  # every occurrence by itself; its ids are not kept
-            flat, n[long] = self.model.encode([cut[k] for k in long.tolist()], keys[long], self.below)
-            self.room(("flat",), self.used + len(flat))
-            self.flat[self.used : self.used + len(flat)] = flat
-            starts[long] = self.used + np.cumsum(n[long]) - n[long]
+        node, kept = self.leaves(slots[known], keys[known]), self.used
+        starts[known], n[known] = self.starts[node], self.counts[node]
+        for which, encode in ((new, self.model.drawn), (long, self.model.encode)):
+            if which.size:  # every occurrence by itself; its ids are not kept
+                flat, n[which] = encode([cut[k] for k in which.tolist()], keys[which], self.below)
+                self.room(("flat",), self.used + len(flat))
+                self.flat[self.used : self.used + len(flat)] = flat
+                starts[which] = self.used + np.cumsum(n[which]) - n[which]
+                self.used += len(flat)
+        self.used = kept
         ends = np.cumsum(n)
         out = self.flat[np.repeat(starts - (ends - n), n) + np.arange(int(n.sum()))]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_chunks)])]
@@ -372,7 +446,7 @@ def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        segmenter = Segmenter(model, rate, seed)
+        segmenter = segmenter_of(model_path, rate, seed)
 
         def flush(names, texts):
             ids, n = segmenter.ids([t.decode() for t in texts], [xxhash.xxh3_64_intdigest(str(x)) for x in names])
