@@ -3,13 +3,13 @@
 Terms are lower-cased runs of letters, digits and inner dots. Document frequencies of the templates' terms are counted over
 all files; a term that no template has weighs as much as the mean template term, so that words around a notice count against it.
 
-- Headers: every run of one to ``LINES`` lines (lines without terms apart) is compared with the notices, so that a notice may be
-  wrapped. A run takes its most similar notice at a cosine of ``THRESHOLD`` or more, and a file the most similar of its runs.
+- Headers: every line, and every run of two to ``LINES`` lines (lines without terms apart) of at most ``WRAPPED`` terms each, is
+  compared with the notices, so that a notice may be wrapped. A run takes its most similar notice at a cosine of ``THRESHOLD`` or more, and a file the most similar of its runs.
 - Licence files: the vector of a whole file is compared with the licence texts, at a cosine of ``TEXT_THRESHOLD`` or more.
 - A file licenses its directory if it as a whole is a licence text, if half of its words are in its best run, or if it has a licence and is named like a licence file. Files without a licence of their own take that of the nearest ancestor directory
   that has one: the distinct directories are resolved by joins on their ancestors, then joined to the files by path.
 
-Terms are found once and written with the text. Only files and runs with an anchor term can reach a threshold, so only those are
+Terms are found once and written, with the text if any of them is not an ordinary word. Only files and runs with an anchor term can reach a threshold, so only those are
 exploded: what is left of a template without its anchors has a norm below its threshold. A licence depends on the text alone, so
 files are told apart by the SHA-256 of their text, and any row finds its licence by it.
 
@@ -103,10 +103,17 @@ TEXTS = [
 ]
 #: (licence, text) of all templates, licence texts first.
 TEMPLATES = [*TEXTS, *NOTICES]
+# fixed values: words of any prose, which anchor nothing if the others can
+ORDINARY = tuple(
+    "a above all an and any anyone are as at be but by do either every for form free from have in is it its large made may means name names no nor not of on or other otherwise our "
+    "out over part person persons products provided public purpose rights so subject such that the their they this to under use used using version want was we with work you".split()
+)
 FILE_NAMES = r"(?i)/(licen[cs]e|copying|unlicense)([-_.][^/]*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Least cosine of a run of lines to a notice, and of a file to a licence text; share of a file's words in a run that makes it a licence file; lines of a run.
 THRESHOLD, TEXT_THRESHOLD, FILE_SHARE, LINES = 0.6, 0.8, 0.5, 4
+#: A line of more terms is a paragraph of its own, not part of a wrapped one.
+WRAPPED = 24
 
 
 def terms(text: str) -> list[str]:
@@ -117,14 +124,18 @@ def vocabulary() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in terms(text)})
 
 
-def searched(files: DataFrame) -> DataFrame:
-    """sha, held (the template terms in the text), low (the text in lower case): a row for each row of files, written once."""
+def searched(files: DataFrame, ordinary: tuple[str, ...] = ORDINARY) -> DataFrame:
+    """sha, held (the template terms in the text), low (the text in lower case, if other than ordinary terms are in it): a row for each row of files, written once."""
     low = F.lower(F.coalesce("text", F.lit("")))
     words = F.split(low, r"[^a-z0-9.]+")
     known = F.array(*[F.lit(t) for t in vocabulary()])
     ends = F.array(*[F.lit(f"{t}.") for t in vocabulary()])
     held = F.array_distinct(F.transform(F.array_intersect(words, F.concat(known, ends)), lambda w: F.rtrim(w, F.lit("."))))
-    return materialise(files.select(text_id().alias("sha"), held.alias("held"), low.alias("low")), "searched")
+    found = files.select(text_id().alias("sha"), held.alias("held"), low.alias("low"))
+    if ordinary:
+        telling = F.size(F.array_except("held", F.array(*[F.lit(w) for w in ordinary]))) > 0
+        found = found.select("sha", "held", F.when(telling, F.col("low")).alias("low"))
+    return materialise(found, "searched")
 
 
 def text_id() -> Column:
@@ -153,15 +164,18 @@ def template_vectors(idf: dict[str, float]) -> list[tuple[int, str, dict[str, fl
     return out
 
 
-def anchors(vectors: list[tuple[int, str, dict[str, float]]], threshold: float) -> list[str]:
-    """Terms, the heaviest first, until what is left of each template is shorter than the threshold."""
+def anchors(vectors: list[tuple[int, str, dict[str, float]]], threshold: float, ordinary: tuple[str, ...] = ()) -> list[str] | None:
+    """Terms, the heaviest first, until what is left of each template is shorter than the threshold; None if that takes ordinary terms."""
     found: set[str] = set()
     for _, _, v in vectors:
-        rest = 1.0
-        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
-            if math.sqrt(max(0.0, rest - sum(v[a] ** 2 for a in found if a in v))) < threshold:
+        left = lambda v=v: math.sqrt(max(0.0, 1.0 - sum(v[a] ** 2 for a in found if a in v)))
+        for t, _ in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+            if left() < threshold:
                 break
-            found.add(t)
+            if t not in ordinary:
+                found.add(t)
+        if left() >= threshold:
+            return None
     return sorted(found)
 
 
@@ -173,7 +187,8 @@ def _runs(lines: Column, rare: Column) -> Column:
             F.sequence(F.lit(1), F.least(F.lit(LINES), F.size(lines) - p)),
             lambda k: F.struct(F.element_at(lines, p + 1)["line"].alias("line"), k.alias("k"), F.flatten(F.slice(lines, p + 1, k)["terms"]).alias("terms")),
         )
-        return F.filter(made, lambda w: F.arrays_overlap(w["terms"], rare))
+        short = F.transform(made, lambda w: F.struct(w.alias("w"), ((w["k"] == 1) | F.forall(F.slice(lines, p + 1, w["k"]), lambda x: F.size(x["terms"]) <= WRAPPED)).alias("wrapped")))
+        return F.transform(F.filter(short, lambda s: s["wrapped"] & F.arrays_overlap(s["w"]["terms"], rare)), lambda s: s["w"])
 
     return F.when(F.size(lines) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), starting)))
 
@@ -187,9 +202,9 @@ def _cosines(units: DataFrame, keys: list[str], templates: DataFrame, known: Dat
     return dots.join(norms, keys).select(*keys, "template", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"), "words")
 
 
-def scan_headers(found: DataFrame, threshold: float = THRESHOLD, text_threshold: float = TEXT_THRESHOLD) -> DataFrame:
+def scan_headers(files: DataFrame, threshold: float = THRESHOLD, text_threshold: float = TEXT_THRESHOLD, ordinary: tuple[str, ...] = ORDINARY) -> DataFrame:
     """sha, license, score, line (null for a licence text), whole (it is like a licence text), share (of the words in the best run): the texts that have a licence, a row each."""
-    spark = found.sparkSession
+    spark, found = files.sparkSession, searched(files, ordinary)
     n, df = term_frequencies(found)
     idf = weights(n, df)
     other = sum(idf.values()) / len(idf)
@@ -200,7 +215,10 @@ def scan_headers(found: DataFrame, threshold: float = THRESHOLD, text_threshold:
         for kind, part in parts.items()
     }  # fixed tables
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # a fixed table
-    rare, rare_text = (F.array(*[F.lit(a) for a in anchors(parts[kind], t)]) for kind, t in (("notice", threshold), ("text", text_threshold)))
+    terms_of = [anchors(parts[kind], t, ordinary) for kind, t in (("notice", threshold), ("text", text_threshold))]
+    if None in terms_of:  # in this corpus a template stands on ordinary words: keep every text
+        return scan_headers(files, threshold, text_threshold, ordinary=())
+    rare, rare_text = (F.array(*[F.lit(a) for a in ts]) for ts in terms_of)
 
     held = found.where(F.arrays_overlap("held", F.concat(rare, rare_text)))
     one = materialise(held.dropDuplicates(["sha"]), "candidates")
@@ -234,7 +252,7 @@ def with_ancestors(dirs: DataFrame) -> DataFrame:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, score, origin (own, inherited or none), license_dir: one row per row of files (doc_id, path, text)."""
     files = files.select("doc_id", F.coalesce("path", F.lit("/")).alias("path"), "text")
-    own = scan_headers(searched(files), threshold)
+    own = scan_headers(files, threshold)
     places = files.select("doc_id", "path", parent(F.col("path")).alias("dir"), text_id().alias("sha"))
     found = places.join(own, "sha", "left")
     named = F.col("whole") | F.col("path").rlike(FILE_NAMES)
