@@ -104,10 +104,7 @@ TEXTS = [
 #: (licence, text) of all templates, licence texts first.
 TEMPLATES = [*TEXTS, *NOTICES]
 # fixed values: words of any prose, which anchor nothing if the others can
-ORDINARY = tuple(
-    "a above all an and any anyone are as at be but by do either every for form free from have in is it its large made may means name names no nor not of on or other otherwise our "
-    "out over part person persons products provided public purpose rights so subject such that the their they this to under use used using version want was we with work you".split()
-)
+ORDINARY = tuple("a an and any are as at be but by for from in is it not of on or so that the this to was with".split())
 FILE_NAMES = r"(?i)/(licen[cs]e|copying|unlicense)([-_.][^/]*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Least cosine of a run of lines to a notice, and of a file to a licence text; share of a file's words in a run that makes it a licence file; lines of a run.
@@ -125,23 +122,20 @@ def vocabulary() -> list[str]:
 
 
 def searched(files: DataFrame, ordinary: tuple[str, ...] = ORDINARY) -> DataFrame:
-    """sha, held (the template terms in the text), low (the text in lower case, if other than ordinary terms are in it): a row for each row of files, written once."""
+    """doc_id, path, sha, held (the template terms in the text), low (the text in lower case, if other than ordinary terms are in it): written once."""
     low = F.lower(F.coalesce("text", F.lit("")))
     words = F.split(low, r"[^a-z0-9.]+")
     known = F.array(*[F.lit(t) for t in vocabulary()])
     ends = F.array(*[F.lit(f"{t}.") for t in vocabulary()])
     held = F.array_distinct(F.transform(F.array_intersect(words, F.concat(known, ends)), lambda w: F.rtrim(w, F.lit("."))))
-    found = files.select(text_id().alias("sha"), held.alias("held"), low.alias("low"))
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = files.select("doc_id", "path", sha.alias("sha"), held.alias("held"), low.alias("low"))
     if ordinary:
         telling = F.size(F.array_except("held", F.array(*[F.lit(w) for w in ordinary]))) > 0
-        found = found.select("sha", "held", F.when(telling, F.col("low")).alias("low"))
+        found = found.withColumn("low", F.when(telling, F.col("low")))
     return materialise(found, "searched")
 
 
-def text_id() -> Column:
-    return F.sha2(F.coalesce("text", F.lit("")), 256)
-
-
 def term_frequencies(found: DataFrame) -> tuple[int, dict[str, int]]:
     """The number of files, and in how many of them each template term is. One row a term reaches the driver."""
     counted = found.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
@@ -202,8 +196,8 @@ def _cosines(units: DataFrame, keys: list[str], templates: DataFrame, known: Dat
     return dots.join(norms, keys).select(*keys, "template", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"), "words")
 
 
-def scan_headers(files: DataFrame, threshold: float = THRESHOLD, text_threshold: float = TEXT_THRESHOLD, ordinary: tuple[str, ...] = ORDINARY) -> DataFrame:
-    """sha, license, score, line (null for a licence text), whole (it is like a licence text), share (of the words in the best run): the texts that have a licence, a row each."""
+def scan_headers(files: DataFrame, threshold: float = THRESHOLD, text_threshold: float = TEXT_THRESHOLD, ordinary: tuple[str, ...] = ORDINARY) -> tuple[DataFrame, DataFrame]:
+    """The files (doc_id, path, sha, candidate: it has an anchor term); and sha, license, score, line (null for a licence text), whole (it is like a licence text), share (of the words in the best run): the texts that have a licence, a row each."""
     spark, found = files.sparkSession, searched(files, ordinary)
     n, df = term_frequencies(found)
     idf = weights(n, df)
@@ -220,8 +214,8 @@ def scan_headers(files: DataFrame, threshold: float = THRESHOLD, text_threshold:
         return scan_headers(files, threshold, text_threshold, ordinary=())
     rare, rare_text = (F.array(*[F.lit(a) for a in ts]) for ts in terms_of)
 
-    held = found.where(F.arrays_overlap("held", F.concat(rare, rare_text)))
-    one = materialise(held.dropDuplicates(["sha"]), "candidates")
+    has = F.arrays_overlap("held", F.concat(rare, rare_text))
+    one = materialise(found.where(has).select("sha", "held", "low").dropDuplicates(["sha"]), "candidates")
     split = F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("line"), F.regexp_extract_all(x, F.lit(f"({TERM})"), F.lit(1)).alias("terms")))
     lines = F.filter(split, lambda x: F.size(x["terms"]) > 0)
     runs = one.where(F.arrays_overlap("held", rare)).select("sha", lines.alias("lines")).select("sha", F.explode(_runs(F.col("lines"), rare)).alias("r"))
@@ -235,7 +229,8 @@ def scan_headers(files: DataFrame, threshold: float = THRESHOLD, text_threshold:
     best = both.groupBy("sha").agg(F.max_by(F.struct("license", "score", "line", "words"), order).alias("b"), F.max(F.isnull("line")).alias("whole"))
     total = one.select("sha", F.size(F.regexp_extract_all("low", F.lit(f"({TERM}|[^\\x00-\\x7f]+)"), F.lit(1))).alias("n_words"))
     share = F.when(F.col("whole"), F.lit(1.0)).otherwise(F.col("b.words") / F.col("n_words"))
-    return materialise(best.join(total, "sha").select("sha", "b.license", "b.score", "b.line", "whole", share.alias("share")), "licensed")
+    own = best.join(total, "sha").select("sha", "b.license", "b.score", "b.line", "whole", share.alias("share"))
+    return found.select("doc_id", "path", "sha", has.alias("candidate")), materialise(own, "licensed")
 
 
 def parent(path: Column) -> Column:
@@ -252,9 +247,11 @@ def with_ancestors(dirs: DataFrame) -> DataFrame:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, score, origin (own, inherited or none), license_dir: one row per row of files (doc_id, path, text)."""
     files = files.select("doc_id", F.coalesce("path", F.lit("/")).alias("path"), "text")
-    own = scan_headers(files, threshold)
-    places = files.select("doc_id", "path", parent(F.col("path")).alias("dir"), text_id().alias("sha"))
-    found = places.join(own, "sha", "left")
+    rows, own = scan_headers(files, threshold)
+    places = rows.select("doc_id", "path", parent(F.col("path")).alias("dir"), "sha", "candidate")
+    found = places.where("candidate").join(own, "sha", "left")  # no other file can have a licence of its own
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in own.schema.fields if f.name != "sha"}
+    rest = places.where(~F.coalesce(F.col("candidate"), F.lit(False))).withColumns(nothing)
     named = F.col("whole") | F.col("path").rlike(FILE_NAMES)
     gives = (F.col("share") >= FILE_SHARE) | (F.col("license").isNotNull() & named)
     held = found.where(gives).groupBy(F.col("dir").alias("ancestor"))
@@ -262,7 +259,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dirs = places.select("dir").distinct()
     nearest = with_ancestors(dirs).join(held, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "dir_license")).alias("n"))
     nearest = nearest.select("dir", F.col("n.ancestor").alias("license_dir"), "n.dir_license")
-    found = found.join(materialise(nearest, "nearest"), "dir", "left")
+    found = found.unionByName(rest).join(materialise(nearest, "nearest"), "dir", "left")
     has, inherits = F.col("license").isNotNull(), F.col("dir_license").isNotNull()
     return found.select(
         "doc_id", "path", F.when(has, F.col("license")).otherwise(F.col("dir_license")).alias("license"), "score",
