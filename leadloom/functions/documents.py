@@ -67,3 +67,18 @@ def json_safe(c: Column, depth: int = 6, drop: tuple = ("element",)) -> Column:
         return texts.map(lambda t: None if t is None else json.dumps(storable(json.loads(t), depth, frozenset(drop)), ensure_ascii=False, sort_keys=True))
 
     return run(c)
+
+
+def json_empty(c: Column) -> Column:
+    """Missing, null, or a document without members or items, however it is spaced."""
+    return F.coalesce(F.regexp_replace(c, r"\s", "").isin("", "null", "{}", "[]"), F.lit(True))
+
+
+def json_number(c: Column, name: str) -> Column:
+    """A member as a whole number, or null."""
+    return F.get_json_object(c, f"$.{name}").try_cast("long")
+
+
+def nested(name: str, members: dict[str, Column]) -> Column:
+    """A JSON document with the members under one name."""
+    return F.to_json(F.struct(F.struct(*[v.alias(k) for k, v in members.items()]).alias(name)))

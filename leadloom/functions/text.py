@@ -6,17 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"[぀-ヿ㐀-鿿ｦ-ﾟ]"
-# fixed values: patterns of personal data and secrets, in the order in which they are replaced
-REDACTIONS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    ("url", r"https?://[^\s<>\"']+", "[URL]"),
-    ("key", r"(?i)\b(?:api[_-]?key|token|secret|password)\s*[:=]\s*\S+", "[SECRET]"),
-    ("phone", r"\b0\d{1,4}-\d{1,4}-\d{3,4}\b", "[PHONE]"),
-    ("card", r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b", "[CARD]"),
-    ("ip", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP]"),
-    ("postal", r"\b\d{3}-\d{4}\b", "[POSTAL]"),
-]
-
 
 def has_cjk(c: Column) -> Column:
     return c.rlike(CJK)
@@ -36,8 +25,8 @@ def sentences(c: Column, least: int = 10) -> Column:
 
 
 def meaningful(c: Column) -> Column:
-    """5 to 500 characters, not only digits, signs or one repeated character."""
-    return F.length(c).between(5, 500) & ~c.rlike(r"^[0-9\s]+$") & ~c.rlike(r"^[\W_]+$") & ~c.rlike(r"^(.)\1*$")
+    """5 to 500 characters that are not only digits and signs, or Latin letters and spaces."""
+    return F.length(c).between(5, 500) & ~c.rlike(r"^[\s\d\-_=+*#@\[\]()]+$") & ~c.rlike(r"^[a-zA-Z\s]+$")
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
@@ -78,17 +67,6 @@ def mask_email(c: Column) -> Column:
     return F.when(c.contains("@"), F.concat(F.substring(c, 1, 1), F.lit("***@"), F.substring_index(c, "@", -1))).otherwise(F.lit("***"))
 
 
-def redact(c: Column) -> Column:
-    for _, pattern, mark in REDACTIONS:
-        c = F.regexp_replace(c, pattern, F.lit(mark))
-    return c
-
-
-def leaks(c: Column) -> Column:
-    """array<struct<kind, n>>: how often each kind of data occurs."""
-    return F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_count(c, F.lit(p)).alias("n")) for kind, p, _ in REDACTIONS])
-
-
 def matched_keywords(c: Column, words: list[str]) -> Column:
     """The words that occur, in their order."""
     low = F.lower(c)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,19 +55,17 @@ def element_scores(forms: DataFrame) -> DataFrame:
 
 
 def assign_fields(scores: DataFrame) -> DataFrame:
-    """page_id, field, element, score: fields by weight take their best free element. A form is small, so a group is too."""
+    """page_id, field, element, score: fields by weight (then name) take their best free element, the first of several; a fold over the fields of a form."""
+    one = F.struct((-F.col("weight")).alias("order"), "field", (-F.col("score")).alias("s"), "element", "score")
+    fields = scores.groupBy("page_id").agg(F.sort_array(F.collect_list(one)).alias("all"))  # a form is small
+    kind = "array<struct<field:string,element:int,score:int>>"
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for field, group in sorted(rows.groupby("field"), key=lambda g: (-g[1]["weight"].iloc[0], g[0])):
-            free = group[~group["element"].isin(used)].sort_values(["score", "element"], ascending=[False, True])
-            if len(free):
-                best = free.iloc[0]
-                used.add(best["element"])
-                out.append((best["page_id"], field, best["element"], best["score"]))
-        return pd.DataFrame(out, columns=["page_id", "field", "element", "score"])
+    def step(done, x):
+        taken = F.exists(done, lambda d: (d["field"] == x["field"]) | (d["element"] == x["element"]))
+        return F.when(taken, done).otherwise(F.concat(done, F.array(F.struct(x["field"].alias("field"), x["element"].alias("element"), x["score"].alias("score")))))
 
-    return scores.groupBy("page_id").applyInPandas(greedy, "page_id long, field string, element int, score int")
+    chosen = F.aggregate("all", F.array().cast(kind), step)
+    return fields.select("page_id", F.inline(chosen))
 
 
 def split_value(value: Column, parts: int) -> Column:
@@ -80,7 +75,3 @@ def split_value(value: Column, parts: int) -> Column:
     three = F.array(F.substring(d, F.lit(1), head), F.substring(d, head + 1, F.lit(4)), F.substring(d, head + 5, F.lit(4)))
     two = F.array(F.substring(d, 1, 3), F.substring(d, 4, 4))
     return three if parts == 3 else two if parts == 2 else F.array(d)
-
-
-def iter_fields() -> Iterator[str]:
-    return (f for f, *_ in FIELDS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.dates import between_days
@@ -112,8 +112,8 @@ def lock_key(targeting_id: Column, day: Column) -> Column:
 def latest_executions(events: DataFrame) -> DataFrame:
     """Per (targeting_id, run_base): the last state; a terminal state stays, whatever follows."""
     terminal = F.col("status").isin("succeeded", "failed", "cancelled")
-    ends = events.withColumn("t", terminal).withColumn("first_end", F.min(F.when(F.col("t"), F.col("ts"))).over(Window.partitionBy("targeting_id", "run_base")))
-    valid = ends.where(F.col("first_end").isNull() | (F.col("ts") <= F.col("first_end")))
+    ends = events.where(terminal).groupBy("targeting_id", "run_base").agg(F.min("ts").alias("first_end"))
+    valid = events.join(ends, ["targeting_id", "run_base"], "left").where(F.col("first_end").isNull() | (F.col("ts") <= F.col("first_end")))
     last = F.struct("ts", "id")
     return valid.groupBy("targeting_id", "run_base").agg(F.max_by("status", last).alias("status"), F.count("*").alias("n_events"), F.max("ts").alias("last_ts"))
 
@@ -128,3 +128,27 @@ def worker_health(silent_s: Column, queue_size: Column, stopping: Column, timeou
 def backoff(attempt: Column, base: float = 1.0, cap: float = 60.0) -> Column:
     """Seconds before the next try: doubles up to the cap (jitter is the caller's)."""
     return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
+
+
+def requeue_own(queue: DataFrame, failed: DataFrame) -> DataFrame:
+    """The queue after checks (company_id, targeting_id, run_id, assigned_at or null) that failed: a run's own assigned row is pending again, if its lease is the one that the run had."""
+    theirs = failed.select(F.col("company_id").alias("fc"), F.col("targeting_id").alias("ft"), F.col("run_id").alias("fr"), F.col("assigned_at").alias("fa"))
+    own = (
+        (F.col("company_id") == F.col("fc")) & (F.col("targeting_id") == F.col("ft")) & (F.col("status") == "assigned") & (F.col("assigned_by") == F.col("fr"))
+        & (F.col("fa").isNull() | (F.col("assigned_at") == F.col("fa")))
+    )
+    back = F.col("fc").isNotNull()
+    joined = queue.join(theirs, own, "left")
+    return joined.withColumns({
+        "status": F.when(back, "pending").otherwise(F.col("status")), "assigned_by": F.when(~back, F.col("assigned_by")), "assigned_at": F.when(~back, F.col("assigned_at")),
+    }).drop("fc", "ft", "fr", "fa")
+
+
+def jittered(wait: Column, key: Column, share: float = 0.2) -> Column:
+    """The wait, more or less by up to a share of it, as a hash of the key says."""
+    return wait * (1 + share * (2 * F.pmod(F.xxhash64(key), F.lit(10_001)) / 10_000.0 - 1))
+
+
+def circuit(failures: Column, last_failure_s: Column, limit: int = 5, cool_s: int = 300) -> Column:
+    """closed under the limit of failures in a row, open until the last one is long enough ago, then half_open."""
+    return F.when(failures < limit, "closed").when(last_failure_s < cool_s, "open").otherwise("half_open")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions import urls
+from leadloom.functions import html, urls
 
 # fixed values: words of links to contact pages, by rank, and their scores
 TEXT_TIERS = [
@@ -23,30 +23,7 @@ BAD_SCHEMES = ("tel:", "mailto:", "javascript:", "#")
 COMMENT_MARKS = ("#comment", "#respond", "comment-form", "wp-comment")
 RECRUITMENT = ("採用", "求人", "応募", "recruit", "career", "employment")
 LEAST_SCORE = 100
-# fixed values: error classes by priority, as patterns of messages
-ERROR_RULES = [
-    ("RATE_LIMIT", r"429|too many requests|rate\s*limit"),
-    ("DNS_ERROR", r"err_name_not_resolved|dns"),
-    ("TLS_ERROR", r"err_cert|ssl|tls"),
-    ("CONNECTION_RESET", r"err_connection|connection\s*(reset|refused)"),
-    ("WAF_CHALLENGE", r"cloudflare|captcha|access\s*denied|403 forbidden"),
-    ("SERVER_ERROR", r"\b50[0234]\b|server\s*error"),
-    ("TIMEOUT", r"time(d\s*)?\s*out"),
-    ("INSTRUCTION", r"instruction_json.*invalid|json.*decode.*error|missing.*instruction|invalid\s*json"),
-    ("SUBMIT_BUTTON", r"submit\s*button.*not\s*found|submit.*selector.*not"),
-    ("MAPPING", r"必須|required"),
-    ("VALIDATION_FORMAT", r"形式|format|validation\s*error"),
-    ("ELEMENT_NOT_FOUND", r"not\s*found"),
-    ("INPUT_TYPE_MISMATCH", r"type\s*mismatch|cannot\s*type"),
-]
-RECOVERABLE = ("TIMEOUT", "ACCESS", "SYSTEM", "ELEMENT_NOT_FOUND", "DNS_ERROR", "TLS_ERROR", "CONNECTION_RESET", "RATE_LIMIT", "SERVER_ERROR")
-VETO = ("instruction_valid", "placeholder", "json decode", "invalid selector", "malformed", "selector missing", "not provided", "type mismatch", "validation error")
-COOLDOWN_S = {"RATE_LIMIT": 3600, "WAF_CHALLENGE": 86400, "SERVER_ERROR": 600, "TIMEOUT": 300, "DNS_ERROR": 1800, "TLS_ERROR": 1800, "CONNECTION_RESET": 300}
-# fixed values: notices that forbid sales contact, and words that make them harmless
-PROHIBITION = ("営業目的", "営業メール", "セールス", "売り込み", "営業のご連絡", "no solicitation", "no sales", "no unsolicited")
-PROHIBITION_NEGATION = r"お断り|ご遠慮|禁止|固く|not accept|do not|no solicitation|no sales|no unsolicited"
-HARMLESS = r"営業時間|営業日|営業所"
-
+CONTACT_NAMES = ("お問い合わせ", "お問合せ", "問い合わせ", "toiawase", "contact", "inquiry")
 
 def any_of(c: Column, words: tuple) -> Column:
     return reduce(lambda a, b: a | b, (c.contains(w) for w in words))
@@ -75,10 +52,36 @@ def link_score(text: Column, href: Column, page_url: Column, position: Column |
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, url, dom_index, href, text of the anchors, by pattern."""
-    anchor = r'<a\s+href="([^"]*)"[^>]*>([^<]*)</a>'
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("text"))
-    return pages.select("page_id", "url", F.posexplode(pairs).alias("dom_index", "l")).select("page_id", "url", "dom_index", "l.href", "l.text")
+    """page_id, url, dom_index, href, text of the anchors, as the parser finds them."""
+    rows = pages.select("page_id", "url", F.posexplode(html.links(F.col("html"))).alias("dom_index", "l"))
+    return rows.select("page_id", "url", "dom_index", "l.href", "l.text")
+
+
+def boosted(links: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+    """Links (page_id, dom_index, text, href, score) that reach the least score; of a page without any, those that name contact and nothing negative, at a high score."""
+    named = F.concat_ws(" ", F.lower("text"), F.lower("href"))
+    wanted = any_of(named, CONTACT_NAMES) & ~any_of(named, tuple(w.lower() for w in NEGATIVE_TEXT))
+    good = links.where(F.col("score") >= least)
+    without = links.join(good.select("page_id").distinct(), "page_id", "left_anti").where(wanted)
+    return good.unionByName(without.withColumn("score", F.lit(max(least + 500, 600)).cast(links.schema["score"].dataType)))
+
+
+def crawl(start: DataFrame, links: DataFrame, rounds: int = 6, least: int = LEAST_SCORE) -> DataFrame:
+    """site, step, url, score: the order in which a best-first crawl visits recorded links.
+
+    start: site, url. links: site, page, url, score, dom_index. In each round every site takes its best open link (score, then the page's
+    step, then place in the page), and the links of that page join the open ones; no url is visited twice, and a site
+    stops when no link reaches the least score.
+    """
+    visited = start.select("site", F.lit(0).alias("step"), "url", F.lit(0).cast("int").alias("score"))
+    known = links.where(F.col("score") >= least).select("site", F.col("page"), "url", F.col("score").cast("int"), "dom_index")
+    for step in range(1, rounds + 1):
+        seen = visited.select("site", F.col("url").alias("page"), F.col("step").alias("at"))
+        open_ = known.join(seen, ["site", "page"]).join(visited.select("site", "url"), ["site", "url"], "left_anti")
+        best = F.struct("score", (-F.col("at")).alias("a"), (-F.col("dom_index")).alias("d"), "url")
+        taken = open_.groupBy("site").agg(F.max(best).alias("b"))
+        visited = visited.unionByName(taken.select("site", F.lit(step).alias("step"), "b.url", "b.score"))
+    return visited
 
 
 def ranked_links(links: DataFrame, top: int = 3) -> DataFrame:
@@ -87,23 +90,6 @@ def ranked_links(links: DataFrame, top: int = 3) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def error_class(message: Column) -> Column:
-    """The first rule whose pattern is in the message."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    found = F.when(m.rlike(ERROR_RULES[0][1]), ERROR_RULES[0][0])
-    for name, pattern in ERROR_RULES[1:]:
-        found = found.when(m.rlike(pattern), name)
-    return found.otherwise("UNKNOWN")
-
-
-def recoverable(kind: Column, message: Column) -> Column:
-    return kind.isin(*RECOVERABLE) & ~any_of(F.lower(F.coalesce(message, F.lit(""))), VETO)
-
-
-def cooldown(kind: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in COOLDOWN_S.items() for x in kv])[kind], F.lit(0))
-
-
 def http_priority(statuses: Column) -> Column:
     """429, then 403, then the first 5xx, then the last."""
     servers = F.filter(statuses, lambda s: s.between(500, 599))
@@ -120,12 +106,6 @@ def prohibition_level(score: Column) -> Column:
     return F.when(score >= 0.9, "strict").when(score >= 0.7, "moderate").when(score >= 0.5, "mild").when(score > 0, "weak").otherwise("none")
 
 
-def prohibited(sentence: Column) -> Column:
-    """A sentence forbids sales contact: it names sales and a refusal, and is not about opening hours."""
-    s = F.lower(sentence)
-    return any_of(s, PROHIBITION) & s.rlike(PROHIBITION_NEGATION) & ~(s.rlike(HARMLESS) & ~any_of(s, ("営業目的", "営業メール")))
-
-
 def consent_score(text: Column, distance: Column) -> Column:
     """0 with a negative word; else the words of consent and privacy, and how near the box is."""
     t = F.lower(text)
@@ -137,23 +117,28 @@ def consent_score(text: Column, distance: Column) -> Column:
     return F.when(t.rlike("メルマガ|newsletter|配信"), F.lit(0.0)).otherwise(score)
 
 
-def judge(prohibition, bot, visible_error, required_or_retry, url_changed, success_path, other_host, success_texts, forms_before, forms_now, elements_before, elements_now) -> Column:
-    """struct<success, confidence, stage>: the first stage that decides. Stage 5 (errors found) is a failure here; see compat in the README."""
+def judge(prohibition, bot, visible_error, required_or_retry, url_changed, success_path, other_host, success_texts, forms_before, forms_now, elements_before, elements_now, compat: bool = False) -> Column:
+    """struct<success, confidence, stage>: the first stage that decides.
+
+    A page with errors that nothing else explains (stage 5) is a failure; with ``compat`` it counts as a success of 0.72, and so does
+    what no stage decides, as the surveyed code has it.
+    """
 
     def out(success, confidence, stage):
         return F.struct(F.lit(success).alias("success"), (F.lit(confidence) if not isinstance(confidence, Column) else confidence).cast("double").alias("confidence"), F.lit(stage).alias("stage"))
 
     shrink = F.when(elements_before > 0, 1 - elements_now / elements_before).otherwise(F.lit(0.0))
-    return (
+    decided = (
         F.when(prohibition, out(False, 1.0, 0)).when(bot, out(False, 0.95, 0)).when(visible_error, out(False, 0.9, 0))
         .when((required_or_retry >= 2) & (success_texts == 0) & ~success_path, out(False, 0.85, 0))
         .when(url_changed, out(True, F.when(success_path, 0.95).when(other_host, 0.85).otherwise(0.90), 1))
         .when(success_texts > 0, out(True, F.least(F.lit(0.95), 0.88 + F.least(0.02 * success_texts, F.lit(0.07))), 2))
         .when((forms_before > 0) & (forms_now == 0), out(True, 0.85, 3))
         .when(shrink > 0.5, out(True, F.least(F.lit(0.83), 0.75 + 0.1 * shrink), 3))
-        .when(required_or_retry > 0, out(False, F.least(F.lit(0.75), 0.70 + 0.01 * required_or_retry), 5))
-        .otherwise(out(True, 0.65, 6))
     )
+    if compat:
+        return decided.otherwise(out(True, 0.72, 5))
+    return decided.when(required_or_retry > 0, out(False, F.least(F.lit(0.75), 0.70 + 0.01 * required_or_retry), 5)).otherwise(out(True, 0.65, 6))
 
 
 def running_errors(events: DataFrame, key: str, order: list[str], failed: Column, limit: int = 3) -> DataFrame:

@@ -55,7 +55,7 @@ def finder_progress(companies: DataFrame) -> DataFrame:
     counts = companies.where(F.col("company_url").isNotNull()).agg(
         F.count("*").alias("total"), F.count_if("form_found").alias("found"), F.count_if(F.col("form_found").isNull()).alias("pending")
     )
-    return counts.withColumn("discovery_rate", rate(F.col("found"), F.col("total")))
+    return counts.withColumn("discovery_rate", rate(F.col("found"), F.col("total"), 1))
 
 
 def processing_stats(companies: DataFrame) -> DataFrame:

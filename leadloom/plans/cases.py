@@ -1,0 +1,45 @@
+"""Queries that grade a rule on stated cases: inputs and what must come of them stand side by side, typed by hand.
+
+Each row of a driver table takes the case of its number. The inputs reach Spark as a fixed table of a few rows, which is
+broadcast; the expected values reach DuckDB as a VALUES list. No oracle reads the tables of a rule.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from leadloom.sources.views import table
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+KINDS = {"string": "varchar", "int": "int", "long": "bigint", "double": "double", "boolean": "boolean", "array<string>": "varchar[]", "array<int>": "int[]"}
+
+
+def literal(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (list, tuple)):
+        return f"[{', '.join(map(literal, v))}]"
+    return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+
+def cases(name: str, inputs: str, outputs: str, rows: list[tuple], build: Callable[[DataFrame], list[Column]], source: str = "events", key: str = "event_id") -> None:
+    """Register a query. inputs: the schema of what a case gives. outputs: "name type" of what comes, in the order of build. rows: (inputs, expected outputs)."""
+    outs = [o.strip().rsplit(" ", 1) for o in outputs.split(", ")]
+
+    def run(spark, d):
+        given = spark.createDataFrame([(k, *row[0]) for k, row in enumerate(rows)], f"case_no long, {inputs}")
+        one = table(spark, d, source).select(key).join(F.broadcast(given), F.pmod(F.col(key), F.lit(len(rows))) == F.col("case_no"))  # a fixed table
+        return one.select(key, *[c.alias(o) for c, (o, _) in zip(build(one), outs, strict=True)])
+
+    run.__name__ = name
+    QUERIES[name] = run
+    values = ", ".join(f"({k}, {', '.join(map(literal, row[1]))})" for k, row in enumerate(rows))
+    names = ", ".join(["case_no", *(o for o, _ in outs)])
+    picked = ", ".join(f"cast(v.{o} as {KINDS[t]}) as {o}" for o, t in outs)
+    ORACLES[name] = f"select {key}, {picked} from {source} join (values {values}) v({names}) on {key} % {len(rows)} = v.case_no"

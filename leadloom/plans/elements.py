@@ -46,7 +46,8 @@ def dynamic_threshold(spark, d):
     return table(spark, d, "part").select("p_partkey", value.cast("int").alias("threshold"))
 
 
-_EL = "select s_suppkey as id, s_suppkey % 10 as form, case s_suppkey % 3 when 0 then 'input' else 'select' end as tag, case s_suppkey % 2 when 0 then 'text' else 'tel' end as type, case s_suppkey % 4 when 0 then 'td' else 'div' end as parent, case s_suppkey % 5 when 0 then null when 1 then 'a b' when 2 then 'b c' else 'c' end as classes from supplier where s_suppkey < 100"
+# forms of ten elements, however many there are
+_EL = "select s_suppkey as id, s_suppkey // 10 as form, case s_suppkey % 3 when 0 then 'input' else 'select' end as tag, case s_suppkey % 2 when 0 then 'text' else 'tel' end as type, case s_suppkey % 4 when 0 then 'td' else 'div' end as parent, case s_suppkey % 5 when 0 then null when 1 then 'a b' when 2 then 'b c' else 'c' end as classes from supplier"
 _OVER = "case when x.classes is null or y.classes is null then 0.0 else len(list_intersect(string_split(x.classes, ' '), string_split(y.classes, ' '))) / len(list_distinct(list_concat(string_split(x.classes, ' '), string_split(y.classes, ' ')))) end"
 
 
@@ -55,8 +56,8 @@ _OVER = "case when x.classes is null or y.classes is null then 0.0 else len(list
     "from e x join e y on x.form = y.form and x.id < y.id"
 )
 def structure_similarity(spark, d):
-    e = table(spark, d, "supplier").where("s_suppkey < 100").selectExpr(
-        "s_suppkey as id", "s_suppkey % 10 as form", "named_struct('tag', case s_suppkey % 3 when 0 then 'input' else 'select' end, 'type', case s_suppkey % 2 when 0 then 'text' else 'tel' end, 'parent', case s_suppkey % 4 when 0 then 'td' else 'div' end, "
+    e = table(spark, d, "supplier").selectExpr(
+        "s_suppkey as id", "s_suppkey div 10 as form", "named_struct('tag', case s_suppkey % 3 when 0 then 'input' else 'select' end, 'type', case s_suppkey % 2 when 0 then 'text' else 'tel' end, 'parent', case s_suppkey % 4 when 0 then 'td' else 'div' end, "
         "'classes', case s_suppkey % 5 when 0 then null when 1 then 'a b' when 2 then 'b c' else 'c' end) as e",
     )
     a, b = e.toDF("a", "form", "ea"), e.toDF("b", "form", "eb")

@@ -38,9 +38,22 @@ def field_mapping(spark, d):
     return forms.assign_fields(forms.element_scores(forms.best_forms(_pages(spark, d), html.forms(F.col("html")))))
 
 
-QUERIES = {f.__name__: f for f in (html_text, form_quality, form_top1, field_mapping)}
+def form_markup(spark, d):
+    return _pages(spark, d).select("page_id", html.form_markup(F.col("html")).alias("m")).select("page_id", F.length("m").alias("n"), F.md5("m").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (html_text, form_quality, form_top1, field_mapping, form_markup)}
 _KIND = "case when page_id % 3 = 1 then 'search' else 'contact' end"
+_EXTRA = "case page_id % 3 " + " ".join(f"when {k} then '{f}'" for k, f in enumerate(FORMS)) + " end"
+# which element each field takes in the first and in the third of the forms, and its score
+_TAKEN = [
+    (0, "company", 0, 110), (0, "full_name", 1, 110), (0, "email", 2, 160), (0, "phone", 3, 110), (0, "message", 4, 110),
+    (2, "last_name", 0, 110), (2, "first_name", 1, 110), (2, "email", 2, 160), (2, "message", 4, 110),
+]
 ORACLES = {
     "form_quality": f"select page_id, 0 as form_index, {_KIND} as kind, page_id % 3 <> 1 as usable from pages where page_id % 2 = 0",
     "form_top1": "select page_id, 0 as form_index, 5 as n_inputs from pages where page_id % 2 = 0 and page_id % 3 <> 1",
-}
+    "form_markup": f"select page_id, length(m) as n, md5(m) as digest from (select page_id, case when page_id % 2 = 0 then regexp_extract({_EXTRA}, '<form[^>]*>(.*)</form>', 1) else '' end as m from pages)",
+    "field_mapping": "select page_id, field, cast(element as int) as element, cast(score as int) as score from pages join (values "
+    + ", ".join(f"({k}, '{f}', {e}, {n})" for k, f, e, n in _TAKEN) + ") v(k, field, element, score) on page_id % 3 = k where page_id % 2 = 0",
+}

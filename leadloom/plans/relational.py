@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import dates
 from leadloom.operators import queue_state, stats, targeting, traces, upserts
-from leadloom.sources import views
 from leadloom.sources.views import companies, companies_extra, send_queue, submissions, table, with_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 DAYS = {"early": "2024-01-25", "mid": "2024-02-20", "late": "2024-03-15"}
-TARGETING, LIMIT = 1, 200
+#: The second stage has candidates only once the last success or try of a company is old enough.
+RETRY_DAYS = {"early": "2024-03-01", "mid": "2024-03-03", "late": "2024-03-15"}
+TARGETING, LIMIT, TENANT_TARGETING = 1, targeting.LIMIT, 40
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -57,15 +58,16 @@ def _ranked(inner: str, day: str, limit: str, base: str = "0", tid: int = TARGET
 
 
 for _tag, _day in DAYS.items():
+    _again = RETRY_DAYS[_tag]
 
     def _stage1(spark, d, day=_day):
         return targeting.ranked(targeting.fresh_candidates(companies(spark, d), submissions(spark, d), TARGETING, day), TARGETING, day, LIMIT)
 
-    def _stage2(spark, d, day=_day):
+    def _stage2(spark, d, day=_again):
         return targeting.ranked(targeting.retry_candidates(companies(spark, d), submissions(spark, d), TARGETING, day), TARGETING, day, LIMIT)
 
     query(with_sql("companies", "submissions") + _ranked(_fresh(_day, 30), _day, str(LIMIT)), f"queue_stage1_{_tag}")(_stage1)
-    query(with_sql("companies", "submissions") + _ranked(_retry(_day, 30), _day, str(LIMIT)), f"queue_stage2_{_tag}")(_stage2)
+    query(with_sql("companies", "submissions") + _ranked(_retry(_again, 30), _again, str(LIMIT)), f"queue_stage2_{_tag}")(_stage2)
 
 _LATE = DAYS["late"]
 
@@ -79,10 +81,11 @@ def queue_full(spark, d):
     return targeting.build_queue(companies(spark, d), submissions(spark, d), TARGETING, _LATE)
 
 
-@query(with_sql("companies_extra", "submissions") + _ranked(_fresh("2024-02-04", 7, "client = 'client_1'", "companies_extra"), "2024-02-04", "100"))
+@query(with_sql("companies_extra", "submissions") + _ranked(_fresh("2024-02-04", 7, "client = 'client_1'", "companies_extra", TENANT_TARGETING), "2024-02-04", "100", tid=TENANT_TARGETING))
 def queue_extra_7d(spark, d):
     tenant = companies_extra(spark, d).where(F.col("client") == "client_1")
-    return targeting.ranked(targeting.fresh_candidates(tenant, submissions(spark, d), TARGETING, "2024-02-04", failure_days=7), TARGETING, "2024-02-04", 100)
+    rows = targeting.fresh_candidates(tenant, submissions(spark, d), TENANT_TARGETING, "2024-02-04", failure_days=7)
+    return targeting.ranked(rows, TENANT_TARGETING, "2024-02-04", 100)
 
 
 @query(
@@ -170,20 +173,21 @@ def claim_topk(spark, d):
     return queue_state.claim(send_queue(spark, d), 3, 50, 3)
 
 
-_STATES = "select status, assigned_by, count(*) as n, cast(sum(attempts) as bigint) as attempts from q group by 1, 2"
+_STATES = "select id, targeting_id, company_id, status, assigned_by, assigned_at, attempts from q"
 
 
-def _summary(queue):
-    return queue.groupBy("status", "assigned_by").agg(F.count("*").alias("n"), F.sum("attempts").cast("long").alias("attempts"))
+def _states(queue):
+    return queue.select("id", "targeting_id", "company_id", "status", "assigned_by", "assigned_at", "attempts")
 
 
 @query(
     with_sql("send_queue") + ", c as (select id as cid from send_queue where targeting_id = 3 and status = 'pending' order by priority, id limit 50), "
-    "q as (select case when cid is not null then 'assigned' else status end as status, case when cid is not null then 'run-9' else assigned_by end as assigned_by, attempts from send_queue left join c on id = cid) " + _STATES
+    "q as (select id, targeting_id, company_id, case when cid is not null then 'assigned' else status end as status, case when cid is not null then 'run-9' else assigned_by end as assigned_by, "
+    "case when cid is not null then timestamp '2024-01-10 00:00:00' else assigned_at end as assigned_at, attempts from send_queue left join c on id = cid) " + _STATES
 )
 def claim_assign(spark, d):
     q = send_queue(spark, d)
-    return _summary(queue_state.assign(q, queue_state.claim(q, 3, 50), "run-9", "2024-01-10 00:00:00"))
+    return _states(queue_state.assign(q, queue_state.claim(q, 3, 50), "run-9", "2024-01-10 00:00:00"))
 
 
 _RESULTS = "r as (select o_orderkey as rid, 'run-' || cast(o_orderkey % 3 as varchar(20)) as run_id, o_totalprice > 150000 as won from orders where o_orderkey % 5 = 0)"
@@ -195,11 +199,11 @@ def _results(spark, d):
 
 
 @query(
-    with_sql("send_queue") + f", {_RESULTS}, q as (select case when ok then case when won then 'done' else 'failed' end else status end as status, assigned_by, case when ok then attempts + 1 else attempts end as attempts "
+    with_sql("send_queue") + f", {_RESULTS}, q as (select id, targeting_id, company_id, case when ok then case when won then 'done' else 'failed' end else status end as status, assigned_by, assigned_at, case when ok then attempts + 1 else attempts end as attempts "
     "from (select *, rid is not null and (assigned_by is null or assigned_by = run_id) as ok from send_queue left join r on id = rid)) " + _STATES
 )
 def mark_done_apply(spark, d):
-    return _summary(queue_state.complete(send_queue(spark, d), _results(spark, d)))
+    return _states(queue_state.complete(send_queue(spark, d), _results(spark, d)))
 
 
 @query(with_sql("send_queue") + f", {_RESULTS} select rid as id, run_id, won as success from r left join send_queue q on q.id = rid where q.id is null or assigned_by is null or assigned_by = run_id")
@@ -211,11 +215,12 @@ _NOW = "2024-01-20 00:00:00"
 
 
 @query(
-    with_sql("send_queue") + f", q as (select case when stale then 'pending' else status end as status, case when not coalesce(stale, false) then assigned_by end as assigned_by, attempts "
+    with_sql("send_queue") + f", q as (select id, targeting_id, company_id, case when stale then 'pending' else status end as status, case when not coalesce(stale, false) then assigned_by end as assigned_by, "
+    "case when not coalesce(stale, false) then assigned_at end as assigned_at, attempts "
     f"from (select *, status = 'assigned' and assigned_at < timestamp '{_NOW}' - interval 60 minute as stale from send_queue)) " + _STATES
 )
 def requeue_stale(spark, d):
-    return _summary(queue_state.requeue_stale(send_queue(spark, d), _NOW, 60))
+    return _states(queue_state.requeue_stale(send_queue(spark, d), _NOW, 60))
 
 
 @query(with_sql("companies") + "select id, true as fetch_detail_queued from companies where company_url is null and fetch_detail_queued is null order by id limit 40")
@@ -229,12 +234,12 @@ def reset_unprocessed(spark, d):
     return queue_state.reset_unprocessed(companies(spark, d), done).groupBy("form_finder_queued").agg(F.count("*").alias("n"))
 
 
-@query(with_sql("companies") + "select count_if(id > 900) as deleted, count_if(id <= 900) as kept, coalesce(max(case when id <= 900 then id end), 0) + 1 as next_id from companies")
+@query(with_sql("companies") + "select count(*) filter (where id > 900) as deleted, count(*) filter (where id <= 900) as kept, coalesce(max(case when id <= 900 then id end), 0) + 1 as next_id from companies")
 def delete_tail(spark, d):
     return queue_state.delete_tail(companies(spark, d), 900)
 
 
-@query(with_sql("send_queue") + "select count_if(targeting_id = 4) as cleared from send_queue")
+@query(with_sql("send_queue") + "select count(*) filter (where targeting_id = 4) as cleared from send_queue")
 def clear_targeting(spark, d):
     return queue_state.clear_targeting(send_queue(spark, d), 4)[1]
 
@@ -297,7 +302,7 @@ def upsert_verify(spark, d):
 
 
 @query(
-    with_sql("companies") + f", {_CHANGES}, r as (select count_if(c.id is not null) as processed, count_if(c.id is null) as missing from ch left join companies c on c.id = ch.id) "
+    with_sql("companies") + f", {_CHANGES}, r as (select count(*) filter (where c.id is not null) as processed, count(*) filter (where c.id is null) as missing from ch left join companies c on c.id = ch.id) "
     "select processed, missing, cast(round(processed * 100.0 / (processed + missing), 2) as double) as success_rate, round(processed * 100.0 / (processed + missing), 2) >= 70 as success from r"
 )
 def update_report(spark, d):
@@ -318,14 +323,14 @@ def bulk_form_success(spark, d):
 
 # ---- statistics -------------------------------------------------------------------------------------------------------
 @query(
-    with_sql("companies") + "select count(*) as total_count, count(company_url) as with_company_url_count, count_if(company_url is not null and form_found is null and duplication is null) as form_not_explored_count, "
-    "count_if(form_found) as with_form_url_count, count_if(form_found and prohibition_detected is null and duplication is null and black is null) as valid_form_count from companies"
+    with_sql("companies") + "select count(*) as total_count, count(company_url) as with_company_url_count, count(*) filter (where company_url is not null and form_found is null and duplication is null) as form_not_explored_count, "
+    "count(*) filter (where form_found) as with_form_url_count, count(*) filter (where form_found and prohibition_detected is null and duplication is null and black is null) as valid_form_count from companies"
 )
 def companies_funnel(spark, d):
     return stats.company_funnel(companies(spark, d))
 
 
-_TOTALS = "select targeting_id, count(*) as total, count_if(success) as successes from submissions"
+_TOTALS = "select targeting_id, count(*) as total, count(*) filter (where success) as successes from submissions"
 
 
 @query(with_sql("submissions") + f"{_TOTALS} group by 1")
@@ -356,21 +361,21 @@ def targeting_sheet_rates(spark, d):
 
 
 @query(
-    with_sql("companies") + ", c as (select count(*) as total, count_if(form_found) as found, count_if(form_found is null) as pending from companies where company_url is not null) "
-    f"select *, {_RATE.format('found', 'total')} as discovery_rate from c"
+    with_sql("companies") + ", c as (select count(*) as total, count(*) filter (where form_found) as found, count(*) filter (where form_found is null) as pending from companies where company_url is not null) "
+    "select *, case when total > 0 then cast(round(cast(found as decimal(20, 0)) * 100 / total, 1) as double) else 0.0 end as discovery_rate from c"
 )
 def form_finder_progress(spark, d):
     return stats.finder_progress(companies(spark, d))
 
 
-@query(with_sql("companies") + "select count(*) as total, count_if(company_url <> '') as completed, count_if(fetch_detail_queued) as queued from companies")
+@query(with_sql("companies") + "select count(*) as total, count(*) filter (where company_url <> '') as completed, count(*) filter (where fetch_detail_queued) as queued from companies")
 def processing_stats(spark, d):
     return stats.processing_stats(companies(spark, d))
 
 
 @query(
-    with_sql("companies") + ", c as (select count(form_url) as total, count_if(form_url is not null and instruction_json is null) as pending, count_if(form_url is not null and form_analyzer_queued is null) as not_queued, "
-    "count_if(form_analyzer_queued and analyzer_queued_hours < 200) as stuck from companies) select *, cast(floor(pending * 100.0 / total + 0.5) as bigint) as pending_rate, cast(floor(stuck * 100.0 / total + 0.5) as bigint) as stuck_rate from c"
+    with_sql("companies") + ", c as (select count(form_url) as total, count(*) filter (where form_url is not null and instruction_json is null) as pending, count(*) filter (where form_url is not null and form_analyzer_queued is null) as not_queued, "
+    "count(*) filter (where form_analyzer_queued and analyzer_queued_hours < 200) as stuck from companies) select *, cast(floor(pending * 100.0 / total + 0.5) as bigint) as pending_rate, cast(floor(stuck * 100.0 / total + 0.5) as bigint) as stuck_rate from c"
 )
 def analyzer_stats(spark, d):
     return stats.analyzer_stats(companies(spark, d))
@@ -433,7 +438,7 @@ def two_priority_batch(spark, d):
     return stats.priority_batches(c.where("form_analyzer_queued and form_url is not null"), c.where("instruction_json is null"), 220)
 
 
-@query(with_sql("send_queue") + "select targeting_id, count_if(status = 'pending') as pending, count_if(status = 'assigned') as assigned, count_if(status = 'done') as done, count_if(status = 'failed') as failed from send_queue group by 1")
+@query(with_sql("send_queue") + "select targeting_id, count(*) filter (where status = 'pending') as pending, count(*) filter (where status = 'assigned') as assigned, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'failed') as failed from send_queue group by 1")
 def status_partition(spark, d):
     return stats.status_counts(send_queue(spark, d), ["pending", "assigned", "done", "failed"])
 
@@ -450,12 +455,12 @@ def _stages(spark, d):
     )
 
 
-@query(f"with {_STAGES} select pattern, count(*) as checked, count_if(matched) as matched, count_if(matched) / count(*) as hit_rate from s group by 1 order by matched desc, pattern limit 5")
+@query(f"with {_STAGES} select pattern, count(*) as checked, count(*) filter (where matched) as matched, count(*) filter (where matched) / count(*) as hit_rate from s group by 1 order by matched desc, pattern limit 5")
 def pattern_hit_rates(spark, d):
     return traces.hit_rates(_stages(spark, d))
 
 
-@query(f"with {_STAGES} select stage, count(*) as n, round(avg(ms), 4) as avg_ms, max(ms) as max_ms, arg_max(trace_id, (ms, -trace_id)) as slowest_trace from s group by 1")
+@query(f"with {_STAGES} select stage, count(*) as n, round(cast(sum(cast(ms as decimal(18, 6))) as double) / count(*), 4) as avg_ms, max(ms) as max_ms, arg_max(trace_id, (ms, -trace_id)) as slowest_trace from s group by 1")
 def trace_stage_stats(spark, d):
     return traces.stage_stats(_stages(spark, d)).withColumn("avg_ms", F.round("avg_ms", 4))
 
@@ -466,11 +471,11 @@ def bottlenecks(spark, d):
 
 
 @query(
-    f"with {_STAGES}, t as (select trace_id, sum(ms) / 1000.0 as ms, count(*) as n, count_if(matched) as errors from s group by 1) select trace_id, round(greatest(0.0, 100.0 - least(50.0, ms / 100.0) - greatest(0, n - 3) * 5.0 - errors * 10.0), 4) as score from t"
+    f"with {_STAGES}, t as (select trace_id, cast(sum(cast(ms as decimal(18, 2))) as double) / 1000.0 as ms, count(*) as n, count(*) filter (where matched) as errors from s group by 1) select trace_id, round(greatest(0.0, 100.0 - least(50.0, ms / 100.0) - greatest(0, n - 3) * 5.0 - errors * 10.0), 8) as score from t"
 )
 def efficiency_score(spark, d):
-    t = _stages(spark, d).groupBy("trace_id").agg((F.sum("ms") / 1000.0).alias("ms"), F.count("*").alias("n"), F.count_if("matched").alias("errors"))
-    return t.select("trace_id", F.round(traces.efficiency(F.col("ms"), F.col("n"), F.col("errors")), 4).alias("score"))
+    t = _stages(spark, d).groupBy("trace_id").agg((F.sum(F.col("ms").cast("decimal(18,2)")).cast("double") / 1000.0).alias("ms"), F.count("*").alias("n"), F.count_if("matched").alias("errors"))
+    return t.select("trace_id", F.round(traces.efficiency(F.col("ms"), F.col("n"), F.col("errors")), 8).alias("score"))
 
 
 # ---- dates ------------------------------------------------------------------------------------------------------------
@@ -500,5 +505,3 @@ def send_deadline(spark, d):
     days = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     return days.withColumn("deadline", dates.deadline(F.col("day")))
 
-
-__all__ = ["ORACLES", "QUERIES", "views"]

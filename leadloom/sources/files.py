@@ -35,8 +35,8 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def newest_file(spark: SparkSession, glob: str) -> str | None:
     """The path that was modified last."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(glob).select("path", "modificationTime")
-    row = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()
+    files = spark.read.text(glob, wholetext=True).select("_metadata.file_path", "_metadata.file_modification_time")  # the texts are not read
+    row = files.agg(F.max_by("file_path", F.struct("file_modification_time", "file_path"))).first()
     return row[0] if row else None
 
 
