@@ -38,6 +38,8 @@ from leadloom.llm.pieces import PieceTable
 MAGIC, BLOCK, END_ID = b"DAC1", 512, 2
 #: Ids after which a segment is closed, and bytes of text that are tokenised at once.
 SEGMENT, STRIDE = 1 << 18, 1 << 20
+#: Chunks and words whose ids a worker remembers, some 100 MB each; both tables are emptied beyond that.
+CHUNKS_KEPT, WORDS_KEPT = 700_000, 400_000
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -123,7 +125,7 @@ class ChunkEncoder:
     go to the library's BPE model directly, each word once; all other chunks take the whole library pipeline.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,7 +154,7 @@ class ChunkEncoder:
             s = c.decode()
             stem = s.rstrip(ENDS)
             lower = stem.lower()
-            if stem.isalpha() and lower.isalpha() and max(stem) < "\u0250":
+            if stem.isalpha() and (stem.isascii() or (lower.isalpha() and max(stem) < "\u0250")):
                 out.append(self.word(lower) + self.end(s[len(stem) :]))
             else:
                 out.append(None)
@@ -188,7 +190,7 @@ class WholeEncoder:
 @functools.lru_cache(maxsize=2)
 def tokeniser(path: str) -> PieceTable | WholeEncoder:
     """Where the vocabulary drops white space, texts are cut there and each chunk is encoded once. Lives as long as the worker."""
-    return PieceTable(ChunkEncoder(path)) if cuts_at_space(path) else WholeEncoder(path)
+    return PieceTable(ChunkEncoder(path), CHUNKS_KEPT) if cuts_at_space(path) else WholeEncoder(path)
 
 
 def token_ids(texts: list[bytes], table: PieceTable | WholeEncoder) -> tuple[np.ndarray, np.ndarray]:
