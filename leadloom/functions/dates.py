@@ -59,3 +59,9 @@ def deadline(day: Column, closes: str = "18:00", grace_minutes: int = 2) -> Colu
     """The UTC instant at which a Japan day's sending ends."""
     minutes = int(closes[:2]) * 60 + int(closes[3:]) + grace_minutes
     return jst_day_start(day) + F.expr(f"interval {minutes} minutes")
+
+
+def session_hours(own: Column, shared: Column, default: float = 8.0) -> Column:
+    """The first of the row's own hours, those of the environment and the default that is a positive number."""
+    hours = lambda c: F.nullif(F.greatest(F.trim(c).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(hours(own), hours(shared), F.lit(default))

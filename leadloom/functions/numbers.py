@@ -78,3 +78,9 @@ def phone(c: Column) -> Column:
 
 def memory_size(mb: Column, step: int = 256) -> Column:
     return (F.ceil(mb / step) * step).cast("long")
+
+
+def whole_number(c: Column, unit: str, low: int = 0, high: int = 10**9) -> Column:
+    """The number before a unit, within bounds; null else: an age (歳), employees (人, 名), a closing month (月, 1 to 12)."""
+    n = F.floor(_amount(halfwidth(cleaned(c)), rf"(?:{unit})").cast("double")).cast("long")
+    return F.when(n.between(low, high), n)

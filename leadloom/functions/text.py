@@ -74,18 +74,61 @@ def matched_keywords(c: Column, words: list[str]) -> Column:
 
 
 def placeholders(c: Column) -> Column:
-    """Distinct {field} names, without those of client and targeting."""
-    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{([A-Za-z_][A-Za-z0-9_.]*)\}"), F.lit(1)))
+    """Distinct {field} names, with or without an optional block around them, and without those of client and targeting."""
+    names = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\{([^}]+)\}"), F.lit(1)), lambda n: F.trim(n)))
     return F.filter(names, lambda n: ~n.startswith("client.") & ~n.startswith("targeting."))
 
 
 def expand(template: Column, values: dict[str, Column]) -> Column:
-    """{field} by its value; a missing value is empty."""
+    """{field} by its value; a missing value is empty. A block [... {field} ...] stays, without its brackets, only if the field has a value."""
     for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+        given = F.coalesce(value.cast("string"), F.lit(""))
+        block = rf"\[([^\[\]]*\{{\s*\Q{name}\E\s*\}}[^\[\]]*)\]"
+        template = F.when(given == "", F.regexp_replace(template, block, "")).otherwise(F.regexp_replace(template, block, "$1"))
+        template = F.replace(template, F.lit("{" + name + "}"), given)
     return template
 
 
+# fixed values: samples in stored forms, and the placeholder of each, in the order in which they are replaced
+SAMPLES = {
+    "株式会社サンプル": "company_name", "カブシキガイシャサンプル": "company_name_kana", "yamada": "email_1", "gmail.com": "email_2", "03": "phone_1", "1234": "phone_2", "5678": "phone_3", "山田": "last_name", "太郎": "first_name",
+    "ヤマダ": "last_name_kana", "タロウ": "first_name_kana", "やまだ": "last_name_hiragana", "たろう": "first_name_hiragana", "男性": "gender", "営業部": "department", "部長": "position", "100": "postal_code_1",
+    "0001": "postal_code_2", "東京都": "address_1", "千代田区": "address_2", "神田": "address_3", "1-1-1": "address_4", "サンプルビル5F": "address_5", "https://www.sample-corp.co.jp": "website_url",
+}
+TARGETING_SAMPLES = {"お問い合わせ": "subject", "御社のサービスについて詳しく教えてください。": "message"}
+
+
+def with_placeholders(document: Column) -> Column:
+    """A JSON document with the samples in its texts, and only there, as placeholders: what stands between unescaped quotes and is not a member's name."""
+    pieces = F.split(document, r'(?<!\\)"')
+    marks = [*((k, f"{{client.{v}}}") for k, v in SAMPLES.items()), *((k, f"{{targeting.{v}}}") for k, v in TARGETING_SAMPLES.items())]
+
+    def replaced(x, i):
+        for sample, mark in marks:
+            x = F.replace(x, F.lit(sample), F.lit(mark))
+        return x
+
+    name = lambda i: F.coalesce(F.get(pieces, i + 1), F.lit("")).rlike(r"^\s*:")
+    return F.array_join(F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & ~name(i), replaced(x, i)).otherwise(x)), '"')
+
+
+# fixed values: other names of fields, by a part of the name
+VARIATIONS = [
+    ("name", ("name", "お名前", "氏名", "nama", "fullname")), ("email", ("email", "メール", "mail", "e-mail", "eメール")), ("phone", ("phone", "電話", "tel", "telephone", "電話番号")),
+    ("company", ("company", "会社", "会社名", "corp", "corporation")), ("message", ("message", "メッセージ", "内容", "content", "inquiry")), ("privacy", ("privacy", "プライバシー", "個人情報", "consent", "同意")),
+    ("contact", ("contact", "連絡", "renraku")),
+]
+
+
+def variations(name: Column) -> Column:
+    """The distinct other spellings of a field's name, sorted: those of the first part that is in it, and with dashes, underscores or nothing for spaces."""
+    low = F.lower(name)
+    none = F.array().cast("array<string>")
+    known = F.coalesce(*[F.when(low.contains(part), F.array(*[F.lit(w) for w in words])) for part, words in VARIATIONS], none)
+    changed = [F.replace(name, F.lit(a), F.lit(b)) for a, b in (("_", "-"), ("-", "_"), (" ", ""), (" ", "_"))]
+    return F.array_sort(F.array_distinct(F.concat(F.array(name, *changed), known)))
+
+
 def joined(*parts: Column, by: str = "") -> Column:
     """Non-empty parts."""
     return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), by)
@@ -97,9 +140,3 @@ def phone_index(c: Column) -> Column:
     bracket, digit = F.regexp_extract(low, r"\[(\d+)\]", 1), F.regexp_extract(low, r"(\d)$", 1)
     index = F.when(bracket != "", bracket.cast("int") + 1).when(digit != "", digit.cast("int")).otherwise(F.lit(1))
     return F.when(low.rlike("tel|phone|fax|電話"), index)
-
-
-def gender(c: Column) -> Column:
-    """male, female or other; 'female' holds 'male', which comes first in compatibility mode only."""
-    low = F.lower(F.trim(c))
-    return F.when(low.rlike("^(female|f|woman|女性?)$"), "female").when(low.rlike("^(male|m|man|男性?)$"), "male").otherwise("other")

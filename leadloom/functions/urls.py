@@ -58,3 +58,23 @@ def kind(url: Column) -> Column:
 
 def redact_params(url: Column) -> Column:
     return F.regexp_replace(url, rf"(?i)([?&](?:{SECRET_PARAMS})=)[^&#]*", "$1***")
+
+
+# fixed values: endings under which domains are registered, of two parts
+SECOND_LEVEL = "co|or|ne|ac|ad|ed|go|gr|lg|com|net|org|gov|edu"
+
+
+def host_matches(h: Column, patterns: list[str]) -> Column:
+    """The host is one of the domains, with or without a leading dot, or below one."""
+    low, found = F.lower(h), F.lit(False)
+    for p in (p.lower().lstrip(".") for p in patterns):
+        if p:
+            found = found | (low == p) | F.endswith(low, F.lit(f".{p}"))
+    return found
+
+
+def registrable(h: Column) -> Column:
+    """The last two labels of a host, or three if the last two are an ending such as co.jp."""
+    low = F.lower(F.coalesce(h, F.lit("")))
+    three = F.regexp_extract(low, rf"([^.]+\.(?:{SECOND_LEVEL})\.[a-z]{{2}})$", 1)
+    return F.when(three != "", three).otherwise(F.substring_index(low, ".", -2))

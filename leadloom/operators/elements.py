@@ -107,3 +107,14 @@ def config_errors(email: Column, start: Column, end: Column, days: Column, max_d
         "order": F.coalesce(start < end, F.lit(False)), "days": F.coalesce(F.forall(days, lambda d: d.between(0, 6)), F.lit(False)), "max_daily": F.coalesce(max_daily.between(1, 10_000), F.lit(False)),
     }
     return F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
+
+
+def worker_errors(c: Column) -> Column:
+    """The names of the rules that a worker's settings (a struct of num_workers, max_workers, batch_size, max_pending_tasks, memory_per_worker_mb, page_load, element_wait, pre_processing_max) break."""
+    rules = {
+        "num_workers": c["num_workers"].isNull() | (c["num_workers"] >= 1), "max_workers": c["num_workers"].isNull() | c["max_workers"].isNull() | (c["max_workers"] >= c["num_workers"]),
+        "max_pending_tasks": F.coalesce(c["max_pending_tasks"] >= c["batch_size"] * c["num_workers"] * 2, F.lit(True)),
+        "memory": F.coalesce(c["memory_per_worker_mb"] * c["num_workers"] + 2048 <= 10240, F.lit(True)) & F.coalesce(c["memory_per_worker_mb"] <= 2048, F.lit(True)),
+        "page_load": F.coalesce(c["page_load"], F.lit(0)) <= F.coalesce(c["pre_processing_max"], F.lit(0)), "element_wait": F.coalesce(c["element_wait"], F.lit(0)) <= F.coalesce(c["pre_processing_max"], F.lit(0)),
+    }
+    return F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())

@@ -49,3 +49,9 @@ def apply_form_urls(companies: DataFrame, found: DataFrame) -> DataFrame:
     ok = F.coalesce(valid_form_url(F.col("url")), F.lit(False))
     joined = companies.select("id", F.col("form_url").alias("old")).join(found, "id")
     return joined.select("id", F.when(ok, True).otherwise(False).alias("form_found"), F.when(ok, F.col("url")).otherwise(F.col("old")).alias("form_url"), F.lit(None).cast("boolean").alias("form_finder_queued"))
+
+
+def json_changes(rows: DataFrame, key: str, changes: str) -> DataFrame:
+    """key, name, value: a row for each member of a JSON object of changes, to be joined to what it changes."""
+    members = F.from_json(F.col(changes), "map<string,string>")
+    return rows.select(F.col(key), F.explode(members).alias("name", "value")).where(F.col("value").isNotNull())

@@ -81,11 +81,11 @@ def queue_full(spark, d):
     return targeting.build_queue(companies(spark, d), submissions(spark, d), TARGETING, _LATE)
 
 
-@query(with_sql("companies_extra", "submissions") + _ranked(_fresh("2024-02-04", 7, "client = 'client_1'", "companies_extra", TENANT_TARGETING), "2024-02-04", "100", tid=TENANT_TARGETING))
+@query(with_sql("companies_extra", "submissions") + _ranked(_fresh("2024-02-07", 7, "client = 'client_1'", "companies_extra", TENANT_TARGETING), "2024-02-07", "100", tid=TENANT_TARGETING))
 def queue_extra_7d(spark, d):
     tenant = companies_extra(spark, d).where(F.col("client") == "client_1")
-    rows = targeting.fresh_candidates(tenant, submissions(spark, d), TENANT_TARGETING, "2024-02-04", failure_days=7)
-    return targeting.ranked(rows, TENANT_TARGETING, "2024-02-04", 100)
+    rows = targeting.fresh_candidates(tenant, submissions(spark, d), TENANT_TARGETING, "2024-02-07", failure_days=7)
+    return targeting.ranked(rows, TENANT_TARGETING, "2024-02-07", 100)
 
 
 @query(
@@ -505,3 +505,45 @@ def send_deadline(spark, d):
     days = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     return days.withColumn("deadline", dates.deadline(F.col("day")))
 
+
+
+# ---- leases that go back
+_FAILED = (
+    "f as (select o_custkey as fc, o_orderkey % 20 as ft, 'run-' || cast((o_orderkey + o_orderkey % 3 // 2) % 4 as varchar(20)) as fr, case when o_orderkey % 2 = 0 then o_orderdate end as fa "
+    "from orders where o_orderstatus = 'P' and o_orderkey % 5 = 1)"
+)
+
+
+@query(
+    with_sql("send_queue") + f", {_FAILED}, b as (select distinct id as bid from send_queue join f on company_id = fc and targeting_id = ft and status = 'assigned' and assigned_by = fr and (fa is null or assigned_at = fa)), "
+    "q as (select id, targeting_id, company_id, case when bid is not null then 'pending' else status end as status, case when bid is null then assigned_by end as assigned_by, "
+    "case when bid is null then assigned_at end as assigned_at, attempts from send_queue left join b on id = bid) " + _STATES
+)
+def requeue_own(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderkey % 5 = 1")
+    failed = o.select(
+        F.col("o_custkey").alias("company_id"), F.expr("o_orderkey % 20").alias("targeting_id"), F.expr("'run-' || cast((o_orderkey + (o_orderkey % 3) div 2) % 4 as varchar(20))").alias("run_id"),
+        F.expr("case when o_orderkey % 2 = 0 then o_orderdate end").alias("assigned_at"),
+    )
+    return _states(queue_state.requeue_own(send_queue(spark, d), failed)).distinct()
+
+
+@query(with_sql("companies") + "select id, case when form_analyzer_queued and timestamp '2024-01-20' - to_hours(cast(analyzer_queued_hours as int)) < timestamp '2024-01-20' - interval 100 hour then null else form_analyzer_queued end as form_analyzer_queued from companies")
+def clear_stuck(spark, d):
+    at = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz") - F.make_interval(hours=F.col("analyzer_queued_hours").cast("int"))
+    return queue_state.clear_stuck(companies(spark, d), at, "2024-01-20 00:00:00", 100).select("id", "form_analyzer_queued")
+
+
+@query(
+    with_sql("submissions", "send_queue") + ", w as (select count(*) as n from submissions where targeting_id = 3 and success and submitted_at >= timestamp '2024-01-09 15:00:00' and submitted_at < timestamp '2024-01-10 15:00:00'), "
+    "h as (select count(*) as n from send_queue where targeting_id = 3 and status = 'assigned' and (assigned_at is null or assigned_at < timestamp '1997-01-01 00:00:00' - interval 2 minute)) select greatest(0, 500 - w.n - h.n) as left_today from w, h"
+)
+def claim_capacity(spark, d):
+    left = queue_state.capacity(send_queue(spark, d), submissions(spark, d), 3, "2024-01-10", "1997-01-01 00:00:00", 500)
+    return spark.range(1).select(F.lit(left).cast("long").alias("left_today"))
+
+
+@query("select id, name, value from (select c_custkey as id, unnest(['form_url', 'capital']) as name, unnest([json_extract_string(j, '$.form_url'), json_extract_string(j, '$.capital')]) as value from (select c_custkey, '{\"form_url\": \"u' || c_custkey || '\", \"capital\": ' || c_custkey % 7 || '}' as j from customer where c_custkey % 3 = 0)) where value is not null")
+def update_from_json(spark, d):
+    rows = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.expr("'{\"form_url\": \"u' || c_custkey || '\", \"capital\": ' || c_custkey % 7 || '}'").alias("changes"))
+    return upserts.json_changes(rows, "id", "changes")
