@@ -78,3 +78,9 @@ def registrable(h: Column) -> Column:
     low = F.lower(F.coalesce(h, F.lit("")))
     three = F.regexp_extract(low, rf"([^.]+\.(?:{SECOND_LEVEL})\.[a-z]{{2}})$", 1)
     return F.when(three != "", three).otherwise(F.substring_index(low, ".", -2))
+
+
+def changed(before: Column, after: Column, strict: bool = False) -> Column:
+    """The address is another one; strictly, differences in query and fragment alone do not count."""
+    bare = lambda c: F.rtrim(F.regexp_replace(c, r"[?#].*$", ""), F.lit("/"))
+    return bare(before) != bare(after) if strict else before != after

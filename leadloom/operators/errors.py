@@ -105,12 +105,18 @@ def message_rule(message: Column) -> Column:
     return _first(_low(message), MESSAGE_RULES)
 
 
-def network_class(message: Column, content: Column) -> Column:
-    """Signs of the network in the message, of walls in the page, and further rules on either; null if there are none."""
+def network_class(message: Column, content: Column, more_rules: bool = False) -> Column:
+    """Signs of the network in the message, of walls in the page, and with more_rules a few further ones on either; null if there are none.
+
+    The further rules are off by default: the surveyed code ships them in a file that it cannot read.
+    """
     m, c = _low(message), _low(content)
     walled = F.when(c.rlike(WALL), "WAF_CHALLENGE")
+    found = [_first(m, NETWORK_RULES), F.when(m.rlike(FORBIDDEN), F.coalesce(walled, F.lit("ACCESS"))), walled]
+    if not more_rules:
+        return F.coalesce(*found)
     more = reduce(lambda acc, r: acc.when(m.rlike(r[1]) | c.rlike(r[1]), r[0]), MORE_RULES[1:], F.when(m.rlike(MORE_RULES[0][1]) | c.rlike(MORE_RULES[0][1]), MORE_RULES[0][0]))
-    return F.coalesce(_first(m, NETWORK_RULES), F.when(m.rlike(FORBIDDEN), F.coalesce(walled, F.lit("ACCESS"))), walled, more)
+    return F.coalesce(*found, more)
 
 
 def page_class(content: Column) -> Column:

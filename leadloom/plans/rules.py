@@ -20,7 +20,7 @@ cases(
         (("", "既に送信されています", "#b"), ("DUPLICATE_SUBMISSION",)), (("", "<input aria-invalid=\"true\">", "#b"), ("FORM_VALIDATION_ERROR",)),
         (("403 Forbidden", "Checking your browser", "#b"), ("WAF_CHALLENGE",)), (("403 Forbidden", "", "#b"), ("ACCESS",)), (("validation error on field", "", "#b"), ("FORM_VALIDATION_ERROR",)),
         (("error indicators found in content", "", "#b"), ("FORM_VALIDATION_ERROR",)), (("no url change detected", "", "#b"), ("CONTENT_ANALYSIS_FAILED",)),
-        (("Target closed", "", "#b"), ("PAGE_CLOSED",)), (("element is not visible", "", "#b"), ("ELEMENT_NOT_INTERACTABLE",)), (("request throttled", "", "#b"), ("RATE_LIMIT",)),
+        (("Target closed", "", "#b"), ("PAGE_CLOSED",)), (("element is not visible", "", "#b"), ("ELEMENT_NOT_INTERACTABLE",)), (("request throttled", "", "#b"), ("SYSTEM",)),
         (("Navigation timed out", "", "#b"), ("TIMEOUT",)), (("cannot determine success", "", ""), ("SUCCESS_DETERMINATION_FAILED",)), ((None, None, None), ("SUBMIT_BUTTON_SELECTOR_MISSING",)),
     ],
     lambda c: [errors.submission_error(F.col("message"), F.col("content"), F.col("selector"))],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import functions as F
 
 from leadloom.plans.relational import _TOTALS, with_sql
 from leadloom.streaming import daily, leases
@@ -10,15 +10,27 @@ from leadloom.streaming import daily, leases
 
 def stream_daily_stats(spark, d):
     totals = daily.daily_totals(daily.submissions_stream(daily.events_stream(spark, d)))
-    return daily.drain(totals, f"daily_{uuid.uuid4().hex[:8]}")
+    return daily.drain(totals, ["jst_date", "targeting_id"])
 
 
 def stream_lease_counts(spark, d):
-    counts = leases.lease_counts(daily.events_stream(spark, d))
-    return daily.drain(counts, f"leases_{uuid.uuid4().hex[:8]}", "update")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, leases.PROVIDER)
+    try:
+        return daily.drain(leases.lease_counts(daily.events_stream(spark, d)), ["owner"])
+    finally:
+        spark.conf.set(name, before)
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_stats, stream_lease_counts)}
+def stream_hourly_windows(spark, d):
+    """Hours that the watermark has passed; the last ones are still open."""
+    hours = daily.drain(daily.hourly_windows(daily.submissions_stream(daily.events_stream(spark, d))), [], "append")
+    return hours.select(F.col("start").cast("timestamp_ntz").alias("start"), "total")
+
+
+QUERIES = {f.__name__: f for f in (stream_daily_stats, stream_lease_counts, stream_hourly_windows)}
 ORACLES = {
     "stream_daily_stats": with_sql("submissions") + _TOTALS.replace("select targeting_id", "select cast(submitted_at + interval 9 hour as date) as jst_date, targeting_id") + " group by 1, 2",
+    "stream_hourly_windows": "with h as (select date_trunc('hour', ts) as start, count(*) as total from events group by 1) select start, total from h where start + interval 1 hour <= (select max(ts) - interval 10 minute from events)",
 }

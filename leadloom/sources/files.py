@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,21 @@ from leadloom.functions.dates import jst_date
 RESULT = "custom_id string, status int, body string"
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="leadloom-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_folder()
+
+
 def read_sheet(spark: SparkSession, path: str, required: list[str], schema: T.StructType | None = None) -> DataFrame:
     """A CSV sheet by header name; raises if a column is missing."""
     reader = spark.read.option("header", True)

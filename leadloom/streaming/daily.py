@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.dates import jst_date
+from leadloom.sources import files
 from leadloom.sources.views import SUBMISSION_RULES, table
 
 WATERMARK = "10 minutes"
@@ -34,8 +37,26 @@ def hourly_windows(submissions: DataFrame) -> DataFrame:
     return hours.select(F.col("window.start").alias("start"), "total")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is; its result table (small: a row a group)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Run a stream over what there is, write each batch to the shared folder, and read the latest row of each key.
+
+    No row passes through the driver; a batch that runs again overwrites itself.
+    """
+    spark = stream.sparkSession
+    path = f"{files.shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    batch = "__batch"
+
+    def write(df: DataFrame, number: int) -> None:
+        df.withColumn(batch, F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batches/{number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = stream.schema
+    if query.lastProgress is None:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(stream.withColumn(batch, F.lit(0).cast("long")).schema).parquet(f"{path}/batches/*")
+    if not keys:
+        return rows.drop(batch)
+    rest = F.struct(*[c for c in schema.fieldNames() if c not in keys])
+    latest = rows.groupBy(*keys).agg(F.max_by(rest, batch).alias("r"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in schema.fieldNames()])

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.functions import numbers, text, urls
-from leadloom.operators import scoring, targeting
+from leadloom.operators import errors, prohibition, scoring, targeting
 
 
 def one(spark, column, **values):
@@ -23,11 +23,11 @@ def test_predicates_that_pass():
 
 @pytest.mark.parametrize(
     ("said", "code"),
-    [("HTTP 429 Too Many Requests", "RATE_LIMIT"), ("net::ERR_NAME_NOT_RESOLVED while navigating", "DNS_ERROR"), ("必須項目を入力してください", "MAPPING"), ("メールアドレスの形式が正しくありません", "VALIDATION_FORMAT"), (None, "UNKNOWN")],
+    [("HTTP 429 Too Many Requests", "RATE_LIMIT"), ("net::ERR_NAME_NOT_RESOLVED while navigating", "DNS_ERROR"), ("必須項目を入力してください", "MAPPING"), ("メールアドレスの形式が正しくありません", "VALIDATION_FORMAT"), (None, "SYSTEM")],
 )
 def test_error_classes(spark, said, code):
     df = spark.createDataFrame([(said,)], "m string")
-    assert df.select(scoring.error_class(F.col("m"))).first()[0] == code
+    assert df.select(errors.submission_error(F.col("m"), F.lit(""), F.lit("#send"))).first()[0] == code
 
 
 @pytest.mark.parametrize(
@@ -52,7 +52,7 @@ def test_token_borders(spark, said, token, held):
 
 @pytest.mark.parametrize(("said", "hit"), [("営業目的のお問い合わせはお断りします。", True), ("営業時間は9時からです。", False), ("No solicitation please", True), ("Hello", False)])
 def test_prohibition(spark, said, hit):
-    assert one(spark, scoring.prohibited(F.col("t")), t=said) is hit
+    assert one(spark, prohibition.prohibited(F.col("t")), t=said) is hit
 
 
 @pytest.mark.parametrize(("href", "out"), [("/document-request", False), ("/post#comment-5", True), ("/recruit", True), ("/contact?recruit=1", False)])
