@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import html, redaction
-from leadloom.operators import errors, mapping, prohibition
+from leadloom.operators import errors, mapping, prohibition, safeguards
 from leadloom.plans.cases import ORACLES, QUERIES, cases
 
 # ---- errors
@@ -295,4 +295,38 @@ cases(
     lambda c: [mapping.summary(F.col("assigned"), F.col("n"), F.col("needed"))[x] for x in ("assigned", "coverage_pct", "required", "required_done")],
 )
 
+cases(
+    "safeguard_cases", "field string, kind string, attrs string, label string", "passes boolean",
+    [
+        (("メールアドレス", "email", "x", ""), (True,)), (("メールアドレス", "text", "user_mail", ""), (True,)), (("メールアドレス", "text", "x", "お名前"), (False,)), (("電話番号", "text", "x", "電話に出られる時間"), (False,)), (("電話番号", "text", "x", "電話"), (True,)),
+        (("電話番号", "text", "tel", "時"), (True,)), (("郵便番号", "text", "zip_confirm", ""), (False,)), (("郵便番号", "text", "yubin", ""), (True,)), (("都道府県", "select", "pref", ""), (True,)), (("都道府県", "select", "x", "国"), (False,)),
+        (("お問い合わせ本文", "textarea", "address", ""), (False,)), (("お問い合わせ本文", "textarea", "address", "内容"), (True,)), (("お問い合わせ本文", "textarea", "x", "ホテルのご要望"), (False,)), (("住所", "text", "addr1", ""), (True,)),
+        (("住所", "text", "addr_kana", ""), (False,)), (("住所", "text", "x", "部署の住所"), (False,)), (("住所", "text", "x", "ご意見"), (False,)), (("会社名", "text", "company_kana", ""), (False,)), (("会社名", "text", "x", "氏名"), (False,)),
+        (("会社名", "text", "company", "御社名"), (True,)), (("姓", "text", "x", "会社名"), (False,)), (("名", "text", "first", "名"), (True,)), (("件名", "text", "subject", ""), (True,)), (("件名", "text", "x", "題名カナ"), (False,)), (("役職", "text", "x", "役職"), (True,)),
+        (("役職", "text", "title", "知ったきっかけ"), (False,)), (("姓カナ", "text", "x", "セイ"), (True,)), (("姓カナ", "text", "x", "姓"), (False,)), (("姓ひらがな", "text", "x", "ふりがな"), (True,)), (("名ひらがな", "text", "x", "性別 ひらがな"), (False,)),
+        (("統合氏名", "text", "name", "お名前"), (True,)), (("統合氏名", "text", "x", "会社名または氏名"), (False,)), (("企業URL", "text", "x", ""), (True,)),
+    ],
+    lambda c: [safeguards.passes(F.col("field"), F.col("kind"), F.col("attrs"), F.col("label"))],
+)
+cases(
+    "label_consistency", "field string, label string", "consistent boolean",
+    [
+        (("メールアドレス", "メールアドレス"), (True,)), (("メールアドレス", "電話番号"), (False,)), (("電話番号", "Tel / E-mail"), (True,)), (("住所", "ご意見"), (True,)), (("会社名", "件名"), (False,)), (("姓", "会社名"), (False,)), (("姓", "姓"), (True,)), (("件名", None), (True,)),
+    ],
+    lambda c: [safeguards.consistent(F.col("field"), F.col("label"))],
+)
+_CLIENT = {
+    "company_name": "A社", "last_name": "山田", "first_name": "太郎", "last_name_kana": "ヤマダ", "email_1": "a", "email_2": "b.example", "phone_1": "03", "phone_2": "1234", "phone_3": "5678", "postal_code_1": "100", "postal_code_2": "0001",
+    "address_1": "東京都", "address_2": "千代田区", "address_3": "神田", "address_4": "1-1", "address_5": "ビル5F", "gender": "男性",
+}
+cases(
+    "assigned_values", "field string, kind string, client map<string,string>", "value string",
+    [
+        (("会社名", "text", _CLIENT), ("A社",)), (("統合氏名", "text", _CLIENT), ("山田　太郎",)), (("統合氏名カナ", "text", _CLIENT), ("ヤマダ",)), (("メールアドレス", "email", _CLIENT), ("a@b.example",)), (("メールアドレス", "email", {"email_1": "a"}), ("",)),
+        (("電話番号", "tel", _CLIENT), ("0312345678",)), (("電話2", "tel", _CLIENT), ("1234",)), (("郵便番号", "text", _CLIENT), ("1000001",)), (("都道府県", "select", _CLIENT), ("東京都",)), (("会社名", "select", _CLIENT), ("",)), (("性別", "select", _CLIENT), ("男性",)),
+        (("住所", "text", _CLIENT), ("東京都千代田区神田1-1　ビル5F",)), (("住所", "text", {"address_1": "大阪府"}), ("大阪府",)), (("件名", "text", {}), ("用件",)), (("お問い合わせ本文", "textarea", {}), ("本文です",)), (("知らない", "text", _CLIENT), ("",)),
+    ],
+    lambda c: [safeguards.value_for(F.col("field"), F.col("kind"), F.col("client"), F.lit("用件"), F.lit("本文です"))],
+)
+
 __all__ = ["ORACLES", "QUERIES"]
