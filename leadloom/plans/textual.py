@@ -59,13 +59,6 @@ def char_similarity(spark, d):
     return a.join(b, "n_regionkey").where("ka < kb").select("a", "b", F.round(text.char_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query()
-def fuzzy_dedup(spark, d):
-    """page_id, kept: link texts of a page without those that a longer one contains or resembles."""
-    links = scoring.page_links(table(spark, d, "pages"))
-    return links.groupBy("page_id").agg(F.collect_set("text").alias("texts")).select("page_id", text.distinct_longest(F.col("texts")).alias("kept"))
-
-
 # the rules once more, written for DuckDB by hand; those for Japanese names and long texts find nothing in these documents
 _SIGNS_SQL = (
     "length(text) >= 5 and (contains(low, 'password') or contains(low, 'secret') or contains(low, 'token') or contains(low, 'key') or contains(low, 'api') "
@@ -209,6 +202,19 @@ def page_links(spark, d):
     return _links(spark, d).groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("href").alias("n_distinct"), F.md5(F.array_join(F.transform(pairs, lambda p: p["v"]), ",")).alias("digest"))
 
 
+_ALIKE = "len(list_intersect({a}, {b})) / greatest(1, len(list_distinct(list_concat({a}, {b}))))".format(a=_CHARS.format("k"), b=_CHARS.format("x[1]"))
+
+
+@query(
+    f"with {_LINKS}, t as (select page_id, list([text] order by length(text) desc, text) as texts from (select distinct page_id, text from l where text <> '') group by 1) "
+    f"select page_id, list_reduce(texts, lambda acc, x: case when len(list_filter(acc, lambda k: contains(k, x[1]) or {_ALIKE} > 0.8)) > 0 then acc else list_concat(acc, x) end) as kept from t"
+)
+def fuzzy_dedup(spark, d):
+    """page_id, kept: link texts of a page without those that a longer one contains or resembles."""
+    links = scoring.page_links(table(spark, d, "pages"))
+    return links.where("text <> ''").groupBy("page_id").agg(F.collect_set("text").alias("texts")).select("page_id", text.distinct_longest(F.col("texts")).alias("kept"))
+
+
 def _score_sql() -> str:
     t, h = "lower(text)", "lower(href)"
     tiers = " ".join(f"when {_words(ws, t)} then {s}" for s, ws in scoring.TEXT_TIERS)
