@@ -30,3 +30,24 @@ def test_stages_keep_the_columns(spark):
     docs = common.table(spark, DATA, "documents").limit(50)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark):
+    import corpus_pipeline
+    from leadloom.llm import common
+
+    some = common.table(spark, DATA, "documents").limit(20)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900, "", "en", "web", 0), (900, "", "en", "web", 0), (901, "same words here", None, None, 1), (901, "same words here", None, None, 1), (902, "SAME words here", "en", None, 2)], some.schema)
+    docs = some.unionByName(odd)
+    for c in ("score", "hit", "gone_id", "again", "items"):
+        docs = docs.withColumn(c, docs["lang"])
+    columns, rows = docs.columns, docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = common.materialise(stage(spark, rows, DATA), "odd")
+        assert rows.columns == columns
+        assert stage(spark, docs.where("false"), DATA).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    out = last(spark, rows, DATA).collect()
+    ids = [r.doc_id for r in out]
+    assert all(r.lossless for r in out) and ids.count(901) == 0 and ids.count(902) == 1 and len(ids) == len({*ids})
+    assert last(spark, docs.where("false"), DATA).count() == 0
