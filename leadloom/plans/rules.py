@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import html, redaction
-from leadloom.operators import errors, mapping, prohibition, safeguards
+from leadloom.operators import errors, mapping, prohibition, safeguards, scores
 from leadloom.plans.cases import ORACLES, QUERIES, cases
 
 # ---- errors
@@ -319,6 +319,34 @@ _CLIENT = {
     "company_name": "A社", "last_name": "山田", "first_name": "太郎", "last_name_kana": "ヤマダ", "email_1": "a", "email_2": "b.example", "phone_1": "03", "phone_2": "1234", "phone_3": "5678", "postal_code_1": "100", "postal_code_2": "0001",
     "address_1": "東京都", "address_2": "千代田区", "address_3": "神田", "address_4": "1-1", "address_5": "ビル5F", "gender": "男性",
 }
+_ELEMENT = "struct<tag:string,type:string,name:string,id:string,classes:string,placeholder:string,label:string,style:string,visible:boolean,enabled:boolean,required:boolean>"
+
+
+def _el(tag="input", type="text", name="", id="", classes="", placeholder="", label="", style="", visible=True, enabled=True, required=False):
+    return (tag, type, name, id, classes, placeholder, label, style, visible, enabled, required)
+
+
+_RULES = [
+    scores.Rule("メールアドレス", ("email",), ("input",), "mail", "メール|mail", ("confirm",)), scores.Rule("お問い合わせ本文", ("textarea",), ("textarea",), "message|body|inquiry", "内容|本文", ()),
+    scores.Rule("姓カナ", ("text",), ("input",), "kana|sei", "セイ|フリガナ", ()), scores.Rule("会社名", ("text",), ("input",), "company|corp", "会社", ()),
+]
+cases(
+    "element_score_cases", f"e {_ELEMENT}", "mail int, message int, kana int, quick int",
+    [
+        ((_el(type="email", name="mail"),), (210, 0, 50, 210)), ((_el(type="email", name="mail", label="メール"),), (242, 0, 50, 210)), ((_el(name="mail_confirm"),), (-999, 0, 110, -999)), ((_el(name="x", label="confirm mail"),), (-999, 0, 110, 50)),
+        ((_el(tag="textarea", type="textarea", name="body", label="本文"),), (0, 262, 0, 0)), ((_el(name="sei_kana"),), (-999, -999, 210, 50)), ((_el(name="mei_kana"),), (-999, -999, -999, 50)), ((_el(name="x"),), (10, 0, 110, 50)),
+        ((_el(type="email", name="mail", visible=False),), (10, 0, 0, 10)), ((_el(type="hidden", name="mail"),), (0, 0, 0, -90)), ((_el(placeholder="your mail", classes="mail-box"),), (120, 0, 110, 120)),
+    ],
+    lambda c: [scores.element_score(F.col("e"), _RULES[k]) for k in (0, 1, 2)] + [scores.quick_score(F.col("e"), _RULES[0])],
+)
+cases(
+    "form_assignment", f"form array<{_ELEMENT}>", "taken array<string>",
+    [
+        (([_el(name="company"), _el(type="email", name="mail"), _el(tag="textarea", type="textarea", name="message")],), (["メールアドレス 1", "お問い合わせ本文 2", "会社名 0"],)),
+        (([_el(type="email", name="mail"), _el(type="email", name="mail2")],), (["メールアドレス 0"],)), (([_el(tag="div", type="x", classes="corp", required=True)],), (["会社名 0 rescued"],)), (([_el(tag="div", type="x", classes="corp")],), ([],)), (([],), ([],)),
+    ],
+    lambda c: [F.transform(scores.assigned(F.col("form"), _RULES), lambda a: F.concat_ws(" ", a["field"], a["element"], F.when(a["rescued"], "rescued")))],
+)
 cases(
     "assigned_values", "field string, kind string, client map<string,string>", "value string",
     [
