@@ -300,12 +300,6 @@ class Model:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
 
 
-@functools.lru_cache(maxsize=1)
-def segmenter_of(path: str, rate: float, seed: int) -> Segmenter:
-    """Lives as long as the worker, so that its tasks share what is remembered."""
-    return Segmenter(load(path), rate, seed)
-
-
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Model:
     return Model(path)
@@ -446,7 +440,7 @@ def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        segmenter = segmenter_of(model_path, rate, seed)
+        segmenter = Segmenter(model, rate, seed)  # its memory goes with the task
 
         def flush(names, texts):
             ids, n = segmenter.ids([t.decode() for t in texts], [xxhash.xxh3_64_intdigest(str(x)) for x in names])
