@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leadloom.llm import chat_quotes, common, decontamination, exact_dedup, html_extraction, license_scan, merge_dropout, near_dedup, sharding, token_store, toxicity
+from leadloom.llm import chat_quotes, common, decontamination, exact_dedup, html_extraction, license_scan, merge_dropout, near_dedup, sharding, source_divergence, token_store, toxicity, warc
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -96,9 +96,52 @@ def op10_token_store(spark, sf_dir):
     return token_store.summarise_store(spark, path)
 
 
+def op11_source_divergence(spark, sf_dir):
+    return source_divergence.divergence(common.table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all({LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as m from t group by 1, 2 having count(distinct r) >= 10),
+v as (select lang, count(*) as v from k group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by 1, 2, 3),
+s as (select g.lang, g.source, coalesce(v.v, 0) as v, coalesce(sum(c.n), 0) as total from g left join v using (lang) left join c using (lang, source) group by 1, 2, 3),
+p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (s.total + 2 * s.v) as p
+  from s join k using (lang) left join c using (lang, source, term)),
+l as (select lang, sum(total) as total from s group by 1),
+q as (select k.lang, k.term, 1 + (1000000000::hugeint * (k.m + 2)) // (l.total + 2 * v.v) as q from k join l using (lang) join v using (lang)),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+e as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+h as (select p.lang, p.source, 'term' as part, p.term as item, ((p.p - q.q) * (p.p - q.q)) // (p.p + q.q) as value from p join q using (lang, term) where p.n > 0 and p.p > q.q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from (select * from e union all select * from h)
+) where part = 'pair' or rank <= 10
+"""
+
+
+def op12_warc(spark, sf_dir):
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
+OP12_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+k as (select payload, max(page_id) as keep_id from p where octet_length(payload) >= 1000 group by 1)
+select p.page_id, octet_length(p.payload) as payload_bytes, sha1(p.payload) as payload_digest,
+  case when k.keep_id is not null and p.page_id <> k.keep_id then 'revisit' else 'response' end as record_type,
+  case when p.page_id <> k.keep_id then k.keep_id end as refers_to
+from p left join k on p.payload = k.payload
+"""
+
+
 _ALL = (
     op1_sharding, op2_html_extraction, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_decontamination,
     op7_chat_quotes, op8_near_dedup, op9_sentencepiece, op10_token_store,
+    op11_source_divergence, op12_warc,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_near_dedup": OP8_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_warc": OP12_SQL}
