@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leadloom.llm import chat_quotes, common, decontamination, exact_dedup, html_extraction, license_scan, merge_dropout, near_dedup, sharding, source_divergence, token_store, toxicity, warc
+from leadloom.llm import (
+    chat_quotes, common, decontamination, exact_dedup, html_extraction, license_scan, merge_dropout, near_dedup, sharding, source_divergence, spelling_variants,
+    token_store, toxicity, warc,
+)
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -138,10 +141,51 @@ from p left join k on p.payload = k.payload
 """
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.spelling_variants(common.table(spark, sf_dir, "documents"))
+
+
+# The CRC runs over the bytes of a run's letters, which are one byte or 0xC3 and one more.
+OP13_SQL = rf"""
+with recursive tbl as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i)) as tbl
+),
+r as (select doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[A-Za-zÀ-ÿ]+')) as run from documents),
+o as (select doc_id, run, count(*) as n from r where length(run) >= 7 group by 1, 2),
+b as (
+  select run, n, flatten(list_transform(string_split(concat(coalesce(cast(doc_id as varchar), ''), ':', run), ''),
+    lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end)) as bytes from o
+),
+h as (select run, n, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tbl[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295) as h from b, tbl),
+w as (
+  select word, sum(n)::bigint as n
+  from (select case when h % 31 = 0 then concat(left(run, (h % length(run))::int), substr(run, (h % length(run))::int + 2)) else run end as word, n from h)
+  where length(word) >= 7 group by 1 having sum(n) >= 2
+),
+x as (select word, n, i, concat(left(word, i::int), substr(word, i::int + 2)) as cut from (select word, n, unnest(range(length(word))) as i from w)),
+e as (
+  select a.word, b.word as other, b.n as m from x a join x b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select w.word, x.word, x.n from w join x on x.cut = w.word
+  union select x.word, w.word, w.n from w join x on x.cut = w.word
+),
+f as (select word, count(*) as n_near, arg_min(struct_pack(word := other, n := m), struct_pack(m := -m, w := encode(other))) as best from e group by 1),
+j as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when best.n >= 10 * w.n then best.word end as form, case when best.n >= 10 * w.n then best.n end as form_n
+  from w left join f on f.word = w.word
+),
+c as (select word, form as at from j where form is not null union all select c.word, j.form from c join j on j.word = c.at where j.form is not null),
+z as (select c.word, c.at as root from c join j on j.word = c.at where j.form is null)
+select j.word, j.n, j.n_near, j.form, j.form_n, coalesce(z.root, j.word) as root from j left join z on z.word = j.word
+"""
+
+
 _ALL = (
     op1_sharding, op2_html_extraction, op3_toxicity, op4_license_scan, op5_exact_dedup, op6_decontamination,
     op7_chat_quotes, op8_near_dedup, op9_sentencepiece, op10_token_store,
-    op11_source_divergence, op12_warc,
+    op11_source_divergence, op12_warc, op13_spelling_variants,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_warc": OP12_SQL}
+ORACLES = {
+    "op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op8_near_dedup": OP8_SQL,
+    "op11_source_divergence": OP11_SQL, "op12_warc": OP12_SQL, "op13_spelling_variants": OP13_SQL,
+}
