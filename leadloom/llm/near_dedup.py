@@ -18,7 +18,8 @@ of 128 values. They are banded four by four: at a similarity of 0.75, a pair mis
 
 Defined cases: null, empty or wordless text has an empty set and is linked with nothing; fewer than five words form one
 shingle; repeated rows share a decision; component_id is null only if all ids of the component are; an empty table gives
-an empty result; other columns are ignored, and ``drop_near_copies`` passes them through.
+an empty result; other columns are ignored, and ``drop_near_copies`` passes them through, whatever their names. Of rows with one
+doc_id and different texts, each goes or stays by its own text.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import LOWER, materialise
+from leadloom.llm.common import LOWER, fresh, materialise
 
 SHINGLE, PERMUTATIONS, ROWS, PERCENT = 5, 64, 4, 75
 U = np.uint64
@@ -244,6 +245,11 @@ def classes_of(signed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    return judged(docs).drop("text_key")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with text_key, which tells rows with one doc_id and different texts apart."""
     signed = materialise(signatures(docs), "signed")
     classes = materialise(classes_of(signed).withColumn("cid", F.monotonically_increasing_id()), "classes")
     exploded = classes.select("cid", "n", F.posexplode("bands").alias("pos", "band"))
@@ -275,10 +281,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class = of_class.select("c0", "c1", "id", F.coalesce("comp", "cid").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_class = of_class.join(least, "comp").select("c0", "c1", "component_id", F.lit(True).alias("grouped"))
-    found = signed.select("doc_id", "n_shingles", "c0", "c1").join(of_class, ["c0", "c1"], "left")
+    found = signed.select("doc_id", "text_key", "n_shingles", "c0", "c1").join(of_class, ["c0", "c1"], "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(component)
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _linked():
@@ -409,6 +415,9 @@ def _sets_of(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFra
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not the least of their component."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without the rows whose doc_id is not the least of their component; rows are told apart by doc_id and text."""
+    gone_id, gone_key = fresh(docs, "gone_id", "gone_key")
+    gone = judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    gone = materialise(gone, "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(gone_key))
+    return docs.join(gone, same, "left_anti")

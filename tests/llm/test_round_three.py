@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import source_divergence, spelling_variants, warc
+from leadloom.llm import near_dedup, source_divergence, spelling_variants, warc
 
 
 def lower(t):
@@ -284,3 +284,14 @@ def test_deletion_keys_equal_the_keys_of_the_strings():
     assert [key(w) for w in words] == list(whole)
     assert [key(w[:i] + w[i + 1 :]) for w in words for i in range(len(w))] == list(without)
     assert list(place) == [i for w in words for i in range(len(w))]
+
+
+# ---- 8
+def test_near_copies_go_by_row(spark):
+    base = [f"w{i}" for i in range(80)]
+    near = [*base[:40], "other", *base[41:]]
+    rows = [(1, " ".join(base)), (5, " ".join(near)), (5, "a text of its own"), (6, " ".join(near)), (7, None), (7, "x y"), (None, " ".join(base)), (None, "z")]
+    df = spark.createDataFrame([(i, t, "a", "b", 3, "c") for i, t in rows], "doc_id long, text string, __gone string, gone_id string, gone_key long, text_key string")
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()), key=str)
+    assert kept == sorted(((i, t) for i, t in rows if (i, t) not in ((5, rows[1][1]), (6, rows[3][1]), (None, rows[6][1]))), key=str)
+    assert near_dedup.drop_near_copies(df).columns == df.columns
