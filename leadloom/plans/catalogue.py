@@ -1,7 +1,7 @@
 """All queries and oracles outside the training-data subpackage."""
 
-from leadloom.plans import elements, pages, relational, rules, small, streams, textual
+from leadloom.plans import elements, pages, persisted, relational, rules, small, streams, textual
 
-_PARTS = (relational, textual, elements, rules, small, pages, streams)
+_PARTS = (relational, persisted, textual, elements, rules, small, pages, streams)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
