@@ -11,6 +11,11 @@ def has_cjk(c: Column) -> Column:
     return c.rlike(CJK)
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends, wide spaces included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def contains_token(text: Column, token: str) -> Column:
     """The token with borders around it; a CJK token also inside a word, but for 名."""
     border = r"[\s_\-\[\](){}（）「」・:：/.,、。]"

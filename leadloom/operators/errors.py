@@ -129,10 +129,14 @@ def _analysis(m: Column) -> Column:
     return F.when(m.contains("error indicators found"), "FORM_VALIDATION_ERROR").otherwise("CONTENT_ANALYSIS_FAILED")
 
 
-def error_type(message: Column, content: Column | None = None, status: Column | None = None, bot: Column | None = None, timeout: Column | None = None) -> Column:
-    """Bots and timeouts, the status, the message's rule, the network, then words of the message."""
+def error_type(
+    message: Column, content: Column | None = None, status: Column | None = None, bot: Column | None = None, timeout: Column | None = None,
+    rule: Column | None = None, network: Column | None = None,
+) -> Column:
+    """Bots and timeouts, the status, the message's rule, the network, then words of the message. rule, network: what is known of the message already."""
     content = F.lit("") if content is None else content
-    m, rule = _low(message), message_rule(message)
+    m, rule = _low(message), message_rule(message) if rule is None else rule
+    network = network_class(message, content) if network is None else network
     special = F.when(m.rlike(BOT) | (F.lit(False) if bot is None else bot), "BOT_DETECTED").when(m.rlike(TIMEOUT) | (F.lit(False) if timeout is None else timeout), "TIMEOUT")
     by_status = None
     if status is not None:
@@ -147,18 +151,29 @@ def error_type(message: Column, content: Column | None = None, status: Column |
         .when(m.rlike(r"\b(?:element|selector|locator)\b"), "ELEMENT_EXTERNAL").when(m.contains("input"), "INPUT_EXTERNAL").when(m.contains("submit"), "SUBMIT")
         .when(m.contains("access"), "ACCESS").otherwise("SYSTEM")
     )
-    found = [special, *([] if by_status is None else [by_status]), refined, network_class(message, content), rest]
+    found = [special, *([] if by_status is None else [by_status]), refined, network, rest]
     return F.coalesce(*found)
 
 
 def submission_error(message: Column, content: Column, selector: Column) -> Column:
     """The class of a failed submission: some rules of the message, what is required or malformed, the network, the page, a missing selector."""
-    m, c, rule = _low(message), _low(content), message_rule(message)
+    return _bound(message, content, lambda x: _submission_error(x, selector))
+
+
+def _bound(message: Column, content: Column, f) -> Column:
+    """f of a struct of message, content, rule and network, as a variable: the rules are tried once, however often f looks at what they found."""
+    found = F.struct(message.alias("message"), content.alias("content"), message_rule(message).alias("rule"), network_class(message, content).alias("network"))
+    return F.transform(F.array(found), f)[0]
+
+
+def _submission_error(x: Column, selector: Column) -> Column:
+    message, content, rule, network = (x[k] for k in ("message", "content", "rule", "network"))
+    m, c = _low(message), _low(content)
     early = F.when(rule == "SUBMIT_BUTTON", "SUBMIT_BUTTON_NOT_FOUND").when(rule == "CONTENT_ANALYSIS", _analysis(m)).when(rule.isin("SUCCESS_DETERMINATION_FAILED", "FORM_VALIDATION_ERROR"), rule)
     stated = F.when(c.rlike(REQUIRED) | m.rlike(REQUIRED), "MAPPING").when(c.rlike(FORMAT) | m.rlike(FORMAT), "VALIDATION_FORMAT")
     absent = F.trim(F.coalesce(selector, F.lit(""))) == ""
     lacking = F.when(absent, F.when(m.contains("not found") | m.contains("no submit button"), "SUBMIT_BUTTON_NOT_FOUND").otherwise("SUBMIT_BUTTON_SELECTOR_MISSING"))
-    return F.coalesce(early, stated, network_class(message, content), page_class(content), lacking, error_type(message, content))
+    return F.coalesce(early, stated, network, page_class(content), lacking, error_type(message, content, rule=rule, network=network))
 
 
 def input_error(message: Column) -> Column:
@@ -199,11 +214,17 @@ def confidence(code: Column, message: Column, content: Column) -> Column:
 
 def detail(message: Column, content: Column, status: Column) -> Column:
     """struct<code, category, retryable, cooldown_seconds, confidence>; with a status by ``error_type``, else by ``submission_error`` without a selector."""
-    code = F.when(status.isNotNull(), error_type(message, content, status)).otherwise(submission_error(message, content, F.lit("")))
-    return F.struct(
-        code.alias("code"), category(code).alias("category"), code.isin(*RETRYABLE).alias("retryable"), cooldown(code).alias("cooldown_seconds"),
-        confidence(code, message, content).alias("confidence"),
-    )
+
+    def coded(x: Column) -> Column:
+        return F.when(status.isNotNull(), error_type(x["message"], x["content"], status, rule=x["rule"], network=x["network"])).otherwise(_submission_error(x, F.lit("")))
+
+    def made(code: Column) -> Column:
+        return F.struct(
+            code.alias("code"), category(code).alias("category"), code.isin(*RETRYABLE).alias("retryable"), cooldown(code).alias("cooldown_seconds"),
+            confidence(code, message, content).alias("confidence"),
+        )
+
+    return F.transform(F.array(_bound(message, content, coded)), made)[0]
 
 
 def failure_detail(kind: Column, base: Column) -> Column:

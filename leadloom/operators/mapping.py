@@ -159,7 +159,7 @@ def split_strategy(kind: str, fields: Column) -> Column:
 
 def split_values(kind: str, parts: list[Column], n: Column, strategy: Column) -> Column:
     """array<string> of the values of n fields: all in one; each its part; or parts put together for fewer fields. An address leaves empty parts out."""
-    p = [F.trim(F.coalesce(c, F.lit(""))) for c in parts]
+    p = [text.stripped(F.coalesce(c, F.lit(""))) for c in parts]
     if kind == "address":
         street, building = F.concat(*p[:4]), p[4]
         whole = F.when(building == "", street).otherwise(F.concat(street, F.lit("　"), building))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions import text
+
 # fixed values: words by theme, as they stand in attributes and labels in lower case
 ADDRESS = "住所|address|addr|street|city|prefecture|都道府県|市区町村"
 MICROFORMAT = "p-region|p-locality|p-street-address|p-extended-address"
@@ -65,7 +67,7 @@ def consistent(field: Column, label: Column) -> Column:
 
 def value_for(field: Column, kind: Column, client: Column, subject: Column, message: Column) -> Column:
     """The value that a field gets from a client (a map of strings): whole and split names, mail, phone, postal code, address; a choice gets only gender and prefecture."""
-    part = lambda k: F.trim(F.coalesce(F.try_element_at(client, F.lit(k)), F.lit("")))
+    part = lambda k: text.stripped(F.coalesce(F.try_element_at(client, F.lit(k)), F.lit("")))
     both = lambda a, b, by="　": F.when(part(a) == "", part(b)).when(part(b) == "", part(a)).otherwise(F.concat(part(a), F.lit(by), part(b)))
     street = F.concat(*[part(f"address_{k}") for k in (1, 2, 3, 4)])
     values = {
