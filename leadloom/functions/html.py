@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -45,6 +46,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.skip, self.words, self.forms, self.open, self.links, self.anchor, self.button = 0, [], [], None, [], None, None
         self.labels, self.label, self.stack, self.places, self.icons = [], None, [], [], []
+        self.opened: Counter = Counter()
         self.signals = dict.fromkeys(("script", "frame", "anchor", "field", "badge", "sitekey", "challenge"), False)
 
     def handle_starttag(self, tag, attrs):
@@ -76,6 +78,7 @@ class _Reader(HTMLParser):
         if tag not in VOID:
             one = {"tag": tag, "from": len(self.words), "places": _selectors(tag, classes, ident), "at": len(self.stack), "box": tag == "div" and BOX_CLASS in classes, "icon": tag == "i" and ICON_CLASS in classes.split(), "lines": [], "named": None, "has_icon": False}
             self.stack.append(one)
+            self.opened[tag] += 1
 
     def _signs(self, tag, a, classes, ident):
         src, s = a.get("src", ""), self.signals
@@ -99,12 +102,13 @@ class _Reader(HTMLParser):
             self.button = None
         elif tag == "label":
             self.label = None
-        if any(e["tag"] == tag for e in self.stack[-64:]):  # a tag that closes nothing near is stray
+        if self.opened[tag]:  # a tag that closes nothing is stray
             while self.stack:
                 if self._leave(self.stack.pop()) == tag:
                     break
 
     def _leave(self, e):
+        self.opened[e["tag"]] -= 1
         text = self.words[e["from"] :] if e["places"] or e["icon"] or e["tag"] == "p" or e["box"] else ()
         if e["places"] and len(joined := " ".join(text)) >= LEAST_TEXT:
             self.places += [(k, e["from"], e["at"], joined) for k in e["places"]]
@@ -165,9 +169,62 @@ def page(c: Column) -> Column:
     return run(c)
 
 
+class _Words(HTMLParser):
+    """Text and anchors only."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.words, self.anchors, self.anchor, self.open = 0, [], [], None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SKIPPED:
+            self.skip += 1
+        elif tag == "a":
+            a = dict(attrs)
+            parent = self.open[-1] if self.open else (None, None)
+            self.anchor = [a.get("href"), [], a.get("title"), a.get("aria-label"), [], a.get("id"), a.get("class"), *parent]
+            self.anchors.append(self.anchor)
+        elif tag == "img" and self.anchor is not None and (alt := dict(attrs).get("alt")):
+            self.anchor[4].append(alt)
+        if tag not in VOID:
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in SKIPPED:
+            self.skip = max(0, self.skip - 1)
+        elif tag == "a":
+            self.anchor = None
+        # a tag left open inside this one ends with it; far ones are looked for only if the last does not fit
+        if self.open and self.open[-1][0] == tag:
+            self.open.pop()
+        elif any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.skip or not data.strip():
+            return
+        words = " ".join(data.split())
+        self.words.append(words)
+        if self.anchor is not None:
+            self.anchor[1].append(words)
+
+
+def _read(page: str | None) -> _Words:
+    r = _Words()
+    r.feed(page or "")
+    r.close()
+    return r
+
+
 def page_text(c: Column) -> Column:
     """All text but that of scripts and styles, joined by spaces."""
-    return page(c)["text"]
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(_read(p).words) for p in pages], dtype="object")
+
+    return run(c)
 
 
 def forms(c: Column) -> Column:
@@ -175,9 +232,29 @@ def forms(c: Column) -> Column:
     return page(c)["forms"]
 
 
+ANCHOR = "struct<href:string,text:string,title:string,aria:string,alt:string,id:string,classes:string,parent:string,parent_classes:string>"
+
+
+def anchors(c: Column) -> Column:
+    """array of ``ANCHOR``: the anchors in page order, with their attributes, the texts of their pictures, and the element around them."""
+
+    @F.pandas_udf(f"array<{ANCHOR}>")
+    def run(pages: pd.Series) -> pd.Series:
+        made = []
+        for p in pages:
+            found = _read(p).anchors
+            made.append([
+                {"href": href, "text": " ".join(words), "title": title, "aria": aria, "alt": " ".join(alts) or None, "id": ident, "classes": classes, "parent": parent, "parent_classes": around}
+                for href, words, title, aria, alts, ident, classes, parent, around in found
+            ])
+        return pd.Series(made, dtype="object")
+
+    return run(c)
+
+
 def links(c: Column) -> Column:
     """array<struct<href, text>> of the anchors in page order."""
-    return page(c)["links"]
+    return F.transform(anchors(c), lambda a: F.struct(a["href"].alias("href"), a["text"].alias("text")))
 
 
 def form_markup(c: Column) -> Column:

@@ -181,24 +181,35 @@ def audit_report(found: Column) -> Column:
 
 
 def redacted_json(c: Column) -> Column:
-    """A JSON document with the members of secret names masked, and the rules applied to all other texts in it."""
+    """A JSON document with the members of secret names masked, and the rules applied to all other texts in it. A text that is no document is one such text."""
     rules = [(re.compile(sign), re.compile(_python(pattern)), re.sub(r"\$(\d)", r"\\\1", mark)) for sign, pattern, mark in RULES]
 
-    def walk(v):
-        if isinstance(v, dict):
-            return {k: "***REDACTED***" if any(s in k.upper() for s in SECRET_KEYS) else walk(x) for k, x in v.items()}
-        if isinstance(v, list):
-            return [walk(x) for x in v]
-        if not isinstance(v, str) or len(v) < 5 or not any(s in v.lower() for s in SIGNS):
+    def clean(v: str) -> str:
+        if len(v) < 5 or not any(s in v.lower() for s in SIGNS):
             return v
         for sign, pattern, mark in rules:
             if sign.search(v):
                 v = pattern.sub(mark, v)
         return v
 
+    def walk(v):
+        if isinstance(v, dict):
+            return {k: "***REDACTED***" if any(s in k.upper() for s in SECRET_KEYS) else walk(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        return clean(v) if isinstance(v, str) else v
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        try:
+            return json.dumps(walk(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return clean(t)
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False, separators=(",", ":")))
+        return pd.Series([one(t) for t in texts], dtype="object")
 
     return run(c)
 

@@ -55,6 +55,11 @@ def text_score(c: Column) -> Column:
 
 def score(link: Column, page_url: Column) -> Column:
     """Texts, address, id and class, navigation, the parent's class and its kind. link: a struct of text, title, aria, alt, href, id, classes, parent, parent_classes."""
+    # as a variable: a filter on the score does not spell all rules out again
+    return F.transform(F.array(F.struct(link.alias("link"), page_url.alias("url"))), lambda x: _score(x["link"], x["url"]))[0]
+
+
+def _score(link: Column, page_url: Column) -> Column:
     href = F.trim(F.coalesce(link["href"], F.lit("")))
     low, ident, classes = F.lower(href), _low(link["id"]), _low(link["classes"])
     add = lambda cond, n: F.when(cond, n).otherwise(0)

@@ -2,54 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import html, urls
+from leadloom.sources import files
 
-# fixed values: words of links to contact pages, by rank, and their scores
-TEXT_TIERS = [
-    (300, ("お問い合わせ", "お問合せ", "御問合せ", "問い合わせ", "問合わせ", "問合せ", "toiawase", "contact", "連絡", "kontakt")),
-    (200, ("相談", "コンタクト", "依頼", "get in touch", "reach out", "商談", "consult", "meeting", "demo", "trial")),
-    (100, ("資料請求", "見積", "request", "quote", "estimate", "パンフレット", "カタログ", "rfp")),
-    (50, ("サポート", "ヘルプ", "質問", "support", "help", "question", "inquiry", "feedback", "ご意見", "survey", "apply", "application")),
-]
-NEGATIVE_TEXT = ("採用", "求人", "応募", "recruit", "career", "privacy policy", "サイトマップ", "newsletter", "download", "ダウンロード", "login", "ログイン", "password", "パスワード")
-GOOD_PATHS = ("/contact", "/inquiry", "/form", "/mail", "/support", "/ask", "/toiawase", "/help", "/question", "/consult", "/demo", "/trial", "/meeting", "/estimate", "/quote")
-BAD_ENDINGS = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".zip", ".rar", ".tar", ".gz", ".docx", ".xlsx", ".csv")
-BAD_SCHEMES = ("tel:", "mailto:", "javascript:", "#")
-COMMENT_MARKS = ("#comment", "#respond", "comment-form", "wp-comment")
-RECRUITMENT = ("採用", "求人", "応募", "recruit", "career", "employment")
+# fixed values: words that speak against a link, and names of contact pages
+NEGATIVE_TEXT = "採用|求人|応募|recruit|career|privacy policy|サイトマップ|newsletter|download|ダウンロード|login|ログイン|password|パスワード"
 LEAST_SCORE = 100
-CONTACT_NAMES = ("お問い合わせ", "お問合せ", "問い合わせ", "toiawase", "contact", "inquiry")
-
-def any_of(c: Column, words: tuple) -> Column:
-    return reduce(lambda a, b: a | b, (c.contains(w) for w in words))
-
-
-def link_excluded(text: Column, href: Column) -> Column:
-    """Comment links first, then recruitment unless the link names general contact."""
-    t, h = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(href, F.lit("")))
-    contact = any_of(t, TEXT_TIERS[0][1]) | any_of(h, ("/contact", "/inquiry", "/toiawase"))
-    return F.when(any_of(h, COMMENT_MARKS) | any_of(t, COMMENT_MARKS), True).when(contact, False).otherwise(any_of(t, RECRUITMENT) | any_of(h, RECRUITMENT))
-
-
-def link_score(text: Column, href: Column, page_url: Column, position: Column | None = None) -> Column:
-    """The first tier of the text, minus negative words (not below 0), plus URL rules and place."""
-    t, h = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(href, F.lit("")))
-    tier = reduce(lambda acc, x: acc.when(any_of(t, x[1]), x[0]), TEXT_TIERS[1:], F.when(any_of(t, TEXT_TIERS[0][1]), TEXT_TIERS[0][0])).otherwise(0)
-    own = F.greatest(F.lit(0), tier - F.when(any_of(t, NEGATIVE_TEXT), 100).otherwise(0))
-    bare = F.regexp_replace(h, r"[?#].*$", "")
-    score = (
-        own + F.when(any_of(h, GOOD_PATHS), 150).otherwise(0)
-        - F.when(reduce(lambda a, b: a | b, (F.endswith(bare, F.lit(e)) for e in BAD_ENDINGS)), 200).otherwise(0)
-        - F.when(reduce(lambda a, b: a | b, (F.startswith(h, F.lit(e)) for e in BAD_SCHEMES)), 500).otherwise(0)
-        - F.when(urls.external(href, page_url), 50).otherwise(0)
-    )
-    return score if position is None else score + position
-
+CONTACT_NAMES = "お問い合わせ|お問合せ|問い合わせ|toiawase|contact|inquiry"
 
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, url, dom_index, href, text of the anchors, as the parser finds them."""
@@ -60,7 +22,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def boosted(links: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
     """Links (page_id, dom_index, text, href, score) that reach the least score; of a page without any, those that name contact and nothing negative, at a high score."""
     named = F.concat_ws(" ", F.lower("text"), F.lower("href"))
-    wanted = any_of(named, CONTACT_NAMES) & ~any_of(named, tuple(w.lower() for w in NEGATIVE_TEXT))
+    wanted = named.rlike(CONTACT_NAMES) & ~named.rlike(NEGATIVE_TEXT)
     good = links.where(F.col("score") >= least)
     without = links.join(good.select("page_id").distinct(), "page_id", "left_anti").where(wanted)
     return good.unionByName(without.withColumn("score", F.lit(max(least + 500, 600)).cast(links.schema["score"].dataType)))
@@ -73,14 +35,18 @@ def crawl(start: DataFrame, links: DataFrame, rounds: int = 6, least: int = LEAS
     step, then place in the page), and the links of that page join the open ones; no url is visited twice, and a site
     stops when no link reaches the least score.
     """
-    visited = start.select("site", F.lit(0).alias("step"), "url", F.lit(0).cast("int").alias("score"))
-    known = links.where(F.col("score") >= least).select("site", F.col("page"), "url", F.col("score").cast("int"), "dom_index")
+    # each round reads what the rounds before it wrote, so that its plan is the same however many there were
+    taken = start.select("site", F.lit(0).alias("step"), "url", F.lit(0).cast("int").alias("score"))
+    visited = files.written(taken, "crawl")
+    known = files.written(links.where(F.col("score") >= least).select("site", F.col("page"), "url", F.col("score").cast("int"), "dom_index"), "crawl-links")
+    schema, paths = visited.schema, visited.inputFiles()
     for step in range(1, rounds + 1):
         seen = visited.select("site", F.col("url").alias("page"), F.col("step").alias("at"))
         open_ = known.join(seen, ["site", "page"]).join(visited.select("site", "url"), ["site", "url"], "left_anti")
         best = F.struct("score", (-F.col("at")).alias("a"), (-F.col("dom_index")).alias("d"), "url")
-        taken = open_.groupBy("site").agg(F.max(best).alias("b"))
-        visited = visited.unionByName(taken.select("site", F.lit(step).alias("step"), "b.url", "b.score"))
+        found = open_.groupBy("site").agg(F.max(best).alias("b")).select("site", F.lit(step).alias("step"), "b.url", "b.score")
+        paths = [*paths, *files.written(found, "crawl").inputFiles()]
+        visited = start.sparkSession.read.schema(schema).parquet(*paths)
     return visited
 
 
@@ -117,8 +83,10 @@ def consent_score(text: Column, distance: Column) -> Column:
     return F.when(t.rlike("メルマガ|newsletter|配信"), F.lit(0.0)).otherwise(score)
 
 
-def judge(prohibition, bot, visible_error, required_or_retry, url_changed, success_path, other_host, success_texts, forms_before, forms_now, elements_before, elements_now, compat: bool = False) -> Column:
-    """struct<success, confidence, stage>: the first stage that decides.
+def judge(prohibition, bot, visible_error, required_or_retry, url_changed, success_path, other_host, success_texts, forms_before, forms_now, elements_before, elements_now, compat: bool = False, headlines=None, buttons=None, siblings=None, disabled=None) -> Column:
+    """struct<success, confidence, stage>: the first stage that decides. Texts, forms and elements are those of one snapshot, so that the guard after a new
+    address asks what was asked before it. headlines (elements that say success), buttons (visible ones that send), siblings (new elements of success
+    beside the form), disabled (elements): counts, left out where they are not known.
 
     A page with errors that nothing else explains (stage 5) is a failure; with ``compat`` it counts as a success of 0.72, and so does
     what no stage decides, as the surveyed code has it.
@@ -133,9 +101,16 @@ def judge(prohibition, bot, visible_error, required_or_retry, url_changed, succe
         .when((required_or_retry >= 2) & (success_texts == 0) & ~success_path, out(False, 0.85, 0))
         .when(url_changed, out(True, F.when(success_path, 0.95).when(other_host, 0.85).otherwise(0.90), 1))
         .when(success_texts > 0, out(True, F.least(F.lit(0.95), 0.88 + F.least(0.02 * success_texts, F.lit(0.07))), 2))
-        .when((forms_before > 0) & (forms_now == 0), out(True, 0.85, 3))
-        .when(shrink > 0.5, out(True, F.least(F.lit(0.83), 0.75 + 0.1 * shrink), 3))
     )
+    if headlines is not None:
+        decided = decided.when(headlines > 0, out(True, 0.85, 2))
+    decided = decided.when((forms_before > 0) & (forms_now == 0), out(True, 0.85, 3)).when(shrink > 0.5, out(True, F.least(F.lit(0.83), 0.75 + 0.1 * shrink), 3))
+    if buttons is not None:
+        decided = decided.when(buttons == 0, out(True, 0.78, 3))
+    if siblings is not None:
+        decided = decided.when(siblings > 0, out(True, F.least(F.lit(0.80), 0.77 + F.least(0.01 * siblings, F.lit(0.03))), 4))
+    if disabled is not None:
+        decided = decided.when(disabled > 0, out(True, 0.75, 4))
     if compat:
         return decided.otherwise(out(True, 0.72, 5))
     return decided.when(required_or_retry > 0, out(False, F.least(F.lit(0.75), 0.70 + 0.01 * required_or_retry), 5)).otherwise(out(True, 0.65, 6))

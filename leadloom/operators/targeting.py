@@ -35,6 +35,15 @@ def check_predicate(fragment: str | None) -> str | None:
     return text
 
 
+def predicate_verdict(fragment: Column) -> Column:
+    """``check_predicate`` over a column of stored fragments: ok, none, or what speaks against it (token, statement, subquery)."""
+    t = F.trim(F.regexp_replace(F.coalesce(fragment, F.lit("")), r"(?i)^\s*where\s+", ""))
+    return (
+        F.when(t == "", "none").when(t.rlike(f"(?i){FORBIDDEN_TOKEN.pattern}"), "token").when(t.rlike(f"(?i){FORBIDDEN_WORD.pattern}"), "statement")
+        .when(t.rlike(r"(?i)\bselect\b"), "subquery").otherwise("ok")
+    )
+
+
 def predicate(fragment: str | None) -> Column:
     text = check_predicate(fragment)
     return F.expr(text) if text else F.lit(True)

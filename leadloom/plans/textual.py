@@ -215,20 +215,6 @@ def fuzzy_dedup(spark, d):
     return links.where("text <> ''").groupBy("page_id").agg(F.collect_set("text").alias("texts")).select("page_id", text.distinct_longest(F.col("texts")).alias("kept"))
 
 
-def _score_sql() -> str:
-    t, h = "lower(text)", "lower(href)"
-    tiers = " ".join(f"when {_words(ws, t)} then {s}" for s, ws in scoring.TEXT_TIERS)
-    bare = f"regexp_replace({h}, '[?#].*$', '')"
-    ends = " or ".join(f"ends_with({bare}, '{e}')" for e in scoring.BAD_ENDINGS)
-    starts = " or ".join(f"starts_with({h}, '{e}')" for e in scoring.BAD_SCHEMES)
-    a, b = (f"replace({_HOST.format(c)}, 'www.', '')" for c in ("href", "url"))
-    external = f"({a} <> '' and {a} <> {b} and not ends_with({a}, '.' || {b}))"
-    return (
-        f"(greatest(0, (case {tiers} else 0 end) - (case when {_words(scoring.NEGATIVE_TEXT, t)} then 100 else 0 end)) + (case when {_words(scoring.GOOD_PATHS, h)} then 150 else 0 end) "
-        f"- (case when {ends} then 200 else 0 end) - (case when {starts} then 500 else 0 end) - (case when {external} then 50 else 0 end))"
-    )
-
-
 # anchors of the pages never name a contact page, so words of the prose stand in for some of them
 _TWISTED = "t as (select page_id, url, dom_index, case when dom_index = 1 then 'https://' || text || '.example/contact.pdf' when dom_index = 2 then '/Contact' when dom_index = 3 and page_id % 3 = 0 then 'mailto:x' else href end as href, case when dom_index = 2 and page_id % 2 = 0 then 'Contact us' when dom_index = 4 then 'Support careers' else text end as text from l)"
 
@@ -240,25 +226,6 @@ def _twisted(spark, d):
     return _links(spark, d).select("page_id", "url", "dom_index", href.alias("href"), name.alias("text"))
 
 
-@query(f"with {_LINKS}, {_TWISTED} select page_id, dom_index, {_score_sql()} as score from t")
-def link_score(spark, d):
-    return _twisted(spark, d).select("page_id", "dom_index", scoring.link_score(F.col("text"), F.col("href"), F.col("url")).alias("score"))
-
-
-@query(f"with {_LINKS}, {_TWISTED}, s as (select *, {_score_sql()} as score from t), r as (select page_id, dom_index, score, row_number() over (partition by page_id order by score desc, dom_index) as rank from s) select * from r where rank <= 3")
-def link_top_per_page(spark, d):
-    scored = _twisted(spark, d).withColumn("score", scoring.link_score(F.col("text"), F.col("href"), F.col("url")))
-    return scoring.ranked_links(scored).select("page_id", "dom_index", "score", "rank")
-
-
-@query(
-    f"with {_LINKS}, {_TWISTED}, x as (select page_id, dom_index, lower(text) as t, lower(href) as h from t) select page_id, dom_index, case when {_words(scoring.COMMENT_MARKS, 'h')} or {_words(scoring.COMMENT_MARKS, 't')} then true "
-    f"when {_words(scoring.TEXT_TIERS[0][1], 't')} or {_words(('/contact', '/inquiry', '/toiawase'), 'h')} then false else {_words(scoring.RECRUITMENT, 't')} or {_words(scoring.RECRUITMENT, 'h')} end as excluded from x"
-)
-def link_exclusion(spark, d):
-    return _twisted(spark, d).select("page_id", "dom_index", scoring.link_excluded(F.col("text"), F.col("href")).alias("excluded"))
-
-
 @query(
     f"with {_LINKS}, {_TWISTED} select page_id, count(*) filter (where {_HOST.format('href')} <> '' and {_HOST.format('href')} <> {_HOST.format('url')} and not ends_with(replace({_HOST.format('href')}, 'www.', ''), '.' || replace({_HOST.format('url')}, 'www.', ''))) as n_external from t group by 1"
 )
@@ -306,36 +273,6 @@ def resource_size(spark, d):
 
 
 # ---- classes ----------------------------------------------------------------------------------------------------------
-_MESSAGES = (
-    "HTTP 429 Too Many Requests", "net::ERR_NAME_NOT_RESOLVED while navigating", "必須項目を入力してください", "メールアドレスの形式が正しくありません", "Submit button not found",
-    "Page load timed out", "Internal Server Error 500", "connection refused by peer", "Cloudflare protection", "json decode error", "element not found for field", "odd thing", "type mismatch on input",
-)
-_MESSAGE = "case event_id % 14 " + " ".join(f"when {k} then '{m}'" for k, m in enumerate(_MESSAGES)) + " end"
-
-
-# what must come of each message: class, whether it can be tried again, and how long to wait
-_EXPECTED_CLASSES = [
-    ("RATE_LIMIT", "true", 300), ("DNS_ERROR", "true", 0), ("MAPPING", "false", 0), ("VALIDATION_FORMAT", "false", 0), ("SUBMIT_BUTTON_NOT_FOUND", "true", 0), ("TIMEOUT", "true", 0), ("ACCESS", "true", 60),
-    ("ACCESS", "true", 60), ("BOT_DETECTED", "false", 0), ("INSTRUCTION", "false", 0), ("ELEMENT_NOT_FOUND", "true", 0), ("SYSTEM", "true", 0), ("INPUT_EXTERNAL", "false", 0), ("SYSTEM", "true", 0),
-]
-_EXPECTED_SQL = "values " + ", ".join(f"({k}, '{kind}', {retry}, {wait})" for k, (kind, retry, wait) in enumerate(_EXPECTED_CLASSES))
-
-
-def _kind():
-    return errors.submission_error(F.col("m"), F.lit(""), F.lit("#send"))
-
-
-@query(f"select kind, count(*) as n from events join ({_EXPECTED_SQL}) v(k, kind, retry, cooldown_s) on event_id % 14 = k group by 1")
-def error_classify(spark, d):
-    return table(spark, d, "events").select(F.expr(_MESSAGE).alias("m")).select(_kind().alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query(f"select event_id, kind, retry, cast(cooldown_s as int) as cooldown_s from events join ({_EXPECTED_SQL}) v(k, kind, retry, cooldown_s) on event_id % 14 = k")
-def error_detail(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.expr(_MESSAGE).alias("m")).withColumn("kind", _kind())
-    return rows.select("event_id", "kind", errors.recoverable(F.col("kind"), F.col("m")).alias("retry"), errors.cooldown(F.col("kind")).alias("cooldown_s"))
-
-
 _STATUSES = "case event_id % 6 when 0 then array[200, 429, 500] when 1 then array[200, 403, 503] when 2 then array[404, 502, 504] when 3 then array[200, 301] when 4 then array[500, 403, 429] end"
 
 

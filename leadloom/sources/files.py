@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: what follows neither plans nor computes it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_sheet(spark: SparkSession, path: str, required: list[str], schema: T.StructType | None = None) -> DataFrame:
     """A CSV sheet by header name; raises if a column is missing."""
     reader = spark.read.option("header", True)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.functions import numbers, text, urls
-from leadloom.operators import errors, prohibition, scoring, targeting
+from leadloom.operators import errors, links, prohibition, targeting
 
 
 def one(spark, column, **values):
@@ -57,7 +57,8 @@ def test_prohibition(spark, said, hit):
 
 @pytest.mark.parametrize(("href", "out"), [("/document-request", False), ("/post#comment-5", True), ("/recruit", True), ("/contact?recruit=1", False)])
 def test_link_exclusion(spark, href, out):
-    assert one(spark, scoring.link_excluded(F.lit("x"), F.col("h")), h=href) is out
+    link = F.struct(F.lit("x").alias("text"), F.col("h").alias("href"), *[F.lit("").alias(k) for k in ("title", "aria", "alt")])
+    assert one(spark, links.excluded(link), h=href) is out
 
 
 @pytest.mark.parametrize(("url", "ok"), [("https://a.example/x", True), ("ftp://a.example", False), ("http://127.0.0.1/", False), ("http://8.8.8.8/", True), ("http://a.example:22/", False), ("http://localhost/", False), ("http://a b.example", False)])

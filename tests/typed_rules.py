@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import html, redaction
 from leadloom.operators import errors, mapping, prohibition, safeguards, scores
-from leadloom.plans.cases import ORACLES, QUERIES, cases
+from typed import cases
 
 # ---- errors
 cases(
@@ -356,5 +356,3 @@ cases(
     ],
     lambda c: [safeguards.value_for(F.col("field"), F.col("kind"), F.col("client"), F.lit("用件"), F.lit("本文です"))],
 )
-
-__all__ = ["ORACLES", "QUERIES"]

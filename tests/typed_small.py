@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import dates, documents, numbers, text, urls
-from leadloom.operators import elements, links, queue_state, scoring
-from leadloom.plans.cases import ORACLES, QUERIES, cases
+from leadloom.operators import elements, links, queue_state
+from typed import cases
 
 _LINK = "struct<text:string,title:string,aria:string,alt:string,href:string,id:string,classes:string,parent:string,parent_classes:string>"
 
@@ -112,29 +112,3 @@ cases(
     ],
     lambda c: [documents.json_safe(F.col("document"))],
 )
-
-
-def link_fallback(spark, d):
-    """page_id, dom_index, score: for pages whose links all score low, those that name contact."""
-    rows = [(1, 0, "Contact", "/c", 50), (1, 1, "採用 contact", "/r", 20), (1, 2, "x", "/inquiry", 0), (2, 0, "Contact", "/c", 450), (2, 1, "Contact", "/d", 50), (3, 0, "x", "/x", 0)]
-    return scoring.boosted(spark.createDataFrame(rows, "page_id long, dom_index int, text string, href string, score int")).select("page_id", "dom_index", "score")
-
-
-def crawl_order(spark, d):
-    """site, step, url, score: the visits of a best-first crawl over recorded links."""
-    found = [
-        (1, "/", "/a", 200, 0), (1, "/", "/b", 300, 1), (1, "/", "/low", 90, 2), (1, "/b", "/c", 250, 0), (1, "/b", "/a", 400, 1), (1, "/c", "/", 500, 0), (1, "/a", "/d", 200, 1), (1, "/a", "/e", 200, 0),
-        (2, "/", "/x", 100, 0), (2, "/x", "/y", 99, 0), (3, "/", "/only-low", 10, 0),
-    ]
-    start = spark.createDataFrame([(k, "/") for k in (1, 2, 3)], "site long, url string")
-    return scoring.crawl(start, spark.createDataFrame(found, "site long, page string, url string, score int, dom_index int"), rounds=4)
-
-
-_ORDER = [(1, 0, "/", 0), (1, 1, "/b", 300), (1, 2, "/a", 400), (1, 3, "/c", 250), (1, 4, "/e", 200), (2, 0, "/", 0), (2, 1, "/x", 100), (3, 0, "/", 0)]
-QUERIES |= {"link_fallback": link_fallback, "crawl_order": crawl_order}
-ORACLES |= {
-    "link_fallback": "select cast(a as bigint) as page_id, b as dom_index, c as score from (values (1, 0, 600), (1, 2, 600), (2, 0, 450)) v(a, b, c)",
-    "crawl_order": "select cast(a as bigint) as site, b as step, c as url, s as score from (values " + ", ".join(f"({a}, {b}, '{c}', {s})" for a, b, c, s in _ORDER) + ") v(a, b, c, s)",
-}
-
-__all__ = ["ORACLES", "QUERIES"]
