@@ -4,9 +4,10 @@ A page is cut into blocks of text, each with its root-to-leaf path of block elem
 path has a text ratio, its characters a block, and a punctuation ratio, its marks a block. Both series are smoothed along
 the blocks in page order and fused by their product. The fused ratio is weighted by what else a page says about a
 block: the share of its text outside links, and a small factor if an element around it is of a kind (aside, form, an outer
-header) or has a class, id or role that names other than the article, such as an advert or a menu, or if an article or main
-element stands elsewhere. A name counts as a whole, on elements that group others, not by one word of a longer
-name, and says nothing if the element holds nearly all of the page. Paths whose weighted ratio reaches a share of the page's mean
+header) or has a class, id or role that names other than the article, such as an advert or a menu, or if an article, or a main
+element with as much weight, stands elsewhere. A name counts as a whole, on elements that group others, not by one word of a longer
+name. Only where nothing else of the page could be the article, as no prose stands outside such names, do names of what holds nearly
+all of the page say nothing: a thread of comments may be far longer than its article. Paths whose weighted ratio reaches a share of the page's mean
 are content; the weights decide only between ratios, so a page all of whose text is so named is extracted like any other.
 
 The deepest element that holds nearly all of the weight of content paths is the article. All blocks of content paths in it or in
@@ -66,8 +67,10 @@ CONTAINERS = frozenset("center dd details div dl figure header li ol section sum
 TEXTUAL = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？]")
 WORD = re.compile(r"[a-z]+")
-#: A path is content if its weighted ratio reaches this share of the mean; an element is the article, and its name void, if it holds this share of the weight.
+#: A path is content if its weighted ratio reaches this share of the mean; an element is the article if it holds this share of the weight.
 THRESHOLD, HOLDS = 0.3, 0.9
+#: So many characters in blocks with punctuation could be an article.
+PROSE = 60
 #: Factors of the ratio for a block in an element that is named apart, and outside the article or main element of the page.
 NAMED, OUTSIDE = 0.0001, 0.01
 
@@ -77,15 +80,16 @@ SIGMA = 0.5
 
 
 class Element:
-    """number: place in the page. path: number of its path. apart: its kind or name says that it is not the article. off: has no text."""
+    """number: place in the page. path: number of its path. apart: its kind or name says that it is not the article. off: has no text. said: it is called an article."""
 
-    __slots__ = ("tag", "path", "parent", "off", "depth", "in_article", "apart", "number")
+    __slots__ = ("tag", "path", "parent", "off", "depth", "in_article", "apart", "number", "said")
 
     def __init__(self, tag: str, name: str, parent: Element | None, apart: bool, off: bool, paths: dict, number: int):
         self.tag, self.parent, self.apart, self.number = tag, parent, apart, number
         self.path = paths.setdefault((parent.path if parent else -1, name), len(paths))
         self.off = off or bool(parent and parent.off)
         self.depth = parent.depth + 1 if parent else 0
+        self.said = tag == "article"
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
 
 
@@ -218,6 +222,19 @@ def _held(elements: list[Element], blocks: list[tuple[Element, str, int]], weigh
     return held
 
 
+def _factors(elements: list[Element], void: np.ndarray) -> np.ndarray:
+    """The product of the factors of names around and on each element; void ones count as none."""
+    factor = np.ones(len(elements))
+    for e in elements[1:]:
+        factor[e.number] = factor[e.parent.number] * (NAMED if e.apart and not void[e.number] else 1)
+    return factor
+
+
+def _prose(blocks: list[tuple[Element, str, int]], factor: np.ndarray) -> bool:
+    """Whether blocks outside all names could be an article: they are in one, or have enough text outside links, with punctuation."""
+    return any(e.in_article for e, _, _ in blocks if factor[e.number] == 1) or sum(len(text) - links for e, text, links in blocks if factor[e.number] == 1 and PUNCTUATION.search(text)) >= PROSE
+
+
 def main_text(page: str | None) -> str:
     elements, blocks = blocks_of(page or "")
     blocks = [b for b in blocks if not b[0].off]
@@ -225,17 +242,20 @@ def main_text(page: str | None) -> str:
         return ""
     ratio, length = path_ratios(blocks), np.array([len(b[1]) for b in blocks])
     ratio *= np.array([1 - min(1.0, links / len(text)) * (not _running(e)) for e, text, links in blocks])
-    # the factor of each element's names, void where nearly all of the page is in it
-    held, total = _held(elements, blocks, ratio * length), float((ratio * length).sum())
-    factor = np.ones(len(elements))
-    for e in elements[1:]:
-        factor[e.number] = factor[e.parent.number] * (NAMED if e.apart and held[e.number] < HOLDS * total else 1)
-    article_text = any(e.in_article and factor[e.number] == 1 for e, _, _ in blocks)
+    factor = _factors(elements, np.zeros(len(elements), bool))
+    if not _prose(blocks, factor):  # names of what holds the page are void
+        held, total = _held(elements, blocks, ratio * length), float((ratio * length).sum())
+        factor = _factors(elements, held >= HOLDS * total)
+    plain = np.array([factor[e.number] == 1 for e, _, _ in blocks])
+    in_article = np.array([e.in_article for e, _, _ in blocks])
+    # a main element that holds less than what stands beside it marks a part, not the article
+    said = any(e.said for e in elements)
+    article_text = bool((plain & in_article).any()) and (said or (ratio * length)[plain & in_article].sum() >= (ratio * length)[plain & ~in_article].sum())
     weighted = ratio * np.array([factor[e.number] * (1 if e.in_article or not article_text else OUTSIDE) for e, _, _ in blocks])
     best: dict[int, float] = {}
     for (e, _, _), w in zip(blocks, weighted, strict=True):
         best[e.path] = max(best.get(e.path, 0.0), w)
-    content = [best[b[0].path] >= THRESHOLD * weighted.mean() and not _mostly_links(b) for b in blocks]
+    content = [best[b[0].path] >= THRESHOLD * weighted.mean() for b in blocks]
     if not any(content):
         content = [True] * len(blocks)
     held = _held(elements, blocks, weighted * length * content)
@@ -245,7 +265,7 @@ def main_text(page: str | None) -> str:
     named = article
     while named.parent and named.tag not in ("article", "main"):
         named = named.parent
-    marked = named.parent is not None
+    marked = named.parent is not None and article_text
     if marked:
         article = named
     inside = np.zeros(len(elements), bool)
@@ -258,7 +278,7 @@ def main_text(page: str | None) -> str:
 
     def stays(b: tuple[Element, str, int]) -> bool:
         e = b[0]
-        return factor[e.number] >= level and not _mostly_links(b) and (inside[e.number] or (not marked and e.tag in TEXTUAL))
+        return factor[e.number] >= level and (inside[e.number] or (not marked and e.tag in TEXTUAL and not _mostly_links(b)))
 
     far = [best[b[0].path] >= weighted.mean() for b in blocks]  # beside the article a block needs more
     return "\n".join(b[1] for b, on, high in zip(blocks, content, far, strict=True) if (on and (high or around[b[0].number])) or stays(b))
@@ -270,6 +290,7 @@ def _running(e: Element) -> bool:
 
 
 def _mostly_links(block: tuple[Element, str, int]) -> bool:
+    """A menu without a name, on a page that does not mark its article."""
     e, text, links = block
     return links > 0.6 * len(text) and not _running(e)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import near_dedup, source_divergence, spelling_variants, warc
+from leadloom.llm import html_extraction, near_dedup, source_divergence, spelling_variants, warc
 
 
 def lower(t):
@@ -295,3 +295,33 @@ def test_near_copies_go_by_row(spark):
     kept = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()), key=str)
     assert kept == sorted(((i, t) for i, t in rows if (i, t) not in ((5, rows[1][1]), (6, rows[3][1]), (None, rows[6][1]))), key=str)
     assert near_dedup.drop_near_copies(df).columns == df.columns
+
+
+# ---- 2
+TEN = [f"This is sentence {k} of the article, and it says a little." for k in range(10)]
+THREAD = [f"Comment {k}: I do not agree with this at all, for reasons that I will now explain at length." for k in range(60)]
+
+
+def _p(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+@pytest.mark.parametrize("form", ["<article>{0}</article>{1}", "<article>{0}{1}</article>", "<div>{0}</div>{1}", "<div class=wrap><div class=post>{0}</div>{1}</div>", "<main>{0}</main>{1}"])
+def test_comments_go_however_many_there_are(form):
+    for n in (3, 22, 60):
+        page = "<html><body>" + form.format(_p(TEN), f'<div class="comments">{_p(THREAD[:n])}</div>') + "</body></html>"
+        assert html_extraction.main_text(page) == "\n".join(TEN)
+
+
+def test_a_page_all_of_whose_text_is_named_is_its_article():
+    assert html_extraction.main_text(f'<body><div class="widget">{_p(TEN)}</div></body>') == "\n".join(TEN)
+
+
+def test_linked_items_and_cells_of_an_article_stay():
+    page = f'<nav><ul><li><a href=/>Home</a></ul></nav><article>{_p(TEN)}<ul><li><a href=a>First source of the article</a><li><a href=b>Second</a></ul><table><tr><td><a href=c>Cell</a><td>x</table></article>'
+    assert html_extraction.main_text(page) == "\n".join([*TEN, "First source of the article", "Second", "Cell", "x"])
+
+
+def test_the_longer_part_is_the_article_whatever_main_says():
+    page = f"<main><p>One short line, no more.</p></main><div>{_p(TEN)}</div>"
+    assert set(TEN) <= set(html_extraction.main_text(page).split("\n"))
