@@ -4,7 +4,7 @@ Terms are lower-cased runs of letters, digits and inner dots. Document frequenci
 all files; a term that no template has weighs as much as the mean template term, so that words around a notice count against it.
 
 - Headers: every line, and every run of two to ``LINES`` lines (lines without terms apart) of at most ``WRAPPED`` terms each, is
-  compared with the notices, so that a notice may be wrapped. A run takes its most similar notice at a cosine of ``THRESHOLD`` or more, and a file the most similar of its runs.
+  compared with the notices, the titles of licence texts and the tags that name a licence, so that a notice may be wrapped. A run that says that something is not so licensed does not count. A run takes its most similar notice at a cosine of ``THRESHOLD`` or more, and a file the most similar of its runs.
 - Licence files: the vector of a whole file is compared with the licence texts, at a cosine of ``TEXT_THRESHOLD`` or more.
 - A file licenses its directory if it as a whole is a licence text, if half of its words are in its best run, or if it has a licence and is named like a licence file. Files without a licence of their own take that of the nearest ancestor directory
   that has one: the distinct directories are resolved by joins on their ancestors, then joined to the files by path.
@@ -30,6 +30,17 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import materialise
 
+# fixed values: the titles of licence texts, which name their versions
+TITLES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
 # fixed values: names of licences and the notices that declare them
 NOTICES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3"),
@@ -47,6 +58,7 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
@@ -56,12 +68,19 @@ NOTICES = [
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", "Released under the ISC License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Zlib", "Released under the zlib License"),
 ]
+#: The tag that names a licence in a file's head, for each licence.
+TAGS = [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in [*TITLES, *NOTICES]})]
+# fixed values: what says that a licence is not the one
+NEGATED = r"\b(?:not|never|no longer)(?: [a-z0-9.]+){0,2} (?:licen[cs]ed|released|distributed|available|covered|published)\b"
 # fixed values: the texts of licences
 _BSD_HEAD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -102,7 +121,7 @@ TEXTS = [
      "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
 #: (licence, text) of all templates, licence texts first.
-TEMPLATES = [*TEXTS, *NOTICES]
+TEMPLATES = [*TEXTS, *TITLES, *TAGS, *NOTICES]
 # fixed values: words of any prose, which anchor nothing if the others can
 ORDINARY = tuple("a an and any are as at be but by for from in is it not of on or so that the this to was with".split())
 FILE_NAMES = r"(?i)/(licen[cs]e|copying|unlicense)([-_.][^/]*)?$"
@@ -219,6 +238,7 @@ def scan_headers(files: DataFrame, threshold: float = THRESHOLD, text_threshold:
     split = F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("line"), F.regexp_extract_all(x, F.lit(f"({TERM})"), F.lit(1)).alias("terms")))
     lines = F.filter(split, lambda x: F.size(x["terms"]) > 0)
     runs = one.where(F.arrays_overlap("held", rare)).select("sha", lines.alias("lines")).select("sha", F.explode(_runs(F.col("lines"), rare)).alias("r"))
+    runs = runs.where(~F.array_join("r.terms", " ").rlike(NEGATED))
     scored = _cosines(runs.select("sha", "r.line", "r.k", "r.terms"), ["sha", "line", "k"], tables["notice"], known, other).where(F.col("score") >= threshold)
     whole = one.where(F.arrays_overlap("held", rare_text)).select("sha", F.regexp_extract_all("low", F.lit(f"({TERM})"), F.lit(1)).alias("terms"))
     texts = _cosines(whole, ["sha"], tables["text"], known, other).where(F.col("score") >= text_threshold)

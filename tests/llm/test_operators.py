@@ -283,6 +283,8 @@ def plain_licences(files):
                 words = [w for _, ws in lines[p : p + k] for w in ws]
                 if k > 1 and max(len(ws) for _, ws in lines[p : p + k]) > license_scan.WRAPPED:
                     continue
+                if re.search(license_scan.NEGATED, " ".join(words)):
+                    continue
                 new = [(cosine(words, u), -t, -lines[p][0], -k, name, None) for t, name, u in vectors[len(license_scan.TEXTS) :]]
                 new = [f for f in new if f[0] >= license_scan.THRESHOLD]
                 found += [(*f[:5], len(words)) for f in new]

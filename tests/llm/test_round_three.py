@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import html_extraction, near_dedup, source_divergence, spelling_variants, warc
+from leadloom.llm import html_extraction, license_scan, near_dedup, source_divergence, spelling_variants, warc
 
 
 def lower(t):
@@ -325,3 +325,21 @@ def test_linked_items_and_cells_of_an_article_stay():
 def test_the_longer_part_is_the_article_whatever_main_says():
     page = f"<main><p>One short line, no more.</p></main><div>{_p(TEN)}</div>"
     assert set(TEN) <= set(html_extraction.main_text(page).split("\n"))
+
+
+# ---- 4
+def test_versions_tags_and_denials(spark):
+    said = {
+        "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999\n\nThe licenses for most software are designed to take away your freedom.\nThe GNU General Public License is another one.": "LGPL-2.1",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\nThis version incorporates the terms of version 3": "LGPL-3.0",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007": "AGPL-3.0", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991": "GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": "GPL-3.0",
+        "# SPDX-License-Identifier: Apache-2.0\nimport x": "Apache-2.0", "// SPDX-License-Identifier: MIT": "MIT", "/* SPDX-License-Identifier: LGPL-2.1-or-later */": "LGPL-2.1", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS LICENSE": "EPL-2.0", "Boost Software License - Version 1.0 - August 17th, 2003": "BSL-1.0",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0", "Mozilla Public License Version 2.0\n====": "MPL-2.0",
+        "This project is not licensed under the MIT License": None, "The code is no longer released under the MIT License.": None, "Licensed under the MIT License": "MIT",
+    }
+    files = [(k, f"/p{k}/LICENSE" if k % 2 else f"/p{k}/a.py", t) for k, t in enumerate(said)] + [(1000 + k, f"/q{k}/x", f"some prose of file {k}, this and that\nand more words") for k in range(400)]
+    files += [(2000, "/p1/src/a.c", "int main")]
+    found = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {k: found[k] for k in range(len(said))} == dict(enumerate(said.values()))
+    assert found[2000] == "LGPL-3.0" and found[1000] is None
