@@ -311,7 +311,7 @@ class Segmenter:
     once: chunks that were seen once, which are not remembered yet.
     """
 
-    def __init__(self, model: Model, rate: float = RATE, seed: int = SEED, limit: int = 500_000):
+    def __init__(self, model: Model, rate: float = RATE, seed: int = SEED, limit: int = 100_000):
         self.model, self.seed, self.limit = model, seed, limit
         self.below = min(int(rate * 2**64), 2**64 - 1)
         self.clear()
