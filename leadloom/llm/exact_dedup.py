@@ -2,13 +2,16 @@
 
 Keys are 64-bit hashes of the text with A-Z lower-cased (null counts as empty).
 
-1. Keys are counted, without texts. A directory maps hash prefixes to buckets: it starts at a depth that fits the number of
-   keys and doubles, one bit at a time, for the buckets that hold more than ``capacity`` keys, until none does.
-2. Rows are scattered to owner tasks by key range. The owner chains the rows of a key: those whose texts are the same bytes
-   are one entry, and entries that only share the key stand behind each other in its chain. Keys that hold more than one
-   part in ``HOT`` of all rows (so at most HOT keys, which bounds what is broadcast) are combined before they travel, so that
-   no owner gets a large group, whatever its size.
-3. Owners write the entries to index files in bucket order. Rows are then looked up in the index by key and digest.
+1. One pass over the texts writes id, key and digest of each row; keys are counted from that. A directory maps hash prefixes to
+   buckets: it starts at a depth that fits the number of keys and doubles, one bit at a time, for the buckets that hold more than
+   ``capacity`` keys, until none does. Each key is placed in its bucket.
+2. A second pass brings the texts of keys that several rows have, and only those, to the owners of their buckets: a task owns a range of
+   buckets. The owner chains the rows of a key: those whose texts are the same bytes are one entry, and entries that only share
+   the key stand behind each other in its chain. Keys that hold more than one part in ``HOT`` of all rows (so at most HOT keys, which
+   bounds what is broadcast) are combined before they travel, so that no owner gets a large group, whatever its size. A key of one row
+   is an entry without its text.
+3. Owners write their entries in bucket order, so that a file holds a range of buckets, and a bucket lies in one file.
+   ``lookup`` finds texts in their buckets; rows find their group by key and digest.
 
 Defined cases: null text equals empty text; a null doc_id never stays while the group has another; all rows of an
 all-null group stay; repeated rows (same doc_id and text) share one decision in ``exact_dedup`` and ``drop_copies``
@@ -60,49 +63,73 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         depth += 1
 
 
-def chain_entries(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """One entry for each different text, made by the owner of its key: key, chain (0, 1, ...), text_sha256, keep_id, group_size."""
-    total = keys.agg(F.sum("n_rows")).first()[0] or 0
-    hot = F.broadcast(keys.where(F.col("n_rows") * HOT > total).select("key"))  # at most HOT keys
-    frequent = rows.join(hot, "key", "left_semi").groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    others = rows.join(hot, "key", "left_anti").select("key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
-    owned = frequent.unionByName(others).repartitionByRange("key")
-    # both steps keep to the ranges: no row leaves its owner
-    texts = owned.groupBy("key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    sha = F.sha2("norm", 256)
-    texts = texts.select("key", sha.alias("text_sha256"), "keep_id", "group_size")
-    order = Window.partitionBy("key").orderBy("text_sha256")
-    return texts.select("key", (F.row_number().over(order) - 1).alias("chain"), "text_sha256", "keep_id", "group_size")
+def narrow_rows(docs: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
+    """Written: doc_id, key, text_sha256 of every row."""
+    return materialise(normalised(docs, key_bits).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "narrow")
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
-    """The index, written to shared files in bucket order and read back: bucket_depth, bucket, key, chain, text_sha256, keep_id, group_size."""
-    rows = normalised(docs, key_bits)
-    keys = materialise(rows.groupBy("key").agg(F.count("*").alias("n_rows")), "keys")
-    leaves = directory(keys.select("key"), capacity)
+def placed(keys: DataFrame, leaves: DataFrame) -> DataFrame:
+    """keys with the bucket that the directory has for them: bucket_depth, bucket (its least key, by the bits of the prefix)."""
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect()) or [0]  # at most 65 values
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths]))
-    placed = (
-        materialise(chain_entries(rows, keys), "entries")
-        .select("*", at.alias("at"))
-        .select("*", "at.depth", "at.prefix")
-        .join(leaves.select("depth", "prefix"), ["depth", "prefix"])
-        .select(
-            F.col("depth").alias("bucket_depth"),
-            F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(prefix, 64 - depth)")).alias("bucket"),
-            "key", "chain", "text_sha256", "keep_id", "group_size",
-        )
-    )
-    owned = placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "chain")
+    prefixes = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths])).alias("at")
+    found = keys.select("*", prefixes).select("*", "at.depth", "at.prefix").join(leaves.select("depth", "prefix"), ["depth", "prefix"])
+    start = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(prefix, 64 - depth)"))
+    return found.select(*keys.columns, F.col("depth").alias("bucket_depth"), start.alias("bucket"))
+
+
+BUCKET = ("bucket_depth", "bucket")
+
+
+def chain_entries(docs: DataFrame, narrow: DataFrame, keys: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
+    """One entry for each different text: bucket, key, chain (0, 1, ...), text_sha256, keep_id, group_size. keys: key, n_rows and bucket."""
+    rows, total = normalised(docs, key_bits), keys.agg(F.sum("n_rows")).first()[0] or 0
+    several = keys.where("n_rows > 1")
+    is_hot = F.col("n_rows") * HOT > total
+    hot = F.broadcast(several.where(is_hot).select("key", *BUCKET))  # at most HOT keys
+    frequent = rows.join(hot, "key").groupBy(*BUCKET, "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    others = rows.join(several.where(~is_hot).select("key", *BUCKET), "key").select(*BUCKET, "key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    owned = frequent.unionByName(others).repartitionByRange("bucket")
+    # both steps keep to the ranges: no row leaves its owner
+    texts = owned.groupBy(*BUCKET, "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    texts = texts.select(*BUCKET, "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    order = Window.partitionBy(*BUCKET, "key").orderBy("text_sha256")
+    chained = texts.withColumn("chain", (F.row_number().over(order) - 1).cast("int"))
+    single = narrow.join(keys.where("n_rows = 1").select("key", *BUCKET), "key").select(
+        *BUCKET, "key", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(0).alias("chain")
+    )
+    return chained.unionByName(single).select(*BUCKET, "key", "chain", "text_sha256", "keep_id", "group_size")
+
+
+def _index(docs: DataFrame, narrow: DataFrame, capacity: int, key_bits: int) -> DataFrame:
+    keys = materialise(narrow.groupBy("key").agg(F.count("*").alias("n_rows")), "keys")
+    keys = materialise(placed(keys, directory(keys.select("key"), capacity)), "placed")
+    owned = chain_entries(docs, narrow, keys, key_bits).repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "chain")
     path = new_path(docs.sparkSession, "index")
     owned.write.parquet(path)
     return docs.sparkSession.read.schema(owned.schema).parquet(path)
 
 
+def build_index(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
+    """The index, written to shared files in bucket order and read back: bucket_depth, bucket, key, chain, text_sha256, keep_id, group_size."""
+    return _index(docs, narrow_rows(docs, key_bits), capacity, key_bits)
+
+
+def lookup(index: DataFrame, texts: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
+    """texts with keep_id and group_size of the entry that has the same bytes; null where there is none. A text meets the entries of its bucket."""
+    leaves = index.select(F.col("bucket_depth").alias("depth"), "bucket").distinct()
+    leaves = leaves.select("depth", F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(bucket, 64 - depth)")).alias("prefix"))
+    norm = ascii_lower(F.coalesce(texts["text"], F.lit("")))
+    asked = texts.select("*", text_key(norm, key_bits).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
+    at = placed(asked.select("key").distinct(), leaves)
+    return asked.join(at, "key", "left").join(index.select(*BUCKET, "key", "text_sha256", "keep_id", "group_size"), [*BUCKET, "key", "text_sha256"], "left").select(
+        *texts.columns, "keep_id", "group_size"
+    )
+
+
 def _looked_up(docs: DataFrame, capacity: int, key_bits: int) -> DataFrame:
     """doc_id, key, text_sha256 of each row, with g_id and group_size if the index has several rows for its text."""
-    groups = build_index(docs, capacity, key_bits).where("group_size > 1").select("key", "text_sha256", F.col("keep_id").alias("g_id"), "group_size")
-    rows = normalised(docs, key_bits).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
+    rows = narrow_rows(docs, key_bits)
+    groups = _index(docs, rows, capacity, key_bits).where("group_size > 1").select("key", "text_sha256", F.col("keep_id").alias("g_id"), "group_size")
     return rows.join(groups, ["key", "text_sha256"], "left")
 
 

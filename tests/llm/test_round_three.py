@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import html_extraction, license_scan, near_dedup, source_divergence, spelling_variants, warc
+from leadloom.llm import exact_dedup, html_extraction, license_scan, near_dedup, source_divergence, spelling_variants, warc
 
 
 def lower(t):
@@ -343,3 +343,37 @@ def test_versions_tags_and_denials(spark):
     found = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
     assert {k: found[k] for k in range(len(said))} == dict(enumerate(said.values()))
     assert found[2000] == "LGPL-3.0" and found[1000] is None
+
+
+# ---- 5
+def test_a_leaf_lies_in_one_file_with_all_its_keys_and_lookups_read_it(spark):
+    texts = [(k, f"text {k % 700}") for k in range(1000)] + [(2000, None), (2001, "TEXT 5")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small data is one file
+    try:
+        index = exact_dedup.build_index(docs, capacity=16)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = index.select(F.input_file_name().alias("file"), "bucket_depth", "bucket", "key").collect()
+    files, keys = defaultdict(set), defaultdict(set)
+    for r in held:
+        files[r.bucket_depth, r.bucket].add(r.file)
+        keys[r.bucket_depth, r.bucket].add(r.key)
+    assert len(files) > 40 and all(len(f) == 1 for f in files.values()) and max(map(len, keys.values())) <= 16 and len({*map(str, files.values())}) > 1
+    mask = (1 << 64) - 1
+    for (depth, start), found in keys.items():
+        assert all((k & mask) >> (64 - depth) == (start & mask) >> (64 - depth) for k in found)
+    assert sum(map(len, keys.values())) == 701
+    asked = spark.createDataFrame([("text 5", "mine"), ("Text 699", "x"), ("no such text", "y"), (None, None)], "text string, bucket string")
+    got = exact_dedup.lookup(index, asked)
+    assert got.columns == ["text", "bucket", "keep_id", "group_size"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("text 5", "mine", 2001, 3), ("Text 699", "x", 699, 1), ("no such text", "y", None, None), (None, None, 2000, 1)], key=str)
+
+
+def test_texts_of_single_rows_are_not_moved(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)] + [(50, "text 1")], "doc_id long, text string")
+    narrow = exact_dedup.narrow_rows(docs)
+    keys = narrow.groupBy("key").agg(F.count("*").alias("n_rows"))
+    keys = exact_dedup.placed(keys, exact_dedup.directory(keys.select("key"), 4))
+    rows = exact_dedup.chain_entries(docs, narrow, keys).collect()
+    assert len(rows) == 50 and sorted(r.group_size for r in rows)[-2:] == [1, 2] and {r.chain for r in rows} == {0}
