@@ -118,12 +118,14 @@ def lookup(index: DataFrame, texts: DataFrame, key_bits: int = KEY_BITS) -> Data
     """texts with keep_id and group_size of the entry that has the same bytes; null where there is none. A text meets the entries of its bucket."""
     leaves = index.select(F.col("bucket_depth").alias("depth"), "bucket").distinct()
     leaves = leaves.select("depth", F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(bucket, 64 - depth)")).alias("prefix"))
+    own = ("key", "text_sha256", *BUCKET, "keep_id", "group_size")
+    key, sha, depth, bucket, keep, size = fresh(texts, *(f"index_{c}" for c in own))
     norm = ascii_lower(F.coalesce(texts["text"], F.lit("")))
-    asked = texts.select("*", text_key(norm, key_bits).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
-    at = placed(asked.select("key").distinct(), leaves)
-    return asked.join(at, "key", "left").join(index.select(*BUCKET, "key", "text_sha256", "keep_id", "group_size"), [*BUCKET, "key", "text_sha256"], "left").select(
-        *texts.columns, "keep_id", "group_size"
-    )
+    asked = texts.select("*", text_key(norm, key_bits).alias(key), F.sha2(norm, 256).alias(sha))
+    at = placed(asked.select(F.col(key).alias("key")).distinct(), leaves).toDF(key, depth, bucket)
+    entries = index.select(*own).toDF(key, sha, depth, bucket, keep, size)
+    found = asked.join(at, key, "left").join(entries, [depth, bucket, key, sha], "left")
+    return found.select(*texts.columns, F.col(keep).alias("keep_id"), F.col(size).alias("group_size"))
 
 
 def _looked_up(docs: DataFrame, capacity: int, key_bits: int) -> DataFrame:
