@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import dates, documents, numbers, redaction, text, urls
-from leadloom.operators import elements, mapping, queue_state, targeting
+from leadloom.operators import elements, mapping, prohibition, queue_state, targeting
 from leadloom.sources.derived import choose, fields, with_sql
 from leadloom.sources.views import table
 
@@ -302,3 +302,71 @@ def family_names(spark, d):
     forms = first.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("field", "e"))).alias("m"))
     kept = mapping.swapped_names(mapping.pruned_names(F.col("m")))
     return forms.where(F.size(mapping.pruned_names(F.col("m"))) > 0).select("form", F.try_element_at(kept, F.lit("姓"))["name"].alias("family"))
+
+
+# ---- notices that forbid sales contact: sentences of a subject, a link and an end
+_SUBJECT = ("営業", "営業時間", "セールス", "勧誘", "売り込み", "販売", "商業目的", "営業部", "迷惑", "業務", "取材", "営業目的", "お客様サポートの営業", "スパム", "営業等")
+_LINK = ("の電話は", "メールについて", "のお問い合わせは", "を目的とした連絡は", "などのご利用は", "活動に関するご案内は", "の訪問、", "のお知らせ")
+_END = ("お断りします", "ご遠慮ください", "できません", "禁止しています", "お受けしておりません", "お待ちしています", "お控えください", "対応しております", "9時からです")
+_ENGLISH_SAID = ("no solicitation calls please", "we do not accept sales or vendors", "our sales team is glad to help", "please do not contact us for marketing", "telemarketing is prohibited here")
+_SENTENCE = f"case when event_id % 11 = 4 then {choose('user_id', _ENGLISH_SAID)} else concat({choose('event_id', _SUBJECT)}, {choose('user_id', _LINK)}, {choose('event_id + user_id', _END)}) end"
+_SECOND = f"case when user_id % 3 = 0 then 'お気軽にお問い合わせください' else concat({choose('user_id * 7 + event_id', _SUBJECT)}, {choose('event_id', _LINK)}, {choose('event_id * 5 + user_id', _END)}) end"
+# what follows 営業 where it does not mean sales, and words of sentences about something else
+_AFTER = "日|時間|中|再開|停止|休止|開始|終了|年数|経験|歴|所|部|課|担当|マン|員|職|窓口|チーム|組織|体制|拠点|店舗|エリア|地域|範囲|区域|車|車両|用|向け|秘密|機密|情報|データ|資料|ツール|支援|システム|管理|統計|分析|実績|成績|利益|収益|報告|会議|指標|目標|計画|予算|費用|コスト|効率|生産性|品質|戦略|方針|ノウハウ|スキル|力|サービス|対応|強化|拡大|促進|推進|改善|革新|改革|最適化|効果|結果|成果|業績|実態|状況|環境|市場|競争|優位|価値|価格|単価|金額|売上|収入|損益|黒字|赤字|キャッシュフロー"
+_ELSE = "なりすまし|詐欺|偽サイト|フィッシング|悪質|不審|偽装|模倣|違法|不正|注意喚起|警戒|被害|トラブル|セキュリティ|お客様|カスタマー|サポート|ヘルプ|サービス|お問い合わせ窓口|相談窓口|受付窓口|案内|説明|ガイド|マニュアル|手順|方法|個人情報|プライバシー|データ保護|利用規約|約款|規約|方針|ポリシー|法的|法律|法令|規則|条例|コンプライアンス|運営|管理|システム|メンテナンス|更新|改善|品質|向上|利便性|機能|特徴|メリット|効果|実績"
+_KEYS = "営業目的|営業を目的|営業による|営業のため|営業に関する|営業活動|営業行為|営業案内|営業電話|営業メール|営業連絡|営業訪問|"
+_OTHER_KEYS = "セールス目的|セールスを目的|セールスのため|セールスに関する|セールス活動|セールス行為|セールス案内|セールス電話|セールスメール|セールス連絡|セールス訪問|販売目的|販売を目的|販売のため|販売に関する|販売活動|販売行為|勧誘目的|勧誘を目的|勧誘による|勧誘のため|勧誘に関する|勧誘活動|勧誘行為|勧誘案内|勧誘電話|勧誘メール|勧誘連絡|宣伝目的|宣伝を目的|宣伝のための|宣伝に関する|宣伝活動|宣伝行為|広告目的|広告宣伝|PR目的|プロモーション目的|売り込み|売込|商業目的|商業利用|商業的利用|ビジネス目的|ビジネス利用|営利目的|営利利用|迷惑行為|迷惑電話|スパム|spam|SPAM"
+_NO, _CANNOT = "お断り|断り|遠慮|禁止", "できません|いたしかねます|しておりません|お受けしておりません|対応しておりません|受け付けておりません"
+_KINDLY, _NOT = "お控えください|ご遠慮ください|お断りします|お断りいたします|控えていただけ|遠慮していただけ", "ません|ないため|いたしかねます"
+_WAY = "(?:問い合わせ|連絡|メール|電話|訪問)"
+_BOTH = (
+    (f"(?:営業|セールス|勧誘|販売).*?{_WAY}", f"(?:{_NO})"), ("売り?込み", f"(?:{_NO})"), (f"営業.*?{_WAY}", f"(?:{_KINDLY})"), ("(?:営業|セールス|勧誘|販売)(?:電話|メール|連絡)", f"(?:{_NO}|{_CANNOT}|{_KINDLY})"),
+    ("(?:営業|セールス|勧誘|販売|商業|営利).*?目的", f"(?:{_NO}|{_CANNOT}|{_KINDLY})"), ("迷惑.*?(?:電話|連絡|行為)", f"(?:{_NO})"),
+)
+_FORWARD = (
+    ("(?:営業|セールス|勧誘|販売).*?(?:お受け|対応)", f"(?:{_CANNOT})"), (f"(?:営業|セールス|勧誘).*?{_WAY}", f"(?:{_KINDLY}|{_NOT})"), (f"業務.*?{_WAY}", f"(?:{_KINDLY}|{_CANNOT})"),
+    ("(?:取材|(?:営業|□□)等?).*?(?:電話|連絡|お問い合わせ)", f"(?:{_CANNOT}|{_KINDLY})"), ("(?:営業|□□|勧誘|セールス).*?(?:等|など)", f"(?:{_CANNOT}|{_KINDLY})"),
+)
+_ENGLISH_NO = (
+    r"\bno\s+(?:sales|solicitations?|cold\s*calls?|telemarketing|vendor\s+solicitations?)\b", r"\bno\s+vendors?\s*(?:contact|calls|emails)\b",
+    r"\b(?:do\s*not|don''t|we\s*do\s*not|we\s*don''t|not)\s+(?:accept|take|allow|permit)\s+(?:sales|solicitations?|vendor\s+(?:contacts?|inquiries?)|cold\s*calls?|telemarketing)\b",
+    r"\b(?:sales|solicitations?|telemarketing|cold\s*calls?|vendor\s+inquiries?)\s+(?:are|is)\s+(?:not\s+accepted|prohibited|forbidden)\b",
+    r"\bplease\s+do\s+not\s+contact\s+us\s+for\s+(?:sales|marketing|business\s+proposals?)\b",
+)
+_FORBID = "(?i)" + "|".join([f"{a}.*?{b}" for a, b in (*_BOTH, *_FORWARD)] + [f"{b}.*?{a}" for a, b in _BOTH] + list(_ENGLISH_NO))
+
+
+def _marked(c: str) -> str:
+    """営業 that means business in general is written otherwise, so that patterns for sales pass it by."""
+    return f"regexp_replace({c}, '営業({_AFTER})', '□□\\1', 'g')"
+
+
+def _forbids(c: str) -> str:
+    return f"(regexp_matches({c}, '{_KEYS}{_OTHER_KEYS}') or regexp_matches({_marked(c)}, '{_FORBID}'))"
+
+
+def _prohibited(c: str) -> str:
+    hit = f"regexp_extract({_marked(c)}, '({_FORBID})', 1)"
+    words = "list_concat(list_transform(string_split('" + _AFTER + "', '|'), lambda w: concat('営業', w)), string_split('" + _ELSE + "', '|'))"
+    other = f"(regexp_matches({c}, '{_OTHER_KEYS}') or ({hit} <> '' and not contains({hit}, '営業') and not contains({hit}, '□□')))"
+    replaced = f"replace({c}, w, '')"
+    return f"({_forbids(c)} and ({other} or len(list_filter({words}, lambda w: contains({c}, w) and not {_forbids(replaced)})) = 0))"
+
+
+@query(
+    f"""with a as (select event_id, user_id, {_SENTENCE} as s, {_SECOND} as t from events), b as (select *, {_prohibited('s')} as first, {_prohibited('t')} as second from a),
+c as (select *, first::int + second::int as n,
+  case when first then case when regexp_matches(s, 'ません|お断り|ご遠慮|お控え|do not|don''t|no |not accept|not be accepted|not allowed|not permitted') then 10 else 0 end
+    + case when regexp_matches(s, '営業|セールス|勧誘|販売|sales|solicitation|telemarketing') and regexp_matches(s, '問い合わせ|連絡|電話|メール|contact|call|phone|email') then 15 else 0 end else 0 end
+  + case when second then case when regexp_matches(t, 'ません|お断り|ご遠慮|お控え|do not|don''t|no |not accept|not be accepted|not allowed|not permitted') then 10 else 0 end
+    + case when regexp_matches(t, '営業|セールス|勧誘|販売|sales|solicitation|telemarketing') and regexp_matches(t, '問い合わせ|連絡|電話|メール|contact|call|phone|email') then 15 else 0 end else 0 end as more from b),
+d as (select *, case when n > 0 then least(100, case when user_id % 2 = 0 then 75 else 60 end + more + case when n = 2 then 5 else 0 end) else 0 end as score from c)
+select event_id, first, second, score, case when n = 0 then 'none' when score >= 90 then 'high' when score >= 70 then 'medium' when score >= 50 then 'low' else 'very_low' end as level from d"""
+)
+def sales_notices(spark, d):
+    """event_id, first, second, score, level: which of two sentences forbid sales contact, and how sure that is."""
+    rows = table(spark, d, "events").select("event_id", "user_id", F.expr(_SENTENCE).alias("s"), F.expr(_SECOND).alias("t"))
+    hits = rows.select("event_id", "user_id", "s", "t", prohibition.prohibited(F.col("s")).alias("first"), prohibition.prohibited(F.col("t")).alias("second"))
+    found = F.filter(F.array(F.when(F.col("first"), F.col("s")), F.when(F.col("second"), F.col("t"))), lambda x: x.isNotNull())
+    sure = hits.withColumn("c", prohibition.confidence(found, F.col("user_id") % 2 == 0))
+    return sure.select("event_id", "first", "second", "c.score", "c.level")
