@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import release
+
 RATE, SEED = 0.1, 20240601
 SPACE = "▁"
 CUT = re.compile(r" *[^ \n]+| +|\n")
@@ -462,6 +464,8 @@ def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEE
                     names, texts, used = [], [], 0
             if names:
                 yield flush(names, texts)
+        segmenter.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, decoded_crc32 long, lossless boolean")
 
