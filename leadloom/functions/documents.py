@@ -11,14 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def nfkc_lower(c: Column) -> Column:
-    """Width and compatibility forms folded, lower case."""
+def fold_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
 
-    return run(c)
+def nfkc_lower(c: Column) -> Column:
+    """Width and compatibility forms folded, lower case."""
+    return F.pandas_udf(fold_all, "string")(c)
 
 
 def merged(old, new):

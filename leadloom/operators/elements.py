@@ -82,6 +82,29 @@ def reading_order(elements: DataFrame, group: str) -> DataFrame:
     return placed.withColumn("adjacent", F.coalesce(F.col("line") & F.col("gap").between(0, 50), F.lit(False))).drop("line")
 
 
+def grid(boxes: DataFrame, group: str) -> DataFrame:
+    """boxes (group, pos, x0, x1, y0, y1) with line and col: boxes whose intervals overlap, one by one, are in one line or column. A sweep
+    along each axis: a line ends where the next box begins below all boxes before it."""
+
+    def swept(rows: DataFrame, low: str, high: str, name: str) -> DataFrame:
+        order = Window.partitionBy(group).orderBy(low, "pos")
+        reach = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        opens = F.coalesce(F.col(low) > reach, F.lit(True)).cast("long")
+        marked = rows.withColumn(f"__{name}", opens)
+        return marked.withColumn(name, F.sum(f"__{name}").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop(f"__{name}")
+
+    return swept(swept(boxes, "y0", "y1", "line"), "x0", "x1", "col")
+
+
+def line_advice(cells: DataFrame, group: str = "form") -> DataFrame:
+    """cells of a grid with in_line (how many fields a line has) and advice: two to four texts, each in its column, are parts of one value."""
+    line = Window.partitionBy(group, "line")
+    columns, n = F.size(F.collect_set("col").over(line)), F.count("*").over(line)
+    texts = F.count_if(F.col("type").isin("text", "tel")).over(line)
+    advice = F.when(texts.between(2, 4) & (columns == n), "combine").when(n > 1, "beside").otherwise("alone")
+    return cells.withColumns({"in_line": n, "advice": advice})
+
+
 def prohibition_confidence(n_texts: Column, n_negated: Column, n_combined: Column, targeted: Column) -> tuple[Column, Column]:
     """(score, level): 75 in telling places or 60, plus 10 a refusal, 15 a sales word with one, 10 or 5 for several texts; at most 100."""
     score = F.least(F.lit(100), F.when(targeted, 75).otherwise(60) + 10 * n_negated + 15 * n_combined + F.when(n_texts >= 3, 10).when(n_texts == 2, 5).otherwise(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import mapping, safeguards, scores
+from leadloom.operators import elements, mapping, safeguards, scores
 from leadloom.sources.derived import choose, clients, fields, with_sql
 from leadloom.sources.views import table
 
@@ -409,3 +409,28 @@ def client_values(spark, d):
     known = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull())
     value = safeguards.value_for(F.col("field"), F.col("kind"), known, F.concat(F.lit("件 "), "id"), F.concat(F.lit("本文 "), F.coalesce("company_name", F.lit(""))))
     return c.select("id", "field", "kind", value.alias("value"))
+
+
+# ---- a form as a grid: lines and columns of boxes that overlap
+_BOXES = with_sql("fields") + ", b as (select form, pos, type, x + pos % 3 as x0, x + 50 + score % 40 as x1, y * 1.5 + score % 9 as y0, y * 1.5 + score % 9 + 25 as y1 from fields)"
+
+
+def _island(low: str, high: str, name: str) -> str:
+    """The number of the run of overlapping intervals that a box is in."""
+    return f"sum(new_{name}::int) over (partition by form order by {low}, pos)"
+
+
+@query(
+    _BOXES + f""", n as (select *, coalesce(y0 > max(y1) over (partition by form order by y0, pos rows between unbounded preceding and 1 preceding), true) as new_line,
+  coalesce(x0 > max(x1) over (partition by form order by x0, pos rows between unbounded preceding and 1 preceding), true) as new_column from b),
+g as (select form, pos, type, cast({_island('y0', 'y1', 'line')} as bigint) as line, cast({_island('x0', 'x1', 'column')} as bigint) as col from n),
+l as (select form, line, count(*) as n, count(distinct col) as columns, count(*) filter (where type in ('text', 'tel')) as texts from g group by 1, 2)
+select form, pos, line, col, n as in_line, case when texts between 2 and 4 and columns = n then 'combine' when n > 1 then 'beside' else 'alone' end as advice from g join l using (form, line)"""
+)
+def field_grids(spark, d):
+    """form, pos, line, col, in_line, advice: the grid that the boxes of a form make, and whether the fields of a line belong together."""
+    boxes = fields(spark, d).select(
+        "form", "pos", "type", (F.col("x") + F.col("pos") % 3).alias("x0"), (F.col("x") + 50 + F.col("score") % 40).alias("x1"), (F.col("y") * 1.5 + F.col("score") % 9).alias("y0"),
+        (F.col("y") * 1.5 + F.col("score") % 9 + 25).alias("y1"),
+    )
+    return elements.line_advice(elements.grid(boxes, "form")).select("form", "pos", "line", "col", "in_line", "advice")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leadloom.functions import html, nodes, urls
+from leadloom.functions import html, nodes, registry, urls
 from leadloom.operators import links, scoring, snapshots
 from leadloom.sources import files
 from leadloom.sources.derived import choose, fields, with_sql
@@ -303,3 +303,23 @@ select o_orderkey, true as success, round(confidence, 6) as confidence, stage, c
 def sent_forms(spark, d):
     """o_orderkey, success, confidence, stage, state: forms before and after they were sent, by what both pages show."""
     return snapshots.judged(_snapshots(spark, d), "o_orderkey")
+
+
+# ---- SQL alone
+@query(
+    f"""with {_ANCHORS} select page_id, {_SITE.format('url').replace("replace(", "", 1).replace(", 'www.', '')", "")} as host, dom_index, href, concat(left(text, 1), repeat('*', length(text) - 2), right(text, 1)) as masked
+from l where length(text) > 2"""
+)
+def links_by_sql(spark, d):
+    """page_id, host, dom_index, href, masked: links by a query that is SQL alone."""
+    registry.register(spark)
+    said = "select p.page_id, url_host(p.url) as host, l.dom_index, l.href, mask_edges(l.text) as masked from {pages} p, lateral page_links(p.html) l where length(l.text) > 2"
+    return spark.sql(said, pages=table(spark, d, "pages"))
+
+
+@query(f"with {_TAGS} select tag, count(*) as n, count(distinct page_id) as pages from g where regexp_matches(tag, '^[a-z]') and tag not in ('script', 'style') group by 1")
+def nodes_by_sql(spark, d):
+    """tag, n, pages: elements of the pages by kind, by a query that is SQL alone."""
+    registry.register(spark)
+    said = "select tag, count(*) as n, count(distinct page_id) as pages from {pages} p, lateral page_nodes(p.html) where tag not in ('#text', 'script', 'style') group by tag"
+    return spark.sql(said, pages=table(spark, d, "pages"))

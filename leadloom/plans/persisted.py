@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import queue_state, targeting
 from leadloom.plans.relational import _CHANGES, _LATE, _RESULTS, ORACLES as RELATIONAL, TARGETING, _changes, _results
-from leadloom.sources import files, history
+from leadloom.sources import files, history, modes
 from leadloom.sources.versioned import VersionedTable
 from leadloom.sources.views import companies, send_queue, submissions, table, with_sql
 
@@ -172,3 +172,26 @@ def lock_keys(spark, d):
 
 
 __all__ = ["ORACLES", "QUERIES"]
+
+
+# ---- modes
+def _mode_sql(mode: str, companies_view: str) -> str:
+    own = {"primary": "targeting_id < 16", "extra": "targeting_id in (16, 17)", "test": "targeting_id in (18, 19)"}[mode]
+    return (
+        f"select '{mode}' as mode, targeting_id, count(*) filter (where status = 'pending') as pending, count(*) filter (where c.id is not null) as known, "
+        f"(select count(*) from submissions where {own}) as facts from send_queue q left join {companies_view} c on c.id = q.company_id where {own} group by 2"
+    )
+
+
+@query(with_sql("companies", "companies_extra", "send_queue", "submissions") + " " + " union all ".join(_mode_sql(*x) for x in (("primary", "companies"), ("extra", "companies_extra"), ("test", "companies"))))
+def table_modes(spark, d):
+    """mode, targeting_id, pending, known, facts: one query over the tables of each mode."""
+    found = None
+    for mode, settings in (("primary", {}), ("extra", {"COMPANY_TABLE": "companies_extra"}), ("test", {"TEST_MODE": "true"})):
+        _, known, queue, facts = modes.tables(spark, d, settings)
+        total = facts.agg(F.count("*").alias("facts"))  # one row
+        rows = queue.join(known.select(F.col("id").alias("company_id"), F.lit(True).alias("here")), "company_id", "left").groupBy("targeting_id")
+        rows = rows.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if("here").alias("known")).crossJoin(F.broadcast(total))
+        rows = rows.select(F.lit(mode).alias("mode"), "targeting_id", "pending", "known", "facts")
+        found = rows if found is None else found.unionByName(rows)
+    return found
