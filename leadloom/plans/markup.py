@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import html, nodes, registry, urls
-from leadloom.operators import links, scoring, snapshots
+from leadloom.operators import forms, links, scoring, snapshots
 from leadloom.sources import files
 from leadloom.sources.derived import choose, fields, with_sql
 from leadloom.sources.views import table
@@ -323,3 +323,79 @@ def nodes_by_sql(spark, d):
     registry.register(spark)
     said = "select tag, count(*) as n, count(distinct page_id) as pages from {pages} p, lateral page_nodes(p.html) where tag not in ('#text', 'script', 'style') group by tag"
     return spark.sql(said, pages=table(spark, d, "pages"))
+
+
+# ---- forms of pages: the fields of an order, a heading and a button
+_INPUT = (
+    "concat('<', tag, ' name=\"', name, '\" id=\"', ident, '\"', case when tag = 'input' then concat(' type=\"', type, '\"') else '' end, case when placeholder is null then '' else concat(' placeholder=\"', placeholder, '\"') end, '>', "
+    "case when tag = 'input' then '' else concat('</', tag, '>') end)"
+)
+_HEADING = choose("form", ("", "Contact us", "Newsletter", "採用のご案内", "Hello", "", "お問い合わせ"))
+_SEND = choose("form * 3", ("Send", "送信", "Search", "ログイン", "OK", "Post comment", "Send mail"))
+_HAS_BUTTON = "form % 9 <> 4"
+_FORM_INSIDE = f"concat('<h2>', {_HEADING}, '</h2>', {{0}}, case when {_HAS_BUTTON} then concat('<button>', {_SEND}, '</button>') else '' end)"
+_FORM_LIST = with_sql("fields") + f", i as (select form, string_agg({_INPUT}, '' order by pos) as inputs from fields group by 1)"
+
+
+def _page_forms(spark, d):
+    rows = fields(spark, d).select("form", F.struct("pos", F.expr(_INPUT).alias("m")).alias("f")).groupBy("form").agg(F.array_join(F.sort_array(F.collect_list("f"))["m"], "").alias("inputs"))
+    inside = F.expr(_FORM_INSIDE.format("inputs"))
+    return rows.select(F.col("form").alias("page_id"), F.concat(F.lit("<html><body><p>A page</p><form method=post>"), inside, F.lit("</form></body></html>")).alias("html"))
+
+
+@query(_FORM_LIST + f" select form as page_id, length(m) as n, md5(m) as digest from (select form, {_FORM_INSIDE.format('inputs')} as m from i)")
+def form_markup(spark, d):
+    """page_id, n, digest of what stands inside the form of a page."""
+    return _page_forms(spark, d).select("page_id", html.form_markup(F.col("html")).alias("m")).select("page_id", F.length("m").alias("n"), F.md5("m").alias("digest"))
+
+
+_KINDS_SQL = with_sql("fields") + f""", e as (select form, tag, lower(concat_ws(' ', name, ident, type, placeholder)) as s from fields),
+g as (select form, count(*) as n, lower(case when {_HAS_BUTTON} then {_SEND} else '' end) as b, lower(concat_ws(' ', nullif({_HEADING}, ''), case when {_HAS_BUTTON} then {_SEND} end)) as t, {_HAS_BUTTON} as sends,
+  bool_or(regexp_matches(s, 'search|検索')) as searches, bool_or(regexp_matches(s, 'login|password|ログイン|パスワード')) as logs_in, bool_or(regexp_matches(s, 'newsletter|メルマガ|subscribe')) as news, bool_or(regexp_matches(s, 'comment.?form|post comment|コメント')) as comments,
+  bool_or(regexp_matches(s, 'e?-?mail|メール') or tag = 'textarea') as contacts from e group by 1),
+k as (select form, n, sends, case when n <= 2 and (searches or regexp_matches(b, 'search|検索')) then 'search' when logs_in or regexp_matches(b, 'login|password|ログイン|パスワード') then 'auth'
+  when n <= 2 and (news or regexp_matches(t, 'newsletter|メルマガ|subscribe')) then 'newsletter' when regexp_matches(t, 'recruit|career|採用|応募|エントリー') then 'recruitment'
+  when comments or regexp_matches(b, 'comment.?form|post comment|コメント') then 'comment' when contacts or regexp_matches(b, 'e?-?mail|メール') then 'contact' else 'other' end as kind from g)"""
+
+
+@query(_KINDS_SQL + " select form as page_id, 0 as form_index, kind, kind = 'contact' and sends as usable from k")
+def form_quality(spark, d):
+    """page_id, form_index, kind, usable of the forms of pages."""
+    rows = _page_forms(spark, d).select("page_id", F.posexplode(html.forms(F.col("html"))).alias("form_index", "form"))
+    return rows.select("page_id", "form_index", forms.form_kind(F.col("form")).alias("kind"), forms.usable(F.col("form")).alias("usable"))
+
+
+@query(_KINDS_SQL + " select form as page_id, 0 as form_index, cast(n as int) as n_inputs from k where kind = 'contact' and sends")
+def form_top1(spark, d):
+    """page_id, form_index, n_inputs of the best form of each page."""
+    return forms.best_forms(_page_forms(spark, d), html.forms(F.col("html"))).select("page_id", "form_index", F.size("form.inputs").alias("n_inputs"))
+
+
+_NAMED = (
+    ("email", "e?-?mail|メール", "'email', 'text'"), ("message", "message|body|content|inquiry|comment|本文|内容|お問い合わせ", "'textarea'"), ("company", "company|corp|organization|会社|企業|貴社", "'text'"),
+    ("last_name", "last.?name|family|姓|sei", "'text'"), ("first_name", "first.?name|given|mei\\b|(?:^|[^氏])名$", "'text'"), ("full_name", "^name$|your.?name|full.?name|氏名|お名前", "'text'"),
+    ("phone", "tel|phone|電話", "'tel', 'text', 'number'"), ("postal", "zip|postal|郵便", "'text', 'tel', 'number'"), ("address", "address|住所", "'text'"), ("subject", "subject|title|件名", "'text'"),
+)
+
+
+def _fits(name: str, words: str, kinds: str) -> str:
+    return (
+        f"greatest(0, case when regexp_matches(a, '{words}') then 60 else 0 end + case when regexp_matches(h, '{words}') then 40 else 0 end + case when type in ({kinds}) then 50 else -200 end "
+        f"+ case when type = '{name}' then 50 else 0 end)"
+    )
+
+
+def _next_taken(step: int, name: str, words: str, kinds: str) -> str:
+    free = f"not exists (select 1 from t{step - 1} t where t.form = u.form and t.pos = u.pos)"
+    best = f"select form, '{name}' as field, pos, {_fits(name, words, kinds)} as score from u where {_fits(name, words, kinds)} >= 60 and {free} qualify row_number() over (partition by form order by score desc, pos) = 1"
+    return f"t{step} as (select * from t{step - 1} union all {best})"
+
+
+@query(
+    _KINDS_SQL + ", u as (select form, pos, type, lower(concat_ws(' ', name, ident)) as a, lower(coalesce(placeholder, '')) as h from fields join (select form from k where kind = 'contact' and sends) using (form)), "
+    "t0 as (select 0::bigint as form, '' as field, 0 as pos, 0 as score where false), " + ", ".join(_next_taken(k, *x) for k, x in enumerate(_NAMED, 1))
+    + " select form as page_id, field, pos - 1 as element, score from t10"
+)
+def field_mapping(spark, d):
+    """page_id, field, element, score: which input of the best form of a page takes which value."""
+    return forms.assign_fields(forms.element_scores(forms.best_forms(_page_forms(spark, d), html.forms(F.col("html")))))

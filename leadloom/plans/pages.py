@@ -5,51 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import html
-from leadloom.operators import forms
 from leadloom.sources.views import table
 
-#: The pages of the driver hold no form; every second page gets one of three.
-FORMS = (
-    "<form action=/send method=post><input name=company><input name=your-name><input type=email name=mail><input name=tel><textarea name=message></textarea><button>Send</button></form>",
-    "<form><input name=q placeholder=Search><button>Search</button></form>",
-    "<form><input name=last_name><input name=first_name><input name=email type=email><select name=pref></select><textarea name=body></textarea><input type=submit value=OK></form>",
-)
-
-
-def _pages(spark, d):
-    extra = F.element_at(F.array(*[F.lit(f) for f in FORMS]), (F.col("page_id") % 3 + 1).cast("int"))
-    return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("html", extra)).otherwise(F.col("html")).alias("html"))
-
-
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", html.page_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
 
 
-def form_quality(spark, d):
-    rows = _pages(spark, d).select("page_id", F.posexplode(html.forms(F.col("html"))).alias("form_index", "form"))
-    return rows.select("page_id", "form_index", forms.form_kind(F.col("form")).alias("kind"), forms.usable(F.col("form")).alias("usable"))
-
-
-def form_top1(spark, d):
-    return forms.best_forms(_pages(spark, d), html.forms(F.col("html"))).select("page_id", "form_index", F.size("form.inputs").alias("n_inputs"))
-
-
-def field_mapping(spark, d):
-    return forms.assign_fields(forms.element_scores(forms.best_forms(_pages(spark, d), html.forms(F.col("html")))))
-
-
-def form_markup(spark, d):
-    return _pages(spark, d).select("page_id", html.form_markup(F.col("html")).alias("m")).select("page_id", F.length("m").alias("n"), F.md5("m").alias("digest"))
-
-
-QUERIES = {f.__name__: f for f in (html_text, form_quality, form_top1, field_mapping, form_markup)}
-_KIND = "case when page_id % 3 = 1 then 'search' else 'contact' end"
-_EXTRA = "case page_id % 3 " + " ".join(f"when {k} then '{f}'" for k, f in enumerate(FORMS)) + " end"
-# which element each field takes in the first and in the third of the forms, and its score
-_TAKEN = [
-    (0, "company", 0, 110), (0, "full_name", 1, 110), (0, "email", 2, 160), (0, "phone", 3, 110), (0, "message", 4, 110),
-    (2, "last_name", 0, 110), (2, "first_name", 1, 110), (2, "email", 2, 160), (2, "message", 4, 110),
-]
+QUERIES = {f.__name__: f for f in (html_text,)}
 _TEXT_SQL = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', chr(1), 'gs')"
 _TEXT_SQL = f"regexp_replace({_TEXT_SQL}, '<[^>]*>', chr(1), 'g')"
 for _name, _char in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")):
@@ -57,9 +19,4 @@ for _name, _char in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"),
 _TEXT_SQL = f"array_to_string(list_filter(list_transform(string_split({_TEXT_SQL}, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), ' ')"
 ORACLES = {
     "html_text": f"select page_id, length(t) as n, md5(t) as digest from (select page_id, {_TEXT_SQL} as t from pages)",
-    "form_quality": f"select page_id, 0 as form_index, {_KIND} as kind, page_id % 3 <> 1 as usable from pages where page_id % 2 = 0",
-    "form_top1": "select page_id, 0 as form_index, 5 as n_inputs from pages where page_id % 2 = 0 and page_id % 3 <> 1",
-    "form_markup": f"select page_id, length(m) as n, md5(m) as digest from (select page_id, case when page_id % 2 = 0 then regexp_extract({_EXTRA}, '<form[^>]*>(.*)</form>', 1) else '' end as m from pages)",
-    "field_mapping": "select page_id, field, cast(element as int) as element, cast(score as int) as score from pages join (values "
-    + ", ".join(f"({k}, '{f}', {e}, {n})" for k, f, e, n in _TAKEN) + ") v(k, field, element, score) on page_id % 3 = k where page_id % 2 = 0",
-}
+}
