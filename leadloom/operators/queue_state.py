@@ -12,14 +12,15 @@ def _ts(t: str) -> Column:
     return F.lit(t).cast("timestamp_ntz")
 
 
-def capacity(queue, submissions, targeting_id, day, now, max_daily, grace_minutes=2) -> int:
-    """What the daily cap leaves: minus today's successes and the rows that are assigned for longer than the grace."""
+def capacity(queue, submissions, targeting_id, day, now, max_daily, grace_minutes=2) -> DataFrame:
+    """One row: left_today, what the daily cap leaves: minus today's successes and the rows that are assigned for longer than the grace."""
     if max_daily > 10_000:
         raise ValueError("max_daily exceeds 10000")
-    won = submissions.where((F.col("targeting_id") == targeting_id) & F.col("success") & between_days(F.col("submitted_at"), day, 0, 1)).count()
+    won = F.count_if((F.col("targeting_id") == targeting_id) & F.col("success") & between_days(F.col("submitted_at"), day, 0, 1))
     old = F.col("assigned_at").isNull() | (F.col("assigned_at") < _ts(now) - F.expr(f"interval {grace_minutes} minutes"))
-    held = queue.where((F.col("targeting_id") == targeting_id) & (F.col("status") == "assigned") & old).count()
-    return max(0, max_daily - won - held)
+    held = F.count_if((F.col("targeting_id") == targeting_id) & (F.col("status") == "assigned") & old)
+    both = submissions.agg(won.alias("won")).crossJoin(F.broadcast(queue.agg(held.alias("held"))))  # a row each
+    return both.select(F.greatest(F.lit(0), F.lit(max_daily) - F.col("won") - F.col("held")).alias("left_today"))
 
 
 def claim(queue: DataFrame, targeting_id: int, limit: int, shard: int | None = None) -> DataFrame:

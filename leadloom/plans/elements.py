@@ -77,22 +77,23 @@ def context_score(spark, d):
 
 
 @query(
-    f"with s as (select p_partkey % 50 as el, p_partkey as position, t as text, {_CTX} as score from (select p_partkey, p_size, {_LABEL} as t from part)), o as (select *, row_number() over (partition by el, lower(trim(text)) order by round(score, 6) desc, position) as r1 from s where score >= 0.3), "
+    f"with s as (select p_partkey // 40 as el, p_partkey as position, t as text, {_CTX} as score from (select p_partkey, p_size, {_LABEL} as t from part)), o as (select *, row_number() over (partition by el, lower(trim(text)) order by round(score, 6) desc, position) as r1 from s where score >= 0.3), "
     "k as (select el, position, row_number() over (partition by el order by round(score, 6) desc, position) as rank from o where r1 = 1) select el, position, rank from k where rank <= 5"
 )
 def best_contexts(spark, d):
-    rows = table(spark, d, "part").select(F.expr("p_partkey % 50").alias("el"), F.col("p_partkey").alias("position"), F.expr(_LABEL).alias("text"), elements.context_score(F.expr(_LABEL), F.col("p_size") / 100.0).alias("score"))
+    rows = table(spark, d, "part").select(F.expr("p_partkey div 40").alias("el"), F.col("p_partkey").alias("position"), F.expr(_LABEL).alias("text"), elements.context_score(F.expr(_LABEL), F.col("p_size") / 100.0).alias("score"))
     return elements.best_contexts(rows, "el").select("el", "position", "rank")
 
 
-_CELLS = "select c_custkey as id, c_custkey % 100 as form, (c_custkey * 37) % 300 as x, (c_custkey * 53) % 300 as y, 100 + c_custkey % 90 as w, 80 + c_custkey % 70 as h from customer"
-_BOXES = "select s_suppkey as id, s_suppkey % 100 as form, (s_suppkey * 71) % 320 as x, (s_suppkey * 29) % 320 as y, 20 + s_suppkey % 30 as w, 20 as h from supplier"
+# a form has so many cells and boxes, however many forms there are
+_CELLS = "select c_custkey as id, c_custkey // 150 as form, (c_custkey * 37) % 300 as x, (c_custkey * 53) % 300 as y, 100 + c_custkey % 90 as w, 80 + c_custkey % 70 as h from customer"
+_BOXES = "select s_suppkey as id, s_suppkey // 10 as form, (s_suppkey * 71) % 320 as x, (s_suppkey * 29) % 320 as y, 20 + s_suppkey % 30 as w, 20 as h from supplier"
 
 
 @query(f"with c as ({_CELLS}), e as ({_BOXES}) select e.form, e.id as element, arg_min(c.id, (c.w * c.h, c.id)) as cell from e join c on e.form = c.form and e.x >= c.x and e.y >= c.y and e.x + e.w <= c.x + c.w and e.y + e.h <= c.y + c.h group by 1, 2")
 def cell_containment(spark, d):
-    cells = table(spark, d, "customer").selectExpr("c_custkey as id", "c_custkey % 100 as form", "(c_custkey * 37) % 300 as x", "(c_custkey * 53) % 300 as y", "100 + c_custkey % 90 as w", "80 + c_custkey % 70 as h")
-    boxes = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_suppkey % 100 as form", "(s_suppkey * 71) % 320 as x", "(s_suppkey * 29) % 320 as y", "20 + s_suppkey % 30 as w", "20L as h")
+    cells = table(spark, d, "customer").selectExpr("c_custkey as id", "c_custkey div 150 as form", "(c_custkey * 37) % 300 as x", "(c_custkey * 53) % 300 as y", "100 + c_custkey % 90 as w", "80 + c_custkey % 70 as h")
+    boxes = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_suppkey div 10 as form", "(s_suppkey * 71) % 320 as x", "(s_suppkey * 29) % 320 as y", "20 + s_suppkey % 30 as w", "20L as h")
     return elements.contained(cells, boxes, "form")
 
 
@@ -101,7 +102,7 @@ def cell_containment(spark, d):
     "select form, id, \"order\", gap, coalesce(line and gap between 0 and 50, false) as adjacent from o"
 )
 def input_geometry(spark, d):
-    cells = table(spark, d, "customer").selectExpr("c_custkey as id", "c_custkey % 100 as form", "(c_custkey * 37) % 300 as x", "(c_custkey * 53) % 300 as y", "100 + c_custkey % 90 as w", "80 + c_custkey % 70 as h")
+    cells = table(spark, d, "customer").selectExpr("c_custkey as id", "c_custkey div 150 as form", "(c_custkey * 37) % 300 as x", "(c_custkey * 53) % 300 as y", "100 + c_custkey % 90 as w", "80 + c_custkey % 70 as h")
     return elements.reading_order(cells, "form").select("form", "id", "order", "gap", "adjacent")
 
 
