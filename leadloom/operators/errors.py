@@ -91,6 +91,13 @@ SCRIPT_RULES = [
 ]
 
 
+# fixed values: answers of a service: status, category, severity, whether to try again, and after how many milliseconds
+ANSWERS = [(401, "authentication", "high", False, 0), (404, "not_found", "medium", False, 0), (422, "validation", "medium", False, 0), *((k, "server_error", "medium", True, 10_000) for k in (500, 502, 503, 504))]
+# fixed values: what a database says before it may work again, and when it will not; and the statuses of both
+DATABASE_RETRY, DATABASE_FATAL = "timeout|connection|deadlock|lock_timeout|serialization_failure|temporary failure|service unavailable", "out of memory|configuration error|authentication|permission denied|invalid api key"
+DATABASE_RETRY_STATUS, DATABASE_FATAL_STATUS = (429, 500, 502, 503, 504, 408), (401, 403)
+
+
 def _low(c: Column) -> Column:
     return F.lower(F.coalesce(c, F.lit("")))
 
@@ -244,3 +251,27 @@ def failure_detail(kind: Column, base: Column) -> Column:
 def script_error(message: Column) -> Column:
     """The class of a job script's own error."""
     return F.coalesce(_first(_low(message), SCRIPT_RULES), F.lit("SYSTEM_ERROR"))
+
+
+def api_error(status: Column, body: Column, error: Column) -> Column:
+    """struct<category, severity, retryable, delay_ms> of a service's answer: a broken connection first, then the status."""
+
+    def made(kind: str, severity: str, again: bool, delay: int) -> Column:
+        return F.struct(F.lit(kind).alias("category"), F.lit(severity).alias("severity"), F.lit(again).alias("retryable"), F.lit(delay).alias("delay_ms"))
+
+    limited = F.coalesce(body.contains("rate limit"), F.lit(False))
+    found = F.when(F.coalesce(error, F.lit("")).rlike("timeout|network"), made("network", "low", True, 5000))
+    found = found.when((status == 403) & limited, made("rate_limit", "medium", True, 60_000)).when(status == 403, made("permission", "high", False, 0))
+    for code, *rest in ANSWERS:
+        found = found.when(status == code, made(*rest))
+    found = found.when(status.between(400, 499), made("client_error", "medium", False, 0)).when(status >= 500, made("server_error", "medium", True, 5000))
+    return found.otherwise(made("unknown", "medium", False, 0))
+
+
+def database_error(message: Column, status: Column) -> Column:
+    """struct<retryable, fatal, category> of a database's error: what is fatal is not tried again."""
+    m = _low(message)
+    fatal = m.rlike(DATABASE_FATAL) | F.coalesce(status.isin(*DATABASE_FATAL_STATUS), F.lit(False))
+    again = m.rlike(DATABASE_RETRY) | F.coalesce(status.isin(*DATABASE_RETRY_STATUS), F.lit(False))
+    kind = F.when(fatal, "FATAL").when(again, "RETRYABLE").otherwise("CLIENT_ERROR")
+    return F.struct((again & ~fatal).alias("retryable"), fatal.alias("fatal"), kind.alias("category"))

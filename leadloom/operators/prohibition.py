@@ -107,3 +107,50 @@ def confidence(found: Column, targeted: Column) -> Column:
     steps = [(90, "high"), (70, "medium"), (50, "low")]
     level = reduce(lambda acc, s: acc.when(score >= s[0], s[1]), steps, F.when(n == 0, "none")).otherwise("very_low")
     return F.struct(score.alias("score"), level.alias("level"))
+
+
+# fixed values: phrases by category: said outright, said by the way, said of some; weights of categories and of elements; words that add a tenth each
+OUTRIGHT, BY_THE_WAY, OF_SOME = "直接的な営業禁止", "間接的な営業禁止", "条件付き制限"
+PHRASES = {
+    OUTRIGHT: (
+        "営業のお電話はお断り", "営業電話お断り", "営業電話はお断り", "営業メールお断り", "営業活動はお断り", "営業目的でのご連絡はお断り", "営業・勧誘はお断り", "勧誘のお電話はお断り", "勧誘電話お断り", "売り込み電話お断り",
+        "売り込みはお断り", "セールス電話お断り", "テレアポお断り", "営業お断り", "勧誘お断り",
+    ),
+    BY_THE_WAY: (
+        "商品・サービスの売り込み", "商品の売り込み", "サービスの売り込み", "宣伝目的での", "広告目的での", "PR目的での", "商品のご紹介", "サービスのご紹介", "商材の紹介", "ご提案のお電話", "セールスのお電話", "営業のご連絡",
+    ),
+    OF_SOME: (
+        "お客様以外からのお問い合わせはご遠慮", "関係者以外のお問い合わせ", "同業者からのお問い合わせ", "競合他社からのお問い合わせ", "イタズラ目的でのお問い合わせ", "いたずら目的でのお問い合わせ",
+    ),
+}
+CATEGORY_WEIGHTS = {OUTRIGHT: 0.9, BY_THE_WAY: 0.7, OF_SOME: 0.6}
+ELEMENT_WEIGHTS, OTHER_ELEMENT = {"form": 1.0, "p": 0.9, "div": 0.8, "span": 0.7, "small": 0.9, "em": 0.8, "strong": 0.8}, 0.6
+BOOSTS, LEAST_CONFIDENCE = ("お問い合わせ", "注意", "注意事項", "ご注意", "禁止", "お断り"), 0.6
+
+
+def phrase_matches(texts: Column) -> Column:
+    """array<struct<phrase, category, confidence>> of texts (array<struct<text, element>>): phrases with enough confidence, each where it stands first."""
+    known = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(CATEGORY_WEIGHTS[c]).alias("weight")) for c, ps in PHRASES.items() for p in ps])
+    weights = F.create_map(*[F.lit(x) for kv in ELEMENT_WEIGHTS.items() for x in kv])
+
+    def of(t: Column) -> Column:
+        low = F.lower(t["text"])
+        boost = F.lit(0.1) * sum((F.when(low.contains(w), 1).otherwise(0) for w in BOOSTS), F.lit(0))
+        here = F.filter(known, lambda p: F.contains(low, F.lower(p["phrase"])))
+        element = F.coalesce(F.try_element_at(weights, t["element"]), F.lit(OTHER_ELEMENT))
+        sure = F.transform(here, lambda p: F.struct(p["phrase"].alias("phrase"), p["category"].alias("category"), F.least(F.lit(1.0), p["weight"] * element + boost).alias("confidence")))
+        return F.filter(sure, lambda m: m["confidence"] >= LEAST_CONFIDENCE)
+
+    every = F.flatten(F.transform(texts, of))
+    none = F.array().cast("array<struct<phrase:string,category:string,confidence:double>>")
+    return F.aggregate(every, none, lambda acc, m: F.when(F.exists(acc, lambda k: k["phrase"] == m["phrase"]), acc).otherwise(F.concat(acc, F.array(m))))
+
+
+def phrase_level(matches: Column) -> Column:
+    """struct<n, direct, confidence, level> of matches: two phrases that say it outright, or one that is sure, are strict."""
+    n, direct = F.size(matches), F.size(F.filter(matches, lambda m: m["category"] == OUTRIGHT))
+    most = F.coalesce(F.array_max(F.transform(matches, lambda m: m["confidence"])), F.lit(0.0))
+    level = (
+        F.when(n == 0, "none").when((direct >= 2) | (most >= 0.9), "strict").when((direct >= 1) | (most >= 0.8), "moderate").when((n >= 2) | (most >= 0.7), "mild").otherwise("weak")
+    )
+    return F.struct(n.alias("n"), direct.alias("direct"), most.alias("confidence"), level.alias("level"))

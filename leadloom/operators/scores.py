@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.operators import elements, mapping, safeguards
@@ -93,6 +93,23 @@ def quick_score(e: Column, rule: Rule) -> Column:
     return F.when(_ruled_out(e, rule), EXCLUDED).otherwise(F.greatest(F.lit(EXCLUDED), total)).cast("int")
 
 
+def best_elements(rows: DataFrame, rule: Rule) -> DataFrame:
+    """form, pos, score, detailed of the best element of each form (rows: form, pos, e) for a rule, the first of several; detailed: how many were scored in full.
+
+    In two phases: attributes alone and a label that fits bound a score from above. The element of the greatest bound is scored in full, and
+    then only those whose bound could still win against it."""
+    most = LABEL + (TEXTAREA if rule.field == "お問い合わせ本文" else 0)
+    bounded = rows.withColumn("__bound", F.greatest(F.lit(0), quick_score(F.col("e"), rule) + most))
+    form = Window.partitionBy("form")
+    ranked = bounded.withColumn("__rank", F.row_number().over(form.orderBy(F.desc("__bound"), "pos")))
+    first = ranked.withColumn("__first", F.when(F.col("__rank") == 1, element_score(F.col("e"), rule)))
+    lead, at = F.max("__first").over(form), F.max(F.when(F.col("__rank") == 1, F.col("pos"))).over(form)
+    may = (F.col("__rank") > 1) & ((F.col("__bound") > lead) | ((F.col("__bound") == lead) & (F.col("pos") < at)))
+    scored = first.withColumn("__may", may).withColumn("__score", F.coalesce("__first", F.when(F.col("__may"), element_score(F.col("e"), rule))))
+    best = F.max(F.struct(F.col("__score").alias("score"), (-F.col("pos")).alias("before")))
+    return scored.groupBy("form").agg(best.alias("b"), F.count("__score").alias("detailed")).select("form", (-F.col("b.before")).alias("pos"), "b.score", "detailed")
+
+
 def assigned(form: Column, rules: list[Rule], least: int = 70) -> Column:
     """array<struct<field, element, score, rescued>>: fields in the order of the rules take their best free element of at least a score that passes their safeguard, the first of several.
 

@@ -434,3 +434,17 @@ def field_grids(spark, d):
         (F.col("y") * 1.5 + F.col("score") % 9 + 25).alias("y1"),
     )
     return elements.line_advice(elements.grid(boxes, "form")).select("form", "pos", "line", "col", "in_line", "advice")
+
+
+@query(
+    _SCORED + f""", q as (select form, pos, {_MAIL} as score, greatest(0, {_QUICK} + 80) as bound from b),
+r as (select *, row_number() over (partition by form order by bound desc, pos) as rank from q),
+l as (select form, score as lead, pos as lead_pos from r where rank = 1),
+w as (select form, count(*) filter (where rank = 1 or bound > lead or (bound = lead and pos < lead_pos)) as detailed from r join l using (form) group by 1),
+e as (select form, pos, score from q qualify row_number() over (partition by form order by score desc, pos) = 1)
+select form, pos, score, detailed from e join w using (form)"""
+)
+def best_mail_fields(spark, d):
+    """form, pos, score, detailed: the best element for the mail address, found without scoring all in full; the oracle scores all."""
+    rows = fields(spark, d).select(*_KEY, _element().alias("e"))
+    return scores.best_elements(rows, RULES[0])

@@ -370,3 +370,33 @@ def sales_notices(spark, d):
     found = F.filter(F.array(F.when(F.col("first"), F.col("s")), F.when(F.col("second"), F.col("t"))), lambda x: x.isNotNull())
     sure = hits.withColumn("c", prohibition.confidence(found, F.col("user_id") % 2 == 0))
     return sure.select("event_id", "first", "second", "c.score", "c.level")
+
+
+_PHRASED = (
+    "ご注意：営業のお電話はお断りします", "勧誘お断り、営業お断り", "商品のご紹介、サービスのご紹介はこちら", "PR目的での投稿", "同業者からのお問い合わせ", "いたずら目的でのお問い合わせは禁止です", "テレアポお断り", "普通の文です", "",
+    "営業メールお断り・売り込みはお断り", "宣伝目的での利用に注意", "関係者以外のお問い合わせはご遠慮ください", "セールスのお電話",
+)
+_ELEMENTS = ("form", "p", "div", "span", "small", "em", "strong", "li", "td")
+_SAYS_IT = (
+    ("直接的な営業禁止", "0.9", "営業のお電話はお断り|営業電話お断り|営業電話はお断り|営業メールお断り|営業活動はお断り|営業目的でのご連絡はお断り|営業・勧誘はお断り|勧誘のお電話はお断り|勧誘電話お断り|売り込み電話お断り|売り込みはお断り|セールス電話お断り|テレアポお断り|営業お断り|勧誘お断り"),
+    ("間接的な営業禁止", "0.7", "商品・サービスの売り込み|商品の売り込み|サービスの売り込み|宣伝目的での|広告目的での|PR目的での|商品のご紹介|サービスのご紹介|商材の紹介|ご提案のお電話|セールスのお電話|営業のご連絡"),
+    ("条件付き制限", "0.6", "お客様以外からのお問い合わせはご遠慮|関係者以外のお問い合わせ|同業者からのお問い合わせ|競合他社からのお問い合わせ|イタズラ目的でのお問い合わせ|いたずら目的でのお問い合わせ"),
+)
+
+
+@query(
+    f"""with a as (select event_id, 1 as place, {choose('event_id', _PHRASED)} as t, {choose('user_id', _ELEMENTS)} as e from events union all select event_id, 2, {choose('user_id + event_id', _PHRASED)}, {choose('event_id', _ELEMENTS)} from events),
+p as (select category, w::double as w, unnest(string_split(ps, '|')) as phrase from (values {', '.join(f"('{c}', {w}, '{ps}')" for c, w, ps in _SAYS_IT)}) v(category, w, ps)),
+m as (select event_id, place, phrase, category, least(1.0::double, w * case e when 'form' then 1.0::double when 'p' then 0.9::double when 'div' then 0.8::double when 'span' then 0.7::double when 'small' then 0.9::double when 'em' then 0.8::double when 'strong' then 0.8::double else 0.6::double end
+  + 0.1::double * (contains(t, 'お問い合わせ')::int + contains(t, '注意')::int + contains(t, '注意事項')::int + contains(t, 'ご注意')::int + contains(t, '禁止')::int + contains(t, 'お断り')::int)) as sure from a join p on contains(lower(t), lower(phrase))),
+u as (select * from m where sure >= 0.6::double qualify row_number() over (partition by event_id, phrase order by place) = 1),
+g as (select event_id, count(*) as n, count(*) filter (where category = '直接的な営業禁止') as direct, max(sure) as most from u group by 1)
+select event_id, coalesce(n, 0)::int as n, coalesce(direct, 0)::int as direct, round(coalesce(most, 0), 6) as confidence, case when coalesce(n, 0) = 0 then 'none' when direct >= 2 or most >= 0.9::double then 'strict' when direct >= 1 or most >= 0.8::double then 'moderate'
+  when n >= 2 or most >= 0.7::double then 'mild' else 'weak' end as level from events left join g using (event_id)"""
+)
+def prohibition_levels(spark, d):
+    """event_id, n, direct, confidence, level: phrases that forbid contact in two elements of a page, by category and element."""
+    text = lambda said, kind: F.struct(F.expr(said).alias("text"), F.expr(kind).alias("element"))
+    both = F.array(text(choose("event_id", _PHRASED), choose("user_id", _ELEMENTS)), text(choose("user_id + event_id", _PHRASED), choose("event_id", _ELEMENTS)))
+    found = table(spark, d, "events").select("event_id", prohibition.phrase_level(prohibition.phrase_matches(both)).alias("l"))
+    return found.select("event_id", "l.n", "l.direct", F.round("l.confidence", 6).alias("confidence"), "l.level")
