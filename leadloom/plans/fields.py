@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import elements, mapping, safeguards, scores
+from leadloom.operators import elements, mapping, patterns, safeguards, scores
 from leadloom.sources.derived import choose, clients, fields, with_sql
 from leadloom.sources.views import table
 
@@ -448,3 +448,25 @@ def best_mail_fields(spark, d):
     """form, pos, score, detailed: the best element for the mail address, found without scoring all in full; the oracle scores all."""
     rows = fields(spark, d).select(*_KEY, _element().alias("e"))
     return scores.best_elements(rows, RULES[0])
+
+
+# ---- the catalogue of words
+_NAME_WORDS = (
+    "('company', 'company corp organization'), ('full_name', 'your-name fullname full_name'), ('last_name', 'last_name sei family'), ('first_name', 'first_name mei given'), ('kana', 'kana furigana hiragana'), ('email', 'email mail'), "
+    "('phone', 'tel phone fax'), ('postal', 'zip postal'), ('prefecture', 'pref'), ('address', 'addr address'), ('url', 'url website'), ('subject', 'subject title'), ('message', 'message body inquiry content'), ('department', 'department dept')"
+)
+_LABEL_WORDS = (
+    "('company', '会社 企業 法人 company'), ('full_name', 'お名前 氏名'), ('last_name', '姓 セイ'), ('first_name', '名 メイ'), ('kana', 'フリガナ ふりがな'), ('email', 'メール mail'), ('phone', '電話 tel'), ('postal', '郵便'), ('prefecture', '都道府県'), "
+    "('address', '住所'), ('url', 'url ホームページ'), ('subject', '件名'), ('message', 'お問い合わせ 本文 内容 ご意見 message'), ('department', '部署')"
+)
+
+
+@query(
+    with_sql("fields") + f""", n as (select field, unnest(string_split(ws, ' ')) as word from (values {_NAME_WORDS}) v(field, ws)), l as (select field, unnest(string_split(ws, ' ')) as word from (values {_LABEL_WORDS}) v(field, ws)),
+w as (select *, 'name' as attribute, 60 as weight from n union all select *, 'ident', 60 from n union all select *, 'placeholder', 40 from l union all select *, 'label', 80 from l),
+a as (select form, pos, unnest(['name', 'ident', 'placeholder', 'label']) as attribute, unnest([name, ident, placeholder, label]) as said from fields)
+select form, pos, attribute, w.field, w.word, w.weight from a join w using (attribute) where contains(lower(said), w.word)"""
+)
+def field_rule_hits(spark, d):
+    """form, pos, attribute, field, word, weight: the words of the catalogue that the attributes of fields hold."""
+    return patterns.rule_hits(fields(spark, d), list(_KEY))
