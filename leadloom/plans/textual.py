@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadloom.functions import documents, numbers, redaction, text, urls
-from leadloom.operators import errors, prohibition, scoring
+from leadloom.operators import prohibition, scoring
 from leadloom.sources.views import table
 
 QUERIES: dict = {}
@@ -273,30 +273,6 @@ def resource_size(spark, d):
 
 
 # ---- classes ----------------------------------------------------------------------------------------------------------
-_STATUSES = "case event_id % 6 when 0 then array[200, 429, 500] when 1 then array[200, 403, 503] when 2 then array[404, 502, 504] when 3 then array[200, 301] when 4 then array[500, 403, 429] end"
-
-
-@query(
-    f"with s as (select event_id, {_STATUSES} as s from events) select event_id, case when list_contains(s, 429) then 429 when list_contains(s, 403) then 403 when len(list_filter(s, lambda x: x between 500 and 599)) > 0 then list_filter(s, lambda x: x between 500 and 599)[1] else s[-1] end as status from s"
-)
-def http_status_priority(spark, d):
-    s = F.expr(_STATUSES.replace("array[", "array(").replace("]", ")"))
-    return table(spark, d, "events").select("event_id", s.alias("s")).select("event_id", scoring.http_priority(F.col("s")).alias("status"))
-
-
-@query(
-    "with x as (select event_id, ['weak', 'mild', 'moderate', 'strict', 'odd'][event_id % 5 + 1] as level, case event_id % 3 when 0 then 'HIGH' when 1 then 'low' end as conf, value as score, event_id % 4 as n from events) "
-    "select event_id, (case level when 'weak' then 0 when 'mild' then 1 when 'strict' then 3 else 2 end >= 2) or lower(coalesce(conf, '')) = 'high' or greatest(0.0, least(100.0, score)) >= 80 or n >= 2 as abort, "
-    "case when score / 100 >= 0.9 then 'strict' when score / 100 >= 0.7 then 'moderate' when score / 100 >= 0.5 then 'mild' when score > 0 then 'weak' else 'none' end as level from x"
-)
-def early_abort(spark, d):
-    level = F.element_at(F.array(*[F.lit(x) for x in ("weak", "mild", "moderate", "strict", "odd")]), (F.col("event_id") % 5 + 1).cast("int"))
-    conf = F.expr("case event_id % 3 when 0 then 'HIGH' when 1 then 'low' end")
-    return table(spark, d, "events").select(
-        "event_id", scoring.abort_early(level, conf, F.col("value"), F.col("event_id") % 4).alias("abort"), scoring.prohibition_level(F.col("value") / 100).alias("level")
-    )
-
-
 _JUDGED = (
     "with x as (select event_id, event_id % 11 = 0 as p, event_id % 13 = 0 as b, event_id % 17 = 0 as e, event_id % 3 as r, event_id % 2 = 0 as u, event_id % 4 = 0 as sp, event_id % 5 = 0 as oh, "
     "event_id % 6 as st, event_id % 3 as fb, event_id % 2 as fn, event_id % 50 as eb, event_id % 31 as en from events), "

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import dates, documents, numbers, redaction, text, urls
-from leadloom.operators import elements, mapping, prohibition, queue_state, targeting
-from leadloom.sources.derived import choose, fields, with_sql
+from leadloom.operators import elements, mapping, prohibition, queue_state, scoring, targeting
+from leadloom.sources.derived import choose, fields, messages, with_sql
 from leadloom.sources.views import table
 
 QUERIES: dict = {}
@@ -400,3 +401,26 @@ def prohibition_levels(spark, d):
     both = F.array(text(choose("event_id", _PHRASED), choose("user_id", _ELEMENTS)), text(choose("user_id + event_id", _PHRASED), choose("event_id", _ELEMENTS)))
     found = table(spark, d, "events").select("event_id", prohibition.phrase_level(prohibition.phrase_matches(both)).alias("l"))
     return found.select("event_id", "l.n", "l.direct", F.round("l.confidence", 6).alias("confidence"), "l.level")
+
+
+@query(
+    f"""with p as ({ORACLES['prohibition_levels']}), s as ({ORACLES['sales_notices']})
+select p.event_id, (case p.level when 'weak' then 0 when 'mild' then 1 when 'strict' then 3 else 2 end >= 2) or s.level = 'high' or greatest(0, least(100, s.score)) >= 80 or p.n >= 2 as abort from p join s using (event_id)"""
+)
+def early_abort(spark, d):
+    """event_id, abort: whether what two elements and two sentences of a page say is enough to stop."""
+    both = prohibition_levels(spark, d).join(sales_notices(spark, d).select("event_id", "score", F.col("level").alias("sure")), "event_id")
+    return both.select("event_id", scoring.abort_early(F.col("level"), F.col("sure"), F.col("score").cast("double"), F.col("n")).alias("abort"))
+
+
+@query(
+    with_sql("messages") + """, l as (select m.id, list(m.status) over (partition by e.user_id order by e.ts, m.id rows between 3 preceding and current row) as last from messages m join events e on e.event_id = m.id),
+s as (select id, list_filter(last, lambda x: x is not null) as s from l)
+select id, case when list_contains(s, 429) then 429 when list_contains(s, 403) then 403 when len(list_filter(s, lambda x: x between 500 and 599)) > 0 then list_filter(s, lambda x: x between 500 and 599)[1] else s[-1] end as status from s"""
+)
+def http_status_priority(spark, d):
+    """id, status: which of a worker's last four answers counts."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "ts")
+    rows = Window.partitionBy("user_id").orderBy("ts", "id").rowsBetween(-3, 0)
+    last = messages(spark, d).select("id", "status").join(e, "id").select("id", F.collect_list("status").over(rows).alias("s"))
+    return last.select("id", scoring.http_priority(F.col("s")).alias("status"))
