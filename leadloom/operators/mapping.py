@@ -353,10 +353,10 @@ def submit_button(buttons: Column) -> Column:
 
 
 def summary(assigned: Column, n_fields: Column, required_fields: Column) -> Column:
-    """struct<assigned, coverage_pct, required, required_done>: what of a form is mapped."""
+    """struct<assigned, coverage_pct, required, required_done>: what of a form is mapped. A half of the last digit goes to the even one."""
     names = F.transform(assigned, lambda a: a["field"])
     done = F.size(F.array_intersect(F.array_distinct(names), required_fields))
     return F.struct(
-        F.size(assigned).alias("assigned"), F.when(n_fields > 0, F.round(100.0 * F.size(assigned) / n_fields, 1)).otherwise(0.0).alias("coverage_pct"),
+        F.size(assigned).alias("assigned"), F.when(n_fields > 0, F.bround(1000.0 * F.size(assigned) / n_fields, 0) / 10).otherwise(0.0).alias("coverage_pct"),
         F.size(required_fields).alias("required"), done.alias("required_done"),
     )
