@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions.html import SKIPPED, VOID
+from leadloom.functions.html import SKIPPED, VOID, whole_references
 
 BLOCK, TEXT = 64, "#text"
 #: Nodes that leave a task at once.
@@ -124,7 +124,7 @@ def node_table(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
             for k, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tree = _Tree()
-                tree.feed(page.as_py() or "")
+                tree.feed(whole_references(page.as_py() or ""))
                 tree.close()
                 n = len(tree.tag)
                 keys.extend([k] * n)
