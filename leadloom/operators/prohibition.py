@@ -34,7 +34,9 @@ KEYWORDS = (
     "|販売目的|販売を目的|販売のため|販売に関する|販売活動|販売行為"
     "|勧誘目的|勧誘を目的|勧誘による|勧誘のため|勧誘に関する|勧誘活動|勧誘行為|勧誘案内|勧誘電話|勧誘メール|勧誘連絡"
     "|宣伝目的|宣伝を目的|宣伝のための|宣伝に関する|宣伝活動|宣伝行為|広告目的|広告宣伝|PR目的|プロモーション目的|売り込み|売込"
-    "|商業目的|商業利用|商業的利用|ビジネス目的|ビジネス利用|営利目的|営利利用|迷惑行為|迷惑電話|スパム|spam|SPAM"
+    "|商業目的|商業利用|商業的利用|ビジネス目的|ビジネス利用|営利目的|営利利用|迷惑行為|迷惑電話|スパム"
+    # a word of its own or inflected, not a part of another one
+    r"|(?<!\p{IsLatin})spam(?:s|ming|med|mers?)?(?!\p{IsLatin})|(?<!\p{IsLatin})SPAM(?!\p{IsLatin})"
 )
 # fixed values: kinds of contact, and four ways to refuse
 CONTACT = "(?:問い合わせ|連絡|メール|電話|訪問)"

@@ -329,7 +329,7 @@ _NOTICES = [("営業目的のお問い合わせはお断りします", 1), ("営
 def prohibition_scan(spark, d):
     """doc_id, n_prohibited, over all documents with a notice behind their text."""
     notice = F.element_at(F.array(*[F.lit(t) for t, _ in _NOTICES]), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("。"), notice, F.lit("。")).alias("page"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("。"), notice, F.lit("。")).alias("page"))
     return rows.select("doc_id", F.size(prohibition.notices(F.col("page"))).alias("n_prohibited"))
 
 
