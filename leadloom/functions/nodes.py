@@ -9,13 +9,13 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions.html import SKIPPED, VOID, whole_references
+from leadloom.functions.html import SKIPPED, VOID
+from leadloom.functions.markup import Markup
 
 BLOCK, TEXT = 64, "#text"
 #: Nodes that leave a task at once.
@@ -31,13 +31,24 @@ HEADINGS, LISTS = ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl")
 REGIONS = ("nav", "header", "footer", "main", "article", "section", "aside", "form")
 
 
-class _Tree(HTMLParser):
+# fixed values: elements that take input, and elements whose innermost open one is known when a node starts
+INPUTS, KEPT_OPEN = ("input", "textarea", "select"), frozenset(("label", "tr", "dd", "fieldset"))
+
+
+class _Tree(Markup):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.tag, self.last, self.parent, self.depth, self.attrs, self.text = [], [], [], [], [], []
         self.open: list[int] = []
+        self.skip = 0
         self.count: Counter = Counter()
-        self.whole: list[int] = []
+        self.inner: dict[str, list[int]] = {t: [] for t in KEPT_OPEN}
+        # of inputs the innermost elements around them, of rows their header cells, of descriptions the term before them
+        self.around: dict[int, dict[str, int]] = {}
+        self.heads: dict[int, list[int]] = {}
+        self.terms: dict[int, int | None] = {}
+        self.term: int | None = None
+        self.found: dict[int, tuple[str, str]] | None = None
 
     def _add(self, tag, attrs, text):
         n = len(self.tag)
@@ -47,14 +58,18 @@ class _Tree(HTMLParser):
         self.depth.append(len(self.open))
         self.attrs.append(attrs)
         self.text.append(text)
-        self.whole.append(0)
         return n
 
     def _pop(self):
         n = self.open.pop()
         self.last[n] = len(self.tag) - 1
-        self.count[self.tag[n]] -= 1
-        return self.tag[n]
+        tag = self.tag[n]
+        self.count[tag] -= 1
+        if tag in KEPT_OPEN:
+            self.inner[tag].pop()
+        elif tag in SKIPPED:
+            self.skip -= 1
+        return tag
 
     def _end(self, tags, around):
         """End the nearest of some open elements, if no element of ``around`` stands between."""
@@ -70,12 +85,24 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ENDS:
             self._end(*ENDS[tag])
-        if tag in BLOCKS:
+        if tag in BLOCKS and self.count["p"]:
             self._end(("p",), ("button", "td", "th", "li", "div", "section", "article"))
-        n = self._add(tag, {k: v or "" for k, v in attrs}, None)
+        n = self._add(tag, {k: v or "" for k, v in attrs} if attrs else {}, None)
+        if tag in INPUTS:
+            self.around[n] = {t: held[-1] for t, held in self.inner.items() if held}
+        elif tag == "th" and self.parent[n] is not None:
+            self.heads.setdefault(self.parent[n], []).append(n)
+        elif tag == "dt":
+            self.term = n
+        elif tag == "dd":
+            self.terms[n] = self.term
         if tag not in VOID:
             self.open.append(n)
             self.count[tag] += 1
+            if tag in KEPT_OPEN:
+                self.inner[tag].append(n)
+            elif tag in SKIPPED:
+                self.skip += 1
 
     def handle_endtag(self, tag):
         if self.count[tag]:  # others are stray
@@ -83,59 +110,113 @@ class _Tree(HTMLParser):
                 pass
 
     def handle_data(self, data):
-        if data.strip() and not any(self.count[t] for t in SKIPPED):
-            self._add(TEXT, {}, " ".join(data.split()))
+        words = data.split()
+        if words and not self.skip:
+            self._add(TEXT, {}, " ".join(words))
 
     def close(self):
         super().close()
         while self.open:
             self._pop()
-        # children come after their parents: from the last node back, each hash is whole before its parent takes it up
-        inside = [[] for _ in self.tag]
+
+    def said(self, n: int | None) -> str | None:
+        """The texts inside an element, joined by spaces; null if there is none."""
+        return None if n is None else " ".join(t for t in self.text[n + 1 : self.last[n] + 1] if t is not None) or None
+
+    def labels(self) -> dict[int, tuple[str, str]]:
+        """The label of inputs and its source, as ``labels`` says."""
+        if self.found is not None:
+            return self.found
+        stated: dict[str, str] = {}
+        for n, tag in enumerate(self.tag):
+            if tag == "label" and (ident := self.attrs[n].get("for")) and ident not in stated and (said := self.said(n)):
+                stated[ident] = said
+        told: dict[int | None, str | None] = {}  # an element that many inputs share is read once
+
+        def read(n):
+            if n not in told:
+                told[n] = self.said(n)
+            return told[n]
+
+        heads: dict[int, str | None] = {}
+        found = {}
+        for n, held in self.around.items():
+            row = held.get("tr")
+            if row is not None and row not in heads:
+                heads[row] = next((said for th in self.heads.get(row, ()) if (said := read(th))), None)
+            for source, said in (("for", lambda n=n: stated.get(self.attrs[n].get("id"))), ("around", lambda h=held: read(h.get("label"))), ("row", lambda r=row: heads.get(r)), ("term", lambda h=held: read(self.terms.get(h.get("dd"))))):
+                if (text := said()) is not None:
+                    found[n] = (text, source)
+                    break
+        self.found = found
+        return found
+
+    def hashes(self) -> list[int]:
+        """children come after their parents: from the last node back, each hash is whole before its parent takes it up"""
+        whole, inside = [0] * len(self.tag), [[] for _ in self.tag]
         for n in range(len(self.tag) - 1, -1, -1):
             own = repr((self.tag[n], sorted(self.attrs[n].items()), self.text[n], inside[n][::-1])).encode()
-            self.whole[n] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
+            whole[n] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
             if self.parent[n] is not None:
-                inside[self.parent[n]].append(self.whole[n])
+                inside[self.parent[n]].append(whole[n])
             inside[n] = ()
-
-
-NODES = "pre int, last int, parent int, depth int, tag string, attrs map<string,string>, text string, whole long"
-
-
-def node_table(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key and ``NODES``: a row a node of each page. A null page has none. Names of attributes are lower-case, those without a value are empty."""
-    names = [c.split()[0] for c in NODES.split(", ")]
+        return whole
+
+    def column(self, name: str, which: list[int]) -> list:
+        """A column of ``NODES`` for some nodes."""
+        if name in ("label", "source"):
+            found, k = self.labels(), ("label", "source").index(name)
+            return [found[n][k] if n in found else None for n in which]
+        if name == "whole":
+            whole = self.hashes()
+            return [whole[n] for n in which]
+        if name == "attrs":
+            return [list(self.attrs[n].items()) for n in which]
+        if name == "legend":
+            return [self.said(n) if self.tag[n] == "legend" else None for n in which]
+        if name == "box":
+            return [self.around[n].get("fieldset") if n in self.around else None for n in which]
+        return which if name == "pre" else [getattr(self, name)[n] for n in which]
+
+
+#: label and source: of inputs, see ``labels``; box: of inputs, the innermost fieldset around them; legend: of legends, the text inside.
+NODES = "pre int, last int, parent int, depth int, tag string, attrs map<string,string>, text string, whole long, label string, source string, box int, legend string"
+_ARROW = {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+
+
+def node_table(pages: DataFrame, key: str, html: str = "html", columns: tuple[str, ...] = (), tags: tuple[str, ...] = ()) -> DataFrame:
+    """key and ``NODES``: a row a node of each page. A null page has none. Names of attributes are lower-case, those without a value are empty.
+
+    columns and tags: only these columns of ``NODES``, and only nodes of these kinds; all if empty."""
+    kinds = dict(c.split() for c in NODES.split(", "))
+    names = list(columns or kinds)
     kind = dict(pages.dtypes)[key]
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64())
+    types = [_ARROW[kinds[c]] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list = []
-            columns: list[list] = [[] for _ in names]
+            made: list[list] = [[] for _ in names]
 
             def flush(kind=batch.column(0).type):
-                made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                out = pa.RecordBatch.from_arrays([pa.array(keys, kind), *made], names=[key, *names])
+                out = pa.RecordBatch.from_arrays([pa.array(keys, kind), *[pa.array(c, t) for c, t in zip(made, types, strict=True)]], names=[key, *names])
                 keys.clear()
-                for c in columns:
+                for c in made:
                     c.clear()
                 return out
 
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tree = _Tree()
-                tree.feed(whole_references(page.as_py() or ""))
-                tree.close()
-                n = len(tree.tag)
-                keys.extend([k] * n)
-                for c, more in zip(columns, (range(n), tree.last, tree.parent, tree.depth, tree.tag, [list(a.items()) for a in tree.attrs], tree.text, tree.whole), strict=True):
-                    c.extend(more)
+            for k, page in zip(batch.column(0), batch.column(1), strict=True):
+                tree = _Tree.read(page.as_py())
+                which = [n for n, t in enumerate(tree.tag) if t in tags] if tags else list(range(len(tree.tag)))
+                keys.extend([k.as_py()] * len(which))
+                for c, name in zip(made, names, strict=True):
+                    c.extend(tree.column(name, which))
                 if len(keys) >= ROWS:
                     yield flush()
             if keys:
                 yield flush()
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {NODES}")
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def holding(inner: DataFrame, outer: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
@@ -173,26 +254,5 @@ def attribute(name: str) -> Column:
 
 def labels(nodes: DataFrame, key: str) -> DataFrame:
     """key, pre, label, source of inputs: the text of label[for] with their id, of a label around them, of the header of their table row, of the term before
-    their description: the first that there is."""
-    fields = nodes.where(F.col("tag").isin("input", "textarea", "select")).select(key, "pre", "parent", attribute("id").alias("id"))
-    of = nodes.where(F.col("tag") == "label")
-    said = texts_of(of, nodes, key)
-    stated = of.select(key, "pre", attribute("for").alias("id")).where("id <> ''").join(said, [key, "pre"]).groupBy(key, "id").agg(F.min_by("said", "pre").alias("by_id"))
-    around = nearest_around(fields, of.select(key, "pre", "last"), key, "pre").toDF(key, "pre", "box")
-    by_box = around.join(said.toDF(key, "box", "by_box"), [key, "box"]).select(key, "pre", "by_box")
-    # the header cell of the row, and the last term before the description
-    rows = nodes.where(F.col("tag") == "tr").select(key, "pre", "last")
-    heads = nodes.where(F.col("tag") == "th").select(key, "pre", "last", "parent")
-    head_said = texts_of(heads, nodes, key).join(heads.select(key, "pre", F.col("parent").alias("row")), [key, "pre"]).groupBy(key, "row").agg(F.min_by("said", "pre").alias("by_row"))
-    by_row = nearest_around(fields, rows, key, "pre").toDF(key, "pre", "row").join(head_said, [key, "row"]).select(key, "pre", "by_row")
-    cells = nodes.where(F.col("tag").isin("dt", "dd"))
-    terms = nodes.where(F.col("tag") == "dt")
-    term_said = texts_of(terms, nodes, key).toDF(key, "term", "by_term")
-    with_term = cells.select(key, "pre", "last", "tag", last_before(cells, key, F.when(F.col("tag") == "dt", F.col("pre"))).alias("term")).where("tag = 'dd'")
-    by_term = nearest_around(fields, with_term.select(key, "pre", "last", "term"), key, "term").join(term_said, [key, "term"]).select(key, "pre", "by_term")
-    every = fields.join(stated, [key, "id"], "left")
-    for one in (by_box, by_row, by_term):
-        every = every.join(one, [key, "pre"], "left")
-    names = {"by_id": "for", "by_box": "around", "by_row": "row", "by_term": "term"}
-    source = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in names.items()])
-    return every.select(key, "pre", F.coalesce(*names).alias("label"), source.alias("source"))
+    their description: the first that there is. A page is read once and holds all of it, so that no row of it travels."""
+    return nodes.where(F.col("tag").isin(*INPUTS)).select(key, "pre", "label", "source")

@@ -31,9 +31,7 @@ class PageNodes:
     """The elements and texts of a page, numbered in page order."""
 
     def eval(self, page: str) -> Iterator[tuple]:
-        tree = nodes._Tree()
-        tree.feed(page or "")
-        tree.close()
+        tree = nodes._Tree.read(page)
         for n, tag in enumerate(tree.tag):
             yield n, tree.last[n], tree.parent[n], tree.depth[n], tag, tree.attrs[n].get("id"), tree.attrs[n].get("class"), tree.text[n]
 

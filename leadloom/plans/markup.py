@@ -94,7 +94,7 @@ def _form_pages(spark, d):
 @query(with_sql("fields") + " select form, pos, nullif(label, '') as label, case when label <> '' then case pos % 4 when 1 then 'for' when 2 then 'around' when 3 then 'row' else 'term' end end as source from fields")
 def field_labels(spark, d):
     """form, pos, label, source: the label of each field of a page's form, and where it stands."""
-    known = files.written(nodes.node_table(_form_pages(spark, d), "form"), "nodes")
+    known = nodes.node_table(_form_pages(spark, d), "form", columns=("pre", "tag", "label", "source"), tags=nodes.INPUTS)
     found = nodes.labels(known, "form")
     return found.select("form", F.row_number().over(Window.partitionBy("form").orderBy("pre")).alias("pos"), "label", "source")
 
@@ -105,16 +105,13 @@ select form, pos, cast(n as bigint) as group_size, asked as group_required from
 )
 def field_groups(spark, d):
     """form, pos, group_size, group_required: of the group around each field, how many fields it has and whether its legend marks them as required."""
-    known = files.written(nodes.node_table(_form_pages(spark, d), "form"), "nodes")
-    inputs = known.where(F.col("tag").isin("input", "textarea", "select")).select("form", "pre")
-    sets = known.where("tag = 'fieldset'").select("form", "pre", "last")
-    legends = known.where("tag = 'legend'").select("form", "pre", "last", F.col("parent").alias("box"))
-    asked = nodes.texts_of(legends, known, "form").join(legends.select("form", "pre", "box"), ["form", "pre"]).select("form", "box", F.col("said").rlike(r"必須|(?i)required|\*").alias("group_required"))
-    within = nodes.nearest_around(inputs, sets, "form", "pre").toDF("form", "pre", "box")
-    size = within.groupBy("form", "box").agg(F.count("*").alias("group_size"))
-    both = within.join(size, ["form", "box"]).join(asked, ["form", "box"], "left")
-    pos = F.row_number().over(Window.partitionBy("form").orderBy("pre"))
-    return both.select("form", pos.alias("pos"), "group_size", F.coalesce("group_required", F.lit(False)).alias("group_required"))
+    known = nodes.node_table(_form_pages(spark, d), "form", columns=("pre", "parent", "tag", "box", "legend"), tags=(*nodes.INPUTS, "legend"))
+    rows = known.where("tag <> 'legend' and box is not null or legend is not null").select("form", "pre", "tag", F.coalesce("box", F.when(F.col("tag") == "legend", F.col("parent"))).alias("box"), "legend")
+    # both windows read the rows as one exchange by form dealt them
+    placed = rows.repartition("form").withColumn("pos", F.count_if(F.col("tag") != "legend").over(Window.partitionBy("form").orderBy("pre")).cast("int"))
+    group = Window.partitionBy("form", "box")
+    sized = placed.withColumns({"group_size": F.count_if(F.col("tag") != "legend").over(group), "group_required": F.coalesce(F.max(F.col("legend").rlike(r"必須|(?i)required|\*")).over(group), F.lit(False))})
+    return sized.where("tag <> 'legend'").select("form", "pos", "group_size", "group_required")
 
 
 _ICONS = (
