@@ -135,7 +135,7 @@ def state_change(changes: Column, switched_off: Column, cleared: Column, compare
 
 def judged(pairs: DataFrame, key: str) -> DataFrame:
     """key, success, confidence, stage, state of pairs (key, url_before, url_after, before, after): pages as markup."""
-    old, new = (written(nodes.node_table(pairs.select(key, c), key, c), "snapshot") for c in ("before", "after"))
+    old, new = (written(nodes.node_table(pairs.select(key, c), key, c, columns=("pre", "last", "parent", "tag", "attrs", "text", "whole")), "snapshot") for c in ("before", "after"))
     was, now = facts(old, key), facts(new, key)
     changes = difference(old, new, key).groupBy(key).agg(F.sum(F.col("gone") + F.col("added")).alias("changes"))
     rows = pairs.select(key, "url_before", "url_after")

@@ -45,7 +45,7 @@ from w left join n using (page_id, list) where tag = 'a'"""
 )
 def link_places(spark, d):
     """page_id, dom_index, heading (the last one before the link), region and list_items (of the innermost region and list around it)."""
-    known = files.written(nodes.node_table(table(spark, d, "pages"), "page_id"), "nodes")
+    known = files.written(nodes.node_table(table(spark, d, "pages"), "page_id", columns=("pre", "last", "tag", "text")), "nodes")
     heads = known.where(F.col("tag").isin(*nodes.HEADINGS))
     said = nodes.texts_of(heads, known, "page_id").select("page_id", "pre", "said")
     marked = known.where(F.col("tag").isin("a", *nodes.HEADINGS)).select("page_id", "pre", "tag").join(said, ["page_id", "pre"], "left")
