@@ -7,6 +7,7 @@ import math
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +18,13 @@ def fold_all(texts: pd.Series) -> pd.Series:
 
 def nfkc_lower(c: Column) -> Column:
     """Width and compatibility forms folded, lower case."""
-    return F.pandas_udf(fold_all, "string")(c)
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        # text by text: a batch is held as it came and as it goes, never as strings
+        return pa.array((None if (t := x.as_py()) is None else unicodedata.normalize("NFKC", t).lower() for x in texts), pa.string())
+
+    return run(c)
 
 
 def merged(old, new):
