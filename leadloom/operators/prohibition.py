@@ -7,6 +7,7 @@ is left without it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -72,20 +73,41 @@ def patterns() -> list[str]:
 
 
 FORBIDS = "(?i)" + "|".join(patterns())
+#: Every match of the patterns holds a refusal or is English.
+REFUSES = f"{REFUSED}|{UNABLE}|{POLITE}|{NEGATIVE}|(?i)not?\\b|n't|are|is"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where f names the value more than once: it is computed a single time a row."""
+    return F.transform(F.array(value), f)[0]
+
+
+def by_heads(words: str) -> str:
+    """The same words, those of one head together: where the head is not, none of them is tried."""
+    heads: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        heads.setdefault(w[:2] if w.isalpha() else w, []).append(w)
+    return "|".join(h if h in ws else f"{h}(?:{'|'.join(w[2:] for w in ws)})" for h, ws in heads.items())
 
 
 def forbids(sentence: Column) -> Column:
     """A keyword or a pattern is in the sentence."""
-    return sentence.rlike(KEYWORDS) | sentence.rlike(FORBIDS)
+    return sentence.rlike(by_heads(KEYWORDS)) | sentence.rlike(FORBIDS)
 
 
 def prohibited(sentence: Column) -> Column:
     """The sentence forbids sales contact, harmless uses of 営業 aside."""
     words = F.array(*[F.lit(w) for w in [*(f"営業{a}" for a in AFTER.split("|")), *HARMLESS.split("|")]])
-    hit = F.regexp_extract(sentence, f"({FORBIDS})", 1)
-    other_hit = sentence.rlike(_without_business(KEYWORDS)) | ((hit != "") & ~hit.contains("営業"))
-    harmless = F.exists(words, lambda w: F.contains(sentence, w) & ~forbids(F.replace(sentence, w, F.lit(""))))
-    return sentence.rlike(HINTS) & forbids(sentence) & (other_hit | ~harmless)
+    forbidding = sentence.rlike(by_heads(KEYWORDS))
+
+    def judged(hit: Column) -> Column:
+        other_hit = ((hit != "") & ~hit.contains("営業")) | sentence.rlike(by_heads(_without_business(KEYWORDS)))
+        harmless = F.exists(words, lambda w: F.contains(sentence, w) & ~forbids(F.replace(sentence, w, F.lit(""))))
+        return ((hit != "") | forbidding) & (other_hit | ~harmless)
+
+    # the patterns are matched once a sentence, and only where their words are
+    hit = F.when(sentence.rlike(REFUSES), F.regexp_extract(sentence, f"({FORBIDS})", 1)).otherwise("")
+    return sentence.rlike(HINTS) & once(hit, judged)
 
 
 def _without_business(words: str) -> str:
@@ -100,15 +122,21 @@ def notices(page_text: Column) -> Column:
 
 def confidence(found: Column, targeted: Column) -> Column:
     """struct<score, level> of the sentences that were found: where, refusals, sales words with contacts, and how many."""
-    each = F.aggregate(
-        found, F.lit(0), lambda acc, s: acc + F.when(s.rlike(REFUSAL), 10).otherwise(0) + F.when(s.rlike(SALES_WORDS) & s.rlike(CONTACT_WORDS), 15).otherwise(0)
-    )
-    n = F.size(found)
-    score = F.when(targeted, TARGETED).otherwise(ANYWHERE) + each + F.when(n >= 3, 10).when(n == 2, 5).otherwise(0)
-    score = F.when(n > 0, F.least(F.lit(100), score)).otherwise(0)
-    steps = [(90, "high"), (70, "medium"), (50, "low")]
-    level = reduce(lambda acc, s: acc.when(score >= s[0], s[1]), steps, F.when(n == 0, "none")).otherwise("very_low")
-    return F.struct(score.alias("score"), level.alias("level"))
+
+    def of(found: Column) -> Column:
+        each = F.aggregate(
+            found, F.lit(0), lambda acc, s: acc + F.when(s.rlike(REFUSAL), 10).otherwise(0) + F.when(s.rlike(SALES_WORDS) & s.rlike(CONTACT_WORDS), 15).otherwise(0)
+        )
+        n = F.size(found)
+        score = F.when(targeted, TARGETED).otherwise(ANYWHERE) + each + F.when(n >= 3, 10).when(n == 2, 5).otherwise(0)
+        return F.struct(n.alias("n"), F.when(n > 0, F.least(F.lit(100), score)).otherwise(0).alias("score"))
+
+    def levelled(sure: Column) -> Column:
+        steps = [(90, "high"), (70, "medium"), (50, "low")]
+        level = reduce(lambda acc, s: acc.when(sure["score"] >= s[0], s[1]), steps, F.when(sure["n"] == 0, "none")).otherwise("very_low")
+        return F.struct(sure["score"].alias("score"), level.alias("level"))
+
+    return once(once(found, of), levelled)
 
 
 # fixed values: phrases by category: said outright, said by the way, said of some; weights of categories and of elements; words that add a tenth each
@@ -132,15 +160,19 @@ BOOSTS, LEAST_CONFIDENCE = ("お問い合わせ", "注意", "注意事項", "ご
 
 def phrase_matches(texts: Column) -> Column:
     """array<struct<phrase, category, confidence>> of texts (array<struct<text, element>>): phrases with enough confidence, each where it stands first."""
-    known = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(CATEGORY_WEIGHTS[c]).alias("weight")) for c, ps in PHRASES.items() for p in ps])
+    # the folded phrases are literals, and a text is folded once
+    known = [(p, c, CATEGORY_WEIGHTS[c]) for c, ps in PHRASES.items() for p in ps]
     weights = F.create_map(*[F.lit(x) for kv in ELEMENT_WEIGHTS.items() for x in kv])
 
     def of(t: Column) -> Column:
-        low = F.lower(t["text"])
+        return once(F.lower(t["text"]), lambda low: matched(low, t["element"]))
+
+    def matched(low: Column, element: Column) -> Column:
+        here = F.array_compact(F.array(*[F.when(low.contains(p.lower()), F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(w).alias("weight"))) for p, c, w in known]))
         boost = F.lit(0.1) * sum((F.when(low.contains(w), 1).otherwise(0) for w in BOOSTS), F.lit(0))
-        here = F.filter(known, lambda p: F.contains(low, F.lower(p["phrase"])))
-        element = F.coalesce(F.try_element_at(weights, t["element"]), F.lit(OTHER_ELEMENT))
-        sure = F.transform(here, lambda p: F.struct(p["phrase"].alias("phrase"), p["category"].alias("category"), F.least(F.lit(1.0), p["weight"] * element + boost).alias("confidence")))
+        weight = F.coalesce(F.try_element_at(weights, element), F.lit(OTHER_ELEMENT))
+        added = F.struct(weight.alias("weight"), boost.alias("boost"))
+        sure = once(added, lambda a: F.transform(here, lambda p: F.struct(p["phrase"].alias("phrase"), p["category"].alias("category"), F.least(F.lit(1.0), p["weight"] * a["weight"] + a["boost"]).alias("confidence"))))
         return F.filter(sure, lambda m: m["confidence"] >= LEAST_CONFIDENCE)
 
     every = F.flatten(F.transform(texts, of))
@@ -150,9 +182,16 @@ def phrase_matches(texts: Column) -> Column:
 
 def phrase_level(matches: Column) -> Column:
     """struct<n, direct, confidence, level> of matches: two phrases that say it outright, or one that is sure, are strict."""
-    n, direct = F.size(matches), F.size(F.filter(matches, lambda m: m["category"] == OUTRIGHT))
-    most = F.coalesce(F.array_max(F.transform(matches, lambda m: m["confidence"])), F.lit(0.0))
-    level = (
-        F.when(n == 0, "none").when((direct >= 2) | (most >= 0.9), "strict").when((direct >= 1) | (most >= 0.8), "moderate").when((n >= 2) | (most >= 0.7), "mild").otherwise("weak")
-    )
-    return F.struct(n.alias("n"), direct.alias("direct"), most.alias("confidence"), level.alias("level"))
+
+    def counted(m: Column) -> Column:
+        most = F.coalesce(F.array_max(F.transform(m, lambda x: x["confidence"])), F.lit(0.0))
+        return F.struct(F.size(m).alias("n"), F.size(F.filter(m, lambda x: x["category"] == OUTRIGHT)).alias("direct"), most.alias("confidence"))
+
+    def levelled(s: Column) -> Column:
+        n, direct, most = s["n"], s["direct"], s["confidence"]
+        level = (
+            F.when(n == 0, "none").when((direct >= 2) | (most >= 0.9), "strict").when((direct >= 1) | (most >= 0.8), "moderate").when((n >= 2) | (most >= 0.7), "mild").otherwise("weak")
+        )
+        return F.struct(n.alias("n"), direct.alias("direct"), most.alias("confidence"), level.alias("level"))
+
+    return once(once(matches, counted), levelled)
