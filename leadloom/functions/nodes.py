@@ -7,8 +7,8 @@ of ``BLOCK`` nodes: a container is there once for each block that it reaches int
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +20,8 @@ from leadloom.functions.markup import Markup
 BLOCK, TEXT = 64, "#text"
 #: Nodes that leave a task at once.
 ROWS = 20_000
-# fixed values: what ends an element of the same family when it starts, up to which element around it
+# fixed values: elements that hold a paragraph in, and what ends an element of the same family when it starts, up to which element around it
+AROUND_P = ("button", "td", "th", "li", "div", "section", "article")
 ENDS = {
     "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
@@ -35,13 +36,114 @@ REGIONS = ("nav", "header", "footer", "main", "article", "section", "aside", "fo
 INPUTS, KEPT_OPEN = ("input", "textarea", "select"), frozenset(("label", "tr", "dd", "fieldset"))
 
 
-class _Tree(Markup):
+class _Open(Markup):
+    """The elements that are open while a page is read; ``_leave`` is called for each that ends."""
+
     def __init__(self):
         super().__init__()
-        self.tag, self.last, self.parent, self.depth, self.attrs, self.text = [], [], [], [], [], []
         self.open: list[int] = []
+        self.kinds: list[str] = []
         self.skip = 0
-        self.count: Counter = Counter()
+        self.count: dict[str, int] = defaultdict(int)
+
+    def _leave(self, n: int, tag: str):
+        """What a reader notes of the end of an element."""
+
+    def _enter(self, n: int, tag: str):
+        self.open.append(n)
+        self.kinds.append(tag)
+        self.count[tag] += 1
+        if tag in SKIPPED:
+            self.skip += 1
+
+    def _pop(self):
+        n, tag = self.open.pop(), self.kinds.pop()
+        self.count[tag] -= 1
+        if tag in SKIPPED:
+            self.skip -= 1
+        self._leave(n, tag)
+        return tag
+
+    def _end(self, tags, around):
+        """End the nearest of some open elements, if no element of ``around`` stands between."""
+        for t in tags:
+            if self.count[t]:
+                break
+        else:
+            return
+        for kind in reversed(self.kinds):
+            if kind in around:
+                return
+            if kind in tags:
+                while self._pop() not in tags:
+                    pass
+                return
+
+    def _before(self, tag: str):
+        """End what ends when an element of this kind starts."""
+        if tag in ENDS:
+            self._end(*ENDS[tag])
+        if tag in BLOCKS and self.count["p"]:
+            self._end(("p",), AROUND_P)
+
+    def handle_endtag(self, tag):
+        if self.count[tag]:  # others are stray
+            while self._pop() != tag:
+                pass
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._pop()
+
+
+class _Groups(_Open):
+    """Of the inputs of a page the innermost fieldset around them, and of elements the legends in them."""
+
+    attributed = False
+
+    def __init__(self):
+        super().__init__()
+        self.read_nodes, self.around, self.boxes = 0, [], []
+        self.legends: dict[int, list[str]] = {}
+        self.said: list[tuple[int, list[str]]] = []
+
+    def handle_starttag(self, tag, attrs):
+        self._before(tag)
+        n = self.read_nodes
+        self.read_nodes += 1
+        if tag in INPUTS and self.around:
+            self.boxes.append(self.around[-1])
+        if tag not in VOID:
+            if tag == "legend":
+                self.said.append((self.open[-1] if self.open else -1, []))
+            elif tag == "fieldset":
+                self.around.append(n)
+            self._enter(n, tag)
+
+    def _leave(self, n, tag):
+        if tag == "legend":
+            held, words = self.said.pop()
+            if words:
+                self.legends.setdefault(held, []).append(" ".join(words))
+        elif tag == "fieldset":
+            self.around.pop()
+
+    def handle_data(self, data):
+        if self.said and not self.skip and (words := data.split()):
+            for _, held in self.said:
+                held.append(" ".join(words))
+
+    def rows(self) -> Iterator[tuple]:
+        sizes = Counter(self.boxes)
+        said = {n: "\n".join(texts) for n, texts in self.legends.items()}
+        return ((k, sizes[n], said.get(n)) for k, n in enumerate(self.boxes, 1))
+
+
+class _Tree(_Open):
+    def __init__(self):
+        super().__init__()
+        self.tag, self.last, self.parent, self.depth, self.attrs, self.text = [], [], [], [], [], []
         self.inner: dict[str, list[int]] = {t: [] for t in KEPT_OPEN}
         # of inputs the innermost elements around them, of rows their header cells, of descriptions the term before them
         self.around: dict[int, dict[str, int]] = {}
@@ -60,33 +162,13 @@ class _Tree(Markup):
         self.text.append(text)
         return n
 
-    def _pop(self):
-        n = self.open.pop()
+    def _leave(self, n, tag):
         self.last[n] = len(self.tag) - 1
-        tag = self.tag[n]
-        self.count[tag] -= 1
         if tag in KEPT_OPEN:
             self.inner[tag].pop()
-        elif tag in SKIPPED:
-            self.skip -= 1
-        return tag
-
-    def _end(self, tags, around):
-        """End the nearest of some open elements, if no element of ``around`` stands between."""
-        if any(self.count[t] for t in tags):
-            for n in reversed(self.open):
-                if self.tag[n] in around:
-                    return
-                if self.tag[n] in tags:
-                    while self._pop() not in tags:
-                        pass
-                    return
 
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS:
-            self._end(*ENDS[tag])
-        if tag in BLOCKS and self.count["p"]:
-            self._end(("p",), ("button", "td", "th", "li", "div", "section", "article"))
+        self._before(tag)
         n = self._add(tag, {k: v or "" for k, v in attrs} if attrs else {}, None)
         if tag in INPUTS:
             self.around[n] = {t: held[-1] for t, held in self.inner.items() if held}
@@ -97,28 +179,15 @@ class _Tree(Markup):
         elif tag == "dd":
             self.terms[n] = self.term
         if tag not in VOID:
-            self.open.append(n)
-            self.count[tag] += 1
+            self._enter(n, tag)
             if tag in KEPT_OPEN:
                 self.inner[tag].append(n)
-            elif tag in SKIPPED:
-                self.skip += 1
-
-    def handle_endtag(self, tag):
-        if self.count[tag]:  # others are stray
-            while self._pop() != tag:
-                pass
 
     def handle_data(self, data):
         words = data.split()
         if words and not self.skip:
             self._add(TEXT, {}, " ".join(words))
 
-    def close(self):
-        super().close()
-        while self.open:
-            self._pop()
-
     def said(self, n: int | None) -> str | None:
         """The texts inside an element, joined by spaces; null if there is none."""
         return None if n is None else " ".join(t for t in self.text[n + 1 : self.last[n] + 1] if t is not None) or None
@@ -190,33 +259,53 @@ def node_table(pages: DataFrame, key: str, html: str = "html", columns: tuple[st
     columns and tags: only these columns of ``NODES``, and only nodes of these kinds; all if empty."""
     kinds = dict(c.split() for c in NODES.split(", "))
     names = list(columns or kinds)
-    kind = dict(pages.dtypes)[key]
-    types = [_ARROW[kinds[c]] for c in names]
+
+    def rows(page: str | None) -> list[list]:
+        tree = _Tree.read(page)
+        which = [n for n, t in enumerate(tree.tag) if t in tags] if tags else list(range(len(tree.tag)))
+        return [tree.column(name, which) for name in names]
+
+    return _read(pages.select(key, html), {c: kinds[c] for c in names}, rows)
+
+
+def _read(pages: DataFrame, kinds: dict[str, str], rows: Callable[[str | None], list[list]]) -> DataFrame:
+    """key and columns of some kinds from pages (key, html): a page gives the values of each column, and is read once."""
+    (key, kind), _ = pages.dtypes
+    names, types = [key, *kinds], [_ARROW[t] for t in kinds.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list = []
-            made: list[list] = [[] for _ in names]
+            made: list[list] = [[] for _ in types]
 
             def flush(kind=batch.column(0).type):
-                out = pa.RecordBatch.from_arrays([pa.array(keys, kind), *[pa.array(c, t) for c, t in zip(made, types, strict=True)]], names=[key, *names])
+                out = pa.RecordBatch.from_arrays([pa.array(keys, kind), *[pa.array(c, t) for c, t in zip(made, types, strict=True)]], names=names)
                 keys.clear()
                 for c in made:
                     c.clear()
                 return out
 
             for k, page in zip(batch.column(0), batch.column(1), strict=True):
-                tree = _Tree.read(page.as_py())
-                which = [n for n, t in enumerate(tree.tag) if t in tags] if tags else list(range(len(tree.tag)))
-                keys.extend([k.as_py()] * len(which))
-                for c, name in zip(made, names, strict=True):
-                    c.extend(tree.column(name, which))
+                found = rows(page.as_py())
+                keys.extend([k.as_py()] * len(found[0]))
+                for c, values in zip(made, found, strict=True):
+                    c.extend(values)
                 if len(keys) >= ROWS:
                     yield flush()
             if keys:
                 yield flush()
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {kinds[c]}" for c in names))
+    return pages.mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def groups(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, pos, size, legends of the inputs of each page that stand in a fieldset, in page order: how many inputs the innermost one has, and the texts of the
+    legends right in it, a line each (null: none). A page is read once and tells all of it, so that no row of it travels."""
+
+    def rows(page: str | None) -> list[list]:
+        return [list(c) for c in zip(*_Groups.read(page).rows(), strict=True)] or [[], [], []]
+
+    return _read(pages.select(key, html), {"pos": "int", "size": "long", "legends": "string"}, rows)
 
 
 def holding(inner: DataFrame, outer: DataFrame, key: str, block: int = BLOCK) -> DataFrame:

@@ -105,13 +105,8 @@ select form, pos, cast(n as bigint) as group_size, asked as group_required from
 )
 def field_groups(spark, d):
     """form, pos, group_size, group_required: of the group around each field, how many fields it has and whether its legend marks them as required."""
-    known = nodes.node_table(_form_pages(spark, d), "form", columns=("pre", "parent", "tag", "box", "legend"), tags=(*nodes.INPUTS, "legend"))
-    rows = known.where("tag <> 'legend' and box is not null or legend is not null").select("form", "pre", "tag", F.coalesce("box", F.when(F.col("tag") == "legend", F.col("parent"))).alias("box"), "legend")
-    # both windows read the rows as one exchange by form dealt them
-    placed = rows.repartition("form").withColumn("pos", F.count_if(F.col("tag") != "legend").over(Window.partitionBy("form").orderBy("pre")).cast("int"))
-    group = Window.partitionBy("form", "box")
-    sized = placed.withColumns({"group_size": F.count_if(F.col("tag") != "legend").over(group), "group_required": F.coalesce(F.max(F.col("legend").rlike(r"必須|(?i)required|\*")).over(group), F.lit(False))})
-    return sized.where("tag <> 'legend'").select("form", "pos", "group_size", "group_required")
+    found = nodes.groups(_form_pages(spark, d), "form")
+    return found.select("form", "pos", F.col("size").alias("group_size"), F.coalesce(F.col("legends").rlike(r"必須|(?i)required|\*"), F.lit(False)).alias("group_required"))
 
 
 _ICONS = (

@@ -146,8 +146,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a field. Lines are numbered first and get their words then: only numbers are dealt by form, and what follows by form is dealt already."""
+    rules = _field_rules(picked)
+    numbered = table(spark, sf_dir, "lineitem").withColumn("__pos", F.expr(rules["pos"]))
     kind = F.when(F.col("type").isin("textarea", "select"), F.col("type")).otherwise("input")
-    return _view(spark, sf_dir, "lineitem", _field_rules(picked)).withColumn("tag", kind)
+    return numbered.select(*[F.expr("__pos" if c == "pos" else e).alias(c) for c, e in rules.items()]).withColumn("tag", kind)
 
 
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
