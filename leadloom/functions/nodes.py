@@ -6,6 +6,7 @@ of ``BLOCK`` nodes: a container is there once for each block that it reaches int
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -20,6 +21,8 @@ from leadloom.functions.markup import Markup
 BLOCK, TEXT = 64, "#text"
 #: Nodes that leave a task at once.
 ROWS = 20_000
+#: Small pages, by their characters, and how many of them a task keeps as read: many forms are sent from one page.
+SMALL, SMALL_KEPT = 4096, 512
 # fixed values: elements that hold a paragraph in, and what ends an element of the same family when it starts, up to which element around it
 AROUND_P = ("button", "td", "th", "li", "div", "section", "article")
 ENDS = {
@@ -308,6 +311,76 @@ def groups(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return _read(pages.select(key, html), {"pos": "int", "size": "long", "legends": "string"}, rows)
 
 
+#: A node of ``node_pairs``; added: how many more nodes of its hash the second page has.
+PAIRED = "array<struct<pre:int,last:int,parent:int,tag:string,attrs:map<string,string>,text:string,whole:long,added:int>>"
+#: Inputs and buttons that both pages have by kind and name (or id), the first of each: their values, and whether they are disabled.
+SHARED = "array<struct<tag:string,v_was:string,v_is:string,off_was:boolean,off_is:boolean>>"
+_NODE = [("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", _ARROW["map<string,string>"]), ("text", pa.string()), ("whole", pa.int64()), ("added", pa.int32())]
+_SHARED = [("tag", pa.string()), ("v_was", pa.string()), ("v_is", pa.string()), ("off_was", pa.bool_()), ("off_is", pa.bool_())]
+
+
+class _Lists:
+    """An array of structs, column by column."""
+
+    def __init__(self, kinds: list[tuple[str, pa.DataType]]):
+        self.kinds, self.ends, self.made = kinds, [0], [[] for _ in kinds]
+
+    def add(self, columns):
+        for held, values in zip(self.made, columns, strict=True):
+            held.extend(values)
+        self.ends.append(len(self.made[0]))
+
+    def array(self) -> pa.Array:
+        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(self.made, self.kinds, strict=True)], names=[n for n, _ in self.kinds])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat)
+
+
+def _named(tree: _Tree) -> dict[tuple[str, str], dict[str, str]]:
+    found: dict = {}
+    for tag, attrs in zip(tree.tag, tree.attrs, strict=True):
+        if tag in ("input", "textarea", "select", "button") and (name := attrs.get("name", attrs.get("id"))) is not None:
+            found.setdefault((tag, name), attrs)
+    return found
+
+
+def _hashed(page: str | None) -> tuple[_Tree, list[int]]:
+    tree = _Tree.read(page)
+    return tree, tree.hashes()
+
+
+@functools.lru_cache(SMALL_KEPT)
+def _hashed_again(page: str | None) -> tuple[_Tree, list[int]]:
+    return _hashed(page)
+
+
+def node_pairs(pairs: DataFrame, before: str, after: str) -> DataFrame:
+    """The other columns, was and is (``PAIRED``, empty for a null page), changes and fields (``SHARED``) of pairs of pages; changes: how many hashes one page has more often."""
+    others = [c for c in pairs.columns if c not in (before, after)]
+    kinds = dict(pairs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            was, is_, shared, changes = _Lists(_NODE), _Lists(_NODE), _Lists(_SHARED), []
+            for k, (old, new) in enumerate(zip(batch.column(before), batch.column(after), strict=True), 1):
+                pages = (old.as_py(), new.as_py())
+                trees, wholes = zip(*((_hashed_again if len(p or "") <= SMALL else _hashed)(p) for p in pages), strict=True)
+                counts = [Counter(w) for w in wholes]
+                more, less = counts[1] - counts[0], counts[0] - counts[1]
+                for lists, tree, whole in zip((was, is_), trees, wholes, strict=True):
+                    lists.add((range(len(whole)), tree.last, tree.parent, tree.tag, [list(a.items()) for a in tree.attrs], tree.text, whole, [more[w] for w in whole]))
+                changes.append(more.total() + less.total())
+                a, b = map(_named, trees)
+                both = [(tag, x, b[tag, name]) for (tag, name), x in a.items() if (tag, name) in b]
+                shared.add(([f[0] for f in both], [f[1].get("value", "") for f in both], [f[2].get("value", "") for f in both], ["disabled" in f[1] for f in both], ["disabled" in f[2] for f in both]))
+                if was.ends[-1] + is_.ends[-1] >= ROWS or k == batch.num_rows:
+                    kept = [batch.column(c).slice(start, k - start) for c in others]
+                    yield pa.RecordBatch.from_arrays([*kept, was.array(), is_.array(), pa.array(changes, pa.int64()), shared.array()], names=[*others, "was", "is", "changes", "fields"])
+                    start, was, is_, shared, changes = k, _Lists(_NODE), _Lists(_NODE), _Lists(_SHARED), []
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in others) + f", was {PAIRED}, is {PAIRED}, changes long, fields {SHARED}")
+
+
 def holding(inner: DataFrame, outer: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """Pairs of a node of ``inner`` (key, pre, ...) and an element of ``outer`` (key, pre, last, ...) around it; outer's columns have o_ before their names."""
     named = outer.select(key, *[F.col(c).alias(f"o_{c}") for c in outer.columns if c != key])

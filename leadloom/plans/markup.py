@@ -258,7 +258,9 @@ _URL_AFTER = choose("o_orderkey * 3 + o_custkey", ("https://a.example/f", "https
 
 
 def _snapshots(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", *[F.expr(e).alias(n) for n, e in {
+    # dealt as numbers: pages are built and read in as many tasks as an exchange has, however few row groups the file has
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey").select("o_orderkey", *[F.expr(e).alias(n) for n, e in {
         "n": _N, "m": _AFTER_N, "message": _MESSAGE, "kept": _KEPT_MESSAGE, "off": _OFF, "seen": _SEEN, "clear": _CLEAR, "title": _TITLE_AFTER, "url_after": _URL_AFTER, "gone": "o_custkey % 4 = 1",
     }.items()])
 
