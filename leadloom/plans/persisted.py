@@ -76,8 +76,10 @@ def queue_commit(spark, d):
     )
     for step in steps:
         before = held.read()
-        changed = step(before).select(*_STATE).exceptAll(before.select(*_STATE))
-        held.merge(changed, insert=False, keep=_replace)
+        # a step keeps other columns: a row is compared with what it was, in place
+        now = step(before.withColumn("__was", F.struct(*_STATE)))
+        changed = now.where(~F.struct(*_STATE).eqNullSafe(F.col("__was"))).select(*_STATE)
+        held.merge(files.written(changed, "queue-changes"), insert=False, keep=_replace)
     return held.read().select(*_STATE)
 
 
