@@ -6,10 +6,15 @@ thousands of combinations and a table of more rows has more of them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.sources.views import table
+from leadloom.sources.views import stored_bytes, table
+
+#: Of a table's files, what a task takes of the fields.
+PART_BYTES = 4 << 20
 
 
 def choose(number: str, words: tuple) -> str:
@@ -148,7 +153,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a field. Lines are numbered first and get their words then: only numbers are dealt by form, and what follows by form is dealt already."""
     rules = _field_rules(picked)
-    numbered = table(spark, sf_dir, "lineitem").withColumn("__pos", F.expr(rules["pos"]))
+    lines, parts = table(spark, sf_dir, "lineitem"), math.ceil(stored_bytes(spark, sf_dir, "lineitem") / PART_BYTES)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):  # a task sorts a part of bounded size, whatever the table's
+        lines = lines.repartition(parts, "l_orderkey")
+    numbered = lines.withColumn("__pos", F.expr(rules["pos"]))
     kind = F.when(F.col("type").isin("textarea", "select"), F.col("type")).otherwise("input")
     return numbered.select(*[F.expr("__pos" if c == "pos" else e).alias(c) for c, e in rules.items()]).withColumn("tag", kind)
 

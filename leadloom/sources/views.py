@@ -76,6 +76,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """How long the files of a table are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def _rules(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(e).alias(c) for c, e in rules.items()])
 
