@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,15 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def says(value: Column, words: str) -> Column:
+    """One of the words (alternatives of a pattern) is in the value; plain words are sought as they are, those that hold another one not at all."""
+    if re.search(r"[\\^$.*+?()\[\]{}]", words):
+        return value.rlike(words)
+    plain = dict.fromkeys(words.split("|"))
+    least = [w for w in plain if not any(o != w and o in w for o in plain)]
+    return reduce(lambda a, b: a | b, (value.contains(w) for w in least))
+
+
 def contains_token(text: Column, token: str) -> Column:
     """The token with borders around it; a CJK token also inside a word, but for 名."""
     border = r"[\s_\-\[\](){}（）「」・:：/.,、。]"

@@ -191,9 +191,8 @@ _STEPS = [(n, f"s{k}", _SAFE_FOR[n], rescue) for rescue in (False, True) for k,
 )
 def form_assignment(spark, d):
     """form, field, pos, score, rescued: which element of a form a field takes."""
-    one = _forms(spark, d, e=_element())
-    rules = [RULES[0], RULES[1], RULES[3]]
-    taken = one.select("form", F.explode(scores.assigned(F.col("e"), rules)).alias("a"))
+    rows = fields(spark, d).select(*_KEY, _element().alias("e"))
+    taken = scores.assigned_rows(rows, [RULES[0], RULES[1], RULES[3]])
     return taken.select("form", "a.field", (F.col("a.element") + 1).alias("pos"), "a.score", "a.rescued")
 
 
